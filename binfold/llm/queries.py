@@ -113,6 +113,11 @@ def _share_sql(name: str, source: str, parent: str, key: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op5_top_k_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op7_mixing": f"""
 WITH rows AS (SELECT doc_id, 'd' || CAST(ascii(md5(source)) % 4 AS VARCHAR) AS dom, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, {_WORDS} AS n_tokens FROM documents),
 r AS (SELECT doc_id, coalesce(dom, 'unknown') AS domain, lang, source, n_tokens FROM rows),
