@@ -1 +1 @@
-"""Read-depth analytics on Spark."""
+"""Read-depth and copy-number analytics on Spark: DataFrame in, DataFrame out."""

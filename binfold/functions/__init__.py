@@ -1 +1 @@
-"""Read-depth analytics on Spark."""
+"""Column helpers and numeric kernels."""

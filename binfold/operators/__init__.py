@@ -1 +1 @@
-"""Read-depth analytics on Spark."""
+"""Operators over long tables keyed by sample, chromosome and bin."""

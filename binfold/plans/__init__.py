@@ -1 +1 @@
-"""Read-depth analytics on Spark."""
+"""Workflows and the registered queries with their SQL."""

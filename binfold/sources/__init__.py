@@ -1 +1 @@
-"""Read-depth analytics on Spark."""
+"""Readers and writers of interval, alignment, metadata and report files."""

@@ -1 +1 @@
-"""Read-depth analytics on Spark."""
+"""Incremental forms of the counting operators."""
