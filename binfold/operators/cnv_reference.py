@@ -190,7 +190,7 @@ def null_ratios(matrix: DataFrame, knn: DataFrame, max_samples: int = 100, seed:
 
 
 def newref(bins: DataFrame, nipt: bool = False, refsize: int = 300, yfrac: float | None = None, components: int = 5, max_null: int = 100, value: str = "n", branches: tuple[str, ...] | None = None, min_samples: int = 10, save=None) -> dict[str, DataFrame]:
-    """Reference tables by branch: ``bins, knn, null_ratio`` with a ``branch`` column, and ``mask, genders``.
+    """Reference tables by branch: ``bins, knn, null_ratio`` with a ``branch`` column, and ``mask, genders, meta``.
 
     F and M use the autosomal mask that A's pruning left. ``save(df, name)`` writes a table and reads it back.
     """
@@ -223,7 +223,19 @@ def newref(bins: DataFrame, nipt: bool = False, refsize: int = 300, yfrac: float
         parts["knn"].append(knn.select(F.lit(branch).alias("branch"), "*"))
         parts["null_ratio"].append(null_ratios(corrected, knn, max_null).select(F.lit(branch).alias("branch"), "*"))
     union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
-    return {k: save(union(v), k) for k, v in parts.items()} | {"mask": mask, "genders": genders}
+    return {k: save(union(v), k) for k, v in parts.items()} | {"mask": mask, "genders": genders, "meta": bins.sparkSession.createDataFrame([(float(cutoff), refsize, nipt)], "gender_cutoff double, refsize int, nipt boolean")}
+
+
+def remap(a: DataFrame, other: DataFrame) -> DataFrame:
+    """Index in branch A to index in another branch of the same bin; ``missing`` rows of A must not exist for aligned masks."""
+    b = other.select("chrom", "bin", F.col("masked_idx").alias("other_idx"))
+    return a.join(b, ["chrom", "bin"], "left").select("masked_idx", "other_idx", F.col("other_idx").isNull().alias("missing"))
+
+
+def local_minima(grid: DataFrame) -> DataFrame:
+    """Points ``x, y`` of one curve that lie below both neighbours."""
+    w = Window.orderBy("x")
+    return grid.withColumn("_a", F.lag("y").over(w)).withColumn("_b", F.lead("y").over(w)).where("y < _a and y < _b").select("x", "y")
 
 
 def knn_summary(knn: DataFrame) -> DataFrame:

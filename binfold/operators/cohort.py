@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,11 +162,30 @@ def leave_one_out(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     return out.withColumn("loo_mean", mean).withColumn("loo_sd", sd).withColumn("loo_z", safe_div(F.col(value) - mean, F.nullif(sd, F.lit(0.0)))).drop("_m", "_n", "_d", "_q")
 
 
+def subset_z(rows: DataFrame, value: str, member: str) -> DataFrame:
+    """z of every row against the member rows, itself left out where it is one."""
+    own = leave_one_out(rows.where(F.col(member)).withColumn("_all", F.lit(0)), value, ["_all"]).drop("_all", "loo_mean", "loo_sd").withColumnRenamed("loo_z", "subset_z")
+    stats = rows.where(F.col(member)).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    other = rows.where(~F.col(member)).join(F.broadcast(stats)).withColumn("subset_z", safe_div(F.col(value) - F.col("_m"), F.nullif(F.col("_s"), F.lit(0.0)))).drop("_m", "_s")
+    return own.unionByName(other)
+
+
+def same_members(a: DataFrame, b: DataFrame) -> bool:
+    """Both sides name the same samples, equally often."""
+    a, b = a.select("sample_id"), b.select("sample_id")
+    return a.exceptAll(b).limit(1).count() == 0 and b.exceptAll(a).limit(1).count() == 0
+
+
+def decide_samples(samples: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """``sample_id, decision``: kept, not listed for inclusion, or excluded by name."""
+    out = samples.select("sample_id").distinct().withColumn("_in", F.lit(True)).withColumn("_out", F.lit(False))
+    if include is not None:
+        out = out.drop("_in").join(include.select("sample_id").distinct().withColumn("_in", F.lit(True)), "sample_id", "left").fillna(False, ["_in"])
+    if exclude is not None:
+        out = out.drop("_out").join(exclude.select("sample_id").distinct().withColumn("_out", F.lit(True)), "sample_id", "left").fillna(False, ["_out"])
+    return out.select("sample_id", F.when(F.col("_out"), "excluded").when(~F.col("_in"), "not_included").otherwise("kept").alias("decision"))
+
+
 def seeded_order(name: Column | str, seed: int) -> Column:
     """An order that depends on name and seed alone, not on partitions."""
     return F.xxhash64(name if isinstance(name, Column) else F.col(name), F.lit(seed))
-
-
-def as_matrix(frac: pd.DataFrame, value: str = "frac") -> tuple[list, np.ndarray]:
-    wide = frac.pivot(index="sample_id", columns="chrom", values=value).sort_index()
-    return list(wide.index), wide.to_numpy(float)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from binfold.operators.bins import grid
 from binfold.operators.cnv_predict import predict
-from binfold.operators.cnv_reference import newref
+from binfold.operators.cnv_reference import gender_correct, newref, predict_gender, y_fraction
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -43,14 +43,21 @@ def save_as_tables(spark: SparkSession, path: str) -> Callable[[DataFrame, str],
     return save
 
 
-def predict_cohort(bins: DataFrame, lengths: DataFrame, binsize: int, samples: list | None = None, refsize: int = 300, min_refs: int = 150, yfrac: float | None = None, components: int = 5, nipt: bool = False, alpha: float = 1e-4, zscore: float = 5.0, beta: float | None = None, save=None) -> dict[str, DataFrame]:
-    """Reference from all of ``bins``, predictions of ``samples`` (default all)."""
+def predict_cohort(bins: DataFrame, lengths: DataFrame, binsize: int, samples: list | None = None, cases: DataFrame | None = None, refsize: int = 300, min_refs: int = 150, yfrac: float | None = None, components: int = 5, nipt: bool = False, alpha: float = 1e-4, zscore: float = 5.0, beta: float | None = None, save=None) -> dict[str, DataFrame]:
+    """Reference from all of ``bins``; predictions of ``cases``, or of ``samples`` of the cohort (default all)."""
     spark = bins.sparkSession
     save = save or save_in_checkpoints(spark)
     bins = save(bins.select("sample_id", "chrom", "bin", "n"), "input")
     ref = newref(bins, nipt=nipt, refsize=refsize, yfrac=yfrac, components=components, save=save)
-    own = bins if samples is None else bins.where(F.col("sample_id").isin(samples))
-    genders = ref["genders"]
+    if cases is not None:
+        own = save(cases.select("sample_id", "chrom", "bin", "n"), "cases")
+        genders = save(predict_gender(y_fraction(own), ref["meta"].first()["gender_cutoff"]), "case_genders")
+        own = save(gender_correct(own, genders, nipt=nipt).drop("gender"), "corrected_cases")
+    else:
+        own, genders = bins if samples is None else bins.where(F.col("sample_id").isin(samples)), ref["genders"]
+        own = gender_correct(own, genders, nipt=nipt).drop("gender")
+    if nipt:  # one gonosome branch, whatever the label says
+        genders = genders.withColumn("gender", F.lit("F"))
     every = grid(own, lengths.where("chrom <= 24"), binsize)
     return predict(own, ref, genders, every, binsize, min_refs=min_refs, alpha=alpha, zscore=zscore, beta=beta, refsize=refsize, save=save)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from binfold.functions.safe import chrom_label
 from binfold.sources.tables import META
@@ -42,7 +43,7 @@ def write_bed(bins: DataFrame, path: str, binsize: int, values: list[str], metad
     body.coalesce(1).sortWithinPartitions("_order").select("value").write.mode("overwrite").option("compression", "gzip").text(path)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def shortest(v: pd.Series) -> pd.Series:
     """Shortest decimal text that reads back as the same number; whole numbers without a fraction."""
     return v.map(lambda x: None if x is None or pd.isna(x) else repr(int(x)) if float(x).is_integer() and abs(x) < 1e15 else repr(float(x)))

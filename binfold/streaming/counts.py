@@ -9,16 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _watermarked(events: DataFrame, late: str) -> DataFrame:
+    """Event time as a timestamp with time zone (watermarks take no other), and a watermark on streams."""
+    src = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return src.withWatermark("ts", late) if src.isStreaming else src
+
+
 def windowed_counts(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "2 hours", key: str = "event_type") -> DataFrame:
     """Counts and sums per key and event-time window; works on streams (late rows past the watermark are dropped) and tables."""
-    src = events.withWatermark("ts", late) if events.isStreaming else events
+    src = _watermarked(events, late)
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
     return src.groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", "total")
 
 
 def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours", key: str = "user_id") -> DataFrame:
     """Sessions per key: rows closer than the gap belong together."""
-    src = events.withWatermark("ts", late) if events.isStreaming else events
+    src = _watermarked(events, late)
     return src.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
 
