@@ -74,10 +74,10 @@ def k34(spark, d):
 @query("k53_preprocess_qc", f"""{BASE}, {GC_CTE}, j AS (SELECT sample_id, chrom, bin, n, gc, CAST(round_even(gc * 1000, 0) AS INT) AS bucket FROM dense LEFT JOIN gct USING (chrom, bin)),
 k AS (SELECT sample_id, bucket, avg(n) AS bucket_mean, sum(n) AS s, count(*) AS c FROM j WHERE chrom <= 22 AND n > 0 AND gc > 0 GROUP BY 1, 2), w AS (SELECT sample_id, bucket, sum(s) OVER (PARTITION BY sample_id) / sum(c) OVER (PARTITION BY sample_id) / bucket_mean AS weight FROM k),
 x AS (SELECT sample_id, n, gc, n * coalesce(weight, 1) AS c FROM j LEFT JOIN w USING (sample_id, bucket) WHERE chrom <= 22 AND gc > 0 AND n > 0)
-SELECT sample_id, count(*) AS fit_bins, round(stddev_samp(n) / avg(n), 9) AS cv_pre, round(stddev_samp(c) / avg(c), 9) AS cv_post, round(avg(c / n), 9) AS scale_mean, round(stddev_samp(c / n), 9) AS scale_sd, round(corr(gc, n), 6) AS gc_cor_pre, round(corr(gc, c), 6) AS gc_cor_post FROM x GROUP BY 1""")
+SELECT sample_id, count(*) AS fit_bins, round(stddev_samp(n) / avg(n), 9) AS cv_pre, round(stddev_samp(c) / avg(c), 9) AS cv_post, round(avg(c / n), 9) AS scale_mean, round(stddev_samp(c / n), 9) AS scale_sd, round(corr(gc, n), 6) AS gc_cor_pre, abs(corr(gc, c)) < 0.001 AS gc_free FROM x GROUP BY 1""")
 def k53(spark, d):
     q = gc.preprocess_qc(gc.bin_weight_correct(data.dense(spark, d), data.gc_table(spark)))
-    return q.select("sample_id", "fit_bins", *[F.round(c, 6 if c.startswith("gc_") else 9).alias(c) for c in q.columns[2:]])
+    return q.select("sample_id", "fit_bins", *[F.round(c, 6 if c.startswith("gc_") else 9).alias(c) for c in q.columns[2:-1]], (F.abs("gc_cor_post") < 0.001).alias("gc_free"))
 
 
 @query("l06_gc_curve", f"""{BASE}, {GC_CTE} SELECT sample_id, CAST(round_even(gc * 1000, 0) AS INT) AS bucket, count(*) AS bins, CAST(median(n) AS DOUBLE) AS median_pre FROM dense JOIN gct USING (chrom, bin) WHERE gc > 0 AND n > 0 GROUP BY 1, 2""")
