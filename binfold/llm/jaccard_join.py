@@ -27,7 +27,7 @@ from binfold.llm.common import connected_components, delete_path, new_path, tabl
 
 SHINGLE = 5
 #: Hashes per bucket and documents per block: they set how finely work is cut, never what is found.
-BUCKET_SETS = 2_000_000
+BUCKET_SETS = 3_000_000
 BLOCK = 1024
 PIECE = 1 << 22
 BITMAP_WORDS = 8
@@ -116,27 +116,37 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, c1 long, c2 long")
 
 
-def shared_hashes(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
-    """``c1, n, hits, keys``: per class and bucket the hashes that another class holds too, rarest first.
+def _planes(a: np.ndarray) -> bytes:
+    """Byte planes of 32-bit numbers: the high ones are nearly all 0 and cost nothing once the shuffle compresses."""
+    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
-    A key is 6 bits of rarity (finer than doubling of the number of classes), 10 of the bucket and 48 of the hash. Six
-    bytes a hash are shuffled, in one row per bucket and batch.
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def strong_classes(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
+    """``c1, keys``: classes of which three quarters of the hashes are held by another class too, with those hashes.
+
+    A key is 6 bits of rarity (finer than doubling of the number of classes), 10 of the bucket and 48 of the hash, so
+    sorted keys begin with the rarest. Six bytes a hash are shuffled, in one row per bucket and batch; what a bucket
+    finds goes on in one row per bucket and part of the classes, so rows do not multiply with classes.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets, cls, at = [], [], {}
+            sets, cls, at = [], [], set()
             for t in b.column(0):
                 s = shingle_set(t.as_py())
                 if len(s):
                     c1 = int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True)
                     if c1 not in at:
-                        at[c1] = len(sets)
+                        at.add(c1)
                         sets.append(s)
                         cls.append(c1)
             for lo in range(0, len(sets), 4096):
                 part = sets[lo : lo + 4096]
-                size = np.array([len(s) for s in part], np.int32)
+                size = np.array([len(s) for s in part], np.int64)
                 h = np.concatenate(part)
                 doc = np.repeat(np.arange(len(part), dtype=np.int32), size)
                 bucket = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
@@ -151,44 +161,69 @@ def shared_hashes(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
                     low = h[own]
                     rows[0].append(int(bucket[cut[i]]))
                     rows[1].append(c1[who].tobytes())
-                    rows[2].append(size[who].tobytes())
-                    rows[3].append(times.astype(np.int32).tobytes())
+                    rows[2].append(_planes(size[who]))
+                    rows[3].append(_planes(times))
                     rows[4].append(low.astype(np.uint32).tobytes() + (low >> np.uint64(32)).astype(np.uint16).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], ["bucket", "cls", "size", "times", "low"])
 
     def meet(group: pa.Table) -> pa.Table:
         bucket = np.uint64(group.column("bucket")[0].as_py())
-        raw = {c: [x.as_py() for x in group.column(c)] for c in ("cls", "size", "times", "low")}
-        cls = np.concatenate([np.frombuffer(x, np.int64) for x in raw["cls"]])
-        size = np.concatenate([np.frombuffer(x, np.int32) for x in raw["size"]])
-        times = np.concatenate([np.frombuffer(x, np.int32) for x in raw["times"]])
-        low = []
-        for x in raw["low"]:
+        raw = lambda c: (x.as_py() for x in group.column(c))
+        cls = np.concatenate([np.frombuffer(x, np.int64) for x in raw("cls")])
+        size, times = (np.concatenate([_from_planes(x) for x in raw(c)]) for c in ("size", "times"))
+        key, at = np.empty(int(times.sum()), np.uint64), 0
+        for x in raw("low"):
             m = len(x) // 6
-            low.append(np.frombuffer(x, np.uint32, m).astype(np.uint64) | (np.frombuffer(x, np.uint16, m, 4 * m).astype(np.uint64) << np.uint64(32)))
-        key = np.concatenate(low)
+            key[at : at + m] = np.frombuffer(x, np.uint16, m, 4 * m)
+            key[at : at + m] <<= np.uint64(32)
+            key[at : at + m] |= np.frombuffer(x, np.uint32, m)
+            at += m
         first = np.zeros(len(cls), bool)
         first[np.unique(cls, return_index=True)[1]] = True
-        keep = np.repeat(first, times)
-        doc = np.repeat(np.arange(len(cls), dtype=np.int64), times)[keep]
-        key = key[keep]
+        doc = np.repeat(np.arange(len(cls), dtype=np.int32), times)
+        if not first.all():
+            keep = first[doc]
+            key, doc = key[keep], doc[keep]
         order = np.argsort(key)
         key, doc = key[order], doc[order]
+        del order
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         df = np.diff(np.concatenate((starts, [len(key)])))
-        df = np.repeat(df, df)
+        df = np.repeat(df.astype(np.int32), df)
         hot = df > 1
-        rarity = np.minimum(63, 4 * np.log2(df[hot] / 2)).astype(np.uint64)
-        key, doc = key[hot] | (rarity << np.uint64(58)) | ((bucket & np.uint64(1023)) << np.uint64(48)), doc[hot]
-        order = np.argsort(doc, kind="stable")
-        key, doc = key[order], doc[order]
-        who, hits = np.unique(doc, return_counts=True)
-        offsets = np.concatenate(([0], np.cumsum(hits * 8))).astype(np.int32)
-        blob = pa.Array.from_buffers(pa.binary(), len(who), [None, pa.py_buffer(offsets), pa.py_buffer(key.tobytes())])
-        return pa.table({"c1": pa.array(cls[who]), "n": pa.array(size[who].astype(np.int64)), "hits": pa.array(hits.astype(np.int64)), "keys": blob})
+        key, doc, df = key[hot], doc[hot], df[hot]
+        key |= (np.minimum(63, 4 * np.log2(df / 2)).astype(np.uint64) << np.uint64(58)) | ((bucket & np.uint64(1023)) << np.uint64(48))
+        part = (cls[doc].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((doc, part))
+        key, doc, part = key[order], doc[order], part[order]
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(key)])) if len(key) else np.zeros(1, np.int64)
+        rows: list[list] = [[], [], [], [], []]
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            who, hits = np.unique(doc[lo:hi], return_counts=True)
+            for r, v in zip(rows, (int(part[lo]), cls[who].tobytes(), _planes(size[who]), _planes(hits), key[lo:hi].tobytes())):
+                r.append(v)
+        return pa.table({"part": pa.array(rows[0], pa.int32()), **{c: pa.array(r, pa.binary()) for c, r in zip(("cls", "size", "hits", "keys"), rows[1:])}})
+
+    def gather(group: pa.Table) -> pa.Table:
+        raw = lambda c: (x.as_py() for x in group.column(c))
+        cls = np.concatenate([np.frombuffer(x, np.int64) for x in raw("cls")])
+        size, hits = (np.concatenate([_from_planes(x) for x in raw(c)]) for c in ("size", "hits"))
+        names, which = np.unique(cls, return_inverse=True)
+        n, total = np.zeros(len(names), np.int64), np.bincount(which, hits, len(names)).astype(np.int64)
+        n[which] = size
+        strong = 100 * total >= 75 * n
+        key, owner = np.concatenate([np.frombuffer(x, np.uint64) for x in raw("keys")]), np.repeat(which, hits)
+        keep = strong[owner]
+        key, owner = key[keep], owner[keep]
+        order = np.lexsort((key, owner))
+        count = total[strong]
+        offsets = np.concatenate(([0], np.cumsum(count * 8))).astype(np.int32)
+        blob = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(offsets), pa.py_buffer(key[order].tobytes())])
+        return pa.table({"c1": pa.array(names[strong]), "keys": blob})
 
     dealt = docs.select(F.col(text_col).alias("text")).mapInArrow(deal, "bucket int, cls binary, size binary, times binary, low binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "c1 long, n long, hits long, keys binary")
+    met = dealt.groupBy("bucket").applyInArrow(meet, "part int, cls binary, size binary, hits binary, keys binary")
+    return met.groupBy("part").applyInArrow(gather, "c1 long, keys binary")
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,12 +238,6 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(reps))], ["key", "rep"])
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        blobs = [np.sort(np.frombuffer(b"".join(x.as_py()), np.uint64)).tobytes() for x in b.column("parts")]
-        yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), b.column("size"), pa.array(blobs, pa.binary())], ["rep", "n", "size", "keys"])
-
-
 def compare_tile(rep: np.ndarray, n: np.ndarray, weight: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (weighted by class size) and tile root of every member; pairs of different ``side`` only, unless all are 0."""
     order = np.lexsort((rep, n))
@@ -273,28 +302,32 @@ def _tile(group: pa.Table) -> pa.Table:
     return pa.table({"rep": pa.array(col["rep"][has]), "links": pa.array(links[has]), "root": pa.array(root[has])})
 
 
+def _with(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
+    """Join that spreads a hot key: the small side (a row per key) is repeated for every salt."""
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.hash("rep"), F.lit(salts))).join(salted, [*on, "_salt"], how).drop("_salt")
+
+
 def tiles(members: DataFrame) -> DataFrame:
-    """Deal ``comp, rep, n, size, keys`` to tiles: ``comp, tile, side`` added, a row per tile it belongs to.
+    """Deal ``comp, rep, n`` to tiles: ``comp, tile, side, rep``, a row per tile that a class belongs to.
 
     Bands have ratio 4/3, so a link joins equal or neighbouring bands. A band has one block per ``BLOCK`` members;
     tiles are pairs of blocks. A group of at most ``BLOCK`` members is one tile, its sizes are compared inside.
     """
-    sized = members.groupBy("comp").agg(F.count("*").alias("members"))
-    rows = members.join(sized, "comp")
-    small = rows.where(F.col("members") <= BLOCK).select("comp", F.lit("all").alias("tile"), F.lit(0).alias("side"), "rep", "n", "size", "keys")
+    rows = table(_with(members, members.groupBy("comp").agg(F.count("*").alias("members")), ["comp"]), "members")
+    small = rows.where(F.col("members") <= BLOCK).select("comp", F.lit("all").alias("tile"), F.lit(0).alias("side"), "rep")
     large = rows.where(F.col("members") > BLOCK).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3)) + 1e-9).cast("int"))
     counts = table(large.groupBy("comp", "band").agg(F.count("*").alias("c")).select("comp", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "bands")
     upper = counts.select("comp", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     lower = counts.select("comp", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    dealt = large.join(counts, ["comp", "band"]).join(upper, ["comp", "band"], "left").join(lower, ["comp", "band"], "left")
+    dealt = _with(large, counts.join(upper, ["comp", "band"], "left").join(lower, ["comp", "band"], "left"), ["comp", "band"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
     seq = lambda to: F.when(F.coalesce(to, F.lit(0)) > 0, F.sequence(F.lit(0), to - 1)).otherwise(F.array().cast("array<int>"))
     name = lambda *x: F.concat_ws(".", *[c.cast("string") for c in x])
     own = F.transform(seq(F.col("blocks")), lambda j: F.struct(name(F.col("band"), F.least("block", j), F.col("band"), F.greatest("block", j)).alias("tile"), F.when(F.col("block") > j, 1).otherwise(0).alias("side")))
     up = F.transform(seq(F.col("above")), lambda j: F.struct(name(F.col("band"), F.col("block"), F.col("band") + 1, j).alias("tile"), F.lit(0).alias("side")))
     down = F.transform(seq(F.col("below")), lambda j: F.struct(name(F.col("band") - 1, j, F.col("band"), F.col("block")).alias("tile"), F.lit(1).alias("side")))
-    large = dealt.select("comp", F.explode(F.concat(own, up, down)).alias("t"), "rep", "n", "size", "keys").select("comp", "t.tile", "t.side", "rep", "n", "size", "keys")
-    return small.unionByName(large)
+    return small.unionByName(dealt.select("comp", F.explode(F.concat(own, up, down)).alias("t"), "rep").select("comp", "t.tile", "t.side", "rep"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,19 +344,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = sets.where("n > 0")
     total = full.agg(F.sum("n")).first()[0] or 0
     classes = table(full.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.max("n").alias("n")), "classes")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_SETS))
-    shared = shared_hashes(docs, text_col, buckets)
-    strong = shared.groupBy("c1").agg(F.max("n").alias("n"), F.sum("hits").alias("hits"), F.collect_list("keys").alias("parts")).where("100 * hits >= 75 * n").drop("n", "hits")
+    buckets = max(8, -(-total // BUCKET_SETS))
     known = classes.where("rep is not null").select("c1", F.col("rep").cast("long").alias("rep"), "n", "size")
-    strong = strong.join(known, "c1").select("rep", "n", "size", "parts").mapInArrow(_merged, "rep long, n long, size long, keys binary")
     path = new_path(spark, "strong")
-    strong = table(strong, "strong", path)
+    strong = table(strong_classes(docs, text_col, buckets).join(known, "c1").select("rep", "n", "size", "keys"), "strong", path)
     meets = strong.select("rep", "n", "keys").mapInArrow(_prefixes, "key long, rep long")
     low = meets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
     edges = meets.join(low, "key").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v")).distinct()
     groups = connected_components(edges)
-    members = strong.join(groups.withColumnsRenamed({"node": "rep"}), "rep")
-    found = table(tiles(members).groupBy("comp", "tile").applyInArrow(_tile, "rep long, links long, root long"), "links")
+    places = tiles(strong.select("rep", "n").join(groups.withColumnsRenamed({"node": "rep"}), "rep").select("comp", "rep", "n"))
+    found = table(places.join(strong, "rep").groupBy("comp", "tile").applyInArrow(_tile, "rep long, links long, root long"), "links")
     comps = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     answer = classes.join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
