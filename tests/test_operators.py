@@ -241,3 +241,18 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     batch = stream.windowed_counts(events, "1 day")
     assert spark.table("windows_out").select("start", "event_type", "n").exceptAll(batch.select("start", "event_type", "n")).count() == 0
     assert spark.table("windows_out").count() == batch.count()
+
+
+def test_command_line(spark, tmp_path):
+    from binfold.__main__ import main
+
+    names = [*map(str, range(1, 23)), "X", "Y"]
+    lines = [f"@SQ\tSN:chr{n}\tLN:100000" for n in names] + [f"r1\t0\tchr1\t100\t60\t50M\t*\t0\t0\t{'A' * 50}\t*"]
+    (tmp_path / "toy.sam").write_text("\n".join(lines) + "\n")
+    main(["convert", f"{tmp_path}/toy.sam", f"{tmp_path}/bins", "--binsize", "50000"])
+    assert spark.read.parquet(f"{tmp_path}/bins").count() == 48
+    (tmp_path / "toy.fa").write_text(">21\nAACCNNNNGG\n")
+    main(["gc", f"{tmp_path}/toy.fa", f"{tmp_path}/gc", "--binsize", "10"])
+    assert abs(tables.read_gc_table(spark, f"{tmp_path}/gc").first()["gc"] - 4 / 6) < 1e-9
+    with pytest.raises(SystemExit):
+        main(["unknown"])
