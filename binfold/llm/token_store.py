@@ -29,6 +29,14 @@ KEY = 32
 WINDOW, MIN_CHUNK, MAX_CHUNK, CUT_BITS = 8, 128, 8192, 9
 FANOUT = 1024
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_PRESS: list = []
+
+
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One pair per process: making the contexts costs more than a chunk."""
+    if not _PRESS:
+        _PRESS.extend((zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()))
+    return _PRESS[0], _PRESS[1]
 
 
 def chunk_ends(ids: np.ndarray) -> list[int]:
@@ -38,11 +46,12 @@ def chunk_ends(ids: np.ndarray) -> list[int]:
         return [n] if n else []
     g = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     g ^= g >> np.uint64(32)
-    h = np.zeros(n, np.uint64)
-    power = np.uint64(1)
-    for j in range(WINDOW):
-        h[j:] += g[: n - j] * power
-        power = np.uint64((int(power) * int(_STEP)) & (2**64 - 1))
+    span, power = 1, int(_STEP)
+    h = g
+    while span < WINDOW:  # sums over windows of doubling length: three passes for eight ids
+        wider = h.copy()
+        wider[span:] += h[:-span] * np.uint64(power)
+        h, span, power = wider, 2 * span, power * power & (2**64 - 1)
     out, start = [], 0
     for c in (np.flatnonzero((h >> np.uint64(64 - CUT_BITS)) == 0) + 1).tolist() + [n]:
         while c - start > MAX_CHUNK:
@@ -59,12 +68,12 @@ def pack_ids(ids: np.ndarray) -> bytes:
     """One byte of width (2 or 4), then the byte planes, compressed."""
     width = 2 if not len(ids) or ids.max() < 65536 else 4
     planes = ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return bytes([width]) + _zstd()[0].compress(planes.tobytes())
 
 
 def unpack_ids(body: bytes, n: int) -> np.ndarray:
     width = body[0]
-    raw = zstandard.ZstdDecompressor().decompress(body[1:], max_output_size=n * width)
+    raw = _zstd()[1].decompress(body[1:], max_output_size=n * width)
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(f"<u{width}").reshape(-1).astype("<u4")
 
 
@@ -134,7 +143,7 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/log").where("kind = 'chunk'").select("key", "n", "body")
+    return spark.read.schema("kind string, key binary, n long, body binary").parquet(f"{path}/log").where("kind = 'chunk'").select("key", "n", "body")
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
