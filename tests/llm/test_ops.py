@@ -301,7 +301,7 @@ def test_counts_query(odd_docs):
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(8)
     vecs = [(i, rng.normal(size=6).round(1).astype(float).tolist()) for i in range(700)]
-    vecs += [(900, None), (901, [1.0, None, 0, 0, 0, 0]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (904, [1.0, 2.0]), (950, [0.5, 1.5]), (None, [1.0] * 6), (701, vecs[0][1]), (702, vecs[0][1])]
+    vecs += [(900, None), (901, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (904, [1.0, 2.0]), (950, [0.5, 1.5]), (None, [1.0] * 6), (701, vecs[0][1]), (702, vecs[0][1])]
     df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
     got = ball_tree.top_k(df, df.where("vec_id % 50 = 0"), 5, shard_rows=150, query_rows=8).collect()
     ints = {i: np.floor(256 * np.array(v)).astype(int) for i, v in vecs if i is not None and v is not None and None not in v and np.isfinite(v).all()}
