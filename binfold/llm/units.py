@@ -8,6 +8,7 @@ emptied when full; it decides nothing).
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -18,7 +19,7 @@ from tokenizers import Tokenizer
 DEFAULT = "byte_bpe_50k.json"
 _CUT = re.compile(r"(?<=\S)(?= )")
 _PATTERN = regex.compile(PATTERN)
-MAX_CACHED = 500_000
+MAX_CACHED = 700_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -72,28 +73,25 @@ class UnitEncoder:
 
     def _reset(self) -> None:
         self.after_space, self.other = _Numbers(), _Numbers()  # keys without their leading space; whole units
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}  # ids of pre-tokens, four bytes each
         self.start, self.size, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
         self.blank_end = np.zeros(1 << 16, bool)
         self.where = [np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)]
         self.known = 0
 
-    def _ids(self, unit: str) -> list[int]:
+    def _ids(self, unit: str) -> bytes:
         if unit[1:].isalpha() and unit[0] == " ":  # letters after a space are one pre-token
             return self._piece(unit)
         for a in self.added:
             if a in unit:
-                return self.tokenizer.encode(unit, add_special_tokens=False).ids
-        out: list[int] = []
-        for piece in _PATTERN.findall(unit):
-            out += self._piece(piece)
-        return out
+                return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+        return b"".join([self._piece(piece) for piece in _PATTERN.findall(unit)])
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
             letters = "\u0120" + piece[1:] if piece.isascii() and piece[0] == " " and piece[1:].isalpha() else piece.encode("utf-8", "replace").decode("latin-1").translate(_BYTES)
-            self.pieces[piece] = ids = [t.id for t in self.merges(letters)]
+            self.pieces[piece] = ids = array("I", [t.id for t in self.merges(letters)]).tobytes()
         return ids
 
     def _learn(self) -> None:
@@ -104,7 +102,7 @@ class UnitEncoder:
             self.where[which] = _room(self.where[which], len(numbers))
             self.where[which][first : len(numbers)] = np.arange(self.known, self.known + count)
             ids = [self._ids(" " + u) for u in numbers.new] if which == 0 else [self._ids(u) for u in numbers.new]
-            size = np.fromiter(map(len, ids), np.int64, count)
+            size = np.fromiter(map(len, ids), np.int64, count) // 4
             self.start, self.size, self.blank_end = (_room(x, self.known + count) for x in (self.start, self.size, self.blank_end))
             new = slice(self.known, self.known + count)
             self.start[new] = self.used + np.cumsum(size) - size
@@ -112,7 +110,7 @@ class UnitEncoder:
             self.blank_end[new] = [not u or u[-1].isspace() for u in numbers.new]
             total = int(size.sum())
             self.flat = _room(self.flat, self.used + total)
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+            self.flat[self.used : self.used + total] = np.frombuffer(b"".join(ids), np.uint32)
             self.used += total
             self.known += count
             numbers.new = []
