@@ -302,10 +302,13 @@ def _tile(group: pa.Table) -> pa.Table:
     return pa.table({"rep": pa.array(col["rep"][has]), "links": pa.array(links[has]), "root": pa.array(root[has])})
 
 
-def _with(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
-    """Join that spreads a hot key: the small side (a row per key) is repeated for every salt."""
+def _with(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 8) -> DataFrame:
+    """Join that spreads a hot key: the small side (a row per key) is repeated for every salt.
+
+    It has as many rows as there are groups, so it is never broadcast: the planner sees its size before the salts.
+    """
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", F.pmod(F.hash("rep"), F.lit(salts))).join(salted, [*on, "_salt"], how).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.hash("rep"), F.lit(salts))).hint("merge").join(salted, [*on, "_salt"], how).drop("_salt")
 
 
 def tiles(members: DataFrame) -> DataFrame:
