@@ -60,7 +60,7 @@ def leaf_budgets(leaves: DataFrame, total: Column, max_epochs: int, weights: dic
     return level
 
 
-def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 2, weights: dict[str, dict[str, int]] | None = None, seed: str = "mix", domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
+def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 2, weights: dict[str, dict[str, int]] | None = None, seed: str = "mix", domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """``doc_id, domain, lang, source, n_tokens, leaf_budget, copies``: how often each document is taken.
 
     The budget is ``budget_share`` of all tokens (words; a text without words counts 0 and joins any full epoch).
@@ -82,7 +82,8 @@ def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 2, weights
     budgets = budgets.withColumn("epochs", full).withColumn("rest", F.col("leaf_budget") - F.col("epochs") * F.col("tokens"))
     salted = budgets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    ranked = rows.withColumn("salt", F.pmod(F.hash("id"), F.lit(salts))).join(salted, [*LEVELS, "salt"]).drop("salt").withColumn("key", key).withColumn("range", F.substring("key", 1, 3))
+    # The planner sees the leaves' size before the salts, so a broadcast is ruled out.
+    ranked = rows.withColumn("salt", F.pmod(F.hash("id"), F.lit(salts))).hint("merge").join(salted, [*LEVELS, "salt"]).drop("salt").withColumn("key", key).withColumn("range", F.substring("key", 1, 3))
     ranked = table(ranked, "ranked")
     ranges = ranked.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("t"))
     before = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
