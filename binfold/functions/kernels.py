@@ -155,8 +155,9 @@ def nearest_rows(target: np.ndarray, ref: np.ndarray, ref_idx: np.ndarray, k: in
     if not len(ref):
         return out_i, out_d
     norm = (ref**2).sum(axis=1)
-    for lo in range(0, m, 256):
-        t = target[lo : lo + 256]
+    step = max(1, min(256, 4_000_000 // len(ref)))  # bounds the memory
+    for lo in range(0, m, step):
+        t = target[lo : lo + step]
         tn = (t**2).sum(axis=1)
         rough = tn[:, None] + norm[None, :] - 2 * t @ ref.T
         slack = 1e-9 * (tn[:, None] + norm.max())
