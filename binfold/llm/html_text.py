@@ -3,7 +3,9 @@
 The parser's events become lines, one per block. A line has its text, the number of tags in it, and what surrounds
 it. The ratios of characters to tags are smoothed by a Gaussian over neighbouring lines and parted into two clusters
 at the threshold that separates them best; the upper cluster is content. Structure narrows this: lines inside
-boilerplate elements never count, and where a page marks its article, exactly the article's lines do.
+boilerplate elements never count, and where a page marks an article that covers the upper cluster, exactly the
+article's lines do. A class or id that hints at boilerplate doesn't count on a container of most of the page's text,
+if that has a title, an article or (unless it is named as comments) several blocks.
 """
 
 from __future__ import annotations
@@ -28,16 +30,27 @@ HINT = re.compile(
     r"|sidebars?|side-bar|menus?|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommend(?:ed|ations)?|subscribe|subscription|newsletter|signup|login|popups?|modal|overlay|footer|header|masthead|widgets?|toolbar|pagination|pager|search|skip|disclaimer|copyright|paywall)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+#: Names of what a container has or lacks, not of what it is: no-sidebar, has-header, comments-open.
+STATE = re.compile(r"(?:no|has|with|without)[_-]|.*[_-](?:open|closed|enabled|disabled)$", re.IGNORECASE)
+TALK = re.compile(r"comment|repl(?:y|ies)|responses|disqus", re.IGNORECASE)
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SIGMA = 1.0
+COVERS = 0.8  # share of the upper cluster's characters from which an article is taken to be the whole region
+
+
+def _hints(attrs: dict[str, str | None]) -> bool:
+    return any(HINT.search(name) and not STATE.match(name) for k in ("class", "id") for name in (attrs.get(k) or "").split())
 
 
 class _Lines(HTMLParser):
     """Parser events to lines ``[text, tags, link characters, boilerplate, in article]``."""
 
-    def __init__(self) -> None:
+    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, starts boilerplate, starts an article
+        self.spared = spared  # numbers of start tags whose hints don't count
+        self.number = self.plain = self.hard = 0
+        self.hinted: dict[int, list] = {}  # by number: unlinked characters, lines, whether named as talk, whether it has a title or an article
+        self.stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, starts boilerplate, an article, boilerplate by its element, number if hinted
         self.lines: list[tuple[str, int, int, bool, bool]] = []
         self.text: list[str] = []
         self.tags = self.links = self.off = self.article = self.anchors = 0
@@ -46,12 +59,19 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
+            if not self.hard:
+                size = max(0, len(text) - self.links)
+                self.plain += size
+                for k in {x[4] for x in self.stack if x[4]}:
+                    self.hinted[k][0] += size
+                    self.hinted[k][1] += 1
             self.lines.append((text, self.tags, self.links, self.off > 0, self.article > 0))
         self.text, self.tags, self.links = [], 0, 0
 
     def _pop(self, upto: int) -> None:
         while len(self.stack) > upto:
-            tag, off, article = self.stack.pop()
+            tag, off, article, hard, _ = self.stack.pop()
+            self.hard -= hard
             self.off -= off
             self.article -= article
             self.anchors -= tag == "a"
@@ -73,6 +93,7 @@ class _Lines(HTMLParser):
                 if self.stack[i][0] in {"ul", "ol", "dl", "table", "tbody", "thead", "select"}:
                     break
         self.tags += 1
+        self.number += 1
         if tag in VOID:
             self.text.append(" " if tag in {"br", "hr", "wbr"} else "")
             return
@@ -80,13 +101,21 @@ class _Lines(HTMLParser):
             self.text.append(" ")
         a = dict(attrs)
         off = tag in BOILERPLATE or (a.get("role") or "").lower() in ROLES or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true"
-        if tag not in {"body", "html", "main"} and not off:
-            off = bool(HINT.search(a.get("class") or "")) or bool(HINT.search(a.get("id") or ""))
+        hard, hinted = off, tag not in {"body", "html", "main"} and not off and _hints(a)
+        if hinted:
+            self.hinted[self.number] = [0, 0, bool(TALK.search(f"{a.get('class')} {a.get('id')}")), False]
+            off = self.number not in self.spared
         if self.article and tag == "header" and not HINT.search(a.get("class") or ""):
-            off = False  # an article's own header holds its title; the rest of it is dropped below
+            off = hard = False  # an article's own header holds its title; the rest of it is dropped below
             self.header_in_article += 1
-        article = (tag in {"article", "main"} or (a.get("role") or "").lower() in {"main", "article"} or (a.get("itemprop") or "").lower() == "articlebody") and not off
-        self.stack.append((tag, off, article))
+        marks = tag in {"article", "main"} or (a.get("role") or "").lower() in {"main", "article"} or (a.get("itemprop") or "").lower() == "articlebody"
+        article = marks and not off
+        number = self.number if hinted else 0
+        if marks or tag == "h1":
+            for k in {x[4] for x in self.stack if x[4]} | ({number} - {0}):
+                self.hinted[k][3] = True
+        self.stack.append((tag, off, article, hard, number))
+        self.hard += hard
         self.off += off
         self.article += article
         self.anchors += tag == "a"
@@ -100,7 +129,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                if tag in BLOCK or any(t in BLOCK for t, _, _ in self.stack[i:]):
+                if tag in BLOCK or any(x[0] in BLOCK for x in self.stack[i:]):
                     self.flush()
                 self._pop(i)
                 return
@@ -110,9 +139,9 @@ class _Lines(HTMLParser):
             self.text.append(" ")
 
     def handle_data(self, data: str) -> None:
-        if any(t in HIDDEN for t, _, _ in self.stack[-2:]):
+        if any(x[0] in HIDDEN for x in self.stack[-2:]):
             return
-        if self.header_in_article and any(t == "header" for t, _, _ in self.stack) and self.article and not any(t in HEADINGS for t, _, _ in self.stack):
+        if self.header_in_article and any(x[0] == "header" for x in self.stack) and self.article and not any(x[0] in HEADINGS for x in self.stack):
             return
         self.text.append(data)
         if self.anchors:
@@ -137,24 +166,36 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach:-reach] / np.convolve(np.ones(len(ratios)), kernel)[reach:-reach]
 
 
+def _parsed(html: str) -> _Lines:
+    """The page's lines; read again where containers of most of its text were named like boilerplate."""
+    spared: frozenset[int] = frozenset()
+    while True:
+        parser = _Lines(spared)
+        parser.feed(html)
+        parser.close()
+        parser.flush()
+        most = {k for k, (size, n, talk, titled) in parser.hinted.items() if 2 * size > parser.plain and (titled or n > 2 and not talk)}
+        if most <= spared:
+            return parser
+        spared |= most
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the main text, in page order, joined by an empty line."""
     if not html:
         return ""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    lines = parser.lines
+    lines = _parsed(html).lines
     usable = [i for i, line in enumerate(lines) if not line[3]]
     if not usable:
         return ""
-    if any(lines[i][4] for i in usable):
-        return "\n\n".join(lines[i][0] for i in usable if lines[i][4])
     ratio = np.log1p(np.array([0.0 if off else (len(t) - link) / (1 + tags) for t, tags, link, off, _ in lines]))
     smooth = smoothed(ratio)
     cut = threshold(smooth[usable])
-    return "\n\n".join(lines[i][0] for i in usable if smooth[i] >= cut and 2 * lines[i][2] <= len(lines[i][0]))
+    chosen = [i for i in usable if smooth[i] >= cut and 2 * lines[i][2] <= len(lines[i][0])]
+    article = [i for i in usable if lines[i][4]]
+    if sum(len(lines[i][0]) for i in chosen if lines[i][4]) >= COVERS * sum(len(lines[i][0]) for i in chosen) and article:
+        chosen = article
+    return "\n\n".join(lines[i][0] for i in chosen)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -403,6 +403,25 @@ def test_html_ratio_without_article():
     assert len(got) == 4 and all(g.startswith("real sentence") for g in got)
 
 
+def test_html_teaser_is_not_the_page():
+    body = [f"{'real sentence with many words ' * 8}{i}" for i in range(6)]
+    teaser = "<article><h3>Other</h3><p>Read this one too</p></article>"
+    got = html_text.main_text("<div><a href=a>Home</a> <a href=b>News</a></div>" + "".join(f"<div>{b}</div>" for b in body) + teaser).split("\n\n")
+    assert [g for g in got if g.startswith("real")] == body and "Other" not in got
+    # an article that holds the selected region still gives exactly its lines
+    assert html_text.main_text("<div>x</div><article><h1>T</h1>" + "".join(f"<p>{b}</p>" for b in body) + "</article>").split("\n\n") == ["T", *body]
+
+
+def test_html_hints_spare_the_body():
+    body = "".join(f"<p>{'real sentence with many words ' * 8}{i}</p>" for i in range(6))
+    aside = '<div class="comments"><p>Great post by me and you</p></div>'
+    for name in ("no-sidebar", "has-header", "comments-open", "layout notice"):
+        got = html_text.main_text(f'<div class="{name}"><h1>T</h1>{body}{aside}</div><div class="sidebar"><p>{"other words " * 9}</p></div>')
+        assert got.count("real sentence") >= 4 * 8 and "other" not in got and "Great" not in got
+        assert html_text.main_text(f'<article class="{name}"><h1>T</h1>{body}{aside}</article>').startswith("T\n\nreal")
+    assert "long" not in html_text.main_text(f'<article><p>{"short text " * 9}</p></article><div class="comments">{"<p>" + "long talk " * 50 + "</p>"}</div>')
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, "v", ""), (None, "w", "<p>x" + "y" * 50000)], "page_id long, url string, html string").withColumn("text", F.lit(0))
     got = html_text.extract(df).collect()
