@@ -1,8 +1,8 @@
 """Language ID by interpolated Kneser-Ney character models kept in sorted hash arrays.
 
 Texts are lower-cased, every run of non-letters becomes one space, and four-character windows are packed into 64-bit
-keys. All training texts are counted in the cluster; only the grouped key counts come to the driver, at most
-``max_ngrams`` (rarer keys of a language are cut off at a count threshold, the usual LM pruning). The lower orders
+keys. All training texts are counted in the cluster; only the grouped key counts come to the driver, every one of
+them: the model grows with the distinct four-grams of the input, not with its rows. The lower orders
 follow from the distinct four-grams by continuation counts. The model is one sorted key array per order with one
 row of log-probabilities per key and one column per language, so a position costs one binary search.
 """
@@ -210,11 +210,11 @@ def count_windows(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_ngrams: int = 2_000_000, calibration_rows: int = 20_000, margin: float = 2.0) -> Model:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibration_rows: int = 20_000, margin: float = 2.0) -> Model:
     """Fit on all labelled rows outside fold 0; fold 4 is kept from the counts and calibrates.
 
-    Bounds (all of them of the classifier, none of the rows it predicts): ``max_ngrams`` model entries over all
-    languages, ``calibration_rows`` calibration texts chosen by hash. A text is rejected when its cross-entropy
+    Every counted four-gram enters the model. Bound (of the classifier, not of the rows it predicts):
+    ``calibration_rows`` calibration texts chosen by hash. A text is rejected when its cross-entropy
     lies above the mean of its language by more than ``margin`` times the worst of the calibration texts, in units
     of a deviation that is fitted against length. So texts like those seen are kept.
     """
@@ -224,18 +224,12 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         langs = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
         if not langs:
             raise ValueError("no labelled text with letters outside fold 0")
-        by_count = counts.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).limit(100_000).collect()
-        cut, total = 1, 0
-        for r in by_count:
-            total += r["rows"]
-            if total > max_ngrams:
-                cut = r["n"] + 1
-                break
-        pdf = counts.where(F.col("n") >= cut).toPandas()
+        code = {name: i for i, name in enumerate(langs)}
+        names = counts.sparkSession.createDataFrame(list(code.items()), "lang string, code int")
+        pdf = counts.join(F.broadcast(names), "lang").select("code", "key", "n").toPandas()
     finally:
         counts.unpersist()
-    code = {name: i for i, name in enumerate(langs)}
-    model = fit(langs, pdf["lang"].map(code).to_numpy(), pdf["key"].to_numpy().view(np.uint64), pdf["n"].to_numpy())
+    model = fit(langs, pdf["code"].to_numpy(), pdf["key"].to_numpy().view(np.uint64), pdf["n"].to_numpy())
     cal = rows.where("fold = 4")
     n_cal = cal.count()
     part = min(1.0, calibration_rows / max(n_cal, 1))

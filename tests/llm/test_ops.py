@@ -449,6 +449,20 @@ def test_language_id_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
 
 
+def test_language_id_keeps_every_ngram(spark):
+    """A language of millions of four-grams, each seen twice, takes nothing from small ones, whose grams are seen once."""
+    rng = np.random.default_rng(1)
+    ids = iter(i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3))
+    noise = ["".join(map(chr, rng.integers(0x4E00, 0x9F00, 275_000))) for _ in range(8)]
+    small = {"aa": "quick brown fox jumps over lazy dogs", "bb": "welche schöne Aussicht zum Garten", "zz": noise[0]}
+    rows = [(next(ids), t, "zz") for t in noise * 2] + [(next(ids), small[k], k) for k in ("aa", "bb")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    grams = np.unique(np.concatenate([language_id.windows(language_id.symbols(t)) for t in (*noise, *small.values())]))
+    assert len(grams) > 2_000_000 and np.array_equal(model.keys[-1], grams)
+    h, _ = model.cross_entropies(list(small.values()))
+    assert [model.langs[i] for i in h.argmin(axis=1)] == list(small)
+
+
 def test_language_id_rejects_other_scripts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(docs)
