@@ -248,6 +248,36 @@ def _coarse(x: np.ndarray, w: np.ndarray, limit: int) -> tuple[np.ndarray, np.nd
     return np.add.reduceat(w * x, cut) / cw, cw, step
 
 
+def _search(x: np.ndarray, w: np.ndarray, limit: int, min_width: int, width: int = 32) -> tuple[float, int, int, int, int]:
+    """Largest statistic, its arc, the step of the arc's ends, and the number of arcs searched.
+
+    All arcs of the block means; where a block is more than a bin, also all arcs of up to ``width`` blocks of 1, 2, 4
+    ... bins, so that an arc of any length is met by blocks that are small against it.
+    """
+    n = len(x)
+    xs, ws, step = _coarse(x, w, limit)
+    stat, i, j = _arc(xs, ws)
+    best, arcs = (stat, i * step, min(j * step, n), step), len(xs) ** 2
+    if step == 1:
+        return *best, arcs
+    cw = np.concatenate(([0], np.cumsum(w)))
+    cx = np.concatenate(([0], np.cumsum(w * (x - np.average(x, weights=w)))))
+    total, size = cw[-1], 1
+    while size < step:
+        at = np.append(np.arange(0, n, size), n)
+        dw, dx = cw[at], cx[at]
+        for k in range(min_width if size == 1 else 1, min(width, len(at) - 2) + 1):
+            own, s = dw[k:] - dw[:-k], dx[k:] - dx[:-k]
+            part = own * (total - own)
+            stat = np.divide(s * s, part, out=np.zeros(len(s)), where=part > 0)
+            b = int(np.argmax(stat))
+            arcs += len(s)
+            if stat[b] * total > best[0]:
+                best = (float(stat[b] * total), int(at[b]), int(at[b + k]), size)
+        size *= 2
+    return *best, arcs
+
+
 def _sharpen(x: np.ndarray, w: np.ndarray, at: int, step: int) -> int:
     """Best single cut within one coarse step of ``at``."""
     lo, hi = max(0, at - 2 * step), min(len(x), at + 2 * step)
@@ -265,7 +295,7 @@ def cbs(x: np.ndarray, w: np.ndarray | None = None, alpha: float = 1e-4, permuta
 
     A segment is split at its best arc when fewer than alpha of seeded permutations reach the arc's statistic.
     Permutations stop as soon as the answer is fixed. Longer stretches than ``limit`` are searched on block means
-    first and their cuts sharpened on the full series.
+    and, for short arcs, on the full series and smaller blocks; cuts are sharpened on the full series.
     """
     w = np.ones(len(x)) if w is None else np.asarray(w, float)
     x = np.asarray(x, float)
@@ -276,26 +306,26 @@ def cbs(x: np.ndarray, w: np.ndarray | None = None, alpha: float = 1e-4, permuta
         a, b = todo.pop()
         if b - a < 2 * min_width:
             continue
-        xs, ws, step = _coarse(x[a:b], w[a:b], limit)
+        xs, ws = x[a:b], w[a:b]
         if len(xs) < 3 or np.ptp(xs) == 0:
             continue
-        stat, i, j = _arc(xs, ws)
+        stat, i, j, step, arcs = _search(xs, ws, limit, min_width)
         var = float(np.average((xs - np.average(xs, weights=ws)) ** 2, weights=ws)) * ws.sum()
         left = var - stat
         strong = stat / max(left, 1e-300) * (len(xs) - 2)
         # Far beyond what chance allows by the Bonferroni bound over all arcs: no permutation is needed.
-        beyond = 2 * (1 - _NORMAL.cdf(min(np.sqrt(strong), 37.0))) * len(xs) ** 2 < alpha / 10 and len(xs) > 20
+        beyond = 2 * (1 - _NORMAL.cdf(min(np.sqrt(strong), 37.0))) * arcs < alpha / 10 and len(xs) > 20
         if not beyond:
             reached, most = 0, int(alpha * permutations)
             root = np.sqrt(ws)
             e = (xs - np.average(xs, weights=ws)) * root
             for _ in range(permutations):
-                reached += _arc(rng.permutation(e) / root, ws)[0] >= stat
+                reached += _search(rng.permutation(e) / root, ws, limit, min_width)[0] >= stat
                 if reached > most:
                     break
             if reached > most:
                 continue
-        inner = [p for p in ((i * step), min(j * step, b - a)) if 0 < p < b - a]
+        inner = [p for p in (i, j) if 0 < p < b - a]
         if step > 1:
             inner = [_sharpen(x[a:b], w[a:b], p, step) for p in inner]
         inner = sorted({p for p in inner if min_width <= p <= b - a - min_width})

@@ -94,6 +94,19 @@ def test_cbs_finds_a_step():
     assert any(abs(s - 1000) <= 3 for s, _ in K.cbs(long, alpha=0.001))
 
 
+@pytest.mark.parametrize("n, at, width", [(5000, 2503, 5), (5000, 2503, 40), (50000, 20011, 20), (50000, 20011, 150)])
+def test_cbs_finds_short_arcs_of_long_stretches(n, at, width):
+    x = np.random.default_rng(n + width).normal(0, 0.15, n)
+    x[at : at + width] += np.log2(1.5)
+    segs = K.cbs(x, alpha=0.01)
+    assert any(abs(s - at) <= 2 and abs(e - at - width) <= 2 for s, e in segs) and len(segs) <= 5
+
+
+def test_cbs_leaves_a_long_stretch_of_noise():
+    assert K.cbs(np.random.default_rng(3).normal(0, 0.15, 5000), alpha=0.01) == [(0, 5000)]
+
+
+
 def test_components_equal_svd():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(30, 6))  # bins by samples
