@@ -246,15 +246,15 @@ def d22(spark, d):
 
 @query("k21b_segments")
 def k21b(spark, d):
-    return P.segment(_flat(spark, d).where("sample_id < 4"), alpha=0.01)
+    return P.segment(_flat(spark, d), alpha=0.01)
 
 
 @query("newref_predict")
 def newref_predict(spark, d):
-    """Reference from the cohort and predictions of three samples: aberration counts and statistics."""
+    """Reference from the cohort and predictions of all its samples: aberration counts and statistics."""
     from binfold.plans.workflows import predict_cohort
 
-    out = predict_cohort(_sexed(spark, d), data.lengths(spark), data.BINSIZE, refsize=20, min_refs=5, yfrac=YFRAC, components=3, samples=[0, 1, 2])
+    out = predict_cohort(_sexed(spark, d), data.lengths(spark), data.BINSIZE, refsize=20, min_refs=5, yfrac=YFRAC, components=3)
     return out["statistics"].join(out["segments"].groupBy("sample_id").agg(F.count("*").alias("segments")), "sample_id")
 
 

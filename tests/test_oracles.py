@@ -50,6 +50,12 @@ def test_whole_table_equals_sql_without_its_filter(spark, duck, name):
         assert got["a"].nunique() == duck.execute("SELECT count(*) FROM embeddings").fetchone()[0] > 400
 
 
+@pytest.mark.parametrize("name", ["k21b_segments", "newref_predict", "i03_online_dedup"])
+def test_every_sample_is_in_the_result(spark, duck, name):
+    got = {r[0] for r in registry.QUERIES[name](spark, DIR).select("sample_id").distinct().collect()}
+    assert got == {r[0] for r in duck.execute("SELECT DISTINCT l_suppkey % 20 FROM lineitem").fetchall()}
+
+
 def test_entry(spark):
     import __spark_entry__
 
