@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 ORDER = 4
 BITS = np.uint64(16)
 UNDETERMINED = "und"
+USUAL = 0.99  # quantile of calibration texts that the rejection threshold is a multiple of
+FEW = 10  # calibration texts below which a language takes the pooled range
 _LETTER = None
 
 
@@ -70,7 +72,7 @@ class Model:
     mean: np.ndarray | None = None  # of the cross-entropy per language, on calibration texts
     per_symbol: np.ndarray | None = None  # variance that falls with the length
     floor: np.ndarray | None = None  # variance that stays
-    max_z: float = float("inf")
+    max_z: np.ndarray | None = None  # rejection threshold per language
     temperature: float = 1.0
 
     def log_probs(self, key: np.ndarray) -> np.ndarray:
@@ -118,7 +120,7 @@ class Model:
         """No letters, or a cross-entropy beyond the calibrated range of the best language."""
         best = h.argmin(axis=1)
         z = (h[np.arange(len(h)), best] - self.mean[best]) / np.sqrt(self.per_symbol[best] / np.maximum(n, 1) + self.floor[best])
-        return (n == 0) | (z > self.max_z)
+        return (n == 0) | (z > self.max_z[best])
 
 
 def fit(langs: list[str], lang_of: np.ndarray, key: np.ndarray, count: np.ndarray) -> Model:
@@ -215,8 +217,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     Every counted four-gram enters the model. Bound (of the classifier, not of the rows it predicts):
     ``calibration_rows`` calibration texts chosen by hash. A text is rejected when its cross-entropy
-    lies above the mean of its language by more than ``margin`` times the worst of the calibration texts, in units
-    of a deviation that is fitted against length. So texts like those seen are kept.
+    lies above the mean of its language by more than ``margin`` times a high quantile of that language's calibration
+    texts, in units of a deviation that is fitted against length. Only texts whose label scores best count; languages
+    with few of them take what holds over all languages. So texts like those seen are kept.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).withColumn("fold", fold("id"))
     counts = count_windows(rows.where("fold in (1, 2, 3)")).persist()
@@ -251,18 +254,29 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def _calibrate(model: Model, truth: np.ndarray, n: np.ndarray, h: np.ndarray, margin: float) -> None:
     k = len(model.langs)
     model.mean, model.per_symbol, model.floor = np.full(k, np.inf), np.ones(k), np.full(k, 0.01)
-    worst = 3.0
+    model.max_z = np.full(k, 3.0 * margin)
+    right = h.argmin(axis=1) == truth if len(h) else np.zeros(0, bool)  # else mislabelled or mixed: no measure of the language
+    x, size = (h[right, truth[right]], n[right].astype(float)) if right.any() else (np.zeros(0), np.zeros(0))
+
+    def shape(x: np.ndarray, size: np.ndarray) -> tuple[float, float, float, np.ndarray]:
+        mean = np.average(x, weights=size)
+        dev = (x - mean) ** 2
+        per_symbol = max(1e-6, np.median(dev * size) / 0.4549)  # the median of a squared normal deviate
+        floor = max(1e-4, float(np.median(dev[size >= np.median(size)])))
+        return mean, per_symbol, floor, (x - mean) / np.sqrt(per_symbol / size + floor)
+
+    if len(x) < FEW:
+        return  # too few texts of any language to tell what is usual: nothing but letterless texts is rejected
+    mean, per_symbol, floor, pooled = shape(x, size)
+    model.mean[:], model.per_symbol[:], model.floor[:] = mean, per_symbol, floor
+    usual = max(3.0, float(np.quantile(pooled, USUAL)))
+    model.max_z[:] = margin * usual
     for i in range(k):
-        own = truth == i
-        if own.sum() < 10:
-            continue  # too few texts to tell what is usual: nothing is rejected as this language
-        x, size = h[own, i], n[own].astype(float)
-        model.mean[i] = np.average(x, weights=size)
-        dev = (x - model.mean[i]) ** 2
-        model.per_symbol[i] = max(1e-6, np.median(dev * size) / 0.4549)  # the median of a squared normal deviate
-        model.floor[i] = max(1e-4, float(np.median(dev[size >= np.median(size)])))
-        worst = max(worst, float(((x - model.mean[i]) / np.sqrt(model.per_symbol[i] / size + model.floor[i])).max()))
-    model.max_z = margin * worst
+        own = truth[right] == i
+        if own.sum() >= FEW:
+            model.mean[i], model.per_symbol[i], model.floor[i], z = shape(x[own], size[own])
+            high = max(3.0, float(np.quantile(z, USUAL)))
+            model.max_z[i] = margin * (high if len(z) * (1 - USUAL) >= 1 else max(high, usual))  # a thin tail says little
     if len(h):
         gap = (h - h.min(axis=1, keepdims=True)) * np.minimum(n, 200)[:, None]
         grid = [0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0]

@@ -471,6 +471,22 @@ def test_language_id_rejects_other_scripts(spark):
     assert all(r["rejected"] for r in got.values()) and got[2]["lang_pred"] == got[3]["lang_pred"] == "und" and got[1]["lang_pred"] != "und"
 
 
+def test_language_id_rejection_is_calibrated_per_language():
+    rng = np.random.default_rng(4)
+    truth, n = np.array([0] * 500 + [1] * 500 + [2] * 4), np.full(1004, 400)
+    h = np.full((1004, 3), 4.0)
+    h[np.arange(1004), truth] = rng.normal(1.5, 0.05, 1004)
+    model = lambda: language_id.Model(["a", "b", "c"], [], [], [], [], -5.0)
+    clean, dirty = model(), model()
+    language_id._calibrate(clean, truth, n, h, 2.0)
+    wrong, mixed = [9.0, 9.5, 9.2], [3.2, 4.0, 4.0]  # another script labelled "b"; a text of "a" with foreign passages
+    language_id._calibrate(dirty, np.append(truth, [1, 0]), np.append(n, [400, 400]), np.vstack((h, wrong, mixed)), 2.0)
+    junk = np.array([[2.5, 4, 4], [4, 2.5, 4], [4, 4, 2.5]])
+    for m in (clean, dirty):
+        assert m.rejects(junk, np.full(3, 400)).all() and m.rejects(np.array([wrong]), np.array([400])).all()
+        assert m.rejects(h, n).sum() == 0
+
+
 def test_language_id_odd_rows(odd_docs):
     got = language_id.identify(odd_docs).collect()
     assert len(got) == odd_docs.count()
