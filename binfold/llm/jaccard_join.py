@@ -339,8 +339,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs of characters other than space and ASCII tab to return, lower-cased A-Z; two documents link when
     100 * |intersection| >= 75 * |union| of their 5-word shingle sets. ``component_id`` is the smallest id reachable
     by links; ``n_links`` counts the rows it links with, copies included. Null or wordless texts: ``n_shingles`` 0,
-    a component of their own. Rows that repeat an id link like other copies. A null id has component null when its
-    set is held by null ids alone. Empty input gives an empty result. Other columns are not read.
+    a component of their own. Rows that repeat an id link like other copies. Null ids link like others; their
+    component is null when no row of it has an id. Empty input gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     sets = table(shingle_sets(docs, id_col, text_col), "sets")
@@ -348,7 +348,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = full.agg(F.sum("n")).first()[0] or 0
     classes = table(full.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.max("n").alias("n")), "classes")
     buckets = max(8, -(-total // BUCKET_SETS))
-    known = classes.where("rep is not null").select("c1", F.col("rep").cast("long").alias("rep"), "n", "size")
+    # Classes meet by their own key, not by an id: null ids link like others.
+    known = classes.select("c1", F.col("c1").alias("rep"), "n", "size")
     path = new_path(spark, "strong")
     strong = table(strong_classes(docs, text_col, buckets).join(known, "c1").select("rep", "n", "size", "keys"), "strong", path)
     meets = strong.select("rep", "n", "keys").mapInArrow(_prefixes, "key long, rep long")
@@ -359,8 +360,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = table(places.join(strong, "rep").groupBy("comp", "tile").applyInArrow(_tile, "rep long, links long, root long"), "links")
     comps = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    answer = classes.join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    answer = answer.select("c1", "c2", F.coalesce("comp", "rep").alias("component_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    answer = classes.select("c1", "c2", "size", F.col("rep").alias("id"), F.col("c1").alias("rep")).join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    answer = table(answer, "linked")
+    lowest = answer.where("comp is not null").groupBy("comp").agg(F.min("id").alias("lowest"))
+    answer = _with(answer, lowest, ["comp"], "left").select("c1", "c2", F.coalesce("lowest", "id").alias("component_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     answer = table(answer, "answer")
     delete_path(spark, path)
     out = sets.join(answer, ["c1", "c2"], "left")

@@ -170,6 +170,14 @@ def test_join_odd_rows(odd_docs):
     assert jaccard_join.near_duplicates(odd_docs.limit(0)).count() == 0
 
 
+def test_join_links_through_null_ids(spark):
+    w = [f"w{i}" for i in range(70)]
+    chain = [" ".join(w[i : i + 50]) for i in (0, 6, 12)]  # neighbours share 40 of 52 shingles, the ends 34 of 58
+    df = spark.createDataFrame([(7, chain[0]), (None, chain[1]), (9, chain[2]), (None, "five other words stand here alone")], "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard_join.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted([(7, 7, 1), (None, 7, 2), (9, 7, 1), (None, None, 0)], key=str)
+
+
 def test_long_words_hash_alike_in_pieces(monkeypatch):
     text = " ".join("x" * k for k in range(1, 60))
     whole = jaccard_join.word_hashes(text)
