@@ -11,9 +11,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from binfold.llm.common import ascii_lower, new_path, table
+from binfold.llm.common import ascii_lower, has_files, join_groups, new_path, read_note, table, write_note
+
+NOTE = "_digest_index"
 
 
 def text_digest(col: Column) -> Column:
@@ -24,13 +25,22 @@ def text_digest(col: Column) -> Column:
 class DigestIndex:
     """Digests seen so far: ``digest, keep_id``, bucketed and sorted by digest.
 
-    ``path`` may hold an index that an earlier run left; it is then opened with the same bucket count.
-    A batch is either in the index or not: rerunning ``append`` with digests that are already there adds nothing.
+    ``path`` may hold an index that an earlier run left. Its bucket count and key type are kept in a note beside the
+    data and hold from then on, whatever is asked for later; another key type is an error, and so is data without a
+    note. A batch is either in the index or not: rerunning ``append`` with digests that are there adds nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, key_type: str = "bigint"):
         self.spark, self.path = spark, path or new_path(spark, "digests")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        note = read_note(spark, f"{self.path}/{NOTE}")
+        if note is None:
+            if path and has_files(spark, path):
+                raise ValueError(f"{path} holds files but no {NOTE}: not an index")
+            note = f"{buckets or int(spark.conf.get('spark.sql.shuffle.partitions'))} {key_type}"
+            write_note(spark, f"{self.path}/{NOTE}", note)
+        self.buckets, known_type = int(note.split(" ", 1)[0]), note.split(" ", 1)[1]
+        if known_type != key_type:
+            raise ValueError(f"the index at {self.path} keeps ids of type {known_type}, not {key_type}")
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, keep_id {key_type}) USING parquet LOCATION '{self.path}' "
@@ -59,12 +69,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     index = index or DigestIndex(spark, key_type=docs.select(id_col).dtypes[0][1])
-    rows = table(docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest")), "rows")
-    groups = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    rows = table(docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("row")), "rows")
+    # The row number, fixed once written, tells apart rows that repeat id and text; null ids order first.
+    groups = rows.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("last"), F.count("*").alias("group_size"))
+    groups = table(groups.select("digest", F.col("last.id").alias("keep_id"), F.col("last.row").alias("keep_row"), "group_size"), "groups")
     fresh = index.append(groups).select("digest", F.lit(True).alias("fresh"))
-    known = index.read().hint("merge").join(groups.select("digest", "group_size"), "digest").join(fresh, "digest", "left")
-    # Equal (id, digest) pairs are spread over tasks by id, so a hot text makes no hot window.
-    first = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.lit(1)))
-    out = rows.withColumn("nth", first).join(known, "digest")
-    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1) & F.coalesce(F.col("fresh"), F.lit(False))
+    known = index.read().hint("merge").join(groups.select("digest", "group_size", "keep_row"), "digest").join(fresh, "digest", "left")
+    # A text that holds a large part of all rows is no hot task of this join.
+    out = join_groups(rows, table(known, "known"), ["digest"], "group_size", rows.count())
+    kept = (F.col("row") == F.col("keep_row")) & F.coalesce(F.col("fresh"), F.lit(False))
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
