@@ -23,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binfold.llm.common import connected_components, delete_path, new_path, table
+from binfold.llm.common import connected_components, delete_path, join_groups, new_path, table
 
 SHINGLE = 5
 #: Hashes per bucket and documents per block: they set how finely work is cut, never what is found.
 BUCKET_SETS = 3_000_000
 BLOCK = 1024
+#: Classes per batch, holders of a hash in a batch from which it is hot, and the rarity byte of hot hashes.
+BATCH, HOT, HOTTEST = 4096, 64, 255
 PIECE = 1 << 22
 BITMAP_WORDS = 8
 _RNG = np.random.default_rng(20240501)
@@ -128,9 +130,13 @@ def _from_planes(raw: bytes) -> np.ndarray:
 def strong_classes(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
     """``c1, keys``: classes of which three quarters of the hashes are held by another class too, with those hashes.
 
-    A key is 6 bits of rarity (finer than doubling of the number of classes), 10 of the bucket and 48 of the hash, so
-    sorted keys begin with the rarest. Six bytes a hash are shuffled, in one row per bucket and batch; what a bucket
-    finds goes on in one row per bucket and part of the classes, so rows do not multiply with classes.
+    Keys are 64-bit hashes, rarest first: by a byte of rarity (finer than doubling of the number of classes), then by
+    hash. Eight bytes a hash are shuffled, in one row per bucket and batch; what a bucket finds goes on in one row per
+    bucket and part of the classes, so rows do not multiply with classes.
+
+    A hash that over ``HOT`` classes of one batch hold is known to be shared. Its bucket is only told so; the classes
+    go to their parts at once, with the highest rarity byte, which the bucket then gives to all other holders too. So
+    no hash, however common, puts more than ``HOT`` classes of a batch in one group.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,85 +150,103 @@ def strong_classes(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
                         at.add(c1)
                         sets.append(s)
                         cls.append(c1)
-            for lo in range(0, len(sets), 4096):
-                part = sets[lo : lo + 4096]
-                size = np.array([len(s) for s in part], np.int64)
-                h = np.concatenate(part)
-                doc = np.repeat(np.arange(len(part), dtype=np.int32), size)
+            for lo in range(0, len(sets), BATCH):
+                part = sets[lo : lo + BATCH]
+                size, c1 = np.array([len(s) for s in part], np.int64), np.array(cls[lo : lo + BATCH], np.int64)
+                h, doc = np.concatenate(part), np.repeat(np.arange(len(part), dtype=np.int32), size)
                 bucket = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                h, doc, bucket = h[order], doc[order], bucket[order]
-                cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(h)]))
-                c1 = np.array(cls[lo : lo + 4096], np.int64)
-                rows: list[list] = [[], [], [], [], []]
-                for i in range(len(cut) - 1):
-                    own = slice(cut[i], cut[i + 1])
-                    who, times = np.unique(doc[own], return_counts=True)
-                    low = h[own]
-                    rows[0].append(int(bucket[cut[i]]))
-                    rows[1].append(c1[who].tobytes())
-                    rows[2].append(_planes(size[who]))
-                    rows[3].append(_planes(times))
-                    rows[4].append(low.astype(np.uint32).tobytes() + (low >> np.uint64(32)).astype(np.uint16).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], ["bucket", "cls", "size", "times", "low"])
+                inorder = np.sort(h)
+                told = np.unique(inorder[HOT:][inorder[HOT:] == inorder[: max(0, len(h) - HOT)]])
+                told_bucket = (((told >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+                hot = np.isin(h, told) if len(told) else np.zeros(len(h), bool)
+                rows: list[list] = [[], [], [], [], [], []]
+
+                def send(to: np.ndarray, who_of: np.ndarray, key: np.ndarray, shift: int) -> None:
+                    order = np.argsort(to, kind="stable")  # keeps the classes in order
+                    to, who_of, key = to[order], who_of[order], key[order]
+                    cut = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)])) if len(to) else np.zeros(1, np.int64)
+                    for i, j in zip(cut[:-1], cut[1:]):
+                        who, times = np.unique(who_of[i:j], return_counts=True)
+                        for r, v in zip(rows, (int(to[i]) + shift, c1[who].tobytes(), _planes(size[who]), _planes(times), key[i:j].tobytes(), b"")):
+                            r.append(v)
+
+                send(bucket[~hot], doc[~hot], h[~hot], 0)
+                if len(told):
+                    direct = (c1.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+                    send(direct[doc[hot]], doc[hot], h[hot], buckets)
+                    for to in np.unique(told_bucket):
+                        for r, v in zip(rows, (int(to), b"", b"", b"", b"", told[told_bucket == to].tobytes())):
+                            r.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], ["bucket", "cls", "size", "times", "keys", "hot"])
 
     def meet(group: pa.Table) -> pa.Table:
-        bucket = np.uint64(group.column("bucket")[0].as_py())
+        bucket = group.column("bucket")[0].as_py()
+        if bucket >= buckets:  # holders of hot hashes, on their way to the part of their class
+            rare = [bytes([HOTTEST]) * (len(x.as_py()) // 8) for x in group.column("keys")]
+            return pa.table({"part": pa.array([bucket - buckets] * group.num_rows, pa.int32()), "cls": group.column("cls"), "size": group.column("size"), "hits": group.column("times"), "keys": group.column("keys"), "rare": pa.array(rare, pa.binary())})
         raw = lambda c: (x.as_py() for x in group.column(c))
         cls = np.concatenate([np.frombuffer(x, np.int64) for x in raw("cls")])
         size, times = (np.concatenate([_from_planes(x) for x in raw(c)]) for c in ("size", "times"))
         key, at = np.empty(int(times.sum()), np.uint64), 0
-        for x in raw("low"):
-            m = len(x) // 6
-            key[at : at + m] = np.frombuffer(x, np.uint16, m, 4 * m)
-            key[at : at + m] <<= np.uint64(32)
-            key[at : at + m] |= np.frombuffer(x, np.uint32, m)
-            at += m
-        first = np.zeros(len(cls), bool)
-        first[np.unique(cls, return_index=True)[1]] = True
-        doc = np.repeat(np.arange(len(cls), dtype=np.int32), times)
-        if not first.all():
-            keep = first[doc]
-            key, doc = key[keep], doc[keep]
-        order = np.argsort(key)
+        for x in raw("keys"):
+            key[at : at + len(x) // 8] = np.frombuffer(x, np.uint64)
+            at += len(x) // 8
+        told = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in raw("hot")]))
+        # A class that several batches brought counts once for each hash.
+        names, which = np.unique(cls, return_inverse=True)
+        n = np.zeros(len(names), np.int64)
+        n[which] = size
+        doc = np.repeat(which.astype(np.int32), times)
+        order = np.argsort(key) if len(names) == len(cls) else np.lexsort((doc, key))
         key, doc = key[order], doc[order]
         del order
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        df = np.diff(np.concatenate((starts, [len(key)])))
-        df = np.repeat(df.astype(np.int32), df)
-        hot = df > 1
-        key, doc, df = key[hot], doc[hot], df[hot]
-        key |= (np.minimum(63, 4 * np.log2(df / 2)).astype(np.uint64) << np.uint64(58)) | ((bucket & np.uint64(1023)) << np.uint64(48))
-        part = (cls[doc].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        if len(names) < len(cls):
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else np.zeros(0, bool)
+            key, doc = key[new], doc[new]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        df = np.diff(np.append(start, len(key)))
+        rare = np.minimum(HOTTEST - 1, 4 * np.log2(np.maximum(df, 2) / 2)).astype(np.uint8)
+        rare[np.isin(key[start], told)] = HOTTEST
+        shared = np.repeat((df > 1) | (rare == HOTTEST), df)
+        key, doc, rare = key[shared], doc[shared], np.repeat(rare, df)[shared]
+        part = (names[doc].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
         order = np.lexsort((doc, part))
-        key, doc, part = key[order], doc[order], part[order]
+        key, doc, part, rare = key[order], doc[order], part[order], rare[order]
         cut = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(key)])) if len(key) else np.zeros(1, np.int64)
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[], [], [], [], [], []]
         for lo, hi in zip(cut[:-1], cut[1:]):
             who, hits = np.unique(doc[lo:hi], return_counts=True)
-            for r, v in zip(rows, (int(part[lo]), cls[who].tobytes(), _planes(size[who]), _planes(hits), key[lo:hi].tobytes())):
+            for r, v in zip(rows, (int(part[lo]), names[who].tobytes(), _planes(n[who]), _planes(hits), key[lo:hi].tobytes(), rare[lo:hi].tobytes())):
                 r.append(v)
-        return pa.table({"part": pa.array(rows[0], pa.int32()), **{c: pa.array(r, pa.binary()) for c, r in zip(("cls", "size", "hits", "keys"), rows[1:])}})
+        return pa.table({"part": pa.array(rows[0], pa.int32()), **{c: pa.array(r, pa.binary()) for c, r in zip(("cls", "size", "hits", "keys", "rare"), rows[1:])}})
 
     def gather(group: pa.Table) -> pa.Table:
         raw = lambda c: (x.as_py() for x in group.column(c))
         cls = np.concatenate([np.frombuffer(x, np.int64) for x in raw("cls")])
         size, hits = (np.concatenate([_from_planes(x) for x in raw(c)]) for c in ("size", "hits"))
         names, which = np.unique(cls, return_inverse=True)
-        n, total = np.zeros(len(names), np.int64), np.bincount(which, hits, len(names)).astype(np.int64)
+        n = np.zeros(len(names), np.int64)
         n[which] = size
-        strong = 100 * total >= 75 * n
-        key, owner = np.concatenate([np.frombuffer(x, np.uint64) for x in raw("keys")]), np.repeat(which, hits)
-        keep = strong[owner]
-        key, owner = key[keep], owner[keep]
-        order = np.lexsort((key, owner))
-        count = total[strong]
-        offsets = np.concatenate(([0], np.cumsum(count * 8))).astype(np.int32)
-        blob = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(offsets), pa.py_buffer(key[order].tobytes())])
+        # Hot hashes may have come by two ways, so a first count is an upper bound.
+        likely = 100 * np.bincount(which, hits, len(names)).astype(np.int64) >= 75 * n
+        key, rare = (np.concatenate([np.frombuffer(x, t) for x in raw(c)]) for c, t in (("keys", np.uint64), ("rare", np.uint8)))
+        owner = np.repeat(which, hits)
+        keep = likely[owner]
+        key, rare, owner = key[keep], rare[keep], owner[keep]
+        order = np.lexsort((key, rare, owner))
+        key, owner = key[order], owner[order]
+        if len(key):
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))
+            key, owner = key[new], owner[new]
+        total = np.bincount(owner, minlength=len(names))
+        strong = likely & (100 * total >= 75 * n)
+        key = key[strong[owner]]
+        offsets = np.concatenate(([0], np.cumsum(total[strong] * 8))).astype(np.int64)
+        blob = pa.Array.from_buffers(pa.large_binary(), int(strong.sum()), [None, pa.py_buffer(offsets), pa.py_buffer(key.tobytes())]).cast(pa.binary())
         return pa.table({"c1": pa.array(names[strong]), "keys": blob})
 
-    dealt = docs.select(F.col(text_col).alias("text")).mapInArrow(deal, "bucket int, cls binary, size binary, times binary, low binary")
-    met = dealt.groupBy("bucket").applyInArrow(meet, "part int, cls binary, size binary, hits binary, keys binary")
+    dealt = docs.select(F.col(text_col).alias("text")).mapInArrow(deal, "bucket int, cls binary, size binary, times binary, keys binary, hot binary")
+    met = dealt.groupBy("bucket").applyInArrow(meet, "part int, cls binary, size binary, hits binary, keys binary, rare binary")
     return met.groupBy("part").applyInArrow(gather, "c1 long, keys binary")
 
 
@@ -302,28 +326,22 @@ def _tile(group: pa.Table) -> pa.Table:
     return pa.table({"rep": pa.array(col["rep"][has]), "links": pa.array(links[has]), "root": pa.array(root[has])})
 
 
-def _with(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 8) -> DataFrame:
-    """Join that spreads a hot key: the small side (a row per key) is repeated for every salt.
-
-    It has as many rows as there are groups, so it is never broadcast: the planner sees its size before the salts.
-    """
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", F.pmod(F.hash("rep"), F.lit(salts))).hint("merge").join(salted, [*on, "_salt"], how).drop("_salt")
-
-
 def tiles(members: DataFrame) -> DataFrame:
     """Deal ``comp, rep, n`` to tiles: ``comp, tile, side, rep``, a row per tile that a class belongs to.
 
     Bands have ratio 4/3, so a link joins equal or neighbouring bands. A band has one block per ``BLOCK`` members;
     tiles are pairs of blocks. A group of at most ``BLOCK`` members is one tile, its sizes are compared inside.
     """
-    rows = table(_with(members, members.groupBy("comp").agg(F.count("*").alias("members")), ["comp"]), "members")
+    members = table(members, "grouped")
+    total = members.count()
+    rows = table(join_groups(members, table(members.groupBy("comp").agg(F.count("*").alias("members")), "groups"), ["comp"], "members", total), "members")
     small = rows.where(F.col("members") <= BLOCK).select("comp", F.lit("all").alias("tile"), F.lit(0).alias("side"), "rep")
     large = rows.where(F.col("members") > BLOCK).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3)) + 1e-9).cast("int"))
-    counts = table(large.groupBy("comp", "band").agg(F.count("*").alias("c")).select("comp", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "bands")
+    counts = table(large.groupBy("comp", "band").agg(F.count("*").alias("c")).select("comp", "band", "c", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "bands")
     upper = counts.select("comp", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     lower = counts.select("comp", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    dealt = _with(large, counts.join(upper, ["comp", "band"], "left").join(lower, ["comp", "band"], "left"), ["comp", "band"])
+    around = table(counts.join(upper, ["comp", "band"], "left").join(lower, ["comp", "band"], "left"), "around")
+    dealt = join_groups(large, around, ["comp", "band"], "c", total)
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
     seq = lambda to: F.when(F.coalesce(to, F.lit(0)) > 0, F.sequence(F.lit(0), to - 1)).otherwise(F.array().cast("array<int>"))
     name = lambda *x: F.concat_ws(".", *[c.cast("string") for c in x])
@@ -339,33 +357,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs of characters other than space and ASCII tab to return, lower-cased A-Z; two documents link when
     100 * |intersection| >= 75 * |union| of their 5-word shingle sets. ``component_id`` is the smallest id reachable
     by links; ``n_links`` counts the rows it links with, copies included. Null or wordless texts: ``n_shingles`` 0,
-    a component of their own. Rows that repeat an id link like other copies. Null ids link like others; their
-    component is null when no row of it has an id. Empty input gives an empty result. Other columns are not read.
+    a component of their own. Ids may be of any orderable type. Rows that repeat an id link like other copies, each by
+    its own text. Null ids link like others; their component is null when no row of it has an id. Empty input gives
+    an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     sets = table(shingle_sets(docs, id_col, text_col), "sets")
     full = sets.where("n > 0")
-    total = full.agg(F.sum("n")).first()[0] or 0
+    shingles, documents = full.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     classes = table(full.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.max("n").alias("n")), "classes")
-    buckets = max(8, -(-total // BUCKET_SETS))
-    # Classes meet by their own key, not by an id: null ids link like others.
+    buckets = max(8, -(-shingles // BUCKET_SETS))
+    # Classes meet by their own key, not by an id: null ids link like others, and an id on two texts joins nothing.
     known = classes.select("c1", F.col("c1").alias("rep"), "n", "size")
     path = new_path(spark, "strong")
     strong = table(strong_classes(docs, text_col, buckets).join(known, "c1").select("rep", "n", "size", "keys"), "strong", path)
-    meets = strong.select("rep", "n", "keys").mapInArrow(_prefixes, "key long, rep long")
-    low = meets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
-    edges = meets.join(low, "key").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v")).distinct()
+    meets = table(strong.select("rep", "n", "keys").mapInArrow(_prefixes, "key long, rep long"), "meets")
+    low = meets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("holders")).where("low < high").select("key", "low", "holders")
+    low = table(low, "lowest")
+    edges = join_groups(meets, low, ["key"], "holders", meets.count()).where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v")).distinct()
     groups = connected_components(edges)
     places = tiles(strong.select("rep", "n").join(groups.withColumnsRenamed({"node": "rep"}), "rep").select("comp", "rep", "n"))
     found = table(places.join(strong, "rep").groupBy("comp", "tile").applyInArrow(_tile, "rep long, links long, root long"), "links")
     comps = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    answer = classes.select("c1", "c2", "size", F.col("rep").alias("id"), F.col("c1").alias("rep")).join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    answer = table(answer, "linked")
-    lowest = answer.where("comp is not null").groupBy("comp").agg(F.min("id").alias("lowest"))
-    answer = _with(answer, lowest, ["comp"], "left").select("c1", "c2", F.coalesce("lowest", "id").alias("component_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    answer = table(answer, "answer")
+    linked = table(classes.select("c1", "c2", "size", F.col("rep").alias("id"), F.col("c1").alias("rep")).join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left"), "linked")
+    lowest = table(linked.where("comp is not null").groupBy("comp").agg(F.min("id").alias("lowest"), F.count("*").alias("c")), "roots")
+    alone = linked.where("comp is null").select("c1", "c2", "size", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("links"))
+    answer = join_groups(linked.where("comp is not null"), lowest, ["comp"], "c", documents).select("c1", "c2", "size", F.col("lowest").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    answer = table(answer.unionByName(alone), "answer")
     delete_path(spark, path)
-    out = sets.join(answer, ["c1", "c2"], "left")
-    kind = docs.select(id_col).dtypes[0][1]
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).cast(kind).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # Documents of a class of many copies do not meet in one task.
+    out = join_groups(full, answer, ["c1", "c2"], "size", documents)
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("size") - 1 + F.col("links")).cast("long").alias("n_links"))
+    return out.unionByName(sets.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))

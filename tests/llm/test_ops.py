@@ -203,6 +203,48 @@ def test_components(spark):
     assert got == {i: find(i) for i in touched}
 
 
+@pytest.mark.parametrize("hot", [2, 64])
+def test_join_with_a_shingle_in_every_document(spark, monkeypatch, hot):
+    """One passage in all rows, hashes that are hot in a batch or not, string ids and ids that two texts share."""
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "BATCH", 16)
+    rows = [(f"d{i:03}", "this passage is in every single document here " + t) for i, t in near_copies(hot, groups=8)]
+    rows += [(f"e{i:03}", f"this passage is in every single document here and {i}") for i in range(30)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string").repartition(3)).collect()}
+    assert got == brute_join(rows)
+
+
+def test_join_keeps_texts_of_one_id_apart(spark):
+    w = [[f"{c}{i}" for i in range(40)] for c in "abc"]
+    texts = [" ".join(x) for x in w]
+    near = [" ".join(x[:-1]) for x in w]
+    df = spark.createDataFrame([(5, texts[0]), (5, texts[1]), (6, near[0]), (7, near[1]), (8, texts[2])], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard_join.near_duplicates(df).collect())
+    assert got == [(5, 5, 1), (5, 5, 1), (6, 5, 1), (7, 5, 1), (8, 8, 0)]
+
+
+def test_index_keeps_its_bucket_count(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    first = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id long, text string")
+    exact_dedup.exact_dedup(first, index=exact_dedup.DigestIndex(spark, path, 8)).count()
+    again = exact_dedup.DigestIndex(spark, path, 4)
+    assert again.buckets == 8 and not any(r["kept"] for r in exact_dedup.exact_dedup(first, index=again).collect())
+    assert again.read().count() == 50
+    with pytest.raises(ValueError, match="type"):
+        exact_dedup.DigestIndex(spark, path, key_type="string")
+    first.write.parquet(f"file://{tmp_path}/other")
+    with pytest.raises(ValueError, match="not an index"):
+        exact_dedup.DigestIndex(spark, f"file://{tmp_path}/other")
+
+
+def test_hot_keys_join_like_others(spark):
+    rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).cast("long").alias("k"))
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    got = common.join_groups(rows, groups, ["k"], "n", 3000)
+    want = rows.join(groups, "k")
+    assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == 3000
+
+
 # --- token store and counts ------------------------------------------------------------------------------------------
 
 
