@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from binfold.llm.common import table, word_count
+from binfold.llm.common import join_groups, table, word_count
 
 LEVELS = ["domain", "lang", "source"]
 UNKNOWN = "unknown"
@@ -47,9 +47,15 @@ def share(children: DataFrame, parent: list[str], key: str, out: str = "budget")
 
 
 def leaf_budgets(leaves: DataFrame, total: Column, max_epochs: int, weights: dict[str, dict[str, int]] | None = None) -> DataFrame:
-    """Budgets of the leaves ``domain, lang, source, tokens``; the tree has one row per distinct leaf."""
+    """Budgets of the leaves ``domain, lang, source, tokens``; the tree has one row per distinct leaf.
+
+    A leaf below a node of weight 0 can take nothing, so it counts in no cap above it and its share goes to siblings.
+    """
     weights = weights or {}
-    leaves = leaves.withColumn("cap", F.col("tokens") * max_epochs)
+    open_ = F.lit(True)
+    for level in LEVELS:
+        open_ &= _weight(level, weights.get(level)) > 0
+    leaves = leaves.withColumn("cap", F.when(open_, F.col("tokens") * max_epochs).otherwise(0))
     level = leaves.groupBy("domain").agg(F.sum("cap").alias("cap"))
     level = share(level.withColumn("w", _weight("domain", weights.get("domain"))).withColumn("parent_budget", total), [], "domain")
     for depth in (2, 3):
@@ -60,7 +66,7 @@ def leaf_budgets(leaves: DataFrame, total: Column, max_epochs: int, weights: dic
     return level
 
 
-def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 2, weights: dict[str, dict[str, int]] | None = None, seed: str = "mix", domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 2, weights: dict[str, dict[str, int]] | None = None, seed: str = "mix", domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 4096) -> DataFrame:
     """``doc_id, domain, lang, source, n_tokens, leaf_budget, copies``: how often each document is taken.
 
     The budget is ``budget_share`` of all tokens (words; a text without words counts 0 and joins any full epoch).
@@ -68,28 +74,33 @@ def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 2, weights
     id and leaf are peers: the prefix takes all or none. Leaves of weight 0 get no tokens. Empty input gives an
     empty result. Further columns are not read.
 
-    Ranks come in two steps so that a hot leaf is never one task: tokens are summed by the leading three hex digits
-    of the epoch hash (4096 ranges a leaf), ranges get offsets, and only rows of one range are sorted together.
+    Ranks come in steps so that a hot leaf is never one task. The epoch hash is cut into ranges by its leading hex
+    digits, as many digits as leave about ``range_rows`` rows to a range; ranges get offsets inside their block (all
+    but the last three digits), blocks inside their leaf, and only rows of one range are sorted together. So no
+    window sees more than 4096 ranges or blocks until a leaf has ``range_rows`` * 2**36 rows.
     """
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(domain if domain is not None else default_domain(), F.lit(UNKNOWN)).alias("domain"), name("lang").alias("lang"), name("source").alias("source"), word_count(F.col(text_col)).alias("n_tokens"))
     rows = table(rows, "leaf-rows")
-    leaves = table(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
-    total = F.lit(int((leaves.agg(F.sum("tokens")).first()[0] or 0) * budget_share))
-    budgets = leaf_budgets(leaves, total, max_epochs, weights)
-    budgets = table(leaves.join(budgets.select(*LEVELS, "budget"), LEVELS, "left").select(*LEVELS, "tokens", F.coalesce("budget", F.lit(0)).alias("leaf_budget")), "budgets")
+    leaves = table(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "leaves")
+    tokens, n_rows = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    budgets = leaf_budgets(leaves, F.lit(int(tokens * budget_share)), max_epochs, weights)
+    budgets = leaves.join(budgets.select(*LEVELS, "budget"), LEVELS, "left").select(*LEVELS, "tokens", "rows", F.coalesce("budget", F.lit(0)).alias("leaf_budget"))
     full = F.when(F.col("tokens") > 0, F.floor(F.col("leaf_budget") / F.col("tokens"))).otherwise(0).cast("long")
     budgets = budgets.withColumn("epochs", full).withColumn("rest", F.col("leaf_budget") - F.col("epochs") * F.col("tokens"))
-    salted = budgets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    digits = F.least(F.lit(9), F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("rows") / range_rows)))).cast("int")
+    budgets = table(budgets.withColumn("digits", digits).drop("tokens"), "budgets")
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    # The planner sees the leaves' size before the salts, so a broadcast is ruled out.
-    ranked = rows.withColumn("salt", F.pmod(F.hash("id"), F.lit(salts))).hint("merge").join(salted, [*LEVELS, "salt"]).drop("salt").withColumn("key", key).withColumn("range", F.substring("key", 1, 3))
+    ranked = join_groups(rows, budgets, LEVELS, "rows", n_rows).withColumn("key", key)
+    ranked = ranked.withColumn("range", F.left(F.col("key"), F.col("digits"))).withColumn("block", F.left(F.col("key"), F.col("digits") - 3)).drop("rows", "digits")
     ranked = table(ranked, "ranked")
-    ranges = ranked.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("t"))
-    before = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("t").over(before), F.lit(0))).drop("t")
+    ranges = ranked.groupBy(*LEVELS, "block", "range").agg(F.sum("n_tokens").alias("t"))
+    start = lambda by, *keys: F.coalesce(F.sum("t").over(Window.partitionBy(*LEVELS, *keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = table(ranges, "ranges")
+    blocks = ranges.groupBy(*LEVELS, "block").agg(F.sum("t").alias("t")).withColumn("block_start", start("block")).drop("t")
+    ranges = ranges.withColumn("range_start", start("range", "block")).drop("t").join(blocks, [*LEVELS, "block"])
+    ranges = ranges.select(*LEVELS, "range", (F.col("block_start") + F.col("range_start")).alias("before"))
     inside = Window.partitionBy(*LEVELS, "range").orderBy("key", "id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    out = ranked.withColumn("upto", F.sum("n_tokens").over(inside))
-    out = out.join(ranges, [*LEVELS, "range"])
+    out = ranked.withColumn("upto", F.sum("n_tokens").over(inside)).join(ranges, [*LEVELS, "range"])
     taken = (F.col("before") + F.col("upto") <= F.col("rest")) & (F.col("rest") > 0)
     return out.select(F.col("id").alias(id_col), *LEVELS, "n_tokens", "leaf_budget", (F.col("epochs") + F.when(taken, 1).otherwise(0)).cast("long").alias("copies"))

@@ -380,7 +380,7 @@ def test_tree_prunes():
 def test_mixing_budget_and_siblings(spark):
     rows = [(i, "w " * 10, "en", "a") for i in range(50)] + [(100 + i, "w " * 10, "en", "b") for i in range(2)] + [(200 + i, "w " * 10, "de", "c") for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("copies", F.lit("x"))
-    got = mixing.mix(df, budget_share=0.5, max_epochs=1, domain=F.lit("d"), salts=2).collect()
+    got = mixing.mix(df, budget_share=0.5, max_epochs=1, domain=F.lit("d"), range_rows=2).collect()
     budget = {(r["lang"], r["source"]): r["leaf_budget"] for r in got}
     # 510 tokens: 255 a language; source b can only use 20, its sibling a takes the rest before German does.
     assert budget == {("en", "a"): 235, ("en", "b"): 20, ("de", "c"): 255}
@@ -400,6 +400,66 @@ def test_mixing_epochs_weights_and_odd_rows(spark, odd_docs):
     assert mixing.mix(odd_docs.limit(0)).count() == 0
 
 
+def brute_mix(rows, share, max_epochs, weights, seed="mix"):
+    """Recursive water-filling and a plain sort per leaf; rows are (id, domain, lang, source, tokens)."""
+    weight = lambda level, k: weights.get(mixing.LEVELS[level], {}).get(k, 1)
+    leaves = {}
+    for i, *path, n in rows:
+        leaves.setdefault(tuple(path), []).append((i, n))
+    usable = {p: sum(n for _, n in r) * max_epochs * all(weight(k, x) for k, x in enumerate(p)) for p, r in leaves.items()}
+    budget = dict.fromkeys(leaves, 0)
+
+    def down(prefix, amount):
+        depth = len(prefix)
+        if depth == 3:
+            budget[prefix] = amount
+            return
+        caps = {}
+        for p, c in usable.items():
+            if p[:depth] == prefix and c:
+                caps[p[depth]] = caps.get(p[depth], 0) + c
+        open_, rest, given = set(caps), amount, {}
+        while open_:
+            total = sum(weight(depth, k) for k in open_)
+            full = {k for k in open_ if caps[k] * total <= weight(depth, k) * rest}
+            if not full:
+                given |= {k: min(caps[k], rest * weight(depth, k) // total) for k in open_}
+                break
+            given |= {k: caps[k] for k in full}
+            rest -= sum(caps[k] for k in full)
+            open_ -= full
+        for k, v in given.items():
+            down((*prefix, k), v)
+
+    down((), int(sum(r[4] for r in rows) * share))
+    out = {}
+    for p, r in leaves.items():
+        tokens = sum(n for _, n in r)
+        epochs = budget[p] // tokens if tokens else 0
+        rest, upto = budget[p] - epochs * tokens, 0
+        for i, n in sorted(r, key=lambda x: hashlib.md5(f"{seed}:{epochs}:{x[0]}".encode()).hexdigest()):
+            upto += n
+            out[i] = (budget[p], epochs + (0 < rest >= upto))
+    return out
+
+
+@pytest.mark.parametrize("range_rows", [1, 3, 4096])
+def test_mixing_equals_brute_force(spark, range_rows):
+    rnd = random.Random(range_rows)
+    weights = {"domain": {"d1": 3}, "lang": {"en": 4, "fr": 0}, "source": {"a": 2, "b": 5}}
+    rows = [(i, f"d{rnd.randint(0, 2)}", rnd.choice(["en", "en", "de", "fr"]), rnd.choice("aabc"), rnd.randint(0, 30)) for i in range(400)]
+    df = spark.createDataFrame([(i, d, lang, src, "w " * n) for i, d, lang, src, n in rows], "doc_id long, dom string, lang string, source string, text string")
+    got = {r["doc_id"]: (r["leaf_budget"], r["copies"]) for r in mixing.mix(df, 0.6, 2, weights, domain=F.col("dom"), range_rows=range_rows).collect()}
+    assert got == brute_mix(rows, 0.6, 2, weights)
+    assert all(got[r[0]] == (0, 0) for r in rows if r[2] == "fr")
+
+
+def test_mixing_weight_zero_gives_its_share_to_siblings(spark):
+    df = spark.createDataFrame([(i, "w " * 10, lang, "a") for i, lang in enumerate(["en", "de", "fr"] * 50)], "doc_id long, text string, lang string, source string")
+    got = {r["lang"]: r["leaf_budget"] for r in mixing.mix(df, 0.5, 1, {"lang": {"fr": 0}}, domain=F.lit("d")).collect()}
+    assert got == {"en": 375, "de": 375, "fr": 0}
+
+
 # --- chat ------------------------------------------------------------------------------------------------------------
 
 
