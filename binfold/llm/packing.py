@@ -1,19 +1,19 @@
 """Packing: optimal length buckets from the global histogram, then token-budget batches inside each bucket.
 
-Only the histogram reaches the driver, and its size is bounded whatever the input: lengths up to ``exact_up_to``
-are counted one by one, longer ones in classes of 1/256 relative width (``CLASS``) represented by the longest
-length seen in the class. The dynamic programme is exact over these candidates.
+The histogram (each distinct length with its rows, grouped in the cluster) reaches the driver as two number columns:
+16 bytes a distinct length, so no more than 16 bytes a token of the longest document, however many rows there are.
+The dynamic programme is exact over all of them.
 """
 
 from __future__ import annotations
 
+from array import array
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binfold.llm.common import table, word_count
 
-CLASS = 256
-
 
 def optimal_boundaries(lengths: list[int], counts: list[int], n_buckets: int) -> list[int]:
     """Boundaries (each a length of the histogram, the last the largest) that minimise total padding.
@@ -30,10 +30,10 @@ def optimal_boundaries(lengths: list[int], counts: list[int], n_buckets: int) ->
         n.append(n[-1] + count)
         s.append(s[-1] + count * length)
     prev = [0] + [lengths[j - 1] * n[j] - s[j] for j in range(1, m + 1)]
-    back: list[list[int]] = []
+    back: list[array] = []
     best, best_k = prev[m], 1
     for _ in range(2, min(n_buckets, m) + 1):
-        cur, arg = [0] * (m + 1), [0] * (m + 1)
+        cur, arg = [0] * (m + 1), array("q", bytes(8 * (m + 1)))
         hull: list[tuple[int, int, int]] = []  # slope, intercept, i
         at = 0
         for j in range(1, m + 1):
@@ -58,12 +58,10 @@ def optimal_boundaries(lengths: list[int], counts: list[int], n_buckets: int) ->
     return out[::-1]
 
 
-def length_histogram(lengths: DataFrame, exact_up_to: int) -> list[tuple[int, int]]:
-    """(longest length, rows) per candidate, ascending; at most ``exact_up_to + 256 * log2(max / exact_up_to)`` entries."""
-    n = F.col("n")
-    coarse = F.floor(F.log2(n.cast("double")) * CLASS) + F.lit(exact_up_to)
-    grouped = lengths.groupBy(F.when(n <= exact_up_to, n).otherwise(coarse).cast("long").alias("class")).agg(F.max("n").alias("n"), F.count("*").alias("rows"))
-    return [(r["n"], r["rows"]) for r in grouped.orderBy("n").collect()]
+def length_histogram(lengths: DataFrame) -> tuple[list[int], list[int]]:
+    """Distinct lengths, ascending, and the rows of each."""
+    t = lengths.groupBy("n").agg(F.count("*").alias("rows")).toArrow().sort_by("n")
+    return t.column("n").to_pylist(), t.column("rows").to_pylist()
 
 
 def bucket_of(n: Column, boundaries: list[int]) -> Column:
@@ -71,7 +69,7 @@ def bucket_of(n: Column, boundaries: list[int]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in boundaries]), lambda b: b < n)).cast("int") if boundaries else F.lit(0)
 
 
-def pack(docs: DataFrame, n_buckets: int = 16, token_budget: int = 65536, rows_per_salt: int = 20000, exact_up_to: int = 32768, seed: int = 17, length: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, n_buckets: int = 16, token_budget: int = 65536, rows_per_salt: int = 20000, seed: int = 17, length: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, bucket, bucket_len, batch, slot``: the place of every document.
 
     ``n_tokens`` is ``length`` (default: words plus one end token). Documents of one bucket are padded to
@@ -85,11 +83,11 @@ def pack(docs: DataFrame, n_buckets: int = 16, token_budget: int = 65536, rows_p
     """
     n = length if length is not None else word_count(F.col(text_col)) + 1
     rows = table(docs.select(F.col(id_col).alias("id"), n.cast("long").alias("n")), "lengths")
-    hist = length_histogram(rows, exact_up_to)
-    bounds = optimal_boundaries([x for x, _ in hist], [c for _, c in hist], n_buckets)
+    lengths, counts = length_histogram(rows)
+    bounds = optimal_boundaries(lengths, counts, n_buckets)
     sizes: dict[int, int] = {}
     at = 0
-    for x, c in hist:
+    for x, c in zip(lengths, counts):
         while x > bounds[at]:
             at += 1
         sizes[at] = sizes.get(at, 0) + c
