@@ -3,8 +3,9 @@
 Texts are lower-cased, every run of non-letters becomes one space, and four-character windows are packed into 64-bit
 keys. All training texts are counted in the cluster; only the grouped key counts come to the driver, every one of
 them: the model grows with the distinct four-grams of the input, not with its rows. The lower orders
-follow from the distinct four-grams by continuation counts. The model is one sorted key array per order with one
-row of log-probabilities per key and one column per language, so a position costs one binary search.
+follow from the distinct four-grams by continuation counts. Languages are fitted in groups of ``GROUP``: a group has
+one sorted key array per order with a row of log-probabilities per key and a column per language, so a position costs
+one binary search a group, and no language pays for the four-grams of all others.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 ORDER = 4
 BITS = np.uint64(16)
 UNDETERMINED = "und"
+GROUP = 8
 USUAL = 0.99  # quantile of calibration texts that the rejection threshold is a multiple of
 FEW = 10  # calibration texts below which a language takes the pooled range
 _LETTER = None
@@ -62,26 +64,19 @@ def _suffix(key: np.ndarray, n: int) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    langs: list[str]
+class Part:
+    """Up to ``GROUP`` languages in dense rows over the keys that one of them has."""
+
     keys: list[np.ndarray]  # per order 1..ORDER, sorted
     logp: list[np.ndarray]  # per order, rows = keys, columns = languages; interpolated log-probabilities
     context: list[np.ndarray]  # per context length 0..ORDER-1, sorted context keys
     log_backoff: list[np.ndarray]  # per context length, log of the interpolation weight (0 for an unseen context)
     log_unseen: float
-    mean: np.ndarray | None = None  # of the cross-entropy per language, on calibration texts
-    per_symbol: np.ndarray | None = None  # variance that falls with the length
-    floor: np.ndarray | None = None  # variance that stays
-    max_z: np.ndarray | None = None  # rejection threshold per language
-    temperature: float = 1.0
 
-    def log_probs(self, key: np.ndarray) -> np.ndarray:
-        """Rows of log-probabilities for packed windows."""
-        return self._at(key, ORDER)
-
-    def _at(self, key: np.ndarray, n: int) -> np.ndarray:
+    def at(self, key: np.ndarray, n: int = ORDER) -> np.ndarray:
+        """Rows of log-probabilities for packed windows, by their last n symbols."""
         if n == 0:
-            return np.full((len(key), len(self.langs)), self.log_unseen, np.float32)
+            return np.full((len(key), self.logp[0].shape[1]), self.log_unseen, np.float32)
         own = _suffix(key, n) if n < ORDER else key
         at = np.minimum(np.searchsorted(self.keys[n - 1], own), len(self.keys[n - 1]) - 1)
         hit = self.keys[n - 1][at] == own
@@ -91,9 +86,25 @@ class Model:
             ctx = own[miss] >> BITS
             c = np.minimum(np.searchsorted(self.context[n - 1], ctx), len(self.context[n - 1]) - 1)
             weight = np.where((self.context[n - 1][c] == ctx)[:, None], self.log_backoff[n - 1][c], np.float32(0))
-            out[miss] = weight + self._at(key[miss], n - 1)
+            out[miss] = weight + self.at(key[miss], n - 1)
         return out
 
+
+@dataclass
+class Model:
+    langs: list[str]
+    parts: list[Part]  # the languages in order, GROUP by GROUP
+    mean: np.ndarray | None = None  # of the cross-entropy per language, on calibration texts
+    per_symbol: np.ndarray | None = None  # variance that falls with the length
+    floor: np.ndarray | None = None  # variance that stays
+    max_z: np.ndarray | None = None  # rejection threshold per language
+    temperature: float = 1.0
+    rejected_share: float = 0.0  # of the calibration texts: the measured rate of false rejection
+
+    def log_probs(self, key: np.ndarray) -> np.ndarray:
+        """Rows of log-probabilities for packed windows, a column per language."""
+        return self.parts[0].at(key) if len(self.parts) == 1 else np.concatenate([p.at(key) for p in self.parts], axis=1)
+
     def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Per text: nats per symbol for each language, and the number of symbols (0: no letter)."""
         syms = [symbols(t) for t in texts]
@@ -125,28 +136,32 @@ class Model:
 
 def fit(langs: list[str], lang_of: np.ndarray, key: np.ndarray, count: np.ndarray) -> Model:
     """Interpolated Kneser-Ney from four-gram counts: absolute discount n1 / (n1 + 2 n2) per order and language."""
-    per_lang: list[dict] = []
-    for i in range(len(langs)):
-        k, c = key[lang_of == i], count[lang_of == i].astype(np.float64)
-        order = np.argsort(k)
-        grams = [(k[order], c[order])]
-        while len(grams) < ORDER:  # continuation counts: distinct one-symbol extensions to the left
-            shorter, times = np.unique(_suffix(grams[0][0], ORDER - len(grams)), return_counts=True)
-            grams.insert(0, (shorter, times.astype(np.float64)))
-        per_lang.append({"grams": grams})
-    alphabet = len(np.unique(np.concatenate([p["grams"][0][0] for p in per_lang])))
-    unseen = -np.log(alphabet + 1.0)
+    order = np.lexsort((key, lang_of))
+    key, count = key[order], count[order]
+    ends = np.searchsorted(lang_of[order], np.arange(len(langs) + 1))
+    alphabet = len(np.unique(_suffix(key, 1)))
+    return Model(langs, [_fit_part([(key[a:b], count[a:b]) for a, b in zip(ends[lo : lo + GROUP], ends[lo + 1 : lo + GROUP + 1])], -np.log(alphabet + 1.0)) for lo in range(0, len(langs), GROUP)])
+
+
+def _fit_part(counts: list[tuple[np.ndarray, np.ndarray]], unseen: float) -> Part:
+    """One part from sorted four-gram keys and their counts, per language."""
+    grams = []
+    for k, c in counts:
+        own = [(k, c.astype(np.float64))]
+        while len(own) < ORDER:  # continuation counts: distinct one-symbol extensions to the left
+            shorter, times = np.unique(_suffix(own[0][0], ORDER - len(own)), return_counts=True)
+            own.insert(0, (shorter, times.astype(np.float64)))
+        grams.append(own)
     keys, logp, context, log_backoff = [], [], [], []
-    prev_keys: np.ndarray | None = None
-    prev_p: np.ndarray | None = None
+    below_keys, below_p = None, None
     for n in range(1, ORDER + 1):
-        union = np.unique(np.concatenate([p["grams"][n - 1][0] for p in per_lang]))
+        union = np.unique(np.concatenate([own[n - 1][0] for own in grams]))
         ctx_union = np.unique(union >> BITS) if n > 1 else np.zeros(1, np.uint64)
-        below = np.full((len(union), len(langs)), np.exp(unseen)) if prev_keys is None else prev_p[np.searchsorted(prev_keys, _suffix(union, n - 1))]
-        p = np.empty_like(below)
-        back = np.zeros((len(ctx_union), len(langs)), np.float32)
-        for i, own in enumerate(per_lang):
-            k, c = own["grams"][n - 1]
+        union_ctx = np.searchsorted(ctx_union, union >> BITS) if n > 1 else np.zeros(len(union), np.int64)
+        p = np.full((len(union), len(grams)), np.exp(unseen)) if below_p is None else below_p[np.searchsorted(below_keys, _suffix(union, n - 1))]
+        back = np.zeros((len(ctx_union), len(grams)), np.float32)
+        for i, own in enumerate(grams):
+            k, c = own[n - 1]
             n1, n2 = (c == 1).sum(), (c == 2).sum()
             d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
             ctx_of = np.searchsorted(ctx_union, k >> BITS) if n > 1 else np.zeros(len(k), np.int64)
@@ -154,16 +169,14 @@ def fit(langs: list[str], lang_of: np.ndarray, key: np.ndarray, count: np.ndarra
             kinds = np.bincount(ctx_of, minlength=len(ctx_union))
             weight = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
             back[:, i] = np.log(weight)
-            union_ctx = np.searchsorted(ctx_union, union >> BITS) if n > 1 else np.zeros(len(union), np.int64)
-            p[:, i] = weight[union_ctx] * below[:, i]
-            at = np.searchsorted(union, k)
-            p[at, i] += np.maximum(c - d, 0) / total[ctx_of]
+            p[:, i] *= weight[union_ctx]
+            p[np.searchsorted(union, k), i] += np.maximum(c - d, 0) / total[ctx_of]
         keys.append(union)
         logp.append(np.log(p).astype(np.float32))
         context.append(ctx_union)
         log_backoff.append(back)
-        prev_keys, prev_p = union, p
-    return Model(langs, keys, logp, context, log_backoff, float(unseen))
+        below_keys, below_p = union, p
+    return Part(keys, logp, context, log_backoff, float(unseen))
 
 
 def fold(id_col: str) -> Column:
@@ -278,10 +291,11 @@ def _calibrate(model: Model, truth: np.ndarray, n: np.ndarray, h: np.ndarray, ma
             high = max(3.0, float(np.quantile(z, USUAL)))
             model.max_z[i] = margin * (high if len(z) * (1 - USUAL) >= 1 else max(high, usual))  # a thin tail says little
     if len(h):
-        gap = (h - h.min(axis=1, keepdims=True)) * np.minimum(n, 200)[:, None]
-        grid = [0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0]
+        gap = (h - h.min(axis=1, keepdims=True)) * n[:, None]
+        grid = [0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0]
         nll = [np.mean(np.log(np.exp(-t * gap).sum(axis=1)) + t * gap[np.arange(len(h)), truth]) for t in grid]
         model.temperature = grid[int(np.argmin(nll))]
+        model.rejected_share = float(model.rejects(h, n).mean())
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,7 +309,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 continue
             h, n = m.cross_entropies(batch.column(1).to_pylist())
             best = h.argmin(axis=1)
-            gap = (h - h.min(axis=1, keepdims=True)) * np.minimum(n, 200)[:, None]
+            gap = (h - h.min(axis=1, keepdims=True)) * n[:, None]
             score = np.where(n > 0, 1 / np.exp(-m.temperature * gap).sum(axis=1), 0.0)
             rejected = m.rejects(h, n)
             names = [m.langs[b] if size else UNDETERMINED for b, size in zip(best, n)]

@@ -102,10 +102,15 @@ def test_pack_places_every_row_once(spark, odd_docs):
     assert packing.pack(odd_docs.limit(0)).count() == 0
 
 
-def test_histogram_stays_small(spark):
-    rows = spark.range(40000).select((F.col("id") + 1).alias("n"))
-    hist = packing.length_histogram(rows, 1000)
-    assert len(hist) < 1000 + 256 * 6 and sum(c for _, c in hist) == 40000 and hist[-1][0] == 40000
+def test_long_documents_have_exact_boundaries(spark):
+    """Lengths far beyond any usual size are candidates one by one, like short ones."""
+    rnd = random.Random(6)
+    lengths = [rnd.choice([rnd.randint(1, 9), 40_000 + rnd.randint(0, 5), 3_000_000 + rnd.randint(0, 5)]) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long")
+    known, counts = packing.length_histogram(df)
+    assert dict(zip(known, counts)) == {x: lengths.count(x) for x in set(lengths)} and known == sorted(known)
+    rows = packing.pack(df.withColumn("text", F.lit("")), n_buckets=4, length=F.col("n")).collect()
+    assert sum(r["bucket_len"] - r["n_tokens"] for r in rows) == brute_padding(known, counts, 4)
 
 
 # --- Jaccard join ----------------------------------------------------------------------------------------------------
@@ -568,7 +573,7 @@ def test_language_id_keeps_every_ngram(spark):
     rows = [(next(ids), t, "zz") for t in noise * 2] + [(next(ids), small[k], k) for k in ("aa", "bb")]
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
     grams = np.unique(np.concatenate([language_id.windows(language_id.symbols(t)) for t in (*noise, *small.values())]))
-    assert len(grams) > 2_000_000 and np.array_equal(model.keys[-1], grams)
+    assert len(grams) > 2_000_000 and np.array_equal(model.parts[0].keys[-1], grams)
     h, _ = model.cross_entropies(list(small.values()))
     assert [model.langs[i] for i in h.argmin(axis=1)] == list(small)
 
@@ -586,7 +591,7 @@ def test_language_id_rejection_is_calibrated_per_language():
     truth, n = np.array([0] * 500 + [1] * 500 + [2] * 4), np.full(1004, 400)
     h = np.full((1004, 3), 4.0)
     h[np.arange(1004), truth] = rng.normal(1.5, 0.05, 1004)
-    model = lambda: language_id.Model(["a", "b", "c"], [], [], [], [], -5.0)
+    model = lambda: language_id.Model(["a", "b", "c"], [])
     clean, dirty = model(), model()
     language_id._calibrate(clean, truth, n, h, 2.0)
     wrong, mixed = [9.0, 9.5, 9.2], [3.2, 4.0, 4.0]  # another script labelled "b"; a text of "a" with foreign passages
@@ -605,18 +610,63 @@ def test_language_id_odd_rows(odd_docs):
     assert {r["lang_pred"] for r in language_id.identify(odd_docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
-    texts = {"a": ["the cat sat on the mat", "the hat"], "b": ["le chat est ici", "la la la"]}
-    key = {k: np.concatenate([language_id.windows(language_id.symbols(t)) for t in v]) for k, v in texts.items()}
+def naive_kneser_ney(texts, langs, alphabet):
+    """p(language, four symbols) from dictionaries, one sum at a time."""
+    top = {k: {} for k in langs}
+    for lang, texts_ in texts.items():
+        for t in texts_:
+            s = [32] * 2 + language_id.symbols(t).tolist()
+            for i in range(len(s) - 3):
+                g = tuple(s[i : i + 4])
+                top[lang][g] = top[lang].get(g, 0) + 1
+    counts = {k: [None, None, None, None, c] for k, c in top.items()}
+    for c in counts.values():
+        for n in (3, 2, 1):
+            c[n] = {}
+            for g in c[n + 1]:
+                c[n][g[1:]] = c[n].get(g[1:], 0) + 1
+
+    def p(lang, g):
+        if not g:
+            return 1 / (alphabet + 1)
+        own = counts[lang][len(g)]
+        n1, n2 = sum(v == 1 for v in own.values()), sum(v == 2 for v in own.values())
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        same = [v for k, v in own.items() if k[:-1] == g[:-1]]
+        if not same:
+            return p(lang, g[1:])
+        return max(own.get(g, 0) - d, 0) / sum(same) + d * len(same) / sum(same) * p(lang, g[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("group", [1, 2, 8])
+def test_fit_equals_naive_kneser_ney(monkeypatch, group):
+    monkeypatch.setattr(language_id, "GROUP", group)
+    texts = {"a": ["the cat sat on the mat", "the hat"], "b": ["le chat est ici", "la la la"], "c": ["der hut", "die katze ist da, die katze"]}
     langs, parts = list(texts), []
-    for i, k in enumerate(langs):
-        u, c = np.unique(key[k], return_counts=True)
+    for i, v in enumerate(texts.values()):
+        u, c = np.unique(np.concatenate([language_id.windows(language_id.symbols(t)) for t in v]), return_counts=True)
         parts.append((np.full(len(u), i), u, c))
     model = language_id.fit(langs, *(np.concatenate(x) for x in zip(*parts)))
-    alphabet = np.unique(np.concatenate([language_id.symbols(t) for v in texts.values() for t in v]).astype(np.uint64))
-    for ctx in ("the", "la ", "zzz", "cha"):
-        h = np.uint64(0)
-        for ch in ctx:
-            h = (h << np.uint64(16)) | np.uint64(ord(ch))
-        p = np.exp(model.log_probs((h << np.uint64(16)) | alphabet)).sum(axis=0)
-        assert (p <= 1.0001).all() and (p > 0.9).all()
+    alphabet = sorted({int(x) for v in texts.values() for t in v for x in language_id.symbols(t)})
+    naive, rnd = naive_kneser_ney(texts, langs, len(alphabet)), random.Random(2)
+    grams = [tuple(rnd.choice([*alphabet, 0x3A9]) for _ in range(4)) for _ in range(300)]
+    grams += [tuple(language_id.symbols(t)[i : i + 4].tolist()) for v in texts.values() for t in v for i in range(len(language_id.symbols(t)) - 3)]
+    pack = lambda g: sum(int(x) << 16 * (3 - i) for i, x in enumerate(g))
+    got = model.log_probs(np.array([pack(g) for g in grams], np.uint64))
+    want = np.log([[naive(lang, g) for lang in langs] for g in grams])
+    assert np.allclose(got, want, atol=2e-5)
+    for ctx in ("the", "la ", "zzz", "cha"):  # all symbols and the one place for unknown ones make a whole
+        row = [tuple(map(ord, ctx)) + (s,) for s in [*alphabet, 0x3A9]]
+        assert np.allclose(np.exp(model.log_probs(np.array([pack(g) for g in row], np.uint64))).sum(axis=0), 1, atol=1e-4)
+
+
+def test_score_uses_the_whole_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs)
+    assert model.rejected_share < 0.01
+    en, fr = (docs.where(f"lang = '{x}' and n_chars between 300 and 800").orderBy("doc_id").first()["text"] for x in ("en", "fr"))
+    odd = spark.createDataFrame([(1, en[:40]), (2, en[:250]), (3, en[:250] + " " + fr * 3)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_id.predict(odd, model).collect()}
+    assert got[1]["score"] <= got[2]["score"] and (got[1]["lang_pred"], got[2]["lang_pred"], got[3]["lang_pred"]) == ("en", "en", "fr")
