@@ -50,10 +50,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_after_edits(docs, sample_edits())
 
 
+#: Target weights of the mixture, by level; whatever is not named weighs 1, and 0 leaves out.
+MIX_WEIGHTS = {"domain": {"d0": 3, "d1": 2}, "lang": {"en": 5, "de": 2, "fr": 2}, "source": {"src1": 3, "src4": 2, "src7": 0}}
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from binfold.llm.mixing import mix
 
-    return mix(_read(spark, sf_dir, "documents"))
+    return mix(_read(spark, sf_dir, "documents"), weights=MIX_WEIGHTS)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,12 +104,17 @@ def _escaped(col: str) -> str:
     return out
 
 
+def _weight_sql(level: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS[level].items())
+    return f"CAST(CASE {level} {whens} ELSE 1 END AS DOUBLE)"
+
+
 def _share_sql(name: str, source: str, parent: str, key: str) -> str:
     part = f"PARTITION BY {parent}" if parent else ""
     order = f"{part} ORDER BY ratio, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     keys = f"{parent}, {key}" if parent else key
     return f"""
-{name}_a AS (SELECT *, CAST(1.0 AS DOUBLE) AS w, cap / CAST(1.0 AS DOUBLE) AS ratio FROM {source} WHERE cap > 0),
+{name}_a AS (SELECT *, {_weight_sql(key)} AS w, cap / {_weight_sql(key)} AS ratio FROM {source} WHERE cap > 0),
 {name}_b AS (SELECT *, coalesce(sum(cap) OVER ({order}), 0) AS cap_before, sum(w) OVER ({part}) - coalesce(sum(w) OVER ({order}), 0) AS w_left FROM {name}_a),
 {name}_c AS (SELECT *, cap * w_left <= w * (parent_budget - cap_before) AS is_full FROM {name}_b),
 {name}_d AS (SELECT *, sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ({part}) AS cap_full, sum(CASE WHEN is_full THEN 0.0 ELSE w END) OVER ({part}) AS w_open FROM {name}_c),
@@ -121,7 +130,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op7_mixing": f"""
 WITH rows AS (SELECT doc_id, 'd' || CAST(ascii(md5(source)) % 4 AS VARCHAR) AS dom, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, {_WORDS} AS n_tokens FROM documents),
 r AS (SELECT doc_id, coalesce(dom, 'unknown') AS domain, lang, source, n_tokens FROM rows),
-leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * 2 AS BIGINT) AS cap FROM r GROUP BY ALL),
+leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(CASE WHEN {_weight_sql('domain')} * {_weight_sql('lang')} * {_weight_sql('source')} > 0 THEN sum(n_tokens) * 2 ELSE 0 END AS BIGINT) AS cap FROM r GROUP BY domain, lang, source),
 l1 AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, (SELECT CAST(floor(sum(tokens) * 0.5) AS BIGINT) FROM leaves) AS parent_budget FROM leaves GROUP BY domain),
 {_share_sql('b1', 'l1', '', 'domain')},
 l2 AS (SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap, any_value(b1.budget) AS parent_budget FROM leaves JOIN b1 USING (domain) GROUP BY domain, lang),

@@ -465,6 +465,21 @@ def test_mixing_weight_zero_gives_its_share_to_siblings(spark):
     assert got == {"en": 375, "de": 375, "fr": 0}
 
 
+@pytest.mark.parametrize("name", ["op5_top_k_search", "op7_mixing", "op9_chat_formatting", "op10_exact_dedup"])
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    from binfold.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
+    got, want = queries.QUERIES[name](spark, DIR).toPandas(), con.execute(queries.ORACLES[name]).fetchdf()
+    assert sorted(got.columns) == sorted(want.columns) and len(got) > 0
+    cells = lambda df: sorted(map(str, df[sorted(df.columns)].astype(str).itertuples(index=False)))
+    assert cells(got) == cells(want)
+
+
 # --- chat ------------------------------------------------------------------------------------------------------------
 
 
