@@ -328,7 +328,8 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
             if batch.num_rows:
                 yield batch.filter(pa.array(~shared.value.rejects(*shared.value.cross_entropies(batch.column(at).to_pylist()))))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # a name with a dot can't go through
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

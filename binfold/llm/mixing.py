@@ -22,6 +22,12 @@ def default_domain() -> Column:
     return F.concat(F.lit("d"), (F.ascii(F.md5(F.col("source").cast("binary"))) % 4).cast("string"))
 
 
+def leaf_columns(domain: Column | None = None) -> list[Column]:
+    """``domain, lang, source`` of a row; what is null or absent falls under ``unknown``."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)).alias(c)
+    return [F.coalesce(domain if domain is not None else default_domain(), F.lit(UNKNOWN)).alias("domain"), name("lang"), name("source")]
+
+
 def _weight(col: str, weights: dict[str, int] | None) -> Column:
     """Weights are configuration (a dict of the caller); a key without entry weighs 1, an entry of 0 excludes."""
     if not weights:
@@ -79,8 +85,7 @@ def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 2, weights
     but the last three digits), blocks inside their leaf, and only rows of one range are sorted together. So no
     window sees more than 4096 ranges or blocks until a leaf has ``range_rows`` * 2**36 rows.
     """
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(domain if domain is not None else default_domain(), F.lit(UNKNOWN)).alias("domain"), name("lang").alias("lang"), name("source").alias("source"), word_count(F.col(text_col)).alias("n_tokens"))
+    rows = docs.select(F.col(id_col).alias("id"), *leaf_columns(domain), word_count(F.col(text_col)).alias("n_tokens"))
     rows = table(rows, "leaf-rows")
     leaves = table(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "leaves")
     tokens, n_rows = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()

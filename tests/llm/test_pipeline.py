@@ -36,7 +36,7 @@ def test_stages_follow_their_rules(spark, tmp_path):
     assert ids(seen[1][1]) == sorted(best.values())
     joined = brute_join([(r["doc_id"], r["text"]) for r in seen[2][0].collect()])
     assert ids(seen[2][1]) == sorted(i for i, (_, comp, _) in joined.items() if comp == i)
-    taken = [r[0] for r in mixing.mix(seen[3][0], 0.7, 1).where("copies > 0").select("doc_id").collect()]
+    taken = [r[0] for r in mixing.mix(seen[3][0], 0.7, 1, corpus_pipeline.TARGET).where("copies > 0").select("doc_id").collect()]
     assert ids(seen[3][1]) == sorted(taken) and 0 < len(taken) < seen[3][0].count()
     assert ids(seen[4][1]) == sorted(taken)
     assert ids(corpus_pipeline.run(spark, str(tmp_path))) == sorted(taken)
@@ -45,3 +45,26 @@ def test_stages_follow_their_rules(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_take_odd_rows(spark):
+    """Null and repeated ids, repeated rows, ids on two texts, and columns named like those the stages add."""
+    text = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    near = [" ".join(t.split()[:-1]) for t in text]
+    rows = [
+        (5, text[0], "en", "s"), (5, text[0], "en", "s"), (5, text[1], "en", None), (9, text[1].upper(), None, "s"), (6, near[0], "en", "s"), (7, near[1], "en", "s"),
+        (None, text[2], "en", "s"), (None, text[2].upper(), "en", "s"), (8, near[2], "en", "s"), (1, None, "en", "s"), (2, "", "en", "s"), (None, " ", None, None), (5, "kept words", "en", "s"),
+    ]
+    docs = spark.createDataFrame([(*r, "x", i, 2) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, row_key string, nth int, `a.b` int")
+    once = corpus_pipeline.dedup_exact(spark, docs, "")
+    assert once.columns == docs.columns
+    low = lambda t: lower(t)
+    got = once.collect()
+    assert sorted((str(r["doc_id"]), low(r["text"])) for r in got) == sorted([("5", text[0]), ("9", text[1]), ("6", near[0]), ("7", near[1]), ("None", text[2]), ("8", near[2]), ("2", ""), ("None", " "), ("5", "kept words")])
+    left = corpus_pipeline.dedup_near(spark, once, "")
+    assert left.columns == docs.columns
+    assert sorted((str(r["doc_id"]), low(r["text"])) for r in left.collect()) == sorted([("5", text[0]), ("7", near[1]), ("8", near[2]), ("2", ""), ("None", " "), ("5", "kept words")])
+    taken = corpus_pipeline.mixing(spark, left, "")
+    assert taken.columns == docs.columns and 0 < taken.count() <= 6
+    assert corpus_pipeline.packing(spark, docs, "").count() == len(rows)
+    assert corpus_pipeline.language_id(spark, docs, "").columns == docs.columns
