@@ -1,31 +1,61 @@
 """The corpus pipeline: each stage works on what the one before kept, written as Parquet and read again.
 
 Language ID drops what it rejects, exact dedup keeps one row of equal texts, the Jaccard join keeps one document of
-each near-duplicate group, mixing keeps what the source weights select, packing places the rest in batches.
+each near-duplicate group, mixing keeps what the target weights select, packing places the rest in batches.
+
+Rows are told apart by id and text, so an id that two texts share never brings back what a stage dropped. A row that
+repeats both is the same document, kept once from exact dedup on. Columns pass through whatever their names. Every
+stage gives an empty result for an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from binfold.llm.common import delete_path, new_path
 from binfold.llm.exact_dedup import exact_dedup, text_digest
 from binfold.llm.jaccard_join import near_duplicates
 from binfold.llm.language_id import keep_identified, train
-from binfold.llm.mixing import mix
+from binfold.llm.mixing import leaf_columns, mix
 from binfold.llm.packing import pack
 
+#: Target weights of the mixture; what is not named weighs 1.
+TARGET = {"lang": {"en": 5, "de": 2, "fr": 2}, "source": {"src1": 3, "src4": 2}}
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id (null included) is in ``ids``."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def _row_key(digest: Column) -> Column:
+    """Orders by id, null ids last, then by text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest"))
+
+
+def _keep(docs: DataFrame, key: Column, keys: DataFrame, once: bool) -> DataFrame:
+    """Rows of ``docs`` whose key is in the one column of ``keys``; with ``once`` one row of a key.
+
+    One shuffle of the rows serves the join and the window, whose keys are the rows' own, so none is hot.
+    """
+    name = _unused(docs, "row_key")
+    rows = docs.withColumn(name, key).join(keys.toDF(name), name, "left_semi")
+    if once:
+        nth = _unused(docs, "nth")
+        rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(name).orderBy(F.lit(1)))).where(F.col(nth) == 1)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without one usable label outside the held-out fold there is no model, and nothing can be accepted."""
+    """Null, empty and letterless texts go with what the model rejects; null ids and repeated rows are rows like others.
+
+    Without one usable label outside the held-out fold there is no model, and nothing can be accepted.
+    """
     try:
         model = train(docs)
     except ValueError:
@@ -34,24 +64,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_key"))
-    rows = docs.withColumn("_digest", text_digest(F.col("text")))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_key")), "left_semi")
-    # Rows that repeat id and text are one document; only they meet in a window.
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(F.lit(1)))
-    return rows.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    """Of equal texts (A-Z in either case; null and empty alike) the row with the largest id stays, a null id last."""
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id"), F.unhex("text_sha256").alias("digest"))
+    return _keep(docs, _row_key(text_digest(F.col("text"))), kept.select(_row_key(F.col("digest"))), once=True)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _chosen(docs, near_duplicates(docs).where("doc_id <=> component_id"))
+    """Of each group the row with the smallest id stays (null ids only where there is no other); texts without words all stay."""
+    key = _row_key(text_digest(F.col("text")))
+    found = near_duplicates(docs.select(key.alias("row"), "text"), id_col="row")
+    return _keep(docs, key, found.where("row = component_id").select("row"), once=True)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One epoch at most: the mixture selects, it does not repeat documents."""
-    return _chosen(docs, mix(docs, budget_share=0.7, max_epochs=1).where("copies > 0"))
+    """One epoch at most: the mixture selects, it does not repeat documents. Null labels are the leaf ``unknown``; rows
+    that repeat id and leaf go or stay together; texts without words stay only where their leaf stays whole."""
+    leaf = lambda *cols: F.struct(F.col("doc_id").alias("id"), *cols)
+    taken = mix(docs, budget_share=0.7, max_epochs=1, weights=TARGET).where("copies > 0")
+    return _keep(docs, leaf(*leaf_columns()), taken.select(leaf("domain", "lang", "source")), once=False)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row gets a place: null and empty texts have length 1, null ids and repeated rows are rows like others."""
     return pack(docs)
 
 
