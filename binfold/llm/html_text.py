@@ -11,6 +11,7 @@ if that has a title, an article or (unless it is named as comments) several bloc
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -30,6 +31,8 @@ HINT = re.compile(
     r"|sidebars?|side-bar|menus?|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommend(?:ed|ations)?|subscribe|subscription|newsletter|signup|login|popups?|modal|overlay|footer|header|masthead|widgets?|toolbar|pagination|pager|search|skip|disclaimer|copyright|paywall)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+#: Elements of running text: a name hints only if it is nothing but a hint ("ad", not "share-price").
+TEXT_LEVEL = {"p", "span", "a", "b", "i", "em", "strong", "li", "td", "th", "tr", "dd", "dt", "pre", "blockquote", "figure", "figcaption"} | HEADINGS
 #: Names of what a container has or lacks, not of what it is: no-sidebar, has-header, comments-open.
 STATE = re.compile(r"(?:no|has|with|without)[_-]|.*[_-](?:open|closed|enabled|disabled)$", re.IGNORECASE)
 TALK = re.compile(r"comment|repl(?:y|ies)|responses|disqus", re.IGNORECASE)
@@ -38,8 +41,9 @@ SIGMA = 1.0
 COVERS = 0.8  # share of the upper cluster's characters from which an article is taken to be the whole region
 
 
-def _hints(attrs: dict[str, str | None]) -> bool:
-    return any(HINT.search(name) and not STATE.match(name) for k in ("class", "id") for name in (attrs.get(k) or "").split())
+def _hints(tag: str, attrs: dict[str, str | None]) -> bool:
+    names = [name for k in ("class", "id") for name in (attrs.get(k) or "").split()]
+    return any((HINT.fullmatch(name) if tag in TEXT_LEVEL else HINT.search(name)) and not STATE.match(name) for name in names)
 
 
 class _Lines(HTMLParser):
@@ -48,8 +52,10 @@ class _Lines(HTMLParser):
     def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.spared = spared  # numbers of start tags whose hints don't count
-        self.number = self.plain = self.hard = 0
-        self.hinted: dict[int, list] = {}  # by number: unlinked characters, lines, whether named as talk, whether it has a title or an article
+        self.number = self.plain = self.plain_lines = self.marks = self.hard = 0
+        # By number; at the start the counts so far, in the end unlinked characters, lines, whether named as talk, whether it has a title or an article.
+        self.hinted: dict[int, tuple] = {}
+        self.open: Counter[str] = Counter()  # tags on the stack, so that what is not open is not looked for
         self.stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, starts boilerplate, an article, boilerplate by its element, number if hinted
         self.lines: list[tuple[str, int, int, bool, bool]] = []
         self.text: list[str] = []
@@ -62,15 +68,17 @@ class _Lines(HTMLParser):
             if not self.hard:
                 size = max(0, len(text) - self.links)
                 self.plain += size
-                for k in {x[4] for x in self.stack if x[4]}:
-                    self.hinted[k][0] += size
-                    self.hinted[k][1] += 1
+                self.plain_lines += 1
             self.lines.append((text, self.tags, self.links, self.off > 0, self.article > 0))
         self.text, self.tags, self.links = [], 0, 0
 
     def _pop(self, upto: int) -> None:
         while len(self.stack) > upto:
-            tag, off, article, hard, _ = self.stack.pop()
+            tag, off, article, hard, number = self.stack.pop()
+            self.open[tag] -= 1
+            if number:  # what came since its start is inside it
+                size, lines, marks, talk = self.hinted[number]
+                self.hinted[number] = (self.plain - size, self.plain_lines - lines, talk, self.marks > marks)
             self.hard -= hard
             self.off -= off
             self.article -= article
@@ -79,13 +87,13 @@ class _Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.flush()
-            for i in range(len(self.stack) - 1, -1, -1):  # a block ends an open paragraph
+            for i in range(len(self.stack) - 1, -1, -1) if self.open["p"] else ():  # a block ends an open paragraph
                 if self.stack[i][0] == "p":
                     self._pop(i)
                     break
                 if self.stack[i][0] in BLOCK:
                     break
-        if tag in CLOSED_BY:
+        if tag in CLOSED_BY and any(self.open[x] for x in CLOSED_BY[tag]):
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i][0] in CLOSED_BY[tag]:
                     self._pop(i)
@@ -101,20 +109,19 @@ class _Lines(HTMLParser):
             self.text.append(" ")
         a = dict(attrs)
         off = tag in BOILERPLATE or (a.get("role") or "").lower() in ROLES or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true"
-        hard, hinted = off, tag not in {"body", "html", "main"} and not off and _hints(a)
+        hard, hinted = off, tag not in {"body", "html", "main"} and not off and _hints(tag, a)
         if hinted:
-            self.hinted[self.number] = [0, 0, bool(TALK.search(f"{a.get('class')} {a.get('id')}")), False]
+            self.hinted[self.number] = (self.plain, self.plain_lines, self.marks, bool(TALK.search(f"{a.get('class')} {a.get('id')}")))
             off = self.number not in self.spared
         if self.article and tag == "header" and not HINT.search(a.get("class") or ""):
-            off = hard = False  # an article's own header holds its title; the rest of it is dropped below
+            off = hard = False  # an article's own header holds its title and lead; the rest of it is dropped below
             self.header_in_article += 1
         marks = tag in {"article", "main"} or (a.get("role") or "").lower() in {"main", "article"} or (a.get("itemprop") or "").lower() == "articlebody"
         article = marks and not off
         number = self.number if hinted else 0
-        if marks or tag == "h1":
-            for k in {x[4] for x in self.stack if x[4]} | ({number} - {0}):
-                self.hinted[k][3] = True
+        self.marks += marks or tag == "h1"
         self.stack.append((tag, off, article, hard, number))
+        self.open[tag] += 1
         self.hard += hard
         self.off += off
         self.article += article
@@ -125,9 +132,16 @@ class _Lines(HTMLParser):
         if tag in HIDDEN:
             self.handle_endtag(tag)
 
+    def parse_html_declaration(self, i: int) -> int:
+        """A marked section (``<![``) is no text, however it goes on; the library knows only some of its forms."""
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
+        for i in range(len(self.stack) - 1, -1, -1) if self.open[tag] else ():
             if self.stack[i][0] == tag:
                 if tag in BLOCK or any(x[0] in BLOCK for x in self.stack[i:]):
                     self.flush()
@@ -141,7 +155,7 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if any(x[0] in HIDDEN for x in self.stack[-2:]):
             return
-        if self.header_in_article and any(x[0] == "header" for x in self.stack) and self.article and not any(x[0] in HEADINGS for x in self.stack):
+        if self.header_in_article and any(x[0] == "header" for x in self.stack) and self.article and not any(x[0] == "p" or x[0] in HEADINGS for x in self.stack):
             return
         self.text.append(data)
         if self.anchors:
@@ -174,6 +188,7 @@ def _parsed(html: str) -> _Lines:
         parser.feed(html)
         parser.close()
         parser.flush()
+        parser._pop(0)
         most = {k for k, (size, n, talk, titled) in parser.hinted.items() if 2 * size > parser.plain and (titled or n > 2 and not talk)}
         if most <= spared:
             return parser

@@ -552,6 +552,30 @@ def test_html_hints_spare_the_body():
     assert "long" not in html_text.main_text(f'<article><p>{"short text " * 9}</p></article><div class="comments">{"<p>" + "long talk " * 50 + "</p>"}</div>')
 
 
+def test_html_names_and_headers_keep_article_text():
+    body = "".join(f"<p>{'real sentence with many words ' * 8}{i}</p>" for i in range(4))
+    got = html_text.main_text(f'<article><header><h1>T</h1><p>Lead of the story</p><div>By me</div></header>{body}<p class="share-price">The price rose.</p><p class="ad">Buy now</p></article>')
+    assert got.startswith("T\n\nLead of the story\n\nreal") and got.endswith("The price rose.") and "By me" not in got and "Buy" not in got
+
+
+def test_html_never_raises():
+    assert html_text.main_text("<p>one</p><![foo[bar]]><p>two</p>") == "one\n\ntwo" and html_text.main_text("<p>one</p><![ x") == "one"
+    rnd = random.Random(7)
+    bits = ["<", ">", "<!", "<![", "<![CDATA[", "<!DOCTYPE", "<!--", "-->", "--!>", "]]>", "<?", "&", "&#", "&#x", ";", "&amp;", "</", "<p", "<p>", "</p>", "<div class=", '"', "'", "<article>", "</article>", "<header>", "<script>", "</script", "<a href=x>", "x", " ", "\n", "\x00", "é", "=", "/", "<li>", "<td>", "</ul>", "[", "]", "%", "<svg/>", "<title>", "<textarea>"]
+    for _ in range(4000):
+        html_text.main_text("".join(rnd.choice(bits) for _ in range(rnd.randint(1, 25))))
+
+
+def test_html_deep_pages_take_linear_time():
+    import time
+
+    start = time.time()
+    n = 20_000
+    for page in ("<div>x" * n, "<span>" * n + "<div>x</div>" * n, "<b>" * n + "</i>" * n, '<div class="ad">' * n + "<p>x" * n, "<span>" * n + "<li>x" * n):
+        html_text.main_text(page)
+    assert time.time() - start < 60
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, "v", ""), (None, "w", "<p>x" + "y" * 50000)], "page_id long, url string, html string").withColumn("text", F.lit(0))
     got = html_text.extract(df).collect()
