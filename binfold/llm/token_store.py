@@ -2,11 +2,13 @@
 
 Documents are encoded whole, an end id is appended, and a rolling hash over eight ids cuts the stream into chunks. A
 chunk is stored once under the SHA-256 of its ids (little-endian, 32 bits each); a document is a recipe, the list of
-its chunks. Recipes lie in ascending id order in parts; per part a Merkle tree over its recipes (nodes of ``FANOUT``
-recipes, then the part, then the store) is kept in the manifest and compared when the store is read.
+its chunks. Recipes lie in ascending id order in parts. A Merkle tree stands over all of them: nodes of ``FANOUT``
+recipes, parts, groups of ``FANOUT`` parts, and the store. Part roots are kept in the manifest, the root of the store in
+a note; both are compared when the store is read, so a part that is changed, added or taken away with its manifest row
+is noticed.
 
 Layout below the store's path: ``log/kind=chunk`` (key, n, body), ``recipes`` (part, row, start, id, n, body = chunk
-keys, leaf) and ``manifest`` (part, docs, tokens, root).
+keys), ``manifest`` (part, docs, tokens, root) and ``_root`` (the store's root, parts, documents and tokens).
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from binfold.llm.common import new_path, table
+from binfold.llm.common import new_path, read_note, write_note
 
 END_ID = 0
 KEY = 32
@@ -119,9 +121,20 @@ def _lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merkle(recipes: DataFrame) -> DataFrame:
     """``part, docs, tokens, root`` from recipes; a node hashes at most ``FANOUT`` leaves, a part its nodes in order."""
     leaf = F.unhex(F.sha2(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"), F.lit(b":"), F.col("body")), 256))
-    joined = lambda c, by: F.unhex(F.sha2(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, c))), lambda x: F.hex(x[c])), "")), 256))
-    nodes = recipes.withColumn("leaf", leaf).withColumn("node", F.floor(F.col("row") / FANOUT)).groupBy("part", "node").agg(joined("leaf", "row").alias("hash"), F.count("*").alias("docs"), F.sum("n").alias("tokens"))
-    return nodes.groupBy("part").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), joined("hash", "node").alias("root"))
+    nodes = recipes.withColumn("leaf", leaf).withColumn("node", F.floor(F.col("row") / FANOUT)).groupBy("part", "node").agg(_joined("leaf", "row").alias("hash"), F.count("*").alias("docs"), F.sum("n").alias("tokens"))
+    return nodes.groupBy("part").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), _joined("hash", "node").alias("root"))
+
+
+def _joined(c: str, by: str) -> Column:
+    """SHA-256 over the hashes of a group's children in order."""
+    return F.unhex(F.sha2(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, c))), lambda x: F.hex(x[c])), "")), 256))
+
+
+def store_root(manifest: DataFrame) -> str:
+    """The top of the tree: root over groups of parts, with the numbers of parts, documents and tokens."""
+    groups = manifest.groupBy(F.floor(F.col("part") / FANOUT).alias("group")).agg(_joined("root", "part").alias("hash"), F.count("*").alias("parts"), F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    top = groups.agg(F.lower(F.hex(_joined("hash", "group"))), F.coalesce(F.sum("parts"), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    return " ".join(map(str, top))
 
 
 def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -139,6 +152,7 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
     recipes = log.where("kind = 'recipe'").select("id", "n", "body").repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "n", "body")
     recipes.mapInArrow(_lay_out, f"part int, row long, start long, id {kind}, n long, body binary").write.mode("overwrite").parquet(f"{path}/recipes")
     merkle(spark.read.parquet(f"{path}/recipes")).write.mode("overwrite").parquet(f"{path}/manifest")
+    write_note(spark, f"{path}/_root", store_root(spark.read.parquet(f"{path}/manifest")))
     return path
 
 
@@ -149,6 +163,8 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
     """Recipes with ``start`` over the whole store, after the manifest has been compared with what was read."""
     recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
+    if read_note(spark, f"{path}/_root") != store_root(manifest):
+        raise ValueError("the manifest does not match the root of the store")
     now = merkle(recipes).select("part", F.col("root").alias("now"))
     # One row per part: as many as the writing job had tasks.
     before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -268,6 +284,9 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 def store_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Write the store and read it back: ``doc_id, start, n_tokens, ids_crc32``.
 
+    Texts are encoded in independent units by the library's own pattern and merges (see ``units``), equal to encoding
+    them whole.
+
     A null or empty text is the end id alone. Null ids come first. Rows that repeat an id are documents of their own,
     in order of size and content. Empty input gives an empty store and result. Other columns are not read.
     """
