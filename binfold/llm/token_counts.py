@@ -1,9 +1,10 @@
 """Edit-aware token counts.
 
-A text is kept as a tree over its independent units (see ``units``): leaves hold the characters and tokens of a unit,
-every inner node the sums of its two children. An edit finds the leaves it touches by descending the character sums,
-re-encodes only these and one unit of context on either side, and renews the sums on the paths to the root. The
-count of the edited text is then the root, without encoding the rest again.
+A text is kept as a tree over its independent units (see ``units``): leaves hold the characters and tokens of one unit
+or, after edits, of a run of units; every inner node the sums of its two children. An edit finds the leaves it touches by
+descending the character sums, re-encodes only these and one leaf of context on either side, and renews the sums on
+the paths to the root. The count of the edited text is then the root, without encoding the rest again. The edited text
+and its tree can be kept, so the next round of edits is local too.
 """
 
 from __future__ import annotations
@@ -54,17 +55,20 @@ class TokenTree:
                 node += 1
         return node - self.width, start
 
-    def set_tokens(self, first: int, last: int, tokens: int) -> None:
-        """Leaves first..last now count ``tokens`` together (kept at the first); sums above them follow."""
+    def set_leaves(self, first: int, last: int, chars: int, tokens: int) -> None:
+        """Leaves first..last now hold ``chars`` and ``tokens`` together (kept at the first); sums above them follow."""
         lo, hi = self.width + first, self.width + last
-        self.sums[lo : hi + 1, 1] = 0
-        self.sums[lo, 1] = tokens
+        self.sums[lo : hi + 1] = 0
+        self.sums[lo] = chars, tokens
+        self.leaves = max(self.leaves, last + 1)
         while lo > 1:
             lo, hi = lo >> 1, hi >> 1
-            self.sums[lo : hi + 1, 1] = self.sums[2 * lo : 2 * hi + 2, 1].reshape(-1, 2).sum(axis=1)
+            self.sums[lo : hi + 1] = self.sums[2 * lo : 2 * hi + 2].reshape(-1, 2, 2).sum(axis=1)
 
     def to_bytes(self) -> bytes:
-        return self.sums[self.width : self.width + self.leaves].astype("<i4").tobytes()
+        """The leaves that hold characters; those an edit has emptied are left out."""
+        leaves = self.sums[self.width : self.width + self.leaves]
+        return leaves[leaves[:, 0] > 0].astype("<i4").tobytes()
 
     @staticmethod
     def from_bytes(raw: bytes) -> TokenTree:
@@ -123,10 +127,14 @@ def sample_edits(text_col: str = "text") -> Column:
 
 
 def build_trees(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """``docs`` with a column ``tree`` (the leaves; sums are rebuilt in one pass on reading). Null text: an empty tree."""
-    if "tree" in docs.columns:
-        raise ValueError("the column tree exists")
-    names, at = docs.columns, docs.columns.index(text_col)
+    """``docs`` with a column ``tree`` (the leaves; sums are rebuilt in one pass on reading), which replaces one of that name.
+
+    Null text: an empty tree.
+    """
+    docs = docs.drop("tree")
+    columns, at = docs.columns, docs.columns.index(text_col)
+    docs = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from binfold.llm.units import encoder, split_units
@@ -146,11 +154,21 @@ def build_trees(docs: DataFrame, text_col: str = "text", tokenizer: str | None =
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("tree", T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("tree", T.BinaryType())])).toDF(*columns, "tree")
+
 
+def edit_tree(tree: TokenTree, spans: list[tuple[int, int, int, int]]) -> None:
+    """Set regions (first leaf, last leaf, new characters, new tokens), all numbered as before any of them."""
+    for first, last, chars, tokens in spans:
+        tree.set_leaves(first, last, chars, tokens)
 
-def apply_edits(trees: DataFrame, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, n_edits, n_units, n_reencoded, n_tokens_edited`` from texts with their trees."""
+
+def apply_edits(trees: DataFrame, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, keep: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, n_edits, n_units, n_reencoded, n_tokens_edited`` from texts with their trees.
+
+    With ``keep`` also the edited ``text`` and its ``tree``, ready for further edits.
+    """
+    names = ["id", "n_tokens", "n_edits", "n_units", "n_reencoded", "n_tokens_edited"] + ["text", "tree"] * keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from binfold.llm.units import encoder
@@ -160,32 +178,28 @@ def apply_edits(trees: DataFrame, edits_col: str = "edits", id_col: str = "doc_i
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 work, pieces = [], []
-                for text, raw, edits in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
-                    text, tree = text or "", TokenTree.from_bytes(raw)
-                    todo = checked(edits, len(text))
-                    before, spans = tree.tokens, []
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for text, raw, edits in zip(texts, part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    tree, todo = TokenTree.from_bytes(raw), checked(edits, len(text))
+                    before, spans = (tree.tokens, tree.leaves), []
                     for first, last, start, end, own in regions(tree, todo):
-                        spans.append((first, last))
                         pieces.append(apply_text(text[start:end], [(s - start, e - start, t) for s, e, t in own]))
-                    work.append((tree, before, len(todo), spans))
+                        spans.append((first, last, len(pieces[-1])))
+                    work.append((tree, before, todo, spans))
                 at = iter(enc.rows(pieces))
-                out: list[list[int]] = [[], [], [], [], []]
-                for tree, before, n_edits, spans in work:
-                    again = 0
-                    for first, last in spans:
-                        rows = next(at)
-                        again += int((enc.size[rows] > 0).sum())
-                        if tree.leaves:
-                            tree.set_tokens(first, last, int(enc.size[rows].sum()))
-                        else:
-                            tree.sums[1, 1] = int(enc.size[rows].sum())
-                    for k, v in enumerate((before, n_edits, tree.leaves, again, tree.tokens)):
-                        out[k].append(v)
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, pa.int64()) for x in out]], ["id", "n_tokens", "n_edits", "n_units", "n_reencoded", "n_tokens_edited"])
+                out: list[list] = [[] for _ in names[1:]]
+                for text, (tree, (tokens, units), todo, spans) in zip(texts, work):
+                    sizes = [enc.size[next(at)] for _ in spans]
+                    edit_tree(tree, [(*span, int(size.sum())) for span, size in zip(spans, sizes)])
+                    row = (tokens, len(todo), units, int(sum((size > 0).sum() for size in sizes)), tree.tokens)
+                    for c, v in zip(out, (*row, apply_text(text, todo), tree.to_bytes()) if keep else row):
+                        c.append(v)
+                cols = [pa.array(x, pa.int64()) for x in out[:5]] + [pa.array(x, t) for x, t in zip(out[5:], (pa.string(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names)
 
     kind = trees.select(id_col).dtypes[0][1]
     rows = trees.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "tree", F.col(edits_col).cast(EDITS).alias("edits"))
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, n_edits long, n_units long, n_reencoded long, n_tokens_edited long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, n_tokens long, n_edits long, n_units long, n_reencoded long, n_tokens_edited long" + ", text string, tree binary" * keep).withColumnRenamed("id", id_col)
 
 
 def count_after_edits(docs: DataFrame, edits: Column, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:

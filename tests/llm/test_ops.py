@@ -288,6 +288,8 @@ def test_store_round_trip(spark, odd_docs):
     assert sorted(map(tuple, got), key=key) == sorted(expect, key=key)
     full = token_store.read_documents(spark, path).collect()
     assert sorted(r["ids"] for r in full) == sorted(np.array(x, "<u4").tobytes() for _, x in want)
+    # the digests that checksums of chunks give are those of the rebuilt ids
+    assert sorted(((r["id"], r["start"], r["n"], zlib.crc32(r["ids"])) for r in full), key=key) == sorted(map(tuple, got), key=key)
     chunks = token_store.read_chunks(spark, path)
     assert chunks.count() == chunks.select("key").distinct().count()
     del ids
@@ -302,6 +304,20 @@ def test_store_notices_damage(spark):
         token_store.digests(spark, path).collect()
 
 
+def test_store_notices_a_part_that_is_gone(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("words of "), F.col("id").cast("string")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    path = token_store.write_store(docs)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [r[0] for r in spark.read.parquet(f"{path}/manifest").select("part").orderBy("part").collect()]
+    assert len(parts) > 1 and token_store.digests(spark, path).count() == 5000
+    for name in ("recipes", "manifest"):
+        spark.read.parquet(f"{path}/{name}").where(F.col("part") != parts[-1]).write.parquet(f"{path}/less-{name}")
+        spark.read.parquet(f"{path}/less-{name}").write.mode("overwrite").parquet(f"{path}/{name}")
+    with pytest.raises(ValueError, match="root of the store"):
+        token_store.digests(spark, path)
+
+
 def test_store_empty(odd_docs):
     assert token_store.store_digests(odd_docs.limit(0)).count() == 0
 
@@ -328,14 +344,31 @@ def test_edits_equal_full_recount(odd_texts):
         tree = token_counts.TokenTree(np.array([len(u) for u in units], int), size)
         assert tree.tokens == len(whole(enc, text))
         todo = token_counts.checked(edits, len(text))
+        spans = []
         for first, last, lo, hi, own in token_counts.regions(tree, todo):
             piece = token_counts.apply_text(text[lo:hi], [(s - lo, e - lo, t) for s, e, t in own])
-            count = int(enc.size[enc.rows([piece])[0]].sum())
-            if tree.leaves:
-                tree.set_tokens(first, last, count)
-            else:
-                tree.sums[1, 1] = count
-        assert tree.tokens == len(whole(enc, token_counts.apply_text(text, todo))), (text, edits)
+            spans.append((first, last, len(piece), int(enc.size[enc.rows([piece])[0]].sum())))
+        token_counts.edit_tree(tree, spans)
+        after = token_counts.apply_text(text, todo)
+        assert (tree.tokens, tree.chars) == (len(whole(enc, after)), len(after)), (text, edits)
+
+
+def test_edits_of_edited_trees(spark, odd_texts):
+    """Three rounds of edits, each on the texts and trees the one before returned."""
+    rnd, enc = random.Random(5), encoder()
+    texts = [a + b for a, b in zip(odd_texts, odd_texts[7:])][:400]
+    df = token_counts.build_trees(spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, tree string, `a.b` string"))
+    assert df.columns == ["doc_id", "text", "a.b", "tree"]
+    for _ in range(3):
+        edits = [(i, [((a := rnd.randint(0, 60)), a + rnd.randint(0, 20), rnd.choice(odd_texts)[:6]) for _ in range(rnd.randint(0, 3))]) for i in range(len(texts))]
+        done = token_counts.apply_edits(df.join(spark.createDataFrame(edits, f"doc_id long, edits {token_counts.EDITS}"), "doc_id"), keep=True)
+        rows = {r["doc_id"]: r for r in done.collect()}
+        texts = [token_counts.apply_text(t, token_counts.checked([dict(zip(("start", "stop", "text"), e)) for e in own], len(t))) for t, (_, own) in zip(texts, edits)]
+        for i, t in enumerate(texts):
+            assert rows[i]["text"] == t and rows[i]["n_tokens_edited"] == len(whole(enc, t))
+            tree = token_counts.TokenTree.from_bytes(rows[i]["tree"])
+            assert (tree.chars, tree.tokens) == (len(t), len(whole(enc, t)))
+        df = spark.createDataFrame([(i, rows[i]["text"], rows[i]["tree"]) for i in rows], "doc_id long, text string, tree binary")
 
 
 def test_counts_query(odd_docs):
