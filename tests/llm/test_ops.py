@@ -386,30 +386,55 @@ def test_counts_query(odd_docs):
 # --- top-k -----------------------------------------------------------------------------------------------------------
 
 
-def test_top_k_equals_brute_force(spark):
+def brute_top_k(ints, asked, k=5):
+    want = []
+    for q in asked:
+        s = sorted((-sum(int(a) * int(b) for a, b in zip(ints[q], y)), i) for i, y in ints.items() if i != q and len(y) == len(ints[q]))[:k]
+        want += [(q, r, i, -v) for r, (v, i) in enumerate(s, 1)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("pivots, size", [(1, 1 << 20), (6, 8 * 6 * 40), (1024, 8 * 6 * 40)])
+def test_top_k_equals_brute_force(spark, monkeypatch, pivots, size):
+    monkeypatch.setattr(ball_tree, "PIVOTS", pivots)
     rng = np.random.default_rng(8)
-    vecs = [(i, rng.normal(size=6).round(1).astype(float).tolist()) for i in range(700)]
-    vecs += [(900, None), (901, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (904, [1.0, 2.0]), (950, [0.5, 1.5]), (None, [1.0] * 6), (701, vecs[0][1]), (702, vecs[0][1])]
+    vecs = [(i, (rng.normal(size=6) + 4 * np.eye(6)[i % 6]).round(1).astype(float).tolist()) for i in range(700)]
+    vecs += [(900, None), (901, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (904, [1.0, 2.0]), (950, [0.5, 1.5]), (None, [1.0] * 6)]
+    vecs += [(i, vecs[0][1]) for i in range(1001, 1400)]  # one vector holds a third of all rows
     df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
-    got = ball_tree.top_k(df, df.where("vec_id % 50 = 0"), 5, shard_rows=150, query_rows=8).collect()
+    got = ball_tree.top_k(df, df.where("vec_id % 50 = 0"), 5, shard_bytes=size, query_bytes=8 * 6 * 8).collect()
     ints = {i: np.floor(256 * np.array(v)).astype(int) for i, v in vecs if i is not None and v is not None and None not in v and np.isfinite(v).all()}
-    want = []
-    for q, x in ints.items():
-        if q % 50 == 0:
-            s = sorted((-int(x @ y), i) for i, y in ints.items() if i != q and len(y) == len(x))[:5]
-            want += [(q, k, i, -v) for k, (v, i) in enumerate(s, 1)]
-    assert sorted(map(tuple, got)) == sorted(want)
-    assert ball_tree.top_k(df.limit(0), df.limit(0)).count() == 0
+    assert sorted(map(tuple, got)) == brute_top_k(ints, [q for q in ints if q % 50 == 0])
+
+
+def test_top_k_is_exact_for_large_components(spark):
+    rng = np.random.default_rng(3)
+    for size in (1e6, 3e13):  # products beyond 2**53 and beyond 64 bits
+        vecs = [(i, (rng.normal(size=4) * size).tolist()) for i in range(60)]
+        df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+        ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in vecs}
+        want, top = brute_top_k(ints, [0, 50], 60), 2**63 - 1
+        got = ball_tree.top_k(df, df.where("vec_id % 50 = 0"), 60).collect()
+        assert {(r["query_id"], r["vec_id"], r["score"]) for r in got} == {(q, i, max(-top, min(top, v))) for q, _, i, v in want}
+    df = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert len(ball_tree.top_k(df, df).collect()) == 2
+    assert ball_tree.top_k(df.limit(0), df.limit(0)).count() == 0 and ball_tree.top_k(df, df.limit(0)).count() == 0
 
 
-def test_tree_prunes():
+def test_tree_prunes_and_is_stored_whole():
     rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(size=(400, 8)) + 40 * c for c in np.eye(8)])
-    tree = ball_tree.BallTree(x)
-    assert sorted(tree.order.tolist()) == list(range(len(x)))
+    x = np.floor(256 * np.concatenate([rng.normal(size=(400, 8)) + 40 * c for c in np.eye(8)])).astype(np.int64)
+    built = ball_tree.BallTree(np.arange(len(x)), x)
+    tree = ball_tree.BallTree.from_row(built.to_row(), 8)
+    assert sorted(tree.ids.tolist()) == list(range(len(x))) and (tree.x == x[tree.ids]).all()
     for c, r, cut in zip(tree.centres, tree.radii, tree.bounds):
+        assert len(c) == len(r) == len(cut) - 1
         for j in range(len(c)):
-            assert (np.linalg.norm(tree.x[cut[j] : cut[j + 1]] - c[j], axis=1) <= r[j] + 1e-9).all()
+            assert (np.linalg.norm(tree.x[cut[j] : cut[j + 1]] - c[j], axis=1) <= r[j] + 1e-6).all()
+    q = x[:3]
+    s, _ = ball_tree.search(tree, np.arange(3), q, np.full(3, ball_tree.NONE), 5)
+    bound = ball_tree.reach(q.astype(float), tree.centres[-1], tree.radii[-1])
+    assert (bound < s[:, 4:5]).mean() > 0.25  # leaves that the kth score closes
 
 
 # --- mixing ----------------------------------------------------------------------------------------------------------
