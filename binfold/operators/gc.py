@@ -11,10 +11,17 @@ from binfold.functions.safe import finite_or, is_finite, safe_div
 
 
 def gc_from_bases(bases: DataFrame, binsize: int) -> DataFrame:
-    """GC fraction per bin from sequence lines ``chrom, start, seq``: (C + G) / (A + C + G + T), NULL without any."""
-    chars = bases.select("chrom", "start", F.posexplode(F.split(F.upper("seq"), "")).alias("i", "b")).where("b in ('A', 'C', 'G', 'T', 'N')")
-    cells = chars.groupBy("chrom", F.floor((F.col("start") + F.col("i")) / binsize).cast("int").alias("bin"))
-    return cells.agg(safe_div(F.count_if(F.col("b").isin("C", "G")), F.count_if(F.col("b") != "N")).alias("gc"))
+    """GC fraction per bin from sequence lines ``chrom, start, seq``: (C + G) / (A + C + G + T), NULL without any.
+
+    Lines are cut at bin edges and their letters counted as a whole: a row per line and bin, not per base.
+    """
+    first, last = F.floor(F.col("start") / binsize), F.floor((F.col("start") + F.length("seq") - 1) / binsize)
+    cut = bases.where(F.length("seq") > 0).select("chrom", "start", "seq", F.explode(F.sequence(first, last)).alias("bin"))
+    begin = F.greatest(F.col("bin") * binsize - F.col("start"), F.lit(0))
+    piece = F.substr("seq", (begin + 1).cast("int"), ((F.col("bin") + 1) * binsize - F.col("start") - begin).cast("int"))
+    count = lambda letters: F.sum(F.length(F.regexp_replace("piece", f"[^{letters}]", "")))
+    cells = cut.select("chrom", F.col("bin").cast("int").alias("bin"), F.upper(piece).alias("piece")).groupBy("chrom", "bin")
+    return cells.agg(safe_div(count("CG"), F.nullif(count("ACGT"), F.lit(0))).alias("gc"))
 
 
 def join_gc(bins: DataFrame, gc: DataFrame) -> DataFrame:

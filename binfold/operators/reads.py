@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from binfold.functions.safe import safe_div
 
-PAIRED, PROPER, UNMAPPED, REVERSE, SECONDARY, DUPLICATE, SUPPLEMENTARY = 1, 2, 4, 16, 256, 1024, 2048
+PAIRED, PROPER, UNMAPPED, MATE_UNMAPPED, REVERSE, READ1, READ2, SECONDARY, QC_FAILED, DUPLICATE, SUPPLEMENTARY = 1, 2, 4, 8, 16, 64, 128, 256, 512, 1024, 2048
 NUCLEAR = [str(i) for i in range(1, 23)] + ["X", "Y"]
 
 
@@ -134,24 +134,37 @@ def depth(reads: DataFrame) -> DataFrame:
     return seg.groupBy("sample_id", "chrom").agg(F.sum("len").alias("length"), F.sum(F.col("len") * F.col("depth")).alias("bases"), F.min("depth").alias("min"), F.max("depth").alias("max")).withColumn("mean", safe_div("bases", "length"))
 
 
-def alignment_stats(reads: DataFrame) -> DataFrame:
-    """Whole-file counters per sample in one aggregate.
+def alignment_stats(reads: DataFrame, mapq: int = 0, require_flags: int = 0, exclude_flags: int = 0, filtered_stream: bool = False) -> DataFrame:
+    """The 27 counters and rates of an alignment file, per sample, in one aggregate.
 
-    Secondary and zero-length reads are left out of all; supplementary reads count only towards mapped bases by
-    CIGAR, mismatches and duplicates. Rates are 0 where their denominator is.
+    Reads that a filter leaves out count as filtered only; with ``filtered_stream`` they were never there. Secondary
+    reads count as non-primary only. Reads without a sequence count no further than supplementary. Supplementary reads
+    count towards mapped bases by CIGAR, mismatches and duplicates, and in no other number. A paired read is first or
+    last by exactly one of its two flags, an unpaired read is first. Rates are 0 where their denominator is.
     """
-    use = reads.where(lacks_bits("flag", SECONDARY) & (F.col("seq_len") > 0))
-    original, unmapped, paired = lacks_bits("flag", SUPPLEMENTARY), has_bits("flag", UNMAPPED), has_bits("flag", PAIRED)
-    dup, mapped = has_bits("flag", DUPLICATE), lacks_bits("flag", UNMAPPED)
+    use = (F.col("mapq") >= mapq) if mapq else F.lit(True)
+    use = use & has_bits("flag", require_flags) if require_flags else use
+    use = use & lacks_bits("flag", exclude_flags) if exclude_flags else use
+    primary = use & lacks_bits("flag", SECONDARY)
+    seen = primary & (F.col("seq_len") > 0)
+    own, mapped, dup = seen & lacks_bits("flag", SUPPLEMENTARY), lacks_bits("flag", UNMAPPED), has_bits("flag", DUPLICATE)
+    paired = has_bits("flag", PAIRED)
+    both = own & paired & mapped & lacks_bits("flag", MATE_UNMAPPED)
+    first = own & (~paired | (has_bits("flag", READ1) & lacks_bits("flag", READ2)))
+    last = own & paired & lacks_bits("flag", READ1) & has_bits("flag", READ2)
     cigar_bases = F.aggregate(F.regexp_extract_all("cigar", F.lit(r"(\d+)[MI=X]"), 1), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
-    n = lambda c: F.count_if(c)
+    n, size = F.count_if, F.col("seq_len")
     s = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0)).cast("long")
-    other = paired & mapped & (F.col("chrom") != F.col("mate_chrom"))
-    out = use.groupBy("sample_id").agg(
-        n(original).alias("sequences"), n(original & mapped).alias("reads_mapped"), n(original & unmapped).alias("reads_unmapped"), n(original & paired).alias("reads_paired"),
-        n(original & paired & mapped & has_bits("flag", PROPER)).alias("reads_properly_paired"), n(dup).alias("reads_duplicated"), n(original & mapped & (F.col("mapq") == 0)).alias("reads_mq0"),
-        s(original, F.col("seq_len")).alias("total_length"), s(original & mapped, F.col("seq_len")).alias("bases_mapped"), s(mapped, cigar_bases).alias("bases_mapped_cigar"), s(dup, F.col("seq_len")).alias("bases_duplicated"),
-        s(mapped, F.col("nm")).alias("mismatches"), F.floor(n(original & other) / 2).cast("long").alias("pairs_on_different_chromosomes"), F.max(F.when(original, F.col("seq_len"))).alias("maximum_length"),
+    out = reads.groupBy("sample_id").agg(
+        n(~use).alias("filtered_sequences"), n(own).alias("sequences"), n(first).alias("first_fragments"), n(last).alias("last_fragments"), n(own & ~first & ~last).alias("other_fragments"),
+        n(own & mapped).alias("reads_mapped"), n(both).alias("reads_mapped_and_paired"), n(own & ~mapped).alias("reads_unmapped"), n(both & has_bits("flag", PROPER)).alias("reads_properly_paired"), n(own & paired).alias("reads_paired"),
+        n(seen & dup).alias("reads_duplicated"), n(own & mapped & (F.col("mapq") == 0)).alias("reads_mq0"), n(own & has_bits("flag", QC_FAILED)).alias("reads_qc_failed"),
+        n(use & has_bits("flag", SECONDARY)).alias("non_primary_alignments"), n(primary & has_bits("flag", SUPPLEMENTARY)).alias("supplementary_alignments"), F.floor(n(both & (F.col("chrom") != F.col("mate_chrom"))) / 2).cast("long").alias("pairs_on_different_chromosomes"),
+        s(own, size).alias("total_length"), s(first, size).alias("total_first_fragment_length"), s(last, size).alias("total_last_fragment_length"), s(own & mapped, size).alias("bases_mapped"),
+        s(seen & mapped, cigar_bases).alias("bases_mapped_cigar"), s(seen & dup, size).alias("bases_duplicated"), s(seen & mapped, F.col("nm")).alias("mismatches_from_nm"),
     )
-    zero = lambda a, b: F.coalesce(safe_div(a, b), F.lit(0.0))
-    return out.withColumn("error_rate", zero("mismatches", "bases_mapped_cigar")).withColumn("average_length", zero("total_length", "sequences")).withColumn("duplicate_fraction", zero("reads_duplicated", "reads_mapped"))
+    if filtered_stream:
+        out = out.withColumn("filtered_sequences", F.lit(0).cast("long"))
+    rate = lambda a, b: F.coalesce(safe_div(a, b), F.lit(0.0))
+    rest = [c for c in out.columns if c != "sample_id"]
+    return out.select("sample_id", (F.col("filtered_sequences") + F.col("sequences")).alias("raw_total_sequences"), *rest, rate("mismatches_from_nm", "bases_mapped_cigar").alias("error_rate"), rate("reads_duplicated", "sequences").alias("duplicated_read_fraction"), rate("bases_duplicated", "total_length").alias("duplicated_base_fraction"))

@@ -22,7 +22,7 @@ COLUMNS = {
     "mapq": "CAST(l_quantity AS INT)",
     "flag": (
         "CAST((CASE WHEN l_orderkey % 2 = 1 THEN 1 ELSE 0 END) + (CASE WHEN l_orderkey % 2 = 1 AND l_partkey % 10 < 9 THEN 2 ELSE 0 END) + (CASE WHEN l_suppkey % 83 = 0 THEN 4 ELSE 0 END)"
-        " + (CASE WHEN l_linestatus = 'F' THEN 0 ELSE 16 END) + (CASE WHEN l_partkey % 97 = 0 THEN 256 ELSE 0 END) + (CASE WHEN l_returnflag = 'R' THEN 1024 ELSE 0 END) + (CASE WHEN l_partkey % 89 = 0 THEN 2048 ELSE 0 END) AS INT)"
+        " + (CASE WHEN l_orderkey % 13 = 0 THEN 8 ELSE 0 END) + (CASE l_linenumber % 4 WHEN 0 THEN 64 WHEN 1 THEN 128 WHEN 2 THEN 192 ELSE 0 END) + (CASE WHEN l_partkey % 71 = 0 THEN 512 ELSE 0 END) + (CASE WHEN l_linestatus = 'F' THEN 0 ELSE 16 END) + (CASE WHEN l_partkey % 97 = 0 THEN 256 ELSE 0 END) + (CASE WHEN l_returnflag = 'R' THEN 1024 ELSE 0 END) + (CASE WHEN l_partkey % 89 = 0 THEN 2048 ELSE 0 END) AS INT)"
     ),
     "seq_len": "CAST(CASE WHEN l_linenumber = 7 AND l_orderkey % 5 = 0 THEN 0 ELSE 30 + l_linenumber * 10 END AS INT)",
     "nm": "CAST(l_quantity AS INT) % 5",

@@ -218,14 +218,24 @@ def d08(spark, d):
     return data.reads(spark, d).groupBy("sample_id", "chrom").agg(F.sum(F.col("pos") * F.col("mapq")).alias("s"), F.sum("mapq").alias("w")).where("w > 0").select("sample_id", "chrom", F.round(safe_div("s", "w"), 6).alias("weighted_pos"))
 
 
-@query("d09_alignment_stats", f"""{W}, u AS (SELECT *, flag & 2048 = 0 AS o, flag & 4 = 0 AS m, flag & 1 = 1 AS p, flag & 1024 <> 0 AS dup FROM reads WHERE flag & 256 = 0 AND seq_len > 0)
-SELECT sample_id, count(*) FILTER (WHERE o) AS sequences, count(*) FILTER (WHERE o AND m) AS reads_mapped, count(*) FILTER (WHERE o AND NOT m) AS reads_unmapped, count(*) FILTER (WHERE o AND p) AS reads_paired, count(*) FILTER (WHERE o AND p AND m AND flag & 2 = 2) AS reads_properly_paired,
-count(*) FILTER (WHERE dup) AS reads_duplicated, count(*) FILTER (WHERE o AND m AND mapq = 0) AS reads_mq0, CAST(coalesce(sum(seq_len) FILTER (WHERE o), 0) AS BIGINT) AS total_length, CAST(coalesce(sum(seq_len) FILTER (WHERE o AND m), 0) AS BIGINT) AS bases_mapped,
-CAST(coalesce(sum(20 + l_linenumber * 10 + 2 + 8) FILTER (WHERE m), 0) AS BIGINT) AS bases_mapped_cigar, CAST(coalesce(sum(seq_len) FILTER (WHERE dup), 0) AS BIGINT) AS bases_duplicated, CAST(coalesce(sum(nm) FILTER (WHERE m), 0) AS BIGINT) AS mismatches,
-CAST(count(*) FILTER (WHERE o AND p AND m AND chrom <> mate_chrom) // 2 AS BIGINT) AS pairs_on_different_chromosomes, max(seq_len) FILTER (WHERE o) AS maximum_length,
-round(coalesce(CAST(sum(nm) FILTER (WHERE m) AS DOUBLE) / nullif(sum(30 + l_linenumber * 10) FILTER (WHERE m), 0), 0), 9) AS error_rate, round(coalesce(CAST(sum(seq_len) FILTER (WHERE o) AS DOUBLE) / nullif(count(*) FILTER (WHERE o), 0), 0), 9) AS average_length, round(coalesce(CAST(count(*) FILTER (WHERE dup) AS DOUBLE) / nullif(count(*) FILTER (WHERE o AND m), 0), 0), 9) AS duplicate_fraction FROM u GROUP BY 1""")
+_STATS = f"""{W}, v AS (SELECT *, mapq >= 5 AND flag & 512 = 0 AS use, flag & 256 = 0 AS pri, flag & 2048 = 0 AS org, flag & 4 = 0 AS m, flag & 1 = 1 AS p, flag & 8 = 0 AS mm, flag & 1024 <> 0 AS dup, flag & 192 AS o12 FROM reads),
+u AS (SELECT *, use AND pri AND seq_len > 0 AS seen, use AND pri AND seq_len > 0 AND org AS own, CASE WHEN NOT p OR o12 = 64 THEN 1 WHEN o12 = 128 THEN 2 ELSE 3 END AS frag FROM v),
+n AS (SELECT sample_id, count(*) FILTER (WHERE NOT use) AS filtered_sequences, count(*) FILTER (WHERE own) AS sequences, count(*) FILTER (WHERE own AND frag = 1) AS first_fragments, count(*) FILTER (WHERE own AND frag = 2) AS last_fragments, count(*) FILTER (WHERE own AND frag = 3) AS other_fragments,
+count(*) FILTER (WHERE own AND m) AS reads_mapped, count(*) FILTER (WHERE own AND p AND m AND mm) AS reads_mapped_and_paired, count(*) FILTER (WHERE own AND NOT m) AS reads_unmapped, count(*) FILTER (WHERE own AND p AND m AND mm AND flag & 2 = 2) AS reads_properly_paired, count(*) FILTER (WHERE own AND p) AS reads_paired,
+count(*) FILTER (WHERE seen AND dup) AS reads_duplicated, count(*) FILTER (WHERE own AND m AND mapq = 0) AS reads_mq0, count(*) FILTER (WHERE own AND flag & 512 <> 0) AS reads_qc_failed, count(*) FILTER (WHERE use AND NOT pri) AS non_primary_alignments, count(*) FILTER (WHERE use AND pri AND NOT org) AS supplementary_alignments,
+CAST(count(*) FILTER (WHERE own AND p AND m AND mm AND chrom <> mate_chrom) // 2 AS BIGINT) AS pairs_on_different_chromosomes, CAST(coalesce(sum(seq_len) FILTER (WHERE own), 0) AS BIGINT) AS total_length, CAST(coalesce(sum(seq_len) FILTER (WHERE own AND frag = 1), 0) AS BIGINT) AS total_first_fragment_length,
+CAST(coalesce(sum(seq_len) FILTER (WHERE own AND frag = 2), 0) AS BIGINT) AS total_last_fragment_length, CAST(coalesce(sum(seq_len) FILTER (WHERE own AND m), 0) AS BIGINT) AS bases_mapped, CAST(coalesce(sum(30 + l_linenumber * 10) FILTER (WHERE seen AND m), 0) AS BIGINT) AS bases_mapped_cigar,
+CAST(coalesce(sum(seq_len) FILTER (WHERE seen AND dup), 0) AS BIGINT) AS bases_duplicated, CAST(coalesce(sum(nm) FILTER (WHERE seen AND m), 0) AS BIGINT) AS mismatches_from_nm FROM u GROUP BY 1),
+st AS (SELECT *, filtered_sequences + sequences AS raw_total_sequences, coalesce(CAST(mismatches_from_nm AS DOUBLE) / nullif(bases_mapped_cigar, 0), 0) AS error_rate, coalesce(CAST(reads_duplicated AS DOUBLE) / nullif(sequences, 0), 0) AS duplicated_read_fraction, coalesce(CAST(bases_duplicated AS DOUBLE) / nullif(total_length, 0), 0) AS duplicated_base_fraction FROM n)"""
+
+
+def _stats(spark, d):
+    return R.alignment_stats(data.reads(spark, d), mapq=5, exclude_flags=512)
+
+
+@query("d09_alignment_stats", f"{_STATS} SELECT * REPLACE (round(error_rate, 9) AS error_rate, round(duplicated_read_fraction, 9) AS duplicated_read_fraction, round(duplicated_base_fraction, 9) AS duplicated_base_fraction) FROM st")
 def d09(spark, d):
-    s = R.alignment_stats(data.reads(spark, d))
+    s = _stats(spark, d)
     return s.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
 
 

@@ -10,6 +10,7 @@ from binfold.operators import gc
 from binfold.operators import reads as R
 from binfold.plans import data
 from binfold.plans.data import BASE, GC_CTE, READS
+from binfold.plans.q_relational import _STATS
 from binfold.plans.registry import query
 from binfold.plans.workflows import ensure_checkpoint_dir
 from binfold.sources import sinks, tables
@@ -130,12 +131,17 @@ def a33(spark, d):
     return tables.read_list(spark, _text(spark, _folder(spark, "list"), ["bam", "# comment", "", "one.bam", " two.bam "]))
 
 
-@query("a13_sam_text_stats", "SELECT 3 AS sequences, 2 AS reads_mapped, 1 AS reads_unmapped, 1 AS reads_duplicated, 100 AS bases_mapped_cigar, 3 AS mismatches")
+@query("a13_sam_text_stats", f"{_STATS} SELECT * EXCLUDE (error_rate, duplicated_read_fraction, duplicated_base_fraction) FROM st")
 def a13(spark, d):
-    seq = "A" * 50
-    lines = ["@SQ\tSN:1\tLN:100000", f"r1\t0\tchr1\t100\t60\t50M\t*\t0\t0\t{seq}\t*\tNM:i:2", f"r2\t1024\tchr1\t200\t60\t40M5I5M\t*\t0\t0\t{seq}\t*\tNM:i:1", f"r3\t4\t*\t0\t0\t*\t*\t0\t0\t{seq}\t*", f"r4\t256\tchr2\t100\t60\t50M\t*\t0\t0\t{seq}\t*"]
-    s = R.alignment_stats(tables.read_sam(spark, _text(spark, _folder(spark, "sam"), lines)))
-    return s.select(*[F.col(c).cast("int").alias(c) for c in ("sequences", "reads_mapped", "reads_unmapped", "reads_duplicated", "bases_mapped_cigar", "mismatches")])
+    """All reads as alignment text, one file a sample, read back and counted."""
+    folder = _folder(spark, "sam")
+    r = data.reads(spark, d)
+    name = lambda c: F.expr(f"CASE {c} WHEN 23 THEN 'X' WHEN 24 THEN 'Y' ELSE CAST({c} AS STRING) END")
+    fields = [F.col("l_orderkey"), "flag", F.concat(F.lit("chr"), name("chrom")), F.col("pos") + 1, "mapq", "cigar", F.concat(F.lit("chr"), name("mate_chrom")), F.col("mate_pos") + 1, F.lit(0), F.when(F.col("seq_len") == 0, "*").otherwise(F.repeat(F.lit("A"), F.col("seq_len"))), F.lit("*"), F.concat(F.lit("NM:i:"), F.col("nm").cast("string"))]
+    lines = r.select("sample_id", F.concat_ws("\t", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in fields]).alias("value"))
+    lines.repartition("sample_id").write.partitionBy("sample_id").text(folder)
+    s = R.alignment_stats(tables.read_sam(spark, folder, sample=F.regexp_extract("_metadata.file_path", r"sample_id=(\d+)/", 1).cast("int")), mapq=5, exclude_flags=512)
+    return s.drop("error_rate", "duplicated_read_fraction", "duplicated_base_fraction")
 
 
 @query("a28_prediction_text", f"{BASE} SELECT sample_id, CASE WHEN chrom = 23 THEN 'X' WHEN chrom = 24 THEN 'Y' ELSE CAST(chrom AS VARCHAR) END AS chr, CAST(bin * 50000 + 1 AS BIGINT) AS start, CAST(bin * 50000 + 50000 AS BIGINT) AS \"end\", CASE WHEN n = 5 THEN 'nan' ELSE CAST(n - 5 AS VARCHAR) END AS ratio FROM dense")
@@ -147,9 +153,15 @@ def a28(spark, d):
     return t["bins"].select("sample_id", "chr", "start", "end", "ratio")
 
 
-@query("a30_stats_text", f"{W}, u AS (SELECT * FROM reads WHERE flag & 256 = 0 AND seq_len > 0) SELECT sample_id, 'SN' || chr(9) || 'sequences:' || chr(9) || CAST(count(*) FILTER (WHERE flag & 2048 = 0) AS VARCHAR) AS line FROM u GROUP BY 1")
+#: The SN lines in their order, for the SQL text.
+_SN = [("raw total sequences", "raw_total_sequences"), ("filtered sequences", "filtered_sequences"), ("sequences", "sequences"), ("1st fragments", "first_fragments"), ("last fragments", "last_fragments"), ("reads mapped", "reads_mapped"), ("reads mapped and paired", "reads_mapped_and_paired"), ("reads unmapped", "reads_unmapped"), ("reads properly paired", "reads_properly_paired"), ("reads paired", "reads_paired"), ("reads duplicated", "reads_duplicated"), ("reads MQ0", "reads_mq0"), ("reads QC failed", "reads_qc_failed"), ("non-primary alignments", "non_primary_alignments"), ("supplementary alignments", "supplementary_alignments"), ("pairs on different chromosomes", "pairs_on_different_chromosomes"), ("total length", "total_length"), ("total first fragment length", "total_first_fragment_length"), ("total last fragment length", "total_last_fragment_length"), ("bases mapped", "bases_mapped"), ("bases mapped (cigar)", "bases_mapped_cigar"), ("bases duplicated", "bases_duplicated"), ("mismatches", "mismatches_from_nm")]
+_SN_SQL = " UNION ALL ".join(f"SELECT sample_id, {i} AS i, 'SN' || chr(9) || '{label}:' || chr(9) || CAST({c} AS VARCHAR) AS line FROM st" for i, (label, c) in enumerate(_SN))
+
+
+@query("a30_stats_text", f"{_STATS} {_SN_SQL} UNION ALL SELECT sample_id, 23, 'SN' || chr(9) || 'error rate:' || chr(9) || format('{{:e}}', error_rate) FROM st")
 def a30(spark, d):
-    return sinks.stats_lines(R.alignment_stats(data.reads(spark, d))).where("i = 0").select("sample_id", "line")
+    """All 24 lines of every sample."""
+    return sinks.stats_lines(R.alignment_stats(data.reads(spark, d), mapq=5, exclude_flags=512))
 
 
 @query("g07_metadata_union", "SELECT * FROM (VALUES ('a', '1'), ('b', '2'), ('c', '4')) AS t(key, value)")

@@ -77,10 +77,20 @@ def write_prediction(pred: dict[str, DataFrame], prefix: str, binsize: int) -> N
         df.repartition("sample_id").sortWithinPartitions("sample_id", "chrom", "bin").select("sample_id", *cols).write.mode("overwrite").partitionBy("sample_id").option("sep", "\t").option("header", True).csv(f"{prefix}_{name}")
 
 
+#: Counters of the SN section in the order of the format, where the label is not the name with spaces.
+STATS_LABELS = {
+    "first_fragments": "1st fragments", "reads_mq0": "reads MQ0", "reads_qc_failed": "reads QC failed", "non_primary_alignments": "non-primary alignments",
+    "bases_mapped_cigar": "bases mapped (cigar)", "mismatches_from_nm": "mismatches",
+}
+#: Counters of the table that the SN section does not have.
+NOT_IN_STATS = {"sample_id", "other_fragments", "duplicated_read_fraction", "duplicated_base_fraction"}
+
+
 def stats_lines(stats: DataFrame) -> DataFrame:
-    """``sample_id, line`` in the SN layout of alignment statistics: counts plain, rates in exponent form."""
-    fields = [c for c in stats.columns if c != "sample_id"]
-    cells = [F.struct(F.lit(i).alias("i"), F.format_string("SN\t%s:\t%s", F.lit(f.replace("_", " ")), F.format_string("%e", F.col(f)) if dict(stats.dtypes)[f] == "double" else F.col(f).cast("string")).alias("line")) for i, f in enumerate(fields)]
+    """``sample_id, i, line``: the 24 SN lines of each sample; counts plain, the rate in exponent form."""
+    fields = [c for c in stats.columns if c not in NOT_IN_STATS]
+    number = lambda f: F.format_string("%e", F.col(f)) if dict(stats.dtypes)[f] == "double" else F.col(f).cast("string")
+    cells = [F.struct(F.lit(i).alias("i"), F.concat(F.lit(f"SN\t{STATS_LABELS.get(f, f.replace('_', ' '))}:\t"), number(f)).alias("line")) for i, f in enumerate(fields)]
     return stats.select("sample_id", F.explode(F.array(*cells)).alias("c")).select("sample_id", "c.i", "c.line")
 
 

@@ -137,26 +137,37 @@ def read_gc_table(spark: SparkSession, path: str) -> DataFrame:
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """``chrom, start, seq`` per sequence line.
 
-    Lines are numbered in file order by the reader's own splits; names and offsets follow from running values over that
-    order, per file.
+    A file is read in splits. Names and offsets follow from running values inside a split and from what the splits
+    before it left open: one row per split goes through the window over a file, however many lines it has.
     """
     from pyspark.sql import Window
 
-    lines = _text(spark, path).select(F.monotonically_increasing_id().alias("i"), F.col("_metadata.file_name").alias("f"), F.trim("value").alias("v")).where("v <> ''")
-    w = Window.partitionBy("f").orderBy("i")
-    named = lines.withColumn("h", F.when(F.col("v").startswith(">"), F.regexp_extract("v", r"^>(\S+)", 1))).withColumn("name", F.last("h", True).over(w))
-    body = named.where("h is null").withColumn("start", F.coalesce(F.sum(F.length("v")).over(Window.partitionBy("f", "name").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return body.select(chrom_key("name").alias("chrom"), "start", F.col("v").alias("seq"))
-
-
-def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignment text as reads: ``sample_id, read_no, flag, chrom, pos, mapq, cigar, mate_chrom, mate_pos, seq_len, nm, strand``; positions from 0."""
-    lines = _text(spark, path).where(~F.col("value").startswith("@") & (F.length("value") > 0)).select(F.monotonically_increasing_id().alias("read_no"), F.col("_metadata.file_name").alias("filename"), F.split("value", "\t").alias("c"))
+    raw = _text(spark, path).select(F.monotonically_increasing_id().alias("i"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("split"), F.trim("value").alias("v")).where("v <> ''")
+    inside = Window.partitionBy("f", "split").orderBy("i")
+    lines = raw.withColumn("h", F.when(F.col("v").startswith(">"), F.regexp_extract("v", r"^>(\S+)", 1))).withColumn("name", F.last("h", True).over(inside)).withColumn("part", F.count("h").over(inside))
+    lines = lines.withColumn("len", F.when(F.col("h").isNull(), F.length("v")).otherwise(0))
+    # What a split leaves open: its last name, and the length since then (or all of it, without a name).
+    tails = lines.groupBy("f", "split", "part").agg(F.max("name").alias("name"), F.sum("len").alias("len")).groupBy("f", "split").agg(F.max_by("name", "part").alias("name"), F.max_by("len", "part").alias("tail"), F.max("part").alias("names"))
+    files = Window.partitionBy("f").orderBy("split")
+    tails = tails.withColumn("open", F.last("name", True).over(files)).withColumn("run", F.sum((F.col("names") > 0).cast("int")).over(files))
+    tails = tails.withColumn("so_far", F.sum("tail").over(Window.partitionBy("f", "run").orderBy("split")))
+    tails = tails.select("f", "split", F.lag("open").over(files).alias("before"), F.coalesce(F.lag("so_far").over(files), F.lit(0)).alias("carried"))
+    body = lines.withColumn("at", F.sum("len").over(Window.partitionBy("f", "split", "part").orderBy("i")) - F.col("len")).where("h is null").join(tails, ["f", "split"])
+    first = F.col("part") == 0
+    return body.select(chrom_key(F.when(first, F.col("before")).otherwise(F.col("name"))).alias("chrom"), (F.col("at") + F.when(first, F.col("carried")).otherwise(0)).alias("start"), F.col("v").alias("seq"))
+
+
+def read_sam(spark: SparkSession, path: str, sample: Column | None = None) -> DataFrame:
+    """Alignment text as reads: ``sample_id, read_no, flag, chrom, pos, mapq, cigar, mate_chrom, mate_pos, seq_len, nm, strand``; positions from 0.
+
+    A file is a sample named after it, unless ``sample`` says otherwise (it may use ``_metadata``).
+    """
+    lines = _text(spark, path).where(~F.col("value").startswith("@") & (F.length("value") > 0)).select(F.monotonically_increasing_id().alias("read_no"), (F.regexp_replace("_metadata.file_name", r"\.sam(\.gz)?$", "") if sample is None else sample).alias("sample_id"), F.split("value", "\t").alias("c"))
     c = lambda i: F.get("c", F.lit(i))
     flag = c(1).cast("int")
     mate = F.when(c(6) == "=", c(2)).otherwise(c(6))
     return lines.select(
-        F.regexp_replace("filename", r"\.sam(\.gz)?$", "").alias("sample_id"), "read_no", flag.alias("flag"), chrom_key(c(2)).alias("chrom"), (c(3).cast("long") - 1).alias("pos"), c(4).cast("int").alias("mapq"), c(5).alias("cigar"),
+        "sample_id", "read_no", flag.alias("flag"), chrom_key(c(2)).alias("chrom"), (c(3).cast("long") - 1).alias("pos"), c(4).cast("int").alias("mapq"), c(5).alias("cigar"),
         chrom_key(mate).alias("mate_chrom"), (c(7).cast("long") - 1).alias("mate_pos"), F.when(c(9) == "*", 0).otherwise(F.length(c(9))).alias("seq_len"),
         F.coalesce(F.regexp_extract(F.array_join("c", "\t"), r"\tNM:i:(\d+)", 1).try_cast("int"), F.lit(0)).alias("nm"), F.when(flag.bitwiseAND(16) == 0, "+").otherwise("-").alias("strand"),
     )
