@@ -27,20 +27,27 @@ def _gc(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _reference(spark: SparkSession, a: argparse.Namespace) -> None:
     bins = spark.read.parquet(a.input).select("sample_id", "chrom", "bin", "n")
-    cnv_reference.newref(bins, nipt=a.nipt, refsize=a.refsize, yfrac=a.yfrac, save=save_as_tables(spark, a.output))
-    knn = spark.read.parquet(f"{a.output}/knn")
-    sinks.write_json(cnv_reference.reference_qc(knn, a.min_refs), f"{a.output}/qc_json")
+    cnv_reference.newref(bins, nipt=a.nipt, refsize=a.refsize, yfrac=a.yfrac, binsize=a.binsize, save=save_as_tables(spark, a.output))
+    read = lambda name: spark.read.parquet(f"{a.output}/{name}")
+    sinks.write_json(cnv_reference.reference_qc(read("knn"), a.min_refs, mask=read("mask")), f"{a.output}/qc_json")
 
 
 def _predict(spark: SparkSession, a: argparse.Namespace) -> None:
-    ref = {n: spark.read.parquet(f"{a.reference}/{n}") for n in ("bins", "knn", "null_ratio")}
+    """Cutoff, reference size and NIPT mode are those of the reference; ``--yfrac`` and ``--gender`` overrule the cutoff."""
+    ref = {n: spark.read.parquet(f"{a.reference}/{n}") for n in ("bins", "knn", "null_ratio", "meta")}
+    meta = ref["meta"].first()
+    binsize = a.binsize or meta["binsize"]
+    if not binsize:
+        raise SystemExit("give --binsize: the reference does not name one")
     cases = spark.read.parquet(a.input).select("sample_id", "chrom", "bin", "n")
-    genders = cnv_reference.predict_gender(cnv_reference.y_fraction(cases), a.yfrac) if a.gender is None else cases.select("sample_id").distinct().withColumn("gender", F.lit(a.gender))
-    cases = cnv_reference.gender_correct(cases, genders).drop("gender")
-    lengths = cases.groupBy("chrom").agg(((F.max("bin") + 1) * a.binsize).alias("length"))
-    black = cnv_predict.blacklist_bins(tables.read_blacklist(spark, a.blacklist), a.binsize) if a.blacklist else None
-    out = cnv_predict.predict(cases, ref, genders, grid(cases, lengths, a.binsize), a.binsize, min_refs=a.min_refs, zscore=a.zscore, beta=a.beta, blacklist=black, save=save_in_checkpoints(spark))
-    sinks.write_prediction(out, a.output, a.binsize)
+    genders = cnv_reference.predict_gender(cnv_reference.y_fraction(cases), meta["gender_cutoff"] if a.yfrac is None else a.yfrac) if a.gender is None else cases.select("sample_id").distinct().withColumn("gender", F.lit(a.gender))
+    cases = cnv_reference.gender_correct(cases, genders, nipt=meta["nipt"]).drop("gender")
+    if meta["nipt"]:  # one gonosome branch, whatever the label says
+        genders = genders.withColumn("gender", F.lit("F"))
+    lengths = cases.groupBy("chrom").agg(((F.max("bin") + 1) * binsize).alias("length"))
+    black = cnv_predict.blacklist_bins(tables.read_blacklist(spark, a.blacklist), binsize) if a.blacklist else None
+    out = cnv_predict.predict(cases, ref, genders, grid(cases, lengths, binsize), binsize, min_refs=a.min_refs, zscore=a.zscore, beta=a.beta, blacklist=black, refsize=meta["refsize"], save=save_in_checkpoints(spark))
+    sinks.write_prediction(out, a.output, binsize)
     sinks.write_report(out["statistics"], f"{a.output}_profile")
 
 
@@ -71,8 +78,8 @@ def main(argv: list[str] | None = None) -> None:
     number = lambda default, kind=int: {"type": kind, "default": default}
     command("convert", _convert, ("output", {}), ("--binsize", number(5000)), ("--mapq", number(1)), ("--require-flags", number(0)), ("--exclude-flags", number(0)), ("--rmdup", {"default": "streaming", "choices": ["streaming", "flag", "none"]}))
     command("gc", _gc, ("output", {}), ("--binsize", number(50000)))
-    command("reference", _reference, ("output", {}), ("--refsize", number(300)), ("--nipt", {"action": "store_true"}), ("--yfrac", number(None, float)), ("--min-refs", number(150)))
-    command("predict", _predict, ("reference", {}), ("output", {}), ("--binsize", number(100000)), ("--min-refs", number(150)), ("--zscore", number(5.0, float)), ("--beta", number(None, float)), ("--yfrac", number(0.005, float)), ("--gender", {"choices": ["F", "M"]}), ("--blacklist", {}))
+    command("reference", _reference, ("output", {}), ("--refsize", number(300)), ("--nipt", {"action": "store_true"}), ("--yfrac", number(None, float)), ("--min-refs", number(150)), ("--binsize", number(None)))
+    command("predict", _predict, ("reference", {}), ("output", {}), ("--binsize", number(None)), ("--min-refs", number(150)), ("--zscore", number(5.0, float)), ("--beta", number(None, float)), ("--yfrac", number(None, float)), ("--gender", {"choices": ["F", "M"]}), ("--blacklist", {}))
     command("qc", _qc, ("output", {}))
     command("compare", _compare, ("other", {}), ("--keys", {"default": "chr,start,end"}), ("--value", {"default": "ratio"}), ("--tolerance", number(1e-6, float)))
     a = p.parse_args(argv)

@@ -177,13 +177,13 @@ def forward_selection(y: np.ndarray, x: np.ndarray, n_steps: int, allowed: np.nd
     """Columns of x in the order in which they raise adjusted R2 most; ties to the smaller column.
 
     Residuals are kept orthogonal to what was chosen, so a step costs one pass over the candidates. ``blocks``: columns
-    that a chosen column rules out.
+    that a chosen column rules out. The search ends where a further column would leave no degree of freedom.
     """
     open_ = np.ones(x.shape[1], bool) if allowed is None else allowed.copy()
     r, q = y - y.mean(), x - x.mean(axis=0)
     scale = (q**2).sum(axis=0)
     out: list[int] = []
-    for _ in range(n_steps):
+    for _ in range(min(n_steps, len(y) - 2)):
         norm = (q**2).sum(axis=0)
         usable = open_ & (norm > 1e-12 * np.maximum(scale, 1e-300))
         if not usable.any():
@@ -200,17 +200,18 @@ def forward_selection(y: np.ndarray, x: np.ndarray, n_steps: int, allowed: np.nd
     return out
 
 
-def best_denominator(reads: np.ndarray, focus: np.ndarray, min_size: int, max_size: int, block: int = 20000) -> tuple[tuple[int, ...], float]:
+def best_denominator(reads: np.ndarray, focus: np.ndarray, min_size: int, max_size: int, block: int | None = None, numbers: int = 4_000_000) -> tuple[tuple[int, ...], float]:
     """Set of columns whose sum makes the ratio focus / sum vary least (sample SD over mean) across rows.
 
-    All sets of min_size to max_size columns, smaller and lexicographically earlier sets first on ties.
+    All sets of min_size to max_size columns, smaller and lexicographically earlier sets first on ties. ``block`` sets are
+    held at once, else as many as make ``numbers`` values over all rows.
     """
     best, best_cv = (), np.inf
     p = reads.shape[1]
     for size in range(min_size, min(max_size, p) + 1):
-        sets = combinations(range(p), size)
-        for _ in range(0, comb(p, size), block):
-            part = np.array([s for _, s in zip(range(block), sets)])
+        sets, at_once = combinations(range(p), size), block or max(1, numbers // (size * max(1, len(reads))))
+        for _ in range(0, comb(p, size), at_once):
+            part = np.array([s for _, s in zip(range(at_once), sets)])
             if not len(part):
                 break
             with np.errstate(all="ignore"):

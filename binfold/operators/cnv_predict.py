@@ -6,7 +6,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binfold.functions.kernels import cbs
@@ -141,12 +141,15 @@ def segment_z(segments: DataFrame, bins: DataFrame, null: DataFrame, cap: float
     return segments.join(stats, keys, "left").select(*keys, "ratio", z.alias("zscore"))
 
 
-def call_aberrations(segments: DataFrame, zscore: float = 5.0, beta: float | None = None, male: bool = False) -> DataFrame:
-    """Gains and losses: by z beyond the cutoff, or by ratio beyond the expected step of a beta share of cells."""
+def call_aberrations(segments: DataFrame, zscore: float = 5.0, beta: float | None = None, male: bool | Column = False) -> DataFrame:
+    """Gains and losses: by z beyond the cutoff, or by ratio beyond the expected step of a beta share of cells.
+
+    X and Y have one copy where ``male`` holds (a column decides row by row).
+    """
     if beta is None:
         up, down = is_finite("zscore") & (F.col("zscore") > zscore), is_finite("zscore") & (F.col("zscore") < -zscore)
     else:
-        ploidy = F.when((F.col("chrom") >= 23) & F.lit(male), 1.0).otherwise(2.0)
+        ploidy = F.when((F.col("chrom") >= 23) & (male if isinstance(male, Column) else F.lit(male)), 1.0).otherwise(2.0)
         up, down = is_finite("ratio") & (F.col("ratio") > F.log2((ploidy + beta / 2) / ploidy)), is_finite("ratio") & (F.col("ratio") < F.log2((ploidy - beta / 2) / ploidy))
     return segments.withColumn("type", F.when(up, "gain").when(down, "loss")).where("type is not null")
 
@@ -171,7 +174,8 @@ def whole_chromosome_z(bins: DataFrame, null: DataFrame) -> DataFrame:
 
 
 def predict(bins: DataFrame, reference: dict[str, DataFrame], genders: DataFrame, all_bins: DataFrame, binsize: int, min_refs: int = 150, alpha: float = 1e-4, zscore: float = 5.0, beta: float | None = None, blacklist: DataFrame | None = None, value: str = "n", seed: int = 1, refsize: int | None = None, save=None) -> dict[str, DataFrame]:
-    """Bins, segments, aberrations and statistics of all samples. ``genders`` picks each sample's gonosome branch.
+    """Bins, segments, aberrations and statistics of all samples. ``genders`` picks each sample's gonosome branch, and the
+    copies of X and Y that a call by ``beta`` expects.
 
     The distance cutoff comes from the autosomal branch for all branches.
     """
@@ -200,4 +204,6 @@ def predict(bins: DataFrame, reference: dict[str, DataFrame], genders: DataFrame
     null = reference["null_ratio"].join(reference["bins"].select("branch", "masked_idx", "chrom", "bin"), ["branch", "masked_idx"]).where("branch = 'A' and chrom <= 22 or branch <> 'A' and chrom >= 23").groupBy("chrom", "bin", "null_id").agg(F.avg("ratio").alias("ratio"))
     out = save(combine(auto, gono, weights(knn), all_bins, min_refs, blacklist), "predicted_bins")
     segments = save(segment_z(segment(out, alpha, seed), out, null), "segments")
-    return {"bins": out, "segments": segments, "aberrations": call_aberrations(segments, zscore, beta), "chromosomes": chromosome_ratios(out).join(whole_chromosome_z(out, null).select("sample_id", "chrom", "zscore"), ["sample_id", "chrom"], "left"), "statistics": profile_statistics(segments, out, binsize)}
+    sexed = segments.join(genders.select("sample_id", (F.col("gender") == "M").alias("_male")), "sample_id", "left")
+    calls = call_aberrations(sexed, zscore, beta, male=F.coalesce("_male", F.lit(False))).drop("_male")
+    return {"bins": out, "segments": segments, "aberrations": calls, "chromosomes": chromosome_ratios(out).join(whole_chromosome_z(out, null).select("sample_id", "chrom", "zscore"), ["sample_id", "chrom"], "left"), "statistics": profile_statistics(segments, out, binsize)}

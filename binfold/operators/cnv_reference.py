@@ -80,8 +80,8 @@ def _stack(col: pd.Series) -> np.ndarray:
 def train_pca(matrix: DataFrame, components: int = 5) -> tuple[DataFrame, np.ndarray]:
     """PCA over samples as rows and bins as columns, centred, unscaled, by the samples-by-samples Gram matrix.
 
-    Each partition sums the outer products of its bins; only these sums (samples squared) come to the driver. Returns
-    ``masked_idx, mean, loading`` and the sample scores.
+    Each partition sums the outer products of its bins, the sums of partitions are added in the cluster, and one matrix
+    (samples squared) comes to the driver. Returns ``masked_idx, mean, loading`` and the sample scores.
     """
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,12 +92,14 @@ def train_pca(matrix: DataFrame, components: int = 5) -> tuple[DataFrame, np.nda
                 x = x - x.mean(axis=1, keepdims=True)
                 total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
-            yield pd.DataFrame({"g": [total.ravel().tolist()]})
+            i, j = np.tril_indices(len(total))
+            yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
 
-    parts = [np.array(r["g"]) for r in matrix.select("x").mapInPandas(partial, "g array<double>").collect()]
-    gram = sum(parts)
-    n = int(np.sqrt(len(gram)))
-    vectors, singular = gram_components(gram.reshape(n, n), components)
+    cells = matrix.select("x").mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    n = int(cells["i"].max()) + 1
+    gram = np.zeros((n, n))
+    gram[cells["i"], cells["j"]] = gram[cells["j"], cells["i"]] = cells["v"]
+    vectors, singular = gram_components(gram, components)
 
     def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -130,7 +132,7 @@ def distance_outliers(corrected: DataFrame, branch: str = "A", multiplier: dict
     rows = corrected.withColumn("cls", cls).where(F.col("cls").isin(use))
     long = rows.select("cls", "masked_idx", F.posexplode("x").alias("i", "v"))
     med = long.groupBy("cls", "i").agg(F.median("v").alias("m"))
-    dist = long.join(F.broadcast(med), ["cls", "i"]).groupBy("cls", "masked_idx").agg(F.sum((F.col("v") - F.col("m")) ** 2).alias("d"))
+    dist = long.join(med, ["cls", "i"]).groupBy("cls", "masked_idx").agg(F.sum((F.col("v") - F.col("m")) ** 2).alias("d"))
     center = dist.groupBy("cls").agg(F.median("d").alias("c"), F.count("*").alias("bins"))
     spread = dist.join(F.broadcast(center), "cls").groupBy("cls").agg((F.median(F.abs(F.col("d") - F.col("c"))) * 1.4826).alias("mad"), F.max("c").alias("c"), F.max("bins").alias("bins"))
     pick = lambda d: F.when(F.col("cls") == "auto", d["auto"]).when(F.col("cls") == "X", d["X"]).otherwise(d["Y"])
@@ -138,14 +140,16 @@ def distance_outliers(corrected: DataFrame, branch: str = "A", multiplier: dict
     return dist.join(F.broadcast(cut.select("cls", "cutoff")), "cls").where(F.col("d") > F.col("cutoff")).select("masked_idx", "d", "cutoff")
 
 
-def knn_bins(matrix: DataFrame, k: int = 300, branch: str = "A", block: int = 1024) -> DataFrame:
+def knn_bins(matrix: DataFrame, k: int = 300, branch: str = "A", block: int = 1024, ref_bytes: int = 256 << 20) -> DataFrame:
     """``masked_idx, refs, distances``: each bin's k nearest bins on other chromosomes, ties to the smaller index.
 
-    Blocks of targets meet the whole matrix: one copy of the genome's bins per block, as large as bins times samples.
-    In the F and M branches targets on chromosomes 1 to 21 are skipped and keep index 0, distance 1 (22 is computed).
+    Blocks of targets meet chunks of all bins, as many bins as fit in ``ref_bytes``; where one chunk is not all, the best
+    of each chunk are merged. Short lists are filled with index 0, distance 1. In the F and M branches targets on
+    chromosomes 1 to 21 are skipped and keep such lists (22 is computed).
     """
-    blocks = matrix.select(F.max("masked_idx")).first()[0]
-    blocks = 1 + (blocks or 0) // block
+    top, width = matrix.agg(F.max("masked_idx"), F.max(F.size("x"))).first()
+    top, per_chunk = top or 0, max(block, ref_bytes // (8 * max(1, width or 1)))
+    blocks, chunks = 1 + top // block, 1 + top // per_chunk
     skip = branch != "A"
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -162,17 +166,17 @@ def knn_bins(matrix: DataFrame, k: int = 300, branch: str = "A", block: int = 10
             out.append(pd.DataFrame({"masked_idx": own["masked_idx"].to_numpy(), "refs": list(refs), "distances": list(dist)}))
         return pd.concat(out)
 
-    targets = matrix.withColumn("block", F.floor(F.col("masked_idx") / block).cast("int"))
-    copies = matrix.select(F.col("masked_idx").alias("ref_idx"), F.col("chrom").alias("ref_chrom"), F.col("x").alias("ref_x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    return targets.groupBy("block").cogroup(copies.groupBy("block")).applyInPandas(run, "masked_idx long, refs array<long>, distances array<double>")
-
-
-def knn_sql(matrix: DataFrame, k: int) -> DataFrame:
-    """The same by a plain self-join on unequal chromosomes, for small matrices and checks: long rows with ``rank``."""
-    a, b = matrix.select(F.col("masked_idx").alias("a"), F.col("chrom").alias("ca"), F.col("x").alias("xa")), matrix.select(F.col("masked_idx").alias("b"), F.col("chrom").alias("cb"), F.col("x").alias("xb"))
-    d = F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    pairs = a.join(b, F.col("ca") != F.col("cb")).select("a", "b", d.alias("distance"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("rank") <= k)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    targets = matrix.select("*", F.floor(F.col("masked_idx") / block).cast("int").alias("block"), every(chunks, "chunk"))
+    copies = matrix.select(F.col("masked_idx").alias("ref_idx"), F.col("chrom").alias("ref_chrom"), F.col("x").alias("ref_x"), F.floor(F.col("masked_idx") / per_chunk).cast("int").alias("chunk"), every(blocks, "block"))
+    found = targets.groupBy("block", "chunk").cogroup(copies.groupBy("block", "chunk")).applyInPandas(run, "masked_idx long, refs array<long>, distances array<double>")
+    if chunks == 1:
+        return found
+    pairs = F.filter(F.arrays_zip("distances", "refs"), lambda p: p["refs"] > 0)
+    best = F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k)
+    merged = found.groupBy("masked_idx").agg(best.alias("p"))
+    fill = lambda c, v: F.concat(F.transform("p", lambda p: p[c]), F.array_repeat(F.lit(v), k - F.size("p")))
+    return merged.select("masked_idx", fill("refs", 0).cast("array<bigint>").alias("refs"), fill("distances", 1.0).alias("distances"))
 
 
 def null_ratios(matrix: DataFrame, knn: DataFrame, max_samples: int = 100, seed: int = 1) -> DataFrame:
@@ -189,41 +193,62 @@ def null_ratios(matrix: DataFrame, knn: DataFrame, max_samples: int = 100, seed:
     return out
 
 
-def newref(bins: DataFrame, nipt: bool = False, refsize: int = 300, yfrac: float | None = None, components: int = 5, max_null: int = 100, value: str = "n", branches: tuple[str, ...] | None = None, min_samples: int = 10, save=None) -> dict[str, DataFrame]:
+def rescale_to(bins: DataFrame, sizes: DataFrame, binsize: int, value: str = "n") -> DataFrame:
+    """Samples binned at their own size (``sample_id, binsize``; divisors of ``binsize``) summed to one size."""
+    own = bins.join(sizes.select("sample_id", F.col("binsize").alias("_own")), "sample_id")
+    step = F.when(F.lit(binsize) % F.col("_own") == 0, F.lit(binsize) / F.col("_own")).otherwise(F.raise_error(F.lit("a sample's bin size does not divide the reference's")).cast("double"))
+    return own.groupBy("sample_id", "chrom", F.floor(F.col("bin") / step).cast("int").alias("bin")).agg(F.sum(value).alias(value))
+
+
+def newref(bins: DataFrame, nipt: bool = False, refsize: int = 300, yfrac: float | None = None, components: int = 5, max_null: int = 100, value: str = "n", branches: tuple[str, ...] | None = None, min_samples: int = 10, min_female: int = 5, min_male: int = 5, sample_binsizes: DataFrame | None = None, binsize: int | None = None, outliers: dict | None = None, save=None) -> dict[str, DataFrame]:
     """Reference tables by branch: ``bins, knn, null_ratio`` with a ``branch`` column, and ``mask, genders, meta``.
 
-    F and M use the autosomal mask that A's pruning left. ``save(df, name)`` writes a table and reads it back.
+    F and M are built independently, each from the samples of its sex and from the mask that A's pruning left; what F
+    prunes M keeps. A sex below its minimum has no branch; in NIPT mode there is no M, and too few female samples are
+    an error. ``sample_binsizes`` brings samples to ``binsize`` first. ``outliers``: arguments of
+    ``distance_outliers``. ``save(df, name)`` writes a table and reads it back.
     """
     save = save or (lambda df, name: df)
     if bins.select("sample_id").distinct().count() < min_samples:
         raise ValueError(f"a reference needs at least {min_samples} samples")
+    if sample_binsizes is not None:
+        bins = rescale_to(bins, sample_binsizes, binsize, value)
     frac = save(y_fraction(bins, value), "y_fraction")
     cutoff = gender_cutoff(frac, yfrac)
     genders = save(predict_gender(frac, cutoff), "genders")
-    bins = save(gender_correct(bins.select("sample_id", "chrom", "bin", value), genders, value, nipt).drop("gender"), "bins")
-    mask = save(reference_mask(bins, genders, nipt=nipt, value=value), "mask")
     counts = {r["gender"]: r["count"] for r in genders.groupBy("gender").count().collect()}
-    parts: dict[str, list[DataFrame]] = {"bins": [], "knn": [], "null_ratio": []}
+    if nipt and counts.get("F", 0) < min_female:
+        raise ValueError(f"a NIPT reference needs at least {min_female} female samples")
+    bins = save(gender_correct(bins.select("sample_id", "chrom", "bin", value), genders, value, nipt).drop("gender"), "corrected")
+    mask = save(reference_mask(bins, genders, min_female=min_female, min_male=min_male, nipt=nipt, value=value), "first_mask")
+    least = {"F": min_female, "M": min_male}
+    parts: dict[str, list[DataFrame]] = {"bins": [], "knn": [], "null_ratio": [], "mask": []}
     for branch in branches or ("A", "F", "M"):
-        if branch == "M" and (nipt or counts.get("M", 0) < 1) or branch == "F" and not nipt and counts.get("F", 0) < 1:
+        if branch == "M" and nipt or branch in least and counts.get(branch, 0) < least[branch]:
             continue
-        own = bins if branch == "A" or nipt else bins.join(genders.where(F.col("gender") == branch).select("sample_id"), "sample_id")
-        matrix = save(branch_matrix(own, mask, branch, value), f"matrix_{branch}")
+        own = bins if branch == "A" else bins.join(genders.where(F.col("gender") == branch).select("sample_id"), "sample_id")
+        kept = mask
+        matrix = save(branch_matrix(own, kept, branch, value), f"matrix_{branch}")
         model, scores = train_pca(matrix, components)
         corrected = save(pca_ratio(matrix, model, scores), f"corrected_{branch}")
-        bad = save(distance_outliers(corrected, branch), f"outliers_{branch}")
+        bad = save(distance_outliers(corrected, branch, **(outliers or {})), f"outliers_{branch}")
         if bad.limit(1).count():
             gone = corrected.join(bad, "masked_idx").select("chrom", "bin", F.lit(True).alias("gone"))
-            mask = save(mask.join(gone, ["chrom", "bin"], "left").select("chrom", "bin", (F.col("keep") & F.col("gone").isNull()).alias("keep")), f"mask_{branch}")
-            matrix = save(branch_matrix(own, mask, branch, value), f"matrix2_{branch}")
+            kept = save(kept.join(gone, ["chrom", "bin"], "left").select("chrom", "bin", (F.col("keep") & F.col("gone").isNull()).alias("keep")), f"mask_{branch}")
+            matrix = save(branch_matrix(own, kept, branch, value), f"matrix2_{branch}")
             model, scores = train_pca(matrix, components)
             corrected = save(pca_ratio(matrix, model, scores), f"corrected2_{branch}")
+        if branch == "A":  # its pruning touches autosomes only, which the other branches share
+            mask = kept
         knn = save(knn_bins(corrected, refsize, branch), f"knn_{branch}")
-        parts["bins"].append(matrix.join(model, "masked_idx").select(F.lit(branch).alias("branch"), "masked_idx", "chrom", "bin", "mean", "loading"))
-        parts["knn"].append(knn.select(F.lit(branch).alias("branch"), "*"))
-        parts["null_ratio"].append(null_ratios(corrected, knn, max_null).select(F.lit(branch).alias("branch"), "*"))
+        tag = lambda df: df.select(F.lit(branch).alias("branch"), "*")  # noqa: B023, E731
+        parts["bins"].append(tag(matrix.join(model, "masked_idx").select("masked_idx", "chrom", "bin", "mean", "loading")))
+        parts["knn"].append(tag(knn))
+        parts["null_ratio"].append(tag(null_ratios(corrected, knn, max_null)))
+        parts["mask"].append(tag(kept.where(F.col("chrom") <= BRANCHES[branch])))
     union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
-    return {k: save(union(v), k) for k, v in parts.items()} | {"mask": mask, "genders": genders, "meta": bins.sparkSession.createDataFrame([(float(cutoff), refsize, nipt)], "gender_cutoff double, refsize int, nipt boolean")}
+    meta = bins.sparkSession.createDataFrame([(float(cutoff), refsize, nipt, binsize)], "gender_cutoff double, refsize int, nipt boolean, binsize int")
+    return {k: save(union(v), k) for k, v in parts.items()} | {"genders": genders, "meta": save(meta, "meta")}
 
 
 def remap(a: DataFrame, other: DataFrame) -> DataFrame:
@@ -246,12 +271,28 @@ def knn_summary(knn: DataFrame) -> DataFrame:
     return knn.select("branch", "masked_idx", F.size(use).alias("n_refs"), safe_div(total, F.nullif(F.size(use), F.lit(0))).alias("mean_dist"))
 
 
-def reference_qc(knn: DataFrame, min_ref_bins: int = 150, sigma: float = 3.0) -> DataFrame:
-    """Metrics and a verdict per branch: no data fails; low reference counts warn (checked first), a wide spread of mean distances fails."""
-    per = knn_summary(knn)
+def mask_compatibility(mask: DataFrame) -> DataFrame:
+    """``branch, n_missing, compatible``: whether the F and M masks keep the autosomal bins that A keeps, and no other."""
+    auto = mask.where("chrom <= 22")
+    a = auto.where("branch = 'A'").select("chrom", "bin", F.col("keep").alias("a_keep"))
+    both = auto.where("branch <> 'A'").join(a, ["chrom", "bin"], "full")
+    return both.where("branch is not null").groupBy("branch").agg(F.count_if(~F.col("keep").eqNullSafe(F.col("a_keep"))).alias("n_missing")).withColumn("compatible", F.col("n_missing") == 0)
+
+
+def reference_qc(knn: DataFrame, min_ref_bins: int = 150, sigma: float = 3.0, mask: DataFrame | None = None) -> DataFrame:
+    """Metrics and a verdict per branch: no data fails; low reference counts warn (checked first), a wide spread of mean distances fails.
+
+    Targets of the F and M branches that are skipped by design (lists of index 0 only) are left out. With ``mask`` (by
+    branch) a branch whose autosomal mask is not A's fails too, and ``ready`` says whether the branch can be used.
+    """
+    per = knn_summary(knn).where("branch = 'A' or n_refs > 0")
     base = per.groupBy("branch").agg(F.count("*").alias("n_bins"), F.count("mean_dist").alias("n_valid"), F.avg("mean_dist").alias("mean_of_means"), F.coalesce(F.stddev_samp("mean_dist"), F.lit(0.0)).alias("std_of_means"), F.count_if(F.col("n_refs") < min_ref_bins).alias("n_low_refs"))
-    out = per.join(F.broadcast(base.select("branch", (F.col("mean_of_means") + sigma * F.col("std_of_means")).alias("cut"))), "branch").groupBy("branch").agg(F.count_if(F.col("mean_dist") >= F.col("cut")).alias("n_mean_outlier"))
-    return base.join(out, "branch").withColumn("outlier_pct", safe_div(F.col("n_mean_outlier") * 100, F.nullif(F.col("n_valid"), F.lit(0)))).withColumn("verdict", verdict(F.col("n_valid"), F.col("n_low_refs"), F.col("std_of_means")))
+    out = per.join(base.select("branch", (F.col("mean_of_means") + sigma * F.col("std_of_means")).alias("cut")), "branch").groupBy("branch").agg(F.count_if(F.col("mean_dist") >= F.col("cut")).alias("n_mean_outlier"))
+    out = base.join(out, "branch").withColumn("outlier_pct", safe_div(F.col("n_mean_outlier") * 100, F.nullif(F.col("n_valid"), F.lit(0)))).withColumn("verdict", verdict(F.col("n_valid"), F.col("n_low_refs"), F.col("std_of_means")))
+    if mask is None:
+        return out
+    out = out.join(mask_compatibility(mask).select("branch", "compatible"), "branch", "left").withColumn("compatible", F.coalesce("compatible", F.lit(True)))
+    return out.withColumn("verdict", F.when(~F.col("compatible"), "FAIL").otherwise(F.col("verdict"))).withColumn("ready", F.col("verdict") != "FAIL")
 
 
 def verdict(n_valid: Column, n_low: Column, std: Column, high: float = 10.0) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +64,9 @@ def k08(spark, d):
     return C.coverage_mask(_sexed(spark, d))
 
 
-@query("b08_reference_mask")
+@query("b08_reference_mask", f"""{_MASKED}, gx AS (SELECT CASE WHEN y_frac > {YFRAC} THEN 'M' ELSE 'F' END AS gender, sample_id, chrom, bin, x FROM x JOIN yf USING (sample_id)),
+gs AS (SELECT gender, chrom, bin, sum(x) AS s, count(DISTINCT sample_id) AS k FROM gx GROUP BY 1, 2, 3), gm AS (SELECT gender, chrom, bin, k < 5 OR s > 0.05 * median(CASE WHEN s > 0 THEN s END) OVER (PARTITION BY gender) AS keep FROM gs)
+SELECT chrom, bin, mask.keep AND bool_and(gm.keep) AS keep FROM mask JOIN gm USING (chrom, bin) GROUP BY chrom, bin, mask.keep""")
 def b08(spark, d):
     b = _sexed(spark, d)
     return C.reference_mask(b, C.predict_gender(C.y_fraction(b), YFRAC))
@@ -97,101 +97,90 @@ def k11(spark, d):
 
 
 KNN = """
-WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings WHERE vec_id < 400),
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance FROM e AS a JOIN e AS b ON a.label <> b.label),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY a ORDER BY distance, b) AS INT) AS rank FROM p)"""
 
 
-def _vectors(spark, d, whole: bool) -> DataFrame:
-    """The vectors that the SQL above names, or the whole table."""
+def _vectors(spark, d) -> DataFrame:
+    """Every vector as a bin of its label's chromosome."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    e = e if whole else e.where("vec_id < 400")
     return e.select(F.col("vec_id").alias("masked_idx"), F.col("label").alias("chrom"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
-def _knn(vectors: DataFrame, whole: bool) -> DataFrame:
-    return C.knn_bins(vectors, 10, block=1024 if whole else 128)
+def _knn(vectors: DataFrame) -> DataFrame:
+    return C.knn_bins(vectors, 10)
 
 
 @query("k12_knn", f"{KNN} SELECT a, rank, b, round(distance, 9) AS distance FROM r WHERE rank <= 10")
-def k12(spark, d, whole=False):
+def k12(spark, d):
     """Nearest vectors of another class, by the block kernel (indices of the kernel count from 1)."""
-    k = _knn(_vectors(spark, d, whole), whole)
+    k = _knn(_vectors(spark, d))
     rows = k.select(F.col("masked_idx").alias("a"), F.posexplode(F.arrays_zip("refs", "distances")).alias("rank", "p"))
     return rows.select("a", (F.col("rank") + 1).alias("rank"), (F.col("p.refs") - 1).alias("b"), F.round("p.distances", 9).alias("distance"))
 
 
 @query("c05_cross_chromosome_join", f"{KNN} SELECT a, rank, b, round(distance, 9) AS distance FROM r WHERE rank <= 3")
-def c05(spark, d, whole=False):
-    if whole:  # the plain self-join makes a row for each pair
-        return k12(spark, d, True).where("rank <= 3")
-    return C.knn_sql(_vectors(spark, d, False), 3).select("a", "rank", "b", F.round("distance", 9).alias("distance"))
+def c05(spark, d):
+    """Blocks of bins against all bins of other chromosomes; no row per pair is ever made."""
+    return k12(spark, d).where("rank <= 3")
 
 
 @query("f04_top_k", f"{KNN} SELECT a, b FROM r WHERE rank = 1")
-def f04(spark, d, whole=False):
-    if whole:
-        return k12(spark, d, True).where("rank = 1").select("a", "b")
-    return C.knn_sql(_vectors(spark, d, False), 1).select("a", "b")
+def f04(spark, d):
+    return k12(spark, d).where("rank = 1").select("a", "b")
 
 
 @query("k13_null_ratios", f"{KNN}, refs AS (SELECT a, b FROM r WHERE rank <= 10), v AS (SELECT a, CAST(i.range AS INT) AS null_id, e.x[CAST(i.range AS INT) + 1] AS v FROM (SELECT DISTINCT a FROM refs) JOIN e ON e.vec_id = a CROSS JOIN range(0, 64) AS i), m AS (SELECT refs.a, v.null_id, median(CASE WHEN v > 0 THEN v END) AS m FROM refs JOIN v ON v.a = refs.b GROUP BY 1, 2) SELECT v.a AS masked_idx, v.null_id, round(CASE WHEN v > 0 AND m > 0 THEN log2(v / m) ELSE 0 END, 6) AS ratio FROM v LEFT JOIN m USING (a, null_id)")
-def k13(spark, d, whole=False):
-    v = _vectors(spark, d, whole)
-    return C.null_ratios(v, _knn(v, whole), max_samples=64).withColumn("ratio", F.round("ratio", 6))
+def k13(spark, d):
+    v = _vectors(spark, d)
+    return C.null_ratios(v, _knn(v), max_samples=64).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("d17_bin_references", f"{KNN} SELECT a AS masked_idx, CAST(count(*) AS INT) AS n_refs, round(avg(distance), 9) AS mean_dist FROM r WHERE rank <= 10 GROUP BY 1")
-def d17(spark, d, whole=False):
-    s = C.knn_summary(_knn(_vectors(spark, d, whole), whole).withColumn("branch", F.lit("A")))
+def d17(spark, d):
+    s = C.knn_summary(_knn(_vectors(spark, d)).withColumn("branch", F.lit("A")))
     return s.select("masked_idx", "n_refs", F.round("mean_dist", 9).alias("mean_dist"))
 
 
 @query("k21f_reference_qc", f"{KNN}, s AS (SELECT a, count(*) AS n, avg(distance) AS m FROM r WHERE rank <= 10 GROUP BY 1) SELECT 'A' AS branch, count(*) AS n_bins, round(avg(m), 9) AS mean_of_means, round(stddev_samp(m), 9) AS std_of_means, count(*) FILTER (WHERE n < 5) AS n_low_refs, 'PASS' AS verdict FROM s")
-def k21f(spark, d, whole=False):
-    q = C.reference_qc(_knn(_vectors(spark, d, whole), whole).withColumn("branch", F.lit("A")), 5)
+def k21f(spark, d):
+    q = C.reference_qc(_knn(_vectors(spark, d)).withColumn("branch", F.lit("A")), 5)
     return q.select("branch", "n_bins", F.round("mean_of_means", 9).alias("mean_of_means"), F.round("std_of_means", 9).alias("std_of_means"), "n_low_refs", "verdict")
 
 
 @query("k18_weights", f"{KNN} SELECT a AS masked_idx, round(1 / avg(sqrt(distance)), 9) AS w FROM r WHERE rank <= 10 GROUP BY 1")
-def k18(spark, d, whole=False):
-    return P.weights(_knn(_vectors(spark, d, whole), whole).withColumn("branch", F.lit("A"))).select("masked_idx", F.round("w", 9).alias("w"))
+def k18(spark, d):
+    return P.weights(_knn(_vectors(spark, d)).withColumn("branch", F.lit("A"))).select("masked_idx", F.round("w", 9).alias("w"))
 
 
 _CUT = ", ".join(f"c{i} AS (SELECT avg(distance) + 3 * stddev_pop(distance) AS c FROM r WHERE rank <= 10" + (f" AND distance < (SELECT c FROM c{i - 1})" if i else "") + ")" for i in range(5))
 
 
 @query("k19_optimal_cutoff", f"{KNN}, {_CUT} SELECT round(c, 9) AS cutoff FROM c4")
-def k19(spark, d, whole=False):
-    k = _saver(spark)(_knn(_vectors(spark, d, whole), whole).select(F.explode("distances").alias("d")), "d")
+def k19(spark, d):
+    k = _saver(spark)(_knn(_vectors(spark, d)).select(F.explode("distances").alias("d")), "d")
     return spark.createDataFrame([(P.optimal_cutoff(k),)], "cutoff double").withColumn("cutoff", F.round("cutoff", 9))
 
 
-_ONCE = f"""{KNN}, refs AS (SELECT a, b FROM r WHERE rank <= 10), v AS (SELECT vec_id AS a, CAST(i.range AS INT) AS sample_id, abs(e.x[CAST(i.range AS INT) + 1]) AS v FROM e CROSS JOIN range(0, 4) AS i),
+_ONCE = f"""{KNN}, refs AS (SELECT a, b FROM r WHERE rank <= 10), v AS (SELECT vec_id AS a, CAST(i.range AS INT) AS sample_id, abs(e.x[CAST(i.range AS INT) + 1]) AS v FROM e CROSS JOIN range(0, 64) AS i),
 o AS (SELECT v.sample_id, v.a, v.v, avg(w.v) AS m, stddev_pop(w.v) AS sd, median(w.v) AS med, count(*) AS n_refs FROM v JOIN refs ON refs.a = v.a JOIN v AS w ON w.a = refs.b AND w.sample_id = v.sample_id GROUP BY 1, 2, 3)"""
 
 
-def _within(spark, d, iterations: int, whole: bool) -> DataFrame:
-    v = _vectors(spark, d, whole)
-    values = v.select(F.posexplode("x").alias("sample_id", "x"), "masked_idx", "chrom")
-    values = (values if whole else values.where("sample_id < 4")).select("sample_id", "masked_idx", F.col("chrom").alias("chrom"), F.col("masked_idx").cast("int").alias("bin"), F.abs("x").alias("x"))
-    return P.normalise_within(values, _knn(v, whole), float("inf"), iterations, save=_saver(spark))
+def _within(spark, d, iterations: int) -> DataFrame:
+    v = _vectors(spark, d)
+    values = v.select(F.posexplode("x").alias("sample_id", "x"), "masked_idx", "chrom").select("sample_id", "masked_idx", F.col("chrom").alias("chrom"), F.col("masked_idx").cast("int").alias("bin"), F.abs("x").alias("x"))
+    return P.normalise_within(values, _knn(v), float("inf"), iterations, save=_saver(spark))
 
 
 @query("k20_within_sample", f"{_ONCE} SELECT sample_id, a AS masked_idx, round((v - m) / sd, 6) AS z, round(v / med, 6) AS r, n_refs FROM o")
-def k20(spark, d, whole=False):
-    return _within(spark, d, 1, whole).select("sample_id", "masked_idx", F.round("z", 6).alias("z"), F.round("r", 6).alias("r"), "n_refs")
+def k20(spark, d):
+    return _within(spark, d, 1).select("sample_id", "masked_idx", F.round("z", 6).alias("z"), F.round("r", 6).alias("r"), "n_refs")
 
 
 @query("k20b_within_sample_masked", f"{_ONCE}, v2 AS (SELECT sample_id, a, CASE WHEN abs((v - m) / sd) >= 2.3263478740408408 THEN -1 ELSE v END AS v2 FROM o) SELECT o.sample_id, o.a AS masked_idx, round((o.v - avg(v2)) / stddev_pop(v2), 6) AS z, count(*) AS n_refs FROM o JOIN refs ON refs.a = o.a JOIN v2 ON v2.a = refs.b AND v2.sample_id = o.sample_id WHERE v2 >= 0 GROUP BY o.sample_id, o.a, o.v")
-def k20b(spark, d, whole=False):
-    return _within(spark, d, 2, whole).select("sample_id", "masked_idx", F.round("z", 6).alias("z"), "n_refs")
-
-
-#: The SQL of these ten names 400 vectors (k20 and k20b: 4 columns of them); these are the same over the whole table.
-WHOLE = {"k12_knn": k12, "c05_cross_chromosome_join": c05, "f04_top_k": f04, "k13_null_ratios": k13, "d17_bin_references": d17, "k21f_reference_qc": k21f, "k18_weights": k18, "k19_optimal_cutoff": k19, "k20_within_sample": k20, "k20b_within_sample_masked": k20b}
-for _name, _f in WHOLE.items():
-    query(f"{_name}_whole")(partial(_f, whole=True))
+def k20b(spark, d):
+    return _within(spark, d, 2).select("sample_id", "masked_idx", F.round("z", 6).alias("z"), "n_refs")
 
 
 BLACK = [(1, 0, 49999), (2, 60000, 100000), (24, 950000, 1200000)]

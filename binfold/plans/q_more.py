@@ -208,7 +208,7 @@ def a31(spark, d):
     return spark.read.json(path).select("branch", "verdict")
 
 
-@query("i03_online_dedup")
+@query("i03_online_dedup", f"{W}, o AS (SELECT *, lag(pos) OVER w AS p0, lag(mate_pos) OVER w AS m0 FROM reads WHERE NOT (flag & 1 = 1 AND flag & 2 = 0) WINDOW w AS (PARTITION BY sample_id, chrom ORDER BY pos, {', '.join(data.ORDER)})) SELECT sample_id, count(*) AS n FROM o WHERE NOT (pos IS NOT DISTINCT FROM p0 AND (flag & 1 = 0 OR mate_pos IS NOT DISTINCT FROM m0)) GROUP BY 1")
 def i03(spark, d):
     """Stateful duplicate removal on a stream of sorted reads, compared with the batch form in the tests."""
     folder, out = _folder(spark, "reads"), _folder(spark, "kept")

@@ -48,7 +48,7 @@ def predict_cohort(bins: DataFrame, lengths: DataFrame, binsize: int, samples: l
     spark = bins.sparkSession
     save = save or save_in_checkpoints(spark)
     bins = save(bins.select("sample_id", "chrom", "bin", "n"), "input")
-    ref = newref(bins, nipt=nipt, refsize=refsize, yfrac=yfrac, components=components, save=save)
+    ref = newref(bins, nipt=nipt, refsize=refsize, yfrac=yfrac, components=components, binsize=binsize, save=save)
     if cases is not None:
         own = save(cases.select("sample_id", "chrom", "bin", "n"), "cases")
         genders = save(predict_gender(y_fraction(own), ref["meta"].first()["gender_cutoff"]), "case_genders")

@@ -80,6 +80,17 @@ def test_best_denominator_equals_brute_force():
     assert abs(K.best_denominator(np.full((2000, 1), 1e12), 1e12 * tiny, 1, 1)[1] - tiny.std(ddof=1) / tiny.mean()) < 1e-12
 
 
+def test_forward_selection_stops_without_degrees_of_freedom():
+    rng = np.random.default_rng(4)
+    assert len(K.forward_selection(rng.normal(size=5), rng.normal(size=(5, 12)), 10)) == 3
+
+
+def test_best_denominator_in_any_block():
+    rng = np.random.default_rng(6)
+    reads, focus = rng.uniform(50, 100, (9, 7)), rng.uniform(5, 9, 9)
+    assert K.best_denominator(reads, focus, 1, 4) == K.best_denominator(reads, focus, 1, 4, numbers=40)
+
+
 def test_cbs_finds_a_step():
     rng = np.random.default_rng(7)
     x = rng.normal(0, 0.05, 200)

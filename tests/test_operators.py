@@ -164,6 +164,92 @@ def test_knn_never_stays_on_its_chromosome(spark):
             assert all(chrom[i - 1] != c for i in r["refs"])
 
 
+def test_knn_in_chunks_equals_one_chunk(spark):
+    df, _ = cnv_cohort(spark, n=10, bins=6)
+    m = cnv_reference.branch_matrix(df, cnv_reference.coverage_mask(df), "F")
+    for branch in ("A", "F"):
+        rows = lambda **kw: {r["masked_idx"]: (r["refs"], r["distances"]) for r in cnv_reference.knn_bins(m, 9, branch, block=16, **kw).collect()}  # noqa: B023, E731
+        assert rows(ref_bytes=8 * 10 * 20) == rows()
+    few = {r["masked_idx"]: r["refs"] for r in cnv_reference.knn_bins(m.where("masked_idx < 8"), 9, "A", block=2, ref_bytes=8 * 10 * 2).collect()}
+    assert all(x.count(0) == 9 - (2 if i < 6 else 6) for i, x in few.items())
+
+
+def test_female_pruning_leaves_the_male_branch_alone(spark):
+    df, lengths = cnv_cohort(spark, n=20)
+    # Three bins of X vary wildly among females only, each in its own way: one component can't explain them all.
+    wild = F.when((F.col("chrom") == 23) & F.col("bin").isin(3, 9, 15) & (F.col("sample_id") % 2 == 0), F.col("n") * (1 + F.pmod(F.col("sample_id") * F.col("bin") * 7 + F.col("bin"), F.lit(5)))).otherwise(F.col("n"))
+    df = df.withColumn("n", wild.cast("long"))
+    ref = cnv_reference.newref(df, yfrac=0.005, refsize=20, components=1, outliers={"floor": {"auto": 10.0, "X": 0.0, "Y": 10.0}, "multiplier": {"auto": 20.0, "X": 20.0, "Y": 50.0}}, save=workflows.save_in_checkpoints(spark))
+    kept = {(r["branch"], r["bin"]): r["keep"] for r in ref["mask"].where("chrom = 23").collect()}
+    gone = [b for b in (3, 9, 15) if not kept["F", b]]
+    assert gone and all(kept["M", b] for b in gone)
+    assert {r["branch"]: r["compatible"] for r in cnv_reference.mask_compatibility(ref["mask"]).collect()} == {"F": True, "M": True}
+    qc_rows = {r["branch"]: r for r in cnv_reference.reference_qc(ref["knn"], 5, mask=ref["mask"]).collect()}
+    assert set(qc_rows) == {"A", "F", "M"} and all(r["compatible"] and r["ready"] for r in qc_rows.values())
+    off = ref["mask"].withColumn("keep", F.col("keep") & ~((F.col("branch") == "M") & (F.col("chrom") == 2) & (F.col("bin") == 1)))
+    assert {r["branch"]: r["ready"] for r in cnv_reference.reference_qc(ref["knn"], 5, mask=off).collect()} == {"A": True, "F": True, "M": False}
+
+
+def test_branches_need_their_minimum_of_samples(spark):
+    df, _ = cnv_cohort(spark, n=14, bins=6)
+    few = df.where("sample_id % 2 = 0 or sample_id < 8")  # 7 females, 4 males
+    ref = cnv_reference.newref(few, yfrac=0.005, refsize=5, components=1, save=workflows.save_in_checkpoints(spark))
+    assert {r[0] for r in ref["bins"].select("branch").distinct().collect()} == {"A", "F"}
+    with pytest.raises(ValueError, match="NIPT"):
+        cnv_reference.newref(df.where("sample_id % 2 = 1 or sample_id < 7"), nipt=True, yfrac=0.005, refsize=5)
+    nipt = cnv_reference.newref(few, nipt=True, yfrac=0.005, refsize=5, components=1, max_null=3, save=workflows.save_in_checkpoints(spark))
+    assert {r[0] for r in nipt["bins"].select("branch").distinct().collect()} == {"A", "F"}
+
+
+def test_samples_of_other_bin_sizes_are_summed(spark):
+    df = spark.createDataFrame([("a", 1, b, 1 + b) for b in range(6)] + [("b", 1, b, 10) for b in range(3)], "sample_id string, chrom int, bin int, n long")
+    sizes = spark.createDataFrame([("a", 5), ("b", 10)], "sample_id string, binsize int")
+    got = sorted((r["sample_id"], r["bin"], r["n"]) for r in cnv_reference.rescale_to(df, sizes, 10).collect())
+    assert got == [("a", 0, 3), ("a", 1, 7), ("a", 2, 11), ("b", 0, 10), ("b", 1, 10), ("b", 2, 10)]
+    with pytest.raises(Exception, match="does not divide"):
+        cnv_reference.rescale_to(df, sizes.withColumn("binsize", F.lit(4)), 10).collect()
+
+
+def test_beta_calls_expect_one_copy_in_males(spark):
+    seg = spark.createDataFrame([("m", 23, 0, 9, 0.25, 1.0, True), ("f", 23, 0, 9, 0.25, 1.0, False), ("f", 23, 9, 12, 0.45, 1.0, False), ("m", 5, 0, 9, 0.25, 1.0, True)], "sample_id string, chrom int, start int, end int, ratio double, zscore double, male boolean")
+    got = sorted((r["sample_id"], r["chrom"], r["start"]) for r in cnv_predict.call_aberrations(seg, beta=0.5, male=F.col("male")).collect())
+    # log2((1 + 0.25) / 1) = 0.32, log2((2 + 0.25) / 2) = 0.17: a male's X needs the larger step
+    assert got == [("f", 23, 0), ("f", 23, 9), ("m", 5, 0)]
+
+
+def test_males_are_called_at_one_copy_by_predict(spark):
+    """The same ratio on X is a gain in a female and none in a male."""
+    df, lengths = cnv_cohort(spark)
+    cases, _ = cnv_cohort(spark, n=2)
+    raised = F.when((F.col("chrom") == 23) & F.col("bin").between(6, 17), F.col("n") * 1.18).otherwise(F.col("n"))
+    out = workflows.predict_cohort(df, lengths, 10, cases=cases.withColumn("n", raised.cast("long")), refsize=60, min_refs=10, yfrac=0.005, components=2, alpha=0.01, beta=0.5)
+    calls = {(r["sample_id"], r["type"]) for r in out["aberrations"].where("chrom = 23").collect()}
+    assert (0, "gain") in calls and (1, "gain") not in calls
+
+
+def test_fasta_in_splits(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    seqs = {str(c): "".join(rng.choice(list("ACGTNacgt"), 700)) for c in (1, 2, 3)}
+    lines = [x for c, s in seqs.items() for x in (f">chr{c} of a file", *[s[i : i + 60] for i in range(0, 700, 60)])]
+    (tmp_path / "g.fa").write_text("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("90", "333", "1000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            back = {}
+            for r in tables.read_fasta(spark, str(tmp_path / "g.fa")).collect():
+                back.setdefault(r["chrom"], {})[r["start"]] = r["seq"]
+            assert {c: "".join(v for _, v in sorted(x.items())) for c, x in back.items()} == seqs
+            assert all(at == sum(len(v) for k, v in x.items() if k < at) for x in back.values() for at in x)
+            got = {(r["chrom"], r["bin"]): r["gc"] for r in gc.gc_from_bases(tables.read_fasta(spark, str(tmp_path / "g.fa")), 100).collect()}
+            for c, s in seqs.items():
+                for b in range(7):
+                    part = s[100 * b : 100 * b + 100].upper()
+                    assert abs(got[c, b] - sum(part.count(x) for x in "CG") / sum(part.count(x) for x in "ACGT")) < 1e-12
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_reference_refusals(spark):
     df, lengths = cnv_cohort(spark, n=4, bins=3)
     with pytest.raises(ValueError):
