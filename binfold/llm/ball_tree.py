@@ -225,7 +225,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     own, asked = table(integer_vectors(rows, id_col, vec_col), "vectors"), table(integer_vectors(queries, id_col, vec_col).dropDuplicates(["id", "v"]), "queries")
     n, n_q = own.count(), asked.count()
     room = F.greatest(F.lit(1), F.floor(F.lit(shard_bytes) / (8 * F.col("dim"))))
-    spread = max(256, -(-n // (2 * spark.sparkContext.defaultParallelism)))  # small tables still use all cores
+    spread = max(4096, -(-n // (2 * spark.sparkContext.defaultParallelism)))  # small tables still use all cores
     wanted = own.agg(F.coalesce(F.sum(1.0 / F.least(room, F.lit(spread))), F.lit(0.0))).first()[0]
     pivots = Pivots(own.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(int(min(PIVOTS, max(1, wanted)))).select("dim", "v").collect())
     near = table(own.mapInArrow(pivots.assign, "id long, dim int, v array<long>, pivot int, far double"), "near")
