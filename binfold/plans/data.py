@@ -31,6 +31,11 @@ COLUMNS = {
 
 #: Common table expressions for DuckDB texts.
 READS = "reads AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in COLUMNS.items()).replace("AS STRING", "AS VARCHAR") + ", " + ", ".join(ORDER) + " FROM lineitem)"
+#: Reads left by consecutive-position duplicate removal without a quality filter.
+KEPT = (
+    "ordered AS (SELECT *, lag(pos) OVER w AS p0, lag(mate_pos) OVER w AS m0 FROM reads WHERE NOT (flag & 1 = 1 AND flag & 2 = 0) WINDOW w AS (PARTITION BY sample_id, chrom ORDER BY pos, " + ", ".join(ORDER) + ")), "
+    "kept AS (SELECT * FROM ordered WHERE NOT (pos IS NOT DISTINCT FROM p0 AND (flag & 1 = 0 OR mate_pos IS NOT DISTINCT FROM m0)))"
+)
 GC = "0.35 + ((chrom * 7 + bin * 13) % 30) / 100.0"
 GRID = "grid AS (SELECT sample_id, chrom, bin FROM (SELECT DISTINCT sample_id FROM reads) CROSS JOIN (SELECT CAST(range AS INT) AS chrom FROM range(1, 25)) CROSS JOIN (SELECT CAST(range AS INT) AS bin FROM range(0, 20)))"
 COUNTS = "counts AS (SELECT sample_id, chrom, CAST(pos // 50000 AS INT) AS bin, count(*) AS n, count(*) FILTER (WHERE flag & 16 = 0) AS n_fwd, count(*) FILTER (WHERE flag & 16 <> 0) AS n_rev FROM reads WHERE mapq >= 1 GROUP BY 1, 2, 3)"

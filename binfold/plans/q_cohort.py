@@ -8,7 +8,8 @@ from binfold.operators import bins as B
 from binfold.operators import chi, cohort, gc, qc, scores
 from binfold.operators import reads as R
 from binfold.plans import data
-from binfold.plans.data import BASE, COUNTS, GC_CTE, GRID, ORDER, READS
+from binfold.plans.data import BASE, COUNTS, DENSE, FRACS, GC_CTE, GRID, ORDER, READS, TOTALS
+from binfold.plans.q_relational import _STATS
 from binfold.plans.registry import query
 
 W = f"WITH {READS}"
@@ -182,7 +183,10 @@ def d16(spark, d):
     return t.select(F.element_at("denominators", F.lit(1)).alias("a"), F.element_at("denominators", F.lit(-1)).alias("b"), F.round("cv", 9).alias("cv"))
 
 
-@query("k39b_ncv_scores")
+@query("k39b_ncv_scores", f"""{BASE.replace('WITH reads', 'WITH RECURSIVE reads', 1)}, pool AS (SELECT DISTINCT chrom FROM totals WHERE chrom IN {_POOL}), st AS (SELECT [chrom] AS dens, chrom AS last, 1 AS k FROM pool UNION ALL SELECT list_append(dens, pool.chrom), pool.chrom, k + 1 FROM st JOIN pool ON pool.chrom > last WHERE k < 5),
+de AS (SELECT dens, k, sample_id, sum(reads) AS d FROM (SELECT dens, k, unnest(dens) AS chrom FROM st) JOIN totals USING (chrom) GROUP BY 1, 2, 3), ra AS (SELECT dens, k, t.chrom AS focus, sample_id, CAST(reads AS DOUBLE) / d AS ratio FROM de JOIN totals AS t USING (sample_id) WHERE t.chrom IN (13, 18, 21)),
+mo AS (SELECT focus, dens, k, avg(ratio) AS mean, stddev_samp(ratio) AS sd FROM ra GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY focus ORDER BY sd / mean, k, dens) = 1)
+SELECT sample_id, focus, round(ratio, 9) AS ratio, round((ratio - mean) / nullif(sd, 0), 6) AS z FROM ra JOIN mo USING (focus, dens)""")
 def k39b(spark, d):
     t = data.totals(spark, d)
     return scores.ncv_score(t, scores.ncv_templates(t, [13, 18, 21], 1, 5)).select("sample_id", "focus", F.round("ratio", 9).alias("ratio"), F.round("z", 6).alias("z"))
@@ -203,13 +207,16 @@ def k41(spark, d):
     return scores.regression(long.where("sample_id < 3"), long.where("sample_id >= 3"), [13, 18, 21])
 
 
-@query("k51_control_group_qc")
+@query("k51_control_group_qc", f"""{BASE}, {CHI}, ct AS (SELECT sample_id, chrom, sum(n / coalesce(CAST(factor AS DOUBLE), 1)) AS reads FROM dense LEFT JOIN profile USING (chrom, bin) GROUP BY 1, 2), cf AS (SELECT sample_id, chrom, reads / sum(CASE WHEN chrom <= 22 THEN reads END) OVER (PARTITION BY sample_id) AS frac FROM ct),
+cz AS (SELECT sample_id, abs((frac - avg(frac) OVER w) / stddev_samp(frac) OVER w) > 3 AS far FROM cf WHERE chrom <= 22 WINDOW w AS (PARTITION BY chrom)), ab AS (SELECT sample_id, bool_or(coalesce(far, false)) AS aberrant FROM cz GROUP BY 1),
+ss AS (SELECT a.sample_id AS a, b.sample_id AS b, sum((a.frac - b.frac) * (a.frac - b.frac)) AS ssd FROM cf AS a JOIN cf AS b ON a.chrom = b.chrom AND a.sample_id <> b.sample_id WHERE a.chrom <= 22 AND a.chrom NOT IN (13, 18, 21) GROUP BY 1, 2), ms AS (SELECT a AS sample_id, avg(ssd) AS mean_ssd FROM ss GROUP BY 1),
+ou AS (SELECT *, mean_ssd > (SELECT avg(mean_ssd) + 3 * stddev_samp(mean_ssd) FROM ms) AS outlier FROM ms) SELECT sample_id, round(mean_ssd, 12) AS mean_ssd, outlier, aberrant, CASE WHEN aberrant THEN 'aberrant' WHEN outlier THEN 'distant' ELSE 'ok' END AS status FROM ou JOIN ab USING (sample_id)""")
 def k51(spark, d):
     out = qc.control_group_qc(data.dense(spark, d))
     return qc.sample_status(out["samples"]).select("sample_id", F.round("mean_ssd", 12).alias("mean_ssd"), "outlier", "aberrant", "status")
 
 
-@query("k54_sample_qc")
+@query("k54_sample_qc", f"{_STATS.replace('mapq >= 5 AND flag & 512 = 0 AS use', 'true AS use')}, {DENSE}, {TOTALS}, {FRACS} SELECT st.sample_id, sequences, reads_mapped, round(frac, 9) AS frac_21, 'success' AS status, '' AS missing FROM st JOIN fracs ON fracs.sample_id = st.sample_id AND chrom = 21")
 def k54(spark, d):
     r = data.reads(spark, d)
     dense = data.dense(spark, d)

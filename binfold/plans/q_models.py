@@ -271,9 +271,14 @@ def _models(spark, d) -> list[dict]:
     return [sex.sex_model(f, "y_fraction"), sex.sex_model(f, "xy_fraction")]
 
 
-@query("k42_sex_models")
+@query("k42_sex_models", f"{SEXT} SELECT method, sex, count(*) AS members, round(avg(y), 6) AS mean_y FROM f CROSS JOIN (VALUES ('y_fraction'), ('xy_fraction')) AS m(method) GROUP BY 1, 2")
 def k42(spark, d):
-    return sex.model_table(spark, _models(spark, d)).select("method")
+    """Both mixtures: the labelled components' weights of membership and mean Y; the thinned cohort is separable."""
+    f, models = sex.sex_fractions(_totals(spark, d)), _models(spark, d)
+    rows = [(m["method"], "male" if k == m["male"] else "female", float(m["mean"][k][-1])) for m in models for k in (0, 1)]
+    means = spark.createDataFrame(rows, "method string, sex string, mean_y double")
+    votes = sex.predict_sex(f, models).select(F.explode("votes").alias("method", "sex")).groupBy("method", "sex").agg(F.count("*").alias("members"))
+    return means.join(votes, ["method", "sex"], "left").select("method", "sex", F.coalesce("members", F.lit(0)).alias("members"), F.round("mean_y", 6).alias("mean_y"))
 
 
 @query("k44_predict_sex", f"{SEXT} SELECT sample_id, sex AS prediction FROM f")
@@ -324,8 +329,7 @@ def k49(spark, d):
     return sex.sex_regression_score(t, models)
 
 
-@query("k50_gonosome_report")
-def k50(spark, d):
+def _gonosomes(spark, d) -> DataFrame:
     t, labels = _totals(spark, d), _labels(spark, d)
     ref = sex.build_reference(t, labels)
     ncv = sex.sex_ncv_score(t, sex.sex_ncv_models(t, ref, 1, 2))
@@ -333,6 +337,17 @@ def k50(spark, d):
     return sex.gonosome_report(sex.sex_score(_samples(spark, d), ref), ncv, reg)
 
 
+_NCV = f"""{SEXT}, {_REFS}, pool AS (SELECT DISTINCT chrom FROM t WHERE chrom <= 12 OR chrom IN (14, 15, 16, 19, 20, 22)), st AS (SELECT chrom AS a, chrom AS b FROM pool UNION ALL SELECT x.chrom, y.chrom FROM pool AS x JOIN pool AS y ON x.chrom < y.chrom),
+r AS (SELECT f.sample_id, f.chrom AS focus, a, b, CAST(f.reads AS DOUBLE) / sum(p.reads) AS ratio FROM t AS f CROSS JOIN st JOIN t AS p ON p.sample_id = f.sample_id AND (p.chrom = a OR p.chrom = b) WHERE f.chrom >= 23 GROUP BY f.sample_id, f.chrom, a, b, f.reads),
+m AS (SELECT ref.sex, focus, a, b, avg(ratio) AS mean, stddev_samp(ratio) AS sd FROM r JOIN ref USING (sample_id) WHERE NOT outlier GROUP BY 1, 2, 3, 4), best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY sex, focus ORDER BY sd / mean, a <> b, a, b) = 1),
+ncv AS (SELECT r.sample_id, best.sex, r.focus, round((ratio - mean) / sd, 5) AS ncv FROM r JOIN best ON best.focus = r.focus AND best.a = r.a AND best.b = r.b)"""
+
+
+@query("k50_gonosome_report", f"{_NCV} SELECT f.sample_id, f.sex AS predicted_sex, CASE ncv.focus WHEN 23 THEN 'X' ELSE 'Y' END AS chromosome, max(CASE WHEN ncv.sex = 'female' THEN ncv END) AS ncv_score_female, max(CASE WHEN ncv.sex = 'male' THEN ncv END) AS ncv_score_male, max(CASE WHEN ncv.sex = f.sex THEN ncv END) AS ncv_score_selected FROM f JOIN ncv USING (sample_id) GROUP BY 1, 2, 3")
+def k50(spark, d):
+    return _gonosomes(spark, d).select("sample_id", "predicted_sex", "chromosome", *[F.round(c, 5).alias(c) for c in ("ncv_score_female", "ncv_score_male", "ncv_score_selected")])
+
+
 @query("l04_plot_sex", f"{SEXT} SELECT sample_id, sex, round(-log10(greatest(x, 1e-12)), 9) AS x, round(-log10(greatest(y, 1e-12)), 9) AS y FROM f")
 def l04(spark, d):
     f = sex.sex_fractions(_totals(spark, d)).join(_labels(spark, d), "sample_id")

@@ -11,8 +11,8 @@ from binfold.operators import cnv_reference as C
 from binfold.operators import cohort, gc, qc, sex
 from binfold.operators import reads as R
 from binfold.plans import data
-from binfold.plans.data import BASE, GC_CTE, READS
-from binfold.plans.q_models import SEXT, _labels, _thinned
+from binfold.plans.data import BASE, GC_CTE, KEPT, READS
+from binfold.plans.q_models import SEXT, _gonosomes, _REFS, _thinned
 from binfold.plans.q_sources import _folder, _text
 from binfold.plans.registry import query
 from binfold.sources import sinks, tables
@@ -56,10 +56,20 @@ def a27(spark, d):
     return tables.read_gc_table(spark, out)
 
 
-@query("b11_min_references", f"{BASE} SELECT sample_id, chrom, count(*) FILTER (WHERE n % 7 >= 3) AS kept, count(*) FILTER (WHERE n % 7 < 3) AS zeroed FROM dense GROUP BY 1, 2")
+def _combined(spark, d, min_refs: int):
+    """Within-sample rows of two thirds of the autosomal bins, n % 7 references each, combined to the whole grid."""
+    dense = data.dense(spark, d)
+    rows = dense.where("chrom <= 22 and (chrom + bin) % 3 <> 0").select("sample_id", (F.col("chrom") * 20 + F.col("bin")).alias("masked_idx"), "chrom", "bin", F.lit(1.0).alias("x"), (F.col("n") - 5).cast("double").alias("z"), ((F.col("n") + 1) / 5.0).alias("r"), (F.col("n") % 7).alias("n_refs"), F.lit("A").alias("branch"))
+    w = rows.select("branch", "masked_idx", (1.0 + F.col("bin")).alias("w")).distinct()
+    return P.combine(rows, None, w, dense.select("sample_id", "chrom", "bin"), min_refs)
+
+
+@query("b11_min_references", f"{BASE}, e AS (SELECT sample_id, chrom, chrom <= 22 AND (chrom + bin) % 3 <> 0 AND n % 7 >= 3 AS ok FROM dense) SELECT sample_id, chrom, count(*) FILTER (WHERE ok) AS kept, count(*) FILTER (WHERE NOT ok) AS zeroed FROM e GROUP BY 1, 2")
 def b11(spark, d):
-    enough = (F.col("n") % 7) >= 3
-    return data.dense(spark, d).groupBy("sample_id", "chrom").agg(F.count_if(enough).alias("kept"), F.count_if(~enough).alias("zeroed"))
+    """Bins with fewer than three references get 0 in ratio, z and weight, like bins that are masked."""
+    out = _combined(spark, d, 3)
+    zero = (F.col("r") == 0) & (F.col("z") == 0) & (F.col("w") == 0)
+    return out.groupBy("sample_id", "chrom").agg(F.count_if(~zero).alias("kept"), F.count_if(zero).alias("zeroed"))
 
 
 @query("b16_sample_lists", f"{W} SELECT DISTINCT sample_id, CASE WHEN sample_id = 3 THEN 'excluded' WHEN sample_id > 5 THEN 'not_included' ELSE 'kept' END AS decision FROM reads")
@@ -92,11 +102,13 @@ def c09(spark, d):
     return C.remap(a, f).fillna(-1, ["other_idx"])
 
 
-@query("c10_gather", f"{BASE}, v AS (SELECT sample_id, chrom * 20 + bin AS i, n FROM dense), r AS (SELECT i.range AS i, (i.range * 7 + k.range * 13) % 480 + 20 AS ref FROM range(20, 500) AS i CROSS JOIN range(0, 5) AS k) SELECT v.sample_id, CAST(r.i AS BIGINT) AS i, CAST(sum(n) AS BIGINT) AS total FROM r JOIN v ON v.i = r.ref GROUP BY 1, 2")
+@query("c10_gather", f"{BASE}, v AS (SELECT sample_id, chrom * 20 + bin AS i, n FROM dense), r AS (SELECT i.range AS i, (i.range * 7 + k.range * 13) % 480 + 20 AS ref FROM range(20, 500) AS i CROSS JOIN range(0, 5) AS k), g AS (SELECT v.sample_id, r.i, median(n) AS med, count(*) AS n_refs FROM r JOIN v ON v.i = r.ref GROUP BY 1, 2) SELECT g.sample_id, CAST(g.i AS BIGINT) AS i, n_refs, round(v.n / nullif(med, 0), 6) AS ratio FROM g JOIN v ON v.sample_id = g.sample_id AND v.i = g.i")
 def c10(spark, d):
-    refs = spark.range(20, 500).select(F.col("id").alias("i"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: (F.col("id") * 7 + k * 13) % 480 + 20)).alias("ref"))
-    v = data.dense(spark, d).select("sample_id", (F.col("chrom") * 20 + F.col("bin")).cast("long").alias("ref"), "n")
-    return refs.join(v, "ref").groupBy("sample_id", "i").agg(F.sum("n").alias("total"))
+    """A bin's value over the median of the values its reference indices point to, in the same sample."""
+    index = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: (F.col("id") * 7 + k * 13) % 480 + 21)  # indices of a reference count from 1
+    knn = spark.range(20, 500).select(F.col("id").alias("masked_idx"), index.alias("refs"), F.array_repeat(F.lit(0.5), 5).alias("distances"))
+    v = data.dense(spark, d).select("sample_id", (F.col("chrom") * 20 + F.col("bin")).cast("long").alias("masked_idx"), "chrom", "bin", F.col("n").cast("double").alias("x"))
+    return P.normalise_within(v, knn, float("inf"), 1).select("sample_id", F.col("masked_idx").alias("i"), "n_refs", F.round("r", 6).alias("ratio"))
 
 
 @query("e05_local_minima", f"{W}, g AS (SELECT mapq AS x, count(*) AS y FROM reads GROUP BY 1), n AS (SELECT x, y, lag(y) OVER (ORDER BY x) AS a, lead(y) OVER (ORDER BY x) AS b FROM g) SELECT x, y FROM n WHERE y < a AND y < b")
@@ -173,11 +185,7 @@ def k17(spark, d):
 c AS (SELECT sample_id, median(log2(r)) AS m_lr, median(z) AS m_z, avg(w) AS mw FROM r GROUP BY 1), o AS (SELECT sample_id, chrom, bin, CASE WHEN n_refs >= 2 AND log2(r) <> 0 THEN log2(r) - m_lr ELSE 0 END AS r, CASE WHEN n_refs >= 2 THEN z - m_z ELSE 0 END AS z, CASE WHEN n_refs >= 2 THEN w / mw ELSE 0 END AS w FROM r JOIN c USING (sample_id))
 SELECT sample_id, chrom, bin, round(coalesce(r, 0), 9) AS r, round(coalesce(z, 0), 9) AS z, round(coalesce(w, 0), 9) AS w FROM dense LEFT JOIN o USING (sample_id, chrom, bin)""")
 def k21(spark, d):
-    dense = data.dense(spark, d)
-    rows = dense.where("chrom <= 22 and (chrom + bin) % 3 <> 0").select("sample_id", (F.col("chrom") * 20 + F.col("bin")).alias("masked_idx"), "chrom", "bin", F.lit(1.0).alias("x"), (F.col("n") - 5).cast("double").alias("z"), ((F.col("n") + 1) / 5.0).alias("r"), (F.col("n") % 7).alias("n_refs"), F.lit("A").alias("branch"))
-    w = rows.select("branch", "masked_idx", (1.0 + F.col("bin")).alias("w")).distinct()
-    out = P.combine(rows, None, w, dense.select("sample_id", "chrom", "bin"), 2)
-    return out.select("sample_id", "chrom", "bin", *[F.round(c, 9).alias(c) for c in ("r", "z", "w")])
+    return _combined(spark, d, 2).select("sample_id", "chrom", "bin", *[F.round(c, 9).alias(c) for c in ("r", "z", "w")])
 
 
 @query("k43_sex_by_y_ratio", f"{SEXT} SELECT sample_id, sex AS prediction FROM f")
@@ -194,11 +202,13 @@ def l02(spark, d):
     return qc.sample_status(s.select("sample_id", (F.col("m") > 2.5).alias("aberrant"), (F.col("m") > 2).alias("outlier"))).select("sample_id", "status")
 
 
-@query("a29_gonosome_report_file", f"{SEXT} SELECT CAST(count(*) AS INT) AS rows FROM f")
+@query("a29_gonosome_report_file", f"{SEXT}, {_REFS}, s AS (SELECT sex, avg(x) AS mx, stddev_samp(x) AS sx, avg(y) AS my, stddev_samp(y) AS sy FROM ref WHERE NOT outlier GROUP BY 1), z AS (SELECT f.sample_id, f.sex, (x - mx) / sx AS zx, 100 * sx / mx AS cx, (y - my) / sy AS zy, 100 * sy / my AS cy FROM f JOIN s USING (sex)) SELECT sample_id, sex AS predicted_sex, 'X' AS chromosome, round(zx, 5) AS z_score, round(cx, 5) AS cv FROM z UNION ALL SELECT sample_id, sex, 'Y', round(zy, 5), round(cy, 5) FROM z")
 def a29(spark, d):
+    """The gonosome report of every sample, written as text and read again."""
     path = _folder(spark, "report")
-    sinks.write_report(_labels(spark, d), path)
-    return tables.read_metrics(spark, path).agg(F.count("*").cast("int").alias("rows"))
+    sinks.write_report(_gonosomes(spark, d), path)
+    back = tables.read_metrics(spark, path)
+    return back.select(F.col("sample_id").cast("int").alias("sample_id"), "predicted_sex", "chromosome", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in ("z_score", "cv")])
 
 
 @query("a31_json_report", "SELECT 'A' AS branch, 'WARN' AS verdict")
@@ -208,7 +218,7 @@ def a31(spark, d):
     return spark.read.json(path).select("branch", "verdict")
 
 
-@query("i03_online_dedup", f"{W}, o AS (SELECT *, lag(pos) OVER w AS p0, lag(mate_pos) OVER w AS m0 FROM reads WHERE NOT (flag & 1 = 1 AND flag & 2 = 0) WINDOW w AS (PARTITION BY sample_id, chrom ORDER BY pos, {', '.join(data.ORDER)})) SELECT sample_id, count(*) AS n FROM o WHERE NOT (pos IS NOT DISTINCT FROM p0 AND (flag & 1 = 0 OR mate_pos IS NOT DISTINCT FROM m0)) GROUP BY 1")
+@query("i03_online_dedup", f"{W}, {KEPT} SELECT sample_id, count(*) AS n FROM kept GROUP BY 1")
 def i03(spark, d):
     """Stateful duplicate removal on a stream of sorted reads, compared with the batch form in the tests."""
     folder, out = _folder(spark, "reads"), _folder(spark, "kept")

@@ -9,7 +9,7 @@ from binfold.operators import bins as B
 from binfold.operators import gc
 from binfold.operators import reads as R
 from binfold.plans import data
-from binfold.plans.data import BASE, GC_CTE, READS
+from binfold.plans.data import BASE, GC_CTE, KEPT, ORDER, READS
 from binfold.plans.q_relational import _STATS
 from binfold.plans.registry import query
 from binfold.plans.workflows import ensure_checkpoint_dir
@@ -39,47 +39,49 @@ def a02(spark, d):
     return tables.sam_lengths(spark, path)
 
 
-@query("a04_tabix_read", f"{BASE} SELECT CASE WHEN chrom = 23 THEN 'X' WHEN chrom = 24 THEN 'Y' ELSE CAST(chrom AS VARCHAR) END AS column0, CAST(bin * 50000 AS VARCHAR) AS column1, CAST(bin * 50000 + 50000 AS VARCHAR) AS column2, CAST(n AS VARCHAR) AS column3 FROM dense WHERE sample_id = 1")
+@query("a04_tabix_read", f"{BASE} SELECT CAST(sample_id AS VARCHAR) AS filename, CASE WHEN chrom = 23 THEN 'X' WHEN chrom = 24 THEN 'Y' ELSE CAST(chrom AS VARCHAR) END AS column0, CAST(bin * 50000 AS VARCHAR) AS column1, CAST(bin * 50000 + 50000 AS VARCHAR) AS column2, CAST(n AS VARCHAR) AS column3 FROM dense")
 def a04(spark, d):
+    """Files of all samples, with header lines that the reader skips."""
     path = _folder(spark, "bed")
-    sinks.write_bed(data.dense(spark, d).where("sample_id = 1"), path, 50000, ["n"], {"binsize": "50000"})
-    return tables.read_tabix(spark, path, 4).drop("filename")
+    sinks.write_beds(data.dense(spark, d), path, 50000, ["n"], {"binsize": "50000"})
+    return tables.read_tabix(spark, path, 4)
 
 
-@query("a05_bed_to_sample", f"{BASE} SELECT chrom, bin, CAST(n AS INT) AS n FROM dense WHERE sample_id = 2")
+@query("a05_bed_to_sample", f"{BASE} SELECT sample_id, chrom, bin, CAST(n AS INT) AS n FROM dense")
 def a05(spark, d):
     path = _folder(spark, "bed")
-    sinks.write_bed(data.dense(spark, d).where("sample_id = 2"), path, 50000, ["n"])
-    return tables.bed_to_sample(spark, path, 50000).drop("sample_id")
+    sinks.write_beds(data.dense(spark, d), path, 50000, ["n"])
+    return tables.bed_to_sample(spark, path, 50000).withColumn("sample_id", F.col("sample_id").cast("int"))
 
 
-@query("a06_bed_to_fractions", f"{BASE} SELECT chrom, bin, round(CASE WHEN chrom <= 22 THEN n * 0.5 ELSE n END, 6) AS n FROM dense WHERE sample_id = 3")
+@query("a06_bed_to_fractions", f"{BASE} SELECT sample_id, chrom, bin, round(CASE WHEN chrom <= 22 AND sample_id % 3 <> 0 THEN n * 0.5 ELSE n END, 6) AS n FROM dense")
 def a06(spark, d):
+    """Two thirds of the samples have corrected counts."""
     path = _folder(spark, "bed")
-    rows = data.dense(spark, d).where("sample_id = 3").withColumn("corrected", F.when(F.col("chrom") <= 22, F.col("n") * 0.5))
-    sinks.write_bed(rows, path, 50000, ["n", "corrected"], {"kind": "combined"})
-    return tables.bed_to_fractions(spark, path, 50000).select("chrom", "bin", F.round("n", 6).alias("n"))
+    rows = data.dense(spark, d).withColumn("corrected", F.when((F.col("chrom") <= 22) & (F.col("sample_id") % 3 != 0), F.col("n") * 0.5))
+    sinks.write_beds(rows, path, 50000, ["n", "corrected"], {"kind": "combined"})
+    return tables.bed_to_fractions(spark, path, 50000).select(F.col("sample_id").cast("int").alias("sample_id"), "chrom", "bin", F.round("n", 6).alias("n"))
 
 
-@query("a07_many_files", f"{BASE} SELECT sample_id % 2 AS part, CAST(count(*) AS BIGINT) AS bins, CAST(sum(n) AS BIGINT) AS n FROM dense WHERE sample_id < 4 GROUP BY 1")
+@query("a07_many_files", f"{BASE} SELECT sample_id % 2 AS part, sample_id, CAST(count(*) AS BIGINT) AS bins, CAST(sum(n) AS BIGINT) AS n FROM dense GROUP BY 1, 2")
 def a07(spark, d):
+    """Two folders of files, with the counts in different columns, as one table by name."""
     base, dense = _folder(spark, "beds"), data.dense(spark, d)
-    for s in (0, 1):
-        sinks.write_bed(dense.where(f"sample_id in ({s}, {s + 2})"), f"{base}/part={s}", 50000, ["n"])
-    rows = tables.read_tabix(spark, [f"{base}/part=0", f"{base}/part=1"], 4)
-    low = rows.withColumn("n", F.expr("try_cast(column3 AS LONG)"))
-    files = {r[0]: i for i, r in enumerate(low.select("filename").distinct().orderBy("filename").collect())}
-    first = tables.read_tabix(spark, f"{base}/part=0", 4).select("filename").distinct()
-    assert len(files) == 2
-    return low.join(first.withColumn("zero", F.lit(0)), "filename", "left").groupBy(F.coalesce("zero", F.lit(1)).alias("part")).agg(F.count("*").alias("bins"), F.sum("n").alias("n"))
+    sinks.write_beds(dense.where("sample_id % 2 = 0"), f"{base}/even", 50000, ["n"])
+    sinks.write_beds(dense.where("sample_id % 2 = 1"), f"{base}/odd", 50000, ["n_fwd", "n"])
+    even = tables.read_tabix(spark, f"{base}/even", 4).select("filename", F.col("column3").alias("n"), F.lit(0).alias("part"))
+    odd = tables.read_tabix(spark, f"{base}/odd", 5).select(F.lit(1).alias("part"), "filename", F.col("column4").alias("n"))
+    both = even.unionByName(odd).select("part", F.col("filename").cast("int").alias("sample_id"), F.expr("try_cast(n AS LONG)").alias("n"))
+    return both.groupBy("part", "sample_id").agg(F.count("*").alias("bins"), F.sum("n").alias("n"))
 
 
-@query("a08_control_group", f"{BASE} SELECT chrom, bin, CAST(n AS DOUBLE) AS n, CAST(n_fwd AS DOUBLE) AS n_fwd FROM dense WHERE sample_id = 4")
+@query("a08_control_group", f"{BASE} SELECT sample_id, chrom, bin, CAST(n AS DOUBLE) AS n, CAST(n_fwd AS DOUBLE) AS n_fwd FROM dense")
 def a08(spark, d):
+    """A folder of files is a control group; bins that a file lacks are 0."""
     path = _folder(spark, "bed")
-    rows = data.dense(spark, d).where("sample_id = 4").withColumn("na", F.lit(None).cast("double"))
-    sinks.write_bed(rows, path, 50000, ["n", "n_fwd", "n_rev", "na", "na", "na"])
-    return tables.control_group_from_beds(spark, [path], binsize=50000).select("chrom", "bin", "n", "n_fwd")
+    rows = data.dense(spark, d).where("n > 0 or bin % 7 <> 0").withColumn("na", F.lit(None).cast("double"))
+    sinks.write_beds(rows, path, 50000, ["n", "n_fwd", "n_rev", "na", "na", "na"])
+    return tables.control_group_from_beds(spark, [path], binsize=50000).select(F.col("sample_id").cast("int").alias("sample_id"), "chrom", "bin", "n", "n_fwd")
 
 
 @query("a09_fasta_gc", "SELECT * FROM (VALUES ('21', 0, round(4 / 6.0, 9)), ('22', 0, NULL), ('23', 0, 0.5), ('24', 0, 0.8)) AS t(chrom, bin, gc)")
@@ -170,22 +172,31 @@ def g07(spark, d):
     return spark.range(1).select(F.explode(tables.merge_metadata(base, extra)).alias("key", "value"))
 
 
-@query("a25_strand_bed", f"{BASE} SELECT CAST(count(*) AS BIGINT) AS lines, CAST(sum(n_fwd) AS BIGINT) AS fwd, max(CAST(least(bin * 50000 + 50000, 980000) AS BIGINT)) AS last_end FROM dense WHERE sample_id = 5")
+@query("a25_strand_bed", f"{BASE} SELECT sample_id, CAST(count(*) AS BIGINT) AS lines, CAST(sum(n_fwd) AS BIGINT) AS fwd, CAST(sum(n_rev) AS BIGINT) AS rev, max(CAST(least(bin * 50000 + 50000, 980000) AS BIGINT)) AS last_end FROM dense GROUP BY 1")
 def a25(spark, d):
+    """Nine columns, ends clipped to the chromosome."""
     path = _folder(spark, "bed")
-    rows = data.dense(spark, d).where("sample_id = 5").withColumn("na", F.lit(None).cast("double"))
-    sinks.write_bed(rows, path, 50000, ["n", "n_fwd", "n_rev", "na", "na", "na"], lengths=data.lengths(spark).withColumn("length", F.lit(980000)))
+    rows = data.dense(spark, d).withColumn("na", F.lit(None).cast("double"))
+    sinks.write_beds(rows, path, 50000, ["n", "n_fwd", "n_rev", "na", "na", "na"], lengths=data.lengths(spark).withColumn("length", F.lit(980000)))
     back = tables.read_tabix(spark, path, 9)
-    return back.agg(F.count("*").alias("lines"), F.sum(F.expr("try_cast(column4 AS LONG)")).alias("fwd"), F.max(F.expr("try_cast(column2 AS LONG)")).alias("last_end"))
+    whole = lambda i: F.expr(f"try_cast(column{i} AS LONG)")
+    return back.groupBy(F.col("filename").cast("int").alias("sample_id")).agg(F.count("*").alias("lines"), F.sum(whole(4)).alias("fwd"), F.sum(whole(5)).alias("rev"), F.max(whole(2)).alias("last_end"))
+
+
+@query("a26_metadata_body", f"{BASE} SELECT sample_id, k.key, CASE k.key WHEN 'binsize' THEN '50000' ELSE 'a=b' END AS value, lines FROM (SELECT sample_id, CAST(count(*) AS BIGINT) AS lines FROM dense GROUP BY 1) CROSS JOIN (VALUES ('binsize'), ('note')) AS k(key)")
+def a26(spark, d):
+    """Header lines before the body of every sample's file: both are found again, each by its own reader."""
+    path = _folder(spark, "bed")
+    sinks.write_beds(data.dense(spark, d), path, 50000, ["n"], {"binsize": "50000", "note": "a=b"})
+    lines = tables.read_tabix(spark, path, 4).groupBy("filename").agg(F.count("*").alias("lines"))
+    return tables.tabix_metadata(spark, path).join(lines, "filename").select(F.col("filename").cast("int").alias("sample_id"), "key", "value", "lines")
 
 
 # --- streaming -------------------------------------------------------------------------------------------------------
 
 
-@query("i01_batch_dedup", None)
+@query("i01_batch_dedup", f"{W}, {KEPT} SELECT sample_id, count(*) AS n FROM kept GROUP BY 1")
 def i01(spark, d):
-    from binfold.plans.data import ORDER
-
     return R.streaming_dedup(data.reads(spark, d), ORDER).groupBy("sample_id").agg(F.count("*").alias("n"))
 
 

@@ -6,7 +6,7 @@ Parquet is the main format of the engine; these files are small exports, one fil
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -22,27 +22,36 @@ def metadata_lines(meta: dict[str, str]) -> list[str]:
     return [f"{META}{k}={v}" for k, v in meta.items()]
 
 
-def _lines(df: DataFrame, columns: list[Column]) -> DataFrame:
-    return df.select("_order", F.concat_ws("\t", *[F.coalesce(c.cast("string"), F.lit("NA")) for c in columns]).alias("value"))
+def _bed_lines(bins: DataFrame, binsize: int, values: list[str], lengths: DataFrame | None, keep: list[str]) -> DataFrame:
+    """``keep`` columns, a place in genome order and the text line of each bin; with lengths the end is clipped."""
+    rows = bins.withColumn("start", (F.col("bin") * binsize).cast("long")).withColumn("end", F.col("start") + binsize)
+    if lengths is not None:
+        rows = rows.join(F.broadcast(lengths.select("chrom", F.col("length").alias("_len"))), "chrom").withColumn("end", F.least("end", "_len"))
+    cells = [chrom_label("chrom"), F.col("start"), F.col("end"), *[F.col(v) for v in values]]
+    return rows.select(*keep, (F.col("chrom").cast("long") * 2**32 + F.col("bin")).alias("_order"), F.concat_ws("\t", *[F.coalesce(c.cast("string"), F.lit("NA")) for c in cells]).alias("value"))
+
+
+def _head(spark: SparkSession, metadata: dict[str, str] | None) -> DataFrame:
+    head = metadata_lines(metadata or {})
+    return spark.createDataFrame([(i - len(head), h) for i, h in enumerate(head)], "_order long, value string")
 
 
 def write_bed(bins: DataFrame, path: str, binsize: int, values: list[str], metadata: dict[str, str] | None = None, lengths: DataFrame | None = None) -> None:
     """One compressed text file per call: header lines, then ``chrom, start, end`` and values in genome order.
 
-    With lengths the end is clipped to the chromosome. The rows of one sample fit a task.
+    The rows of one sample fit a task.
     """
-    rows = bins.withColumn("start", (F.col("bin") * binsize).cast("long")).withColumn("end", F.col("start") + binsize)
-    if lengths is not None:
-        rows = rows.join(F.broadcast(lengths.select("chrom", F.col("length").alias("_len"))), "chrom").withColumn("end", F.least("end", "_len"))
-    rows = rows.withColumn("_order", F.col("chrom").cast("long") * 2**32 + F.col("bin"))
-    body = _lines(rows, [chrom_label("chrom"), F.col("start"), F.col("end"), *[F.col(v) for v in values]])
-    head = metadata_lines(metadata or {})
-    if head:
-        top = bins.sparkSession.createDataFrame([(i - len(head), h) for i, h in enumerate(head)], "_order long, value string")
-        body = top.unionByName(body)
+    body = _head(bins.sparkSession, metadata).unionByName(_bed_lines(bins, binsize, values, lengths, []))
     body.coalesce(1).sortWithinPartitions("_order").select("value").write.mode("overwrite").option("compression", "gzip").text(path)
 
 
+def write_beds(bins: DataFrame, path: str, binsize: int, values: list[str], metadata: dict[str, str] | None = None, lengths: DataFrame | None = None) -> None:
+    """Every sample's file at once, below ``path/sample_id=<sample>``; readers take the sample from that folder."""
+    head = bins.select("sample_id").distinct().join(F.broadcast(_head(bins.sparkSession, metadata)))
+    body = head.unionByName(_bed_lines(bins, binsize, values, lengths, ["sample_id"]))
+    body.repartition("sample_id").sortWithinPartitions("sample_id", "_order").select("sample_id", "value").write.mode("overwrite").partitionBy("sample_id").option("compression", "gzip").text(path)
+
+
 @F.pandas_udf(StringType())
 def shortest(v: pd.Series) -> pd.Series:
     """Shortest decimal text that reads back as the same number; whole numbers without a fraction."""

@@ -18,14 +18,22 @@ BED9 = ["chrom", "start", "end", "count", "count_fwd", "count_rev", "corrected_c
 
 
 def _text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.text(path)
+    return spark.read.text(path).select("value", "_metadata")
 
 
 def read_tabix(spark: SparkSession, path: str | list[str], columns: int) -> DataFrame:
-    """All columns as text, ``column0`` on, and ``filename``; comment lines are skipped; short rows give NULL."""
+    """All columns as text, ``column0`` on, and ``filename``; comment lines are skipped; short rows give NULL.
+
+    Below a folder ``sample_id=<sample>`` the sample stands for the name of the file.
+    """
     lines = _text(spark, path).where(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0))
     cells = F.split("value", "\t")
-    return lines.select(*[F.get(cells, F.lit(i)).alias(f"column{i}") for i in range(columns)], F.col("_metadata.file_name").alias("filename"))
+    return lines.select(*[F.get(cells, F.lit(i)).alias(f"column{i}") for i in range(columns)], _file_name())
+
+
+def _file_name() -> Column:
+    folder = F.regexp_extract("_metadata.file_path", r"/sample_id=([^/]+)/[^/]+$", 1)
+    return F.when(folder != "", folder).otherwise(F.col("_metadata.file_name")).alias("filename")
 
 
 def sample_name(filename: Column | str) -> Column:
@@ -103,7 +111,7 @@ def control_group_from_beds(spark: SparkSession, paths: list[str], **kw) -> Data
 
 def tabix_metadata(spark: SparkSession, path: str | list[str], prefix: str = META) -> DataFrame:
     """``filename, key, value`` of header lines ``##RWX_key=value``; a key that repeats in a file is an error."""
-    lines = _text(spark, path).where(F.col("value").startswith(prefix)).select(F.col("_metadata.file_name").alias("filename"), F.substr("value", F.lit(len(prefix) + 1)).alias("kv"))
+    lines = _text(spark, path).where(F.col("value").startswith(prefix)).select(_file_name(), F.substr("value", F.lit(len(prefix) + 1)).alias("kv"))
     pair = F.split("kv", "=", 2)
     rows = lines.where(F.instr("kv", F.lit("=")) > 1).select("filename", F.get(pair, F.lit(0)).alias("key"), F.get(pair, F.lit(1)).alias("value"))
     return rows.groupBy("filename", "key").agg(F.when(F.count("*") > 1, F.raise_error(F.lit("a metadata key repeats"))).otherwise(F.first("value")).alias("value"))
