@@ -326,22 +326,28 @@ def _tile(group: pa.Table) -> pa.Table:
     return pa.table({"rep": pa.array(col["rep"][has]), "links": pa.array(links[has]), "root": pa.array(root[has])})
 
 
+def _with(rows: DataFrame, small: DataFrame, on: list[str], salts: int = 8) -> DataFrame:
+    """Join that spreads a hot key: the small side (a row per key) is repeated for every salt.
+
+    It has as many rows as there are groups, so it is never broadcast: the planner sees its size before the salts.
+    """
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.hash("rep"), F.lit(salts))).hint("merge").join(salted, [*on, "_salt"]).drop("_salt")
+
+
 def tiles(members: DataFrame) -> DataFrame:
     """Deal ``comp, rep, n`` to tiles: ``comp, tile, side, rep``, a row per tile that a class belongs to.
 
     Bands have ratio 4/3, so a link joins equal or neighbouring bands. A band has one block per ``BLOCK`` members;
     tiles are pairs of blocks. A group of at most ``BLOCK`` members is one tile, its sizes are compared inside.
     """
-    members = table(members, "grouped")
-    total = members.count()
-    rows = table(join_groups(members, table(members.groupBy("comp").agg(F.count("*").alias("members")), "groups"), ["comp"], "members", total), "members")
+    rows = table(_with(members, members.groupBy("comp").agg(F.count("*").alias("members")), ["comp"]), "members")
     small = rows.where(F.col("members") <= BLOCK).select("comp", F.lit("all").alias("tile"), F.lit(0).alias("side"), "rep")
     large = rows.where(F.col("members") > BLOCK).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3)) + 1e-9).cast("int"))
-    counts = table(large.groupBy("comp", "band").agg(F.count("*").alias("c")).select("comp", "band", "c", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "bands")
+    counts = table(large.groupBy("comp", "band").agg(F.count("*").alias("c")).select("comp", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "bands")
     upper = counts.select("comp", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     lower = counts.select("comp", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    around = table(counts.join(upper, ["comp", "band"], "left").join(lower, ["comp", "band"], "left"), "around")
-    dealt = join_groups(large, around, ["comp", "band"], "c", total)
+    dealt = _with(large, counts.join(upper, ["comp", "band"], "left").join(lower, ["comp", "band"], "left"), ["comp", "band"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
     seq = lambda to: F.when(F.coalesce(to, F.lit(0)) > 0, F.sequence(F.lit(0), to - 1)).otherwise(F.array().cast("array<int>"))
     name = lambda *x: F.concat_ws(".", *[c.cast("string") for c in x])
@@ -381,9 +387,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     linked = table(classes.select("c1", "c2", "size", F.col("rep").alias("id"), F.col("c1").alias("rep")).join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left"), "linked")
-    lowest = table(linked.where("comp is not null").groupBy("comp").agg(F.min("id").alias("lowest"), F.count("*").alias("c")), "roots")
+    lowest = linked.where("comp is not null").groupBy("comp").agg(F.min("id").alias("lowest"))
     alone = linked.where("comp is null").select("c1", "c2", "size", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("links"))
-    answer = join_groups(linked.where("comp is not null"), lowest, ["comp"], "c", documents).select("c1", "c2", "size", F.col("lowest").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    answer = _with(linked.where("comp is not null"), lowest, ["comp"]).select("c1", "c2", "size", F.col("lowest").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
     answer = table(answer.unionByName(alone), "answer")
     delete_path(spark, path)
     # Documents of a class of many copies do not meet in one task.
