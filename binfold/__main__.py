@@ -1,4 +1,4 @@
-"""Command line: ``python -m binfold convert | gc | reference | predict | qc | compare``.
+"""Command line: ``python -m binfold convert | gc | reference | predict | fraction-reference | fraction-predict | qc | compare``.
 
 A stage works on all samples of its input at once; tables are Parquet, reports tab-separated.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from binfold.operators import chi, cnv_predict, cnv_reference, gc, qc
 from binfold.operators.bins import grid
-from binfold.plans.workflows import convert_table, ensure_checkpoint_dir, save_as_tables, save_in_checkpoints
+from binfold.plans.workflows import build_fraction_reference, convert_table, ensure_checkpoint_dir, load_fraction_reference, predict_fractions, save_as_tables, save_in_checkpoints
 from binfold.sources import sinks, tables
 
 
@@ -51,6 +51,23 @@ def _predict(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.write_report(out["statistics"], f"{a.output}_profile")
 
 
+def _fraction_reference(spark: SparkSession, a: argparse.Namespace) -> None:
+    bins = spark.read.parquet(a.input)
+    names = lambda p: tables.read_list(spark, p).select(F.col("item").alias("sample_id")) if p else None
+    labels = tables.read_metrics(spark, a.labels).select("sample_id", "sex") if a.labels else None
+    out = build_fraction_reference(bins.withColumn("sample_id", F.col("sample_id").cast("string")), a.output, labels, names(a.include), names(a.exclude), prune=not a.keep_outliers, drop_sex_outliers=a.drop_sex_outliers, min_controls=a.min_controls)
+    for name in ("membership", "qc_chromosomes", "qc_samples", "qc_bins", "qc_sex", "settings"):
+        sinks.write_report(out[name], f"{a.output}/text/{name}")
+
+
+def _fraction_predict(spark: SparkSession, a: argparse.Namespace) -> None:
+    cases = spark.read.parquet(a.input).withColumn("sample_id", F.col("sample_id").cast("string"))
+    out = predict_fractions(cases, load_fraction_reference(spark, a.reference), chi_corrected=not a.raw)
+    for name, df in out.items():
+        flat = df.select(*[F.concat_ws(",", c).alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes if not t.startswith("map")])
+        sinks.write_report(flat, f"{a.output}/{name}")
+
+
 def _qc(spark: SparkSession, a: argparse.Namespace) -> None:
     bins = spark.read.parquet(a.input)
     for name, df in qc.control_group_qc(bins).items():
@@ -80,6 +97,8 @@ def main(argv: list[str] | None = None) -> None:
     command("gc", _gc, ("output", {}), ("--binsize", number(50000)))
     command("reference", _reference, ("output", {}), ("--refsize", number(300)), ("--nipt", {"action": "store_true"}), ("--yfrac", number(None, float)), ("--min-refs", number(150)), ("--binsize", number(None)))
     command("predict", _predict, ("reference", {}), ("output", {}), ("--binsize", number(None)), ("--min-refs", number(150)), ("--zscore", number(5.0, float)), ("--beta", number(None, float)), ("--yfrac", number(None, float)), ("--gender", {"choices": ["F", "M"]}), ("--blacklist", {}))
+    command("fraction-reference", _fraction_reference, ("output", {}), ("--labels", {}), ("--include", {}), ("--exclude", {}), ("--keep-outliers", {"action": "store_true"}), ("--drop-sex-outliers", {"action": "store_true"}), ("--min-controls", number(10)))
+    command("fraction-predict", _fraction_predict, ("reference", {}), ("output", {}), ("--raw", {"action": "store_true"}))
     command("qc", _qc, ("output", {}))
     command("compare", _compare, ("other", {}), ("--keys", {"default": "chr,start,end"}), ("--value", {"default": "ratio"}), ("--tolerance", number(1e-6, float)))
     a = p.parse_args(argv)

@@ -15,6 +15,13 @@ def safe_div(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
+def safe_corr(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation over rows that have both; NULL where one side does not vary (the built-in would raise)."""
+    both = col(a).isNotNull() & col(b).isNotNull()
+    x, y = (F.when(both, col(c).cast("double")) for c in (a, b))
+    return safe_div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def is_finite(c: Column | str) -> Column:
     """True for a number that is neither NULL, NaN nor infinite."""
     c = col(c).cast("double")

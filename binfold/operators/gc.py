@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from binfold.functions.safe import finite_or, is_finite, safe_div
+from binfold.functions.safe import finite_or, is_finite, safe_corr, safe_div
 
 
 def gc_from_bases(bases: DataFrame, binsize: int) -> DataFrame:
@@ -110,7 +110,7 @@ def preprocess_qc(corrected: DataFrame, value: str = "n") -> DataFrame:
     ok = eligibility(value).isNull() & (F.col("chrom") <= 22)
     use = corrected.where(ok).withColumn("scale", safe_div("corrected", value))
     cv = lambda c: safe_div(F.stddev_samp(c), F.avg(c))
-    return use.groupBy("sample_id").agg(F.count("*").alias("fit_bins"), cv(value).alias("cv_pre"), cv("corrected").alias("cv_post"), F.avg("scale").alias("scale_mean"), F.stddev_samp("scale").alias("scale_sd"), F.corr("gc", F.col(value).cast("double")).alias("gc_cor_pre"), F.corr("gc", "corrected").alias("gc_cor_post"))
+    return use.groupBy("sample_id").agg(F.count("*").alias("fit_bins"), cv(value).alias("cv_pre"), cv("corrected").alias("cv_post"), F.avg("scale").alias("scale_mean"), F.stddev_samp("scale").alias("scale_sd"), safe_corr("gc", F.col(value).cast("double")).alias("gc_cor_pre"), safe_corr("gc", "corrected").alias("gc_cor_post"))
 
 
 def gc_curve(corrected: DataFrame, value: str = "n") -> DataFrame:

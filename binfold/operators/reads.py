@@ -52,13 +52,14 @@ def streaming_dedup(reads: DataFrame, order: list[str]) -> DataFrame:
 
     A paired read repeats the one before it if position and mate position are equal, a single read if the position
     is; reads that are paired but not proper are out of both count and state. Our reading of a contract whose
-    kernel is not public; in libraries that mix paired and single reads, both kinds share one state. The window
-    is per sample and chromosome and its order must be total for the result to be determined.
+    kernel is not public; in libraries that mix paired and single reads, both kinds share one state. Only
+    reads at one position are compared, so the window is per sample, chromosome and position, however long a
+    chromosome's list of reads; its order must be total for the result to be determined.
     """
-    w = Window.partitionBy("sample_id", "chrom").orderBy("pos", *order)
-    kept = proper_or_single(reads).withColumn("_pos", F.lag("pos").over(w)).withColumn("_mate", F.lag("mate_pos").over(w))
-    same = F.col("pos").eqNullSafe(F.col("_pos")) & (lacks_bits("flag", PAIRED) | F.col("mate_pos").eqNullSafe(F.col("_mate")))
-    return kept.where(~same).drop("_pos", "_mate")
+    w = Window.partitionBy("sample_id", "chrom", "pos").orderBy(*order)
+    kept = proper_or_single(reads).withColumn("_before", F.lag(F.lit(True)).over(w)).withColumn("_mate", F.lag("mate_pos").over(w))
+    same = F.col("_before").isNotNull() & (lacks_bits("flag", PAIRED) | F.col("mate_pos").eqNullSafe(F.col("_mate")))
+    return kept.where(~same).drop("_before", "_mate")
 
 
 def remove_duplicates(reads: DataFrame, rmdup: str = "streaming", order: list[str] | None = None) -> DataFrame:

@@ -10,9 +10,9 @@ from binfold.operators import cnv_predict as P
 from binfold.operators import cnv_reference as C
 from binfold.operators import cohort, gc, qc, sex
 from binfold.operators import reads as R
-from binfold.plans import data
+from binfold.plans import data, workflows
 from binfold.plans.data import BASE, GC_CTE, KEPT, READS
-from binfold.plans.q_models import SEXT, _gonosomes, _REFS, _thinned
+from binfold.plans.q_models import SEXT, _gonosomes, _REFS, _sexed, _thinned
 from binfold.plans.q_sources import _folder, _text
 from binfold.plans.registry import query
 from binfold.sources import sinks, tables
@@ -234,3 +234,19 @@ def i03(spark, d):
 @query("d02b_gc_weighted_curve", f"{BASE}, {GC_CTE} SELECT CAST(round_even(gc * 100, 0) AS INT) AS percent, CAST(sum(n) AS BIGINT) AS n, count(*) AS bins FROM dense JOIN gct USING (chrom, bin) WHERE gc IS NOT NULL GROUP BY 1")
 def d02b(spark, d):
     return gc.join_gc(data.dense(spark, d), data.gc_table(spark)).where("gc is not null").groupBy(F.bround(F.col("gc") * 100).cast("int").alias("percent")).agg(F.sum("n").alias("n"), F.count("*").alias("bins"))
+
+
+@query("m01_preprocess_cohort", f"{W}, c AS (SELECT sample_id, chrom, CAST(pos // 50000 AS INT) AS bin, count(*) AS n FROM reads WHERE mapq >= 10 AND flag & 1024 = 0 GROUP BY 1, 2, 3), s AS (SELECT sample_id, CAST(sum(n) AS BIGINT) AS post_sum, count(*) AS nonzero_bins, round(CAST(sum(CASE WHEN chrom = 24 THEN n END) AS DOUBLE) / sum(CASE WHEN chrom <= 22 THEN n END), 9) AS y_frac FROM c GROUP BY 1), p AS (SELECT sample_id, count(*) AS pre_sum FROM reads GROUP BY 1) SELECT sample_id, pre_sum, post_sum, nonzero_bins, y_frac, 'success' AS status FROM s JOIN p USING (sample_id)")
+def m01(spark, d):
+    """Counts, GC correction and a quality row of every sample."""
+    out = workflows.preprocess_cohort(data.reads(spark, d), data.lengths(spark), data.gc_table(spark), _folder(spark, "cohort"), 50000, 10, 1024)
+    return out["sample_qc"].select("sample_id", "pre_sum", "post_sum", "nonzero_bins", F.round("y_frac", 9).alias("y_frac"), "status")
+
+
+@query("m03_predict_cohort", f"{SEXT}, fr AS (SELECT sample_id, chrom, reads, CAST(reads AS DOUBLE) / sum(CASE WHEN chrom <= 22 THEN reads END) OVER (PARTITION BY sample_id) AS frac FROM t), c AS (SELECT chrom, avg(frac) AS m, stddev_samp(frac) AS s FROM fr WHERE sample_id >= 3 GROUP BY 1), z AS (SELECT sample_id, chrom, round((frac - m) / s, 6) AS z FROM fr JOIN c USING (chrom) WHERE sample_id < 3) SELECT z.sample_id, 'ok' AS status, any_value(sex) AS predicted_sex, max(CASE WHEN chrom = 13 THEN z END) AS z_13, max(CASE WHEN chrom = 18 THEN z END) AS z_18, max(CASE WHEN chrom = 21 THEN z END) AS z_21 FROM z JOIN f ON f.sample_id = z.sample_id GROUP BY 1")
+def m03(spark, d):
+    """A reference of all samples but three, stored, read again and asked about those three."""
+    dense, path = _sexed(spark, d), _folder(spark, "fractions")
+    workflows.build_fraction_reference(dense.where("sample_id >= 3"), path, prune=False, ncv_sizes=(1, 2), sex_ncv_sizes=(1, 2), n_models=2, n_predictors=2)
+    out = workflows.predict_fractions(dense.where("sample_id < 3"), workflows.load_fraction_reference(spark, path), chi_corrected=False, train_fraction=1.0)
+    return out["summary"].select("sample_id", "status", "predicted_sex", *[F.round(c, 6).alias(c) for c in ("z_13", "z_18", "z_21")])

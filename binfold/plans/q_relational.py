@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from binfold.functions.safe import chrom_key, chrom_label, safe_div
+from binfold.functions.safe import chrom_key, chrom_label, safe_corr, safe_div
 from binfold.operators import bins as B
 from binfold.operators import cohort, gc, qc
 from binfold.operators import reads as R
@@ -259,7 +259,7 @@ def d13(spark, d):
 
 @query("d14_gc_correlation", f"{BASE}, {GC_CTE} SELECT sample_id, round(corr(gc, n), 9) AS cor FROM dense JOIN gct USING (chrom, bin) WHERE chrom <= 22 AND gc IS NOT NULL AND n > 0 GROUP BY 1")
 def d14(spark, d):
-    return gc.join_gc(data.dense(spark, d), data.gc_table(spark)).where("chrom <= 22 and gc is not null and n > 0").groupBy("sample_id").agg(F.round(F.corr("gc", F.col("n").cast("double")), 9).alias("cor"))
+    return gc.join_gc(data.dense(spark, d), data.gc_table(spark)).where("chrom <= 22 and gc is not null and n > 0").groupBy("sample_id").agg(F.round(safe_corr("gc", "n"), 9).alias("cor"))
 
 
 @query("d15_distinct_chromosomes", f"{W} SELECT sample_id, count(DISTINCT chrom) AS chromosomes, count(DISTINCT CASE WHEN flag & 1024 <> 0 THEN chrom END) AS with_duplicates FROM reads GROUP BY 1")

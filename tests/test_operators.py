@@ -250,6 +250,36 @@ def test_fasta_in_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_fraction_reference_and_prediction(spark, tmp_path):
+    df, _ = cnv_cohort(spark, n=16, bins=8)
+    # Sample 3 has three copies of chromosome 21, sample 5 too many reads on X for its sex, sample 9 is not wanted.
+    n = F.when((F.col("sample_id") == 3) & (F.col("chrom") == 21), F.col("n") * 1.5).when((F.col("sample_id") == 5) & (F.col("chrom") == 23), F.col("n") * 1.4).otherwise(F.col("n"))
+    df = df.withColumn("n", n.cast("long"))
+    gone = spark.createDataFrame([(9,)], "sample_id int")
+    workflows.build_fraction_reference(df, str(tmp_path), exclude=gone, drop_sex_outliers=True, min_controls=5, ncv_sizes=(1, 2), sex_ncv_sizes=(1, 2), n_models=2, n_predictors=2)
+    ref = workflows.load_fraction_reference(spark, str(tmp_path))
+    why = {r["sample_id"]: r["decision"] for r in ref["membership"].collect()}
+    assert why[9] == "excluded" and why[3] == "outlier" and why[5] == "outlier" and sum(v == "kept" for v in why.values()) >= 10
+    assert {r["sample_id"] for r in ref["controls"].select("sample_id").distinct().collect()} == {k for k, v in why.items() if v == "kept"}
+    cases = df.where("sample_id in (2, 3, 7)").withColumn("n", F.when(F.col("sample_id") == 7, 0).otherwise(F.col("n")))
+    rows = {r["sample_id"]: r for r in workflows.predict_fractions(cases, ref)["summary"].collect()}
+    assert (rows[2]["status"], rows[2]["predicted_sex"], rows[3]["predicted_sex"]) == ("ok", "female", "male")
+    assert rows[3]["z_21"] > 10 and rows[3]["ncv_21"] > 10 and rows[3]["rbz_21"] > 5 and abs(rows[2]["z_21"]) < 5
+    assert rows[7]["status"] == "no_reads" and rows[7]["z_21"] is None and rows[7]["predicted_sex"] is None
+
+
+def test_preprocessing_marks_failures(spark, tmp_path):
+    rows = [("a", 1, 10 * i, None, 0, 60, "+", 50, 1, "50M", "r") for i in range(30)] + [("b", 24, 5, None, 4, 60, "+", 50, 1, "50M", "r")]
+    reads = spark.createDataFrame(rows, "sample_id string, chrom int, pos long, mate_pos long, flag int, mapq int, strand string, seq_len int, nm int, cigar string, name string").withColumn("mate_chrom", F.col("chrom"))
+    lengths = spark.createDataFrame([(c, 400) for c in range(1, 25)], "chrom int, length long")
+    table = spark.range(1, 25).select(F.col("id").cast("int").alias("chrom"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("bin")).withColumn("gc", F.lit(0.4))
+    out = workflows.preprocess_cohort(reads.where("flag = 0 or sample_id = 'b'"), lengths, table, str(tmp_path), 100, exclude_flags=4)
+    got = {r["sample_id"]: r for r in out["sample_qc"].collect()}
+    assert got["a"]["status"] == "success" and got["a"]["pre_sum"] == 30
+    assert got["b"]["status"] == "failed" and "frac_1" in got["b"]["missing"]
+    assert out["bins"].where("sample_id = 'a'").agg(F.sum("n")).first()[0] == 30
+
+
 def test_reference_refusals(spark):
     df, lengths = cnv_cohort(spark, n=4, bins=3)
     with pytest.raises(ValueError):
