@@ -13,7 +13,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 HOT_SHARE = 1000
-FEW_EDGES = 20_000  # pairs of 64-bit numbers
+FEW_EDGES = 1_000_000  # pairs of 64-bit numbers: 16 MB
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 def spark():
     s = (
         SparkSession.builder.master("local[4]").appName("binfold-llm-tests")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
+        .config("spark.sql.shuffle.partitions", "3").config("spark.sql.codegen.wholeStage", "false").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
