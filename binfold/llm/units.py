@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 DEFAULT = "byte_bpe_50k.json"
 _CUT = re.compile(r"(?<=\S)(?= )")
 _PATTERN = regex.compile(PATTERN)
-MAX_CACHED = 700_000
+MAX_CACHED = 550_000
 
 
 def _byte_letters() -> dict[int, str]:
