@@ -80,6 +80,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binfold.llm.recompression import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_packing, op3_ngram_jaccard_join, op4_token_store, op5_top_k_search, op6_token_counts, op7_mixing, op8_html_extraction, op9_chat_formatting, op10_exact_dedup, pipeline)
+    for f in (op1_language_id, op2_packing, op3_ngram_jaccard_join, op4_token_store, op5_top_k_search, op6_token_counts, op7_mixing, op8_html_extraction, op9_chat_formatting, op10_exact_dedup, op11_substring_dedup, pipeline)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -154,4 +160,12 @@ FROM f GROUP BY conv_id""",
 WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents),
 g AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER (PARTITION BY text_sha256, doc_id) AS nth FROM d)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND nth = 1 AS kept, text_sha256 FROM g""",
+    "op11_substring_dedup": """
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), 1) AS pos FROM documents),
+g AS (SELECT doc_id, pos, word, concat_ws(' ', word, %s) AS win, count(*) OVER (PARTITION BY doc_id) AS n FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT *, CASE WHEN pos + 19 <= n AND row_number() OVER (PARTITION BY pos + 19 <= n, win ORDER BY doc_id, pos) > 1 THEN 1 ELSE 0 END AS again FROM g),
+k AS (SELECT doc_id, pos, word, max(CASE WHEN pos + 19 <= n THEN again ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r),
+a AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0), '')) AS kept_sha256 FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM documents LEFT JOIN a USING (doc_id)"""
+    % ", ".join(f"lead(word, {k}) OVER d" for k in range(1, 20)),
 }
