@@ -86,6 +86,18 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binfold.llm.prefix_trie import prefix_trie, rebuild
+
+    return prefix_trie(rebuild(_read(spark, sf_dir, "conversations")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binfold.llm.collocations import collocations
+
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_packing, op3_ngram_jaccard_join, op4_token_store, op5_top_k_search, op6_token_counts, op7_mixing, op8_html_extraction, op9_chat_formatting, op10_exact_dedup, op11_substring_dedup, pipeline)
+    for f in (op1_language_id, op2_packing, op3_ngram_jaccard_join, op4_token_store, op5_top_k_search, op6_token_counts, op7_mixing, op8_html_extraction, op9_chat_formatting, op10_exact_dedup, op11_substring_dedup, op12_prefix_trie, op13_collocations, pipeline)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -168,4 +180,33 @@ k AS (SELECT doc_id, pos, word, max(CASE WHEN pos + 19 <= n THEN again ELSE 0 EN
 a AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0), '')) AS kept_sha256 FROM k GROUP BY doc_id)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM documents LEFT JOIN a USING (doc_id)"""
     % ", ".join(f"lead(word, {k}) OVER d" for k in range(1, 20)),
+    "op12_prefix_trie": """
+WITH own AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS nth, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+cs AS (SELECT c, CAST(c AS VARCHAR) AS s, count(*) AS n_own FROM own GROUP BY c),
+bytes AS (SELECT c, list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT))) AS b FROM cs),
+crc AS (SELECT c, xor(list_reduce(b, lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, w: CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT)) ELSE v >> 1 END)), CAST(4294967295 AS BIGINT)) AS crc FROM bytes),
+k AS (SELECT crc.c, crc % 6 AS h, crc.c - crc.c % 100 AS base, least(crc % 6, coalesce(x.n_own, 0)) AS taken FROM crc LEFT JOIN cs AS x ON x.c = crc.c - crc.c % 100),
+t AS (SELECT k.c, nth AS d, role, text FROM k JOIN own ON own.c = base AND nth <= taken UNION ALL SELECT k.c, nth - h + taken, role, text FROM k JOIN own ON own.c = k.c AND nth > h),
+p AS (SELECT c, d, length(text) AS chars, string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d) AS prefix FROM t UNION ALL SELECT c, 0, 0, '' FROM k),
+m AS (SELECT *, min(c) OVER (PARTITION BY d, prefix) AS node, max(d) OVER (PARTITION BY c) AS len FROM p),
+nodes AS (SELECT node, d, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved, string_agg(CASE WHEN d = len THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends FROM m GROUP BY node, d),
+up AS (SELECT a.node, a.d, a.saved, b.node AS top, b.d AS top_d FROM nodes AS a JOIN m AS b ON b.c = a.node AND b.d <= a.d),
+kids AS (SELECT top, top_d, count(*) AS n_children FROM up WHERE d = top_d + 1 GROUP BY top, top_d),
+sums AS (SELECT up.top, up.top_d, sum(saved) AS saved, count(*) FILTER (WHERE kids.top IS NULL) AS n_leaves FROM up LEFT JOIN kids ON kids.top = up.node AND kids.top_d = up.d GROUP BY up.top, up.top_d)
+SELECT n.node AS conv_id, n.d AS depth, (SELECT any_value(b.node) FROM m AS b WHERE b.c = n.node AND b.d = n.d - 1) AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM nodes AS n JOIN sums AS s ON s.top = n.node AND s.top_d = n.d LEFT JOIN kids AS q ON q.top = n.node AND q.top_d = n.d""",
+    "op13_collocations": rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS ({' UNION ALL '.join(f"SELECT lang, {k} AS k, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS phrase FROM p" for k in (1, 2, 3, 4))}),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, s.cut, x.f AS l, y.f AS r, CAST(CAST(c.a AS HUGEINT) * 2000000 // (x.f + y.f) AS BIGINT) AS score
+  FROM c JOIN (SELECT unnest([1, 2, 3]) AS cut) AS s ON s.cut < c.k
+  JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:s.cut], ' ') JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[s.cut + 1:c.k], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+subs AS (SELECT c.lang, array_to_string(c.w[i:i + m - 1], ' ') AS phrase, max(c.a) AS around FROM c, (SELECT unnest([1, 2, 3]) AS i), (SELECT unnest([2, 3]) AS m) WHERE m < c.k AND i + m - 1 <= c.k GROUP BY 1, 2),
+ok AS (SELECT best.* FROM best LEFT JOIN subs USING (lang, phrase) WHERE around IS NULL OR 100 * around < 80 * a),
+top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ok)
+SELECT lang, rank, phrase, a, l, r, n, score FROM top JOIN n USING (lang) WHERE rank <= 2000""",
 }
