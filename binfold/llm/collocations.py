@@ -27,7 +27,7 @@ LONGEST = 4
 BUCKET_BITS = 24
 BLOCKS = 256
 #: Bytes of text that are looked at together, and distinct phrases a task keeps before it hands them on.
-SLICE_BYTES, KEEP = 6 << 20, 1_000_000
+SLICE_BYTES, KEEP = 2 << 20, 200_000
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BLANK, _BREAK = among(b" \t" + BREAKS), among(BREAKS)
 _FACTOR = np.random.default_rng(20250613).integers(1, 2**63, (LONGEST + 1, LONGEST), dtype=np.uint64) | np.uint64(1)
@@ -45,7 +45,7 @@ class Phrases:
         self.words: Words = words_of(texts, _BLANK, lower=True)
         w = self.words
         self.lang = np.array([lang_hash(x) for x in langs], np.uint64)[w.doc] if len(langs) else np.zeros(0, np.uint64)
-        breaks = np.concatenate(([0], np.cumsum(_BREAK[w.raw], dtype=np.int64)))
+        breaks = np.concatenate(([0], np.cumsum(_BREAK[w.raw], dtype=np.int32)))
         # Whether a word and the next one lie side by side in one piece of one text.
         self.joined = (w.doc[1:] == w.doc[:-1]) & (breaks[w.start[1:]] == breaks[w.end[:-1]])
 
@@ -84,11 +84,13 @@ def _exact_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[(*r, None, None) for r in rows]), _ROW)], schema=_ROW)
 
 
-def _bucket_rows(k: int, counts: np.ndarray) -> pa.RecordBatch:
+def _bucket_rows(k: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     blocks = [(b, x) for b, x in enumerate(counts.reshape(BLOCKS, -1)) if x.any()]
-    n = len(blocks)
-    columns = [[k] * n, [None] * n, [None] * n, [None] * n, [b for b, _ in blocks], [x.tobytes() for _, x in blocks]]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROW)], schema=_ROW)
+    for lo in range(0, len(blocks), 32):
+        part = blocks[lo : lo + 32]
+        n = len(part)
+        columns = [[k] * n, [None] * n, [None] * n, [None] * n, [b for b, _ in part], [x.tobytes() for _, x in part]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROW)], schema=_ROW)
 
 
 class _Counts:
@@ -157,7 +159,7 @@ def _pass(exact: dict[int, list], buckets: dict[int, list], least: int, n_words:
         for c in counts.values():
             yield from c.rows()
         for k, c in counters.items():
-            yield _bucket_rows(k, c)
+            yield from _bucket_rows(k, c)
         if words:
             yield _exact_rows([(0, lang, "", n) for lang, n in words.items()])
 
@@ -191,7 +193,7 @@ def _bitmap_of(phrases: DataFrame, k: int) -> np.ndarray:
         for b in batches:
             p = Phrases(b.column(0).to_pylist(), b.column(1))
             counters[(p.hashes(k, p.at(k)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] = 1
-        yield _bucket_rows(k, counters)
+        yield from _bucket_rows(k, counters)
 
     return _bitmap(phrases.select("lang", "phrase").mapInArrow(run, ROW), 1)
 
