@@ -133,15 +133,21 @@ def a33(spark, d):
     return tables.read_list(spark, _text(spark, _folder(spark, "list"), ["bam", "# comment", "", "one.bam", " two.bam "]))
 
 
+def _chr(c: str):
+    return F.expr(f"concat('chr', CASE {c} WHEN 23 THEN 'X' WHEN 24 THEN 'Y' ELSE CAST({c} AS STRING) END)")
+
+
+def sam_lines(reads: DataFrame) -> DataFrame:
+    """``sample_id, value``: reads as alignment text."""
+    fields = [F.col("l_orderkey"), F.col("flag"), _chr("chrom"), F.col("pos") + 1, F.col("mapq"), F.col("cigar"), _chr("mate_chrom"), F.col("mate_pos") + 1, F.lit(0), F.when(F.col("seq_len") == 0, "*").otherwise(F.repeat(F.lit("A"), F.col("seq_len"))), F.lit("*"), F.concat(F.lit("NM:i:"), F.col("nm").cast("string"))]
+    return reads.select("sample_id", F.concat_ws("\t", *[c.cast("string") for c in fields]).alias("value"))
+
+
 @query("a13_sam_text_stats", f"{_STATS} SELECT * EXCLUDE (error_rate, duplicated_read_fraction, duplicated_base_fraction) FROM st")
 def a13(spark, d):
     """All reads as alignment text, one file a sample, read back and counted."""
     folder = _folder(spark, "sam")
-    r = data.reads(spark, d)
-    name = lambda c: F.expr(f"CASE {c} WHEN 23 THEN 'X' WHEN 24 THEN 'Y' ELSE CAST({c} AS STRING) END")
-    fields = [F.col("l_orderkey"), "flag", F.concat(F.lit("chr"), name("chrom")), F.col("pos") + 1, "mapq", "cigar", F.concat(F.lit("chr"), name("mate_chrom")), F.col("mate_pos") + 1, F.lit(0), F.when(F.col("seq_len") == 0, "*").otherwise(F.repeat(F.lit("A"), F.col("seq_len"))), F.lit("*"), F.concat(F.lit("NM:i:"), F.col("nm").cast("string"))]
-    lines = r.select("sample_id", F.concat_ws("\t", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in fields]).alias("value"))
-    lines.repartition("sample_id").write.partitionBy("sample_id").text(folder)
+    sam_lines(data.reads(spark, d)).repartition("sample_id").write.partitionBy("sample_id").text(folder)
     s = R.alignment_stats(tables.read_sam(spark, folder, sample=F.regexp_extract("_metadata.file_path", r"sample_id=(\d+)/", 1).cast("int")), mapq=5, exclude_flags=512)
     return s.drop("error_rate", "duplicated_read_fraction", "duplicated_base_fraction")
 

@@ -165,22 +165,46 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return body.select(chrom_key(F.when(first, F.col("before")).otherwise(F.col("name"))).alias("chrom"), (F.col("at") + F.when(first, F.col("carried")).otherwise(0)).alias("start"), F.col("v").alias("seq"))
 
 
-def read_sam(spark: SparkSession, path: str, sample: Column | None = None) -> DataFrame:
-    """Alignment text as reads: ``sample_id, read_no, flag, chrom, pos, mapq, cigar, mate_chrom, mate_pos, seq_len, nm, strand``; positions from 0.
+def sample_of_file(ending: str) -> Column:
+    """Sample of a line's file: the folder ``sample_id=<sample>`` it lies in, else its name without ``ending`` (a pattern)."""
+    folder = F.regexp_extract("_metadata.file_path", r"/sample_id=([^/]+)/[^/]+$", 1)
+    return F.when(folder != "", folder).otherwise(F.regexp_replace("_metadata.file_name", ending, ""))
+
 
-    A file is a sample named after it, unless ``sample`` says otherwise (it may use ``_metadata``).
+def scan_sam(spark: SparkSession, path: str | list[str], sample: Column | None = None) -> DataFrame:
+    """Alignment text as reads, malformed lines included: the columns of ``read_sam`` and ``problem``.
+
+    ``problem`` says what is wrong with a line, NULL where nothing is; no line is dropped and none raises.
     """
     lines = _text(spark, path).where(~F.col("value").startswith("@") & (F.length("value") > 0)).select(F.monotonically_increasing_id().alias("read_no"), (F.regexp_replace("_metadata.file_name", r"\.sam(\.gz)?$", "") if sample is None else sample).alias("sample_id"), F.split("value", "\t").alias("c"))
     c = lambda i: F.get("c", F.lit(i))
-    flag = c(1).cast("int")
+    number = lambda i, kind="int": c(i).try_cast(kind)
+    outside = lambda i, most: number(i).isNull() | ~number(i).between(0, most)
+    flag = number(1)
     mate = F.when(c(6) == "=", c(2)).otherwise(c(6))
+    problem = (
+        F.when(F.size("c") < 11, "fewer than 11 columns").when(outside(1, 65535), "flag is no number of 16 bits").when(F.length(c(2)) == 0, "no reference name")
+        .when(F.coalesce(number(3, "long"), F.lit(-1)) < 0, "position is no number").when(outside(4, 255), "mapping quality is no number of 8 bits")
+        .when(~c(5).rlike(r"^(\*|([0-9]+[MIDNSHP=X])+)$"), "CIGAR is malformed").when(F.coalesce(number(7, "long"), F.lit(-1)) < 0, "mate position is no number").when(F.length(c(9)) == 0, "no sequence")
+    )
     return lines.select(
-        "sample_id", "read_no", flag.alias("flag"), chrom_key(c(2)).alias("chrom"), (c(3).cast("long") - 1).alias("pos"), c(4).cast("int").alias("mapq"), c(5).alias("cigar"),
-        chrom_key(mate).alias("mate_chrom"), (c(7).cast("long") - 1).alias("mate_pos"), F.when(c(9) == "*", 0).otherwise(F.length(c(9))).alias("seq_len"),
-        F.coalesce(F.regexp_extract(F.array_join("c", "\t"), r"\tNM:i:(\d+)", 1).try_cast("int"), F.lit(0)).alias("nm"), F.when(flag.bitwiseAND(16) == 0, "+").otherwise("-").alias("strand"),
+        "sample_id", "read_no", flag.alias("flag"), chrom_key(c(2)).alias("chrom"), (number(3, "long") - 1).alias("pos"), number(4).alias("mapq"), c(5).alias("cigar"),
+        chrom_key(mate).alias("mate_chrom"), (number(7, "long") - 1).alias("mate_pos"), F.when(c(9) == "*", 0).otherwise(F.length(c(9))).alias("seq_len"),
+        F.coalesce(F.regexp_extract(F.array_join("c", "\t"), r"\tNM:i:(\d+)", 1).try_cast("int"), F.lit(0)).alias("nm"), F.when(flag.bitwiseAND(16) == 0, "+").otherwise("-").alias("strand"), problem.alias("problem"),
     )
 
 
+def read_sam(spark: SparkSession, path: str | list[str], sample: Column | None = None) -> DataFrame:
+    """Alignment text as reads: ``sample_id, read_no, flag, chrom, pos, mapq, cigar, mate_chrom, mate_pos, seq_len, nm, strand``; positions from 0.
+
+    A file is a sample named after it, unless ``sample`` says otherwise (it may use ``_metadata``). A malformed line is
+    an error that names it; ``scan_sam`` goes on instead.
+    """
+    found = scan_sam(spark, path, sample)
+    message = F.concat(F.lit("malformed alignment line of sample "), F.col("sample_id").cast("string"), F.lit(": "), F.col("problem"))
+    return found.where(F.when(F.col("problem").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True)).drop("problem")
+
+
 def sam_lengths(spark: SparkSession, path: str) -> DataFrame:
     """``chrom, length`` from @SQ header lines, keys 1 to 24."""
     head = _text(spark, path).where(F.col("value").startswith("@SQ"))
@@ -224,9 +248,14 @@ def unique_row(rows: DataFrame, column: str, value: str) -> DataFrame:
 
 
 def read_list(spark: SparkSession, path: str, header: str = "bam") -> DataFrame:
-    """Lines of a list; blank lines, comments and a first line that is the header are left out."""
-    v = F.trim("value")
-    return _text(spark, path).select(v.alias("item")).where((F.col("item") != "") & ~F.col("item").startswith("#") & (F.lower("item") != header))
+    """Items of a list file: without blank lines and comments, and without the first item if it is the header.
+
+    Only the first item of a file can be a header; an item further down may read like one.
+    """
+    lines = _text(spark, path).select(F.trim("value").alias("item"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i")).where((F.col("item") != "") & ~F.col("item").startswith("#"))
+    first = lines.groupBy(F.col("f").alias("f1")).agg(F.min("i").alias("i1"))
+    head = lines.where(F.lower("item") == header).join(first, (F.col("f") == F.col("f1")) & (F.col("i") == F.col("i1"))).select("i")
+    return lines.join(head, "i", "left_anti").select("item")
 
 
 def read_seqff_counts(spark: SparkSession, path: str) -> DataFrame:
