@@ -124,17 +124,65 @@ def y_unique_ratio(reads: DataFrame, regions: DataFrame) -> DataFrame:
     return joined.select("sample_id", F.coalesce("n_in", F.lit(0)).alias("n_in"), "n_all", F.coalesce(safe_div(F.coalesce("n_in", F.lit(0)), "n_all"), F.lit(0.0)).alias("ratio"))
 
 
-def depth(reads: DataFrame) -> DataFrame:
-    """Per sample and chromosome: covered bases, total bases, mean, min and max depth over covered segments.
+def covered_blocks(reads: DataFrame, spans: str = "length") -> DataFrame:
+    """``sample_id, chrom, start, end``: stretches of the reference that reads cover.
 
-    Each read is a +1 event at its start and a -1 at its end; a running sum over positions is the depth.
+    ``length``: from ``pos`` for ``seq_len`` bases. ``whole``: from the first to the last base that the CIGAR aligns,
+    gaps included. ``gaps``: the CIGAR's aligned stretches, without deletions (D) and skips (N).
     """
-    ends = reads.select("sample_id", "chrom", F.explode(F.array(F.struct(F.col("pos").alias("at"), F.lit(1).alias("d")), F.struct((F.col("pos") + F.col("seq_len")).alias("at"), F.lit(-1).alias("d")))).alias("e")).groupBy("sample_id", "chrom", "e.at").agg(F.sum("e.d").alias("d"))
-    w = Window.partitionBy("sample_id", "chrom").orderBy("at")
-    seg = ends.withColumn("depth", F.sum("d").over(w)).withColumn("len", F.lead("at").over(w) - F.col("at")).where("len is not null and depth > 0")
+    if spans == "length":
+        return reads.select("sample_id", "chrom", F.col("pos").alias("start"), (F.col("pos") + F.col("seq_len")).alias("end"))
+    ops = F.transform(F.regexp_extract_all("cigar", F.lit("([0-9]+[MIDNSHP=X])"), 1), lambda o: F.struct(F.substring(o, F.lit(1), F.length(o) - 1).cast("long").alias("n"), F.right(o, F.lit(1)).alias("k")))
+    if spans == "whole":
+        size = F.aggregate(ops, F.lit(0).cast("long"), lambda t, o: t + F.when(o["k"].isin("M", "D", "N", "=", "X"), o["n"]).otherwise(0))
+        return reads.select("sample_id", "chrom", F.col("pos").alias("start"), (F.col("pos") + size).alias("end")).where("start < end")
+    if spans != "gaps":
+        raise ValueError("spans must be length, whole or gaps")
+    block = lambda t, o: F.struct(t["at"].alias("start"), (t["at"] + o["n"]).alias("end"))
+    none = F.array().cast("array<struct<start: bigint, end: bigint>>")
+    step = lambda t, o: F.struct((t["at"] + F.when(o["k"].isin("M", "D", "N", "=", "X"), o["n"]).otherwise(0)).alias("at"), F.when(o["k"].isin("M", "=", "X"), F.concat(t["blocks"], F.array(block(t, o)))).otherwise(t["blocks"]).alias("blocks"))
+    walked = F.aggregate(ops, F.struct(F.col("pos").cast("long").alias("at"), none.alias("blocks")), step, lambda t: t["blocks"])
+    return reads.select("sample_id", "chrom", F.explode(walked).alias("b")).select("sample_id", "chrom", "b.start", "b.end").where("start < end")
+
+
+def depth_segments(blocks: DataFrame, cell: int = 1 << 16) -> DataFrame:
+    """``sample_id, chrom, start, len, depth``: stretches of equal depth above 0, by prefix sums in two levels.
+
+    A block is +1 at its start and -1 at its end. Events are summed within cells of the genome; a window over the
+    sums of whole cells (one row a cell) carries the depth that each cell begins with and the place of the next event
+    after it; inside a cell only the cell's own events are summed. So no task sees a chromosome's events, however deep
+    it is sequenced. A stretch may be cut where a cell begins.
+    """
+    ends = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))
+    events = blocks.select("sample_id", "chrom", F.explode(ends).alias("e")).groupBy("sample_id", "chrom", F.floor(F.col("e.at") / cell).alias("cell"), "e.at").agg(F.sum("e.d").alias("d"))
+    cells = events.groupBy("sample_id", "chrom", "cell").agg(F.sum("d").alias("net"), F.min("at").alias("first"))
+    line = Window.partitionBy("sample_id", "chrom").orderBy("cell")
+    cells = cells.select("sample_id", "chrom", "cell", F.coalesce(F.sum("net").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carried"), F.lead("first").over(line).alias("next"))
+    inside = Window.partitionBy("sample_id", "chrom", "cell").orderBy("at")
+    seg = events.withColumn("own", F.sum("d").over(inside)).withColumn("after", F.lead("at").over(inside)).join(cells, ["sample_id", "chrom", "cell"])
+    seg = seg.select("sample_id", "chrom", F.col("at").alias("start"), (F.coalesce("after", "next") - F.col("at")).alias("len"), (F.col("own") + F.col("carried")).alias("depth"))
+    return seg.where("len > 0 and depth > 0")
+
+
+def depth(reads: DataFrame, spans: str = "length", cell: int = 1 << 16) -> DataFrame:
+    """Per sample and chromosome: covered bases, total bases, mean, min and max depth over covered segments."""
+    seg = depth_segments(covered_blocks(reads, spans), cell)
     return seg.groupBy("sample_id", "chrom").agg(F.sum("len").alias("length"), F.sum(F.col("len") * F.col("depth")).alias("bases"), F.min("depth").alias("min"), F.max("depth").alias("max")).withColumn("mean", safe_div("bases", "length"))
 
 
+def coverage_summary(reads: DataFrame, lengths: DataFrame, spans: str = "whole", cell: int = 1 << 16) -> DataFrame:
+    """``sample_id, chrom, length, bases, mean, min, max`` over whole chromosomes, and a row ``total`` of the genome.
+
+    Every sample has a row per chromosome of ``lengths``; bases that no read covers count with depth 0.
+    """
+    seg = depth(reads, spans, cell).select("sample_id", "chrom", F.col("length").alias("covered"), "bases", F.col("min").alias("low"), F.col("max").alias("high"))
+    cells = reads.select("sample_id").distinct().join(F.broadcast(lengths.select("chrom", F.col("length").cast("long").alias("length")))).join(seg, ["sample_id", "chrom"], "left").na.fill(0, ["covered", "bases", "low", "high"])
+    least = F.when(F.col("covered") < F.col("length"), 0).otherwise(F.col("low")).cast("long")
+    rows = cells.select("sample_id", F.col("chrom").cast("string").alias("chrom"), "length", "bases", least.alias("min"), F.col("high").cast("long").alias("max"))
+    total = rows.groupBy("sample_id").agg(F.lit("total").alias("chrom"), F.sum("length").alias("length"), F.sum("bases").alias("bases"), F.min("min").alias("min"), F.max("max").alias("max"))
+    return rows.unionByName(total).withColumn("mean", safe_div("bases", "length"))
+
+
 def alignment_stats(reads: DataFrame, mapq: int = 0, require_flags: int = 0, exclude_flags: int = 0, filtered_stream: bool = False) -> DataFrame:
     """The 27 counters and rates of an alignment file, per sample, in one aggregate.
 

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 
 from binfold.plans import q_cohort, q_models, q_relational, q_sources  # noqa: E402, F401
-from binfold.plans import q_more  # noqa: E402, F401
+from binfold.plans import q_binary, q_cohort_run, q_more, q_regions  # noqa: E402, F401
