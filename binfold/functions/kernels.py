@@ -224,115 +224,139 @@ def best_denominator(reads: np.ndarray, focus: np.ndarray, min_size: int, max_si
     return best, best_cv
 
 
-def _arc(x: np.ndarray, w: np.ndarray) -> tuple[float, int, int]:
-    """Largest weighted t-like statistic of an arc [i, j) against the rest, and the arc."""
-    n = len(x)
-    cw, cx = np.concatenate(([0], np.cumsum(w))), np.concatenate(([0], np.cumsum(w * x)))
+def _all_arcs(cw: np.ndarray, cx: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[float, int, int]:
+    """Best statistic over arcs [i, j), i of ``rows`` and j of ``cols``, i < j and not the whole; and the arc."""
     total = cw[-1]
-    i, j = np.triu_indices(n + 1, 1)
-    size = cw[j] - cw[i]
-    ok = (j - i < n) & (size > 0) & (total - size > 0)
-    if not ok.any():
-        return 0.0, 0, n
-    s = (cx[j] - cx[i])[ok] - size[ok] * cx[-1] / total
-    stat = s**2 / (size[ok] * (total - size[ok]) / total)
-    b = int(np.argmax(stat))
-    return float(stat[b]), int(i[ok][b]), int(j[ok][b])
-
-
-def _coarse(x: np.ndarray, w: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
-    step = -(-len(x) // limit)
-    if step == 1:
-        return x, w, 1
-    cut = np.arange(0, len(x), step)
-    cw = np.add.reduceat(w, cut)
-    return np.add.reduceat(w * x, cut) / cw, cw, step
-
-
-def _search(x: np.ndarray, w: np.ndarray, limit: int, min_width: int, width: int = 32) -> tuple[float, int, int, int, int]:
-    """Largest statistic, its arc, the step of the arc's ends, and the number of arcs searched.
-
-    All arcs of the block means; where a block is more than a bin, also all arcs of up to ``width`` blocks of 1, 2, 4
-    ... bins, so that an arc of any length is met by blocks that are small against it.
+    size = cw[cols][None, :] - cw[rows][:, None]
+    part = size * (total - size)
+    ok = (rows[:, None] < cols[None, :]) & (part > 0)
+    s = cx[cols][None, :] - cx[rows][:, None]
+    stat = np.divide(s * s, part, out=np.full(s.shape, -1.0), where=ok)
+    at = int(np.argmax(stat))
+    return float(stat.flat[at]) * total, int(rows[at // len(cols)]), int(cols[at % len(cols)])
+
+
+def best_arc(x: np.ndarray, w: np.ndarray) -> tuple[float, int, int]:
+    """The arc [i, j) of any length with the largest weighted t-like statistic, exactly; also the statistic.
+
+    With S the running sum of weighted residuals and W an arc's weight of all T, the statistic is
+    (S_j - S_i)^2 T / (W (T - W)). Ends are dealt to blocks. The extremes of S in two blocks, and the least and largest
+    weight between them, bound all arcs from one to the other; so does the largest residual, where arcs are short.
+    Block pairs are opened from the highest bound down until none can beat the best arc found.
     """
     n = len(x)
-    xs, ws, step = _coarse(x, w, limit)
-    stat, i, j = _arc(xs, ws)
-    best, arcs = (stat, i * step, min(j * step, n), step), len(xs) ** 2
-    if step == 1:
-        return *best, arcs
-    cw = np.concatenate(([0], np.cumsum(w)))
-    cx = np.concatenate(([0], np.cumsum(w * (x - np.average(x, weights=w)))))
-    total, size = cw[-1], 1
-    while size < step:
-        at = np.append(np.arange(0, n, size), n)
-        dw, dx = cw[at], cx[at]
-        for k in range(min_width if size == 1 else 1, min(width, len(at) - 2) + 1):
-            own, s = dw[k:] - dw[:-k], dx[k:] - dx[:-k]
-            part = own * (total - own)
-            stat = np.divide(s * s, part, out=np.zeros(len(s)), where=part > 0)
-            b = int(np.argmax(stat))
-            arcs += len(s)
-            if stat[b] * total > best[0]:
-                best = (float(stat[b] * total), int(at[b]), int(at[b + k]), size)
-        size *= 2
-    return *best, arcs
-
-
-def _sharpen(x: np.ndarray, w: np.ndarray, at: int, step: int) -> int:
-    """Best single cut within one coarse step of ``at``."""
-    lo, hi = max(0, at - 2 * step), min(len(x), at + 2 * step)
-    cw, cx = np.concatenate(([0], np.cumsum(w[lo:hi]))), np.concatenate(([0], np.cumsum((w * x)[lo:hi])))
-    k = np.arange(1, hi - lo)
-    k = k[np.abs(k + lo - at) <= step]
-    if not len(k):
-        return at
-    s = cx[k] - cw[k] * cx[-1] / cw[-1]
-    return lo + int(k[np.argmax(s**2 / (cw[k] * (cw[-1] - cw[k])))])
-
-
-def cbs(x: np.ndarray, w: np.ndarray | None = None, alpha: float = 1e-4, permutations: int | None = None, seed: int = 1, min_width: int = 2, limit: int = 300) -> list[tuple[int, int]]:
+    d = x - np.average(x, weights=w)
+    cw, cx = np.concatenate(([0.0], np.cumsum(w))), np.concatenate(([0.0], np.cumsum(w * d)))
+    total, points = cw[-1], np.arange(n + 1)
+    step = max(16, int(np.sqrt(n)) // 2)
+    if n <= 4 * step:
+        stat, i, j = _all_arcs(cw, cx, points, points)
+        return (stat, i, j) if stat > 0 else (0.0, 0, n)
+    cut = np.arange(0, n + 1, step)
+    last = np.append(cut[1:], n + 1) - 1
+    low, high = np.minimum.reduceat(cx, cut), np.maximum.reduceat(cx, cut)
+    # Ends where S is extreme within its block give a first arc to beat.
+    ends = np.unique(np.concatenate([[c + int(np.argmin(cx[c : e + 1])), c + int(np.argmax(cx[c : e + 1]))] for c, e in zip(cut, last)]))
+    best = _all_arcs(cw, cx, ends, ends)
+    one, two = np.triu_indices(len(cut))
+    reach = np.maximum(high[two] - low[one], high[one] - low[two])
+    least, most = np.maximum(cw[cut[two]] - cw[last[one]], 0.0), np.minimum(cw[last[two]] - cw[cut[one]], total)
+    steep = np.abs(d).max()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        wide = reach**2 * total / np.minimum(least * (total - least), most * (total - most))
+        short, rest = reach * steep * total / (total - most), reach * steep * total / least
+    bound = np.fmin(np.fmin(np.where(wide >= 0, wide, np.inf), np.where(total > most, short, np.inf)), np.where(least > 0, rest, np.inf))
+    order = np.argsort(-bound)
+    for k in order.tolist():
+        if bound[k] * (1 + 1e-12) < best[0]:
+            break
+        found = _all_arcs(cw, cx, points[cut[one[k]] : last[one[k]] + 1], points[cut[two[k]] : last[two[k]] + 1])
+        best = max(best, found, key=lambda f: f[0])
+    return best if best[0] > 0 else (0.0, 0, n)
+
+
+def arc_tail(b: float, n: int, shortest: int) -> float:
+    """Chance that pure noise of ``n`` bins has an arc of ``shortest`` bins or more (and as many left) with |Z| >= ``b``.
+
+    Siegmund's tail of the largest circular arc, as segmentation programs use it, in place of permutations.
+    """
+    t0 = min(0.5, shortest / n)
+    edge = np.linspace(0.5, 1 - t0, 101)
+    mid = (edge[1:] + edge[:-1]) / 2
+    step = b / np.sqrt(n * mid * (1 - mid))
+    cdf = np.array([_NORMAL.cdf(v / 2) for v in step])
+    pdf = np.exp(-(step**2) / 8) / np.sqrt(2 * np.pi)
+    nu = 2 / step * (cdf - 0.5) / (step / 2 * cdf + pdf)
+    area = (edge[1:] - edge[:-1]) / (mid * (1 - mid)) ** 2
+    return float(b**3 * np.exp(-b * b / 2) / np.sqrt(2 * np.pi) / 2 * (nu**2 * area).sum())  # both signs
+
+
+def _short_arcs(e: np.ndarray, w: np.ndarray, longest: int) -> np.ndarray:
+    """Best statistic of arcs of up to ``longest`` bins, also around the end, of each row of residuals ``e`` (sums are 0)."""
+    n, total = len(w), w.sum()
+    longest = min(longest, n - 1)
+    cw = np.concatenate(([0.0], np.cumsum(np.concatenate((w, w[:longest])))))
+    around = np.concatenate((e, e[:, :longest]), axis=1)
+    cx = np.concatenate((np.zeros((len(e), 1)), np.cumsum(around, axis=1)), axis=1)
+    best = np.zeros(len(e))
+    for k in range(1, longest + 1):
+        own = cw[k : n + k] - cw[:n]
+        part = own * (total - own)
+        s = cx[:, k : n + k] - cx[:, :n]
+        stat = np.divide(s * s, part, out=np.zeros(s.shape), where=part > 0)
+        best = np.maximum(best, stat.max(axis=1) * total)
+    return best
+
+
+def arc_is_real(x: np.ndarray, w: np.ndarray, stat: float, alpha: float, rng: np.random.Generator, shortest_long: int = 25) -> bool:
+    """Whether noise has an arc as good as ``stat`` less often than ``alpha``.
+
+    Long arcs have a formula; for arcs of up to ``shortest_long`` bins, also around the end, seeded permutations are
+    counted in blocks, and stop once the answer is fixed. In stretches of up to twice that length all arcs are short.
+    """
+    n = len(x)
+    root = np.sqrt(w)
+    e = (x - np.average(x, weights=w)) * root
+    spread = float(e @ e)
+    left = spread - stat
+    # Far beyond what chance allows by the Bonferroni bound over all arcs: nothing has to be counted.
+    strong = stat / max(left, 1e-300) * (n - 2)
+    if n > 20 and (1 - _NORMAL.cdf(min(np.sqrt(strong), 37.0))) * float(n) ** 2 < alpha / 10:
+        return True
+    longest = n - 1 if n <= 2 * shortest_long else shortest_long
+    allowed = alpha - (arc_tail(np.sqrt(stat * (n - 1) / spread), n, longest + 1) if longest < n - 1 else 0.0)
+    if allowed <= 0:
+        return False
+    permutations = max(100, int(np.ceil(1 / alpha)))
+    most, reached, done = int(allowed * permutations), 0, 0
+    while done < permutations and reached <= most:
+        block = min(permutations - done, max(1, 2_000_000 // n))
+        mixed = rng.permuted(np.tile(e, (block, 1)), axis=1) * root
+        mixed -= w * (mixed.sum(axis=1, keepdims=True) / w.sum())
+        reached += int(np.count_nonzero(_short_arcs(mixed, w, longest) >= stat))
+        done += block
+    return reached <= most
+
+
+def cbs(x: np.ndarray, w: np.ndarray | None = None, alpha: float = 1e-4, seed: int = 1, min_width: int = 2) -> list[tuple[int, int]]:
     """Circular binary segmentation: half-open segments of positions.
 
-    A segment is split at its best arc when fewer than alpha of seeded permutations reach the arc's statistic.
-    Permutations stop as soon as the answer is fixed. Longer stretches than ``limit`` are searched on block means
-    and, for short arcs, on the full series and smaller blocks; cuts are sharpened on the full series.
+    A segment is split at its best arc, which is searched exactly at any length, when noise has one as good less often
+    than ``alpha``. Cuts closer than ``min_width`` to an end are left out.
     """
     w = np.ones(len(x)) if w is None else np.asarray(w, float)
     x = np.asarray(x, float)
-    permutations = permutations or max(100, int(np.ceil(1 / alpha)))
     rng = np.random.default_rng(seed)
     cuts, todo = {0, len(x)}, [(0, len(x))]
     while todo:
         a, b = todo.pop()
-        if b - a < 2 * min_width:
-            continue
-        xs, ws = x[a:b], w[a:b]
-        if len(xs) < 3 or np.ptp(xs) == 0:
+        if b - a < max(3, 2 * min_width) or np.ptp(x[a:b]) == 0:
             continue
-        stat, i, j, step, arcs = _search(xs, ws, limit, min_width)
-        var = float(np.average((xs - np.average(xs, weights=ws)) ** 2, weights=ws)) * ws.sum()
-        left = var - stat
-        strong = stat / max(left, 1e-300) * (len(xs) - 2)
-        # Far beyond what chance allows by the Bonferroni bound over all arcs: no permutation is needed.
-        beyond = 2 * (1 - _NORMAL.cdf(min(np.sqrt(strong), 37.0))) * arcs < alpha / 10 and len(xs) > 20
-        if not beyond:
-            reached, most = 0, int(alpha * permutations)
-            root = np.sqrt(ws)
-            e = (xs - np.average(xs, weights=ws)) * root
-            for _ in range(permutations):
-                reached += _search(rng.permutation(e) / root, ws, limit, min_width)[0] >= stat
-                if reached > most:
-                    break
-            if reached > most:
-                continue
-        inner = [p for p in (i, j) if 0 < p < b - a]
-        if step > 1:
-            inner = [_sharpen(x[a:b], w[a:b], p, step) for p in inner]
-        inner = sorted({p for p in inner if min_width <= p <= b - a - min_width})
+        stat, i, j = best_arc(x[a:b], w[a:b])
+        inner = [p for p in (i, j) if min_width <= p <= b - a - min_width]
         if len(inner) == 2 and inner[1] - inner[0] < min_width:
             inner = inner[:1]
-        if not inner:
+        if not inner or not arc_is_real(x[a:b], w[a:b], stat, alpha, rng):
             continue
         ends = [a, *(a + p for p in inner), b]
         cuts.update(ends)

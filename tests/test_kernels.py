@@ -117,6 +117,86 @@ def test_cbs_leaves_a_long_stretch_of_noise():
     assert K.cbs(np.random.default_rng(3).normal(0, 0.15, 5000), alpha=0.01) == [(0, 5000)]
 
 
+def every_arc(x, w):
+    """Largest statistic over all arcs, arc length by arc length."""
+    d = x - np.average(x, weights=w)
+    cw, cx, best = np.concatenate(([0], np.cumsum(w))), np.concatenate(([0], np.cumsum(w * d))), 0.0
+    for k in range(1, len(x)):
+        own, s = cw[k:] - cw[:-k], cx[k:] - cx[:-k]
+        part = own * (cw[-1] - own)
+        best = max(best, float((s[part > 0] ** 2 / part[part > 0]).max(initial=0.0) * cw[-1]))
+    return best
+
+
+@pytest.mark.parametrize("n", [3, 10, 64, 65, 300, 601, 1500, 3000])
+def test_best_arc_is_the_best_of_all(n):
+    rng = np.random.default_rng(n)
+    for kind in range(5):
+        x, w = rng.normal(0, 0.15, n), np.ones(n)
+        if kind == 1:
+            x[n // 3 : n // 3 + max(1, n // 50)] += 0.3
+        if kind == 2:
+            w = rng.choice([1e-99, 0.2, 1.0, 7.0], n)
+        if kind == 3:
+            x = np.cumsum(x)
+        if kind == 4:
+            x[: n // 2] = 0.0
+            w = rng.uniform(0.5, 2, n)
+        stat, i, j = K.best_arc(x, w)
+        assert stat == pytest.approx(every_arc(x, w), rel=1e-9)
+        cw, cx = np.concatenate(([0], np.cumsum(w))), np.concatenate(([0], np.cumsum(w * (x - np.average(x, weights=w)))))
+        own = cw[j] - cw[i]
+        assert stat == pytest.approx((cx[j] - cx[i]) ** 2 * cw[-1] / (own * (cw[-1] - own)), rel=1e-6)
+
+
+def test_short_arcs_equal_brute_force():
+    rng = np.random.default_rng(12)
+    w = rng.uniform(0.5, 2, 40)
+    e = rng.normal(size=(3, 40)) * w
+    e -= w * (e.sum(axis=1, keepdims=True) / w.sum())
+    for longest in (1, 5, 39):
+        for row, got in zip(e, K._short_arcs(e, w, longest)):
+            want = 0.0
+            for i in range(40):
+                for k in range(1, longest + 1):
+                    arc = np.arange(i, i + k) % 40
+                    own = w[arc].sum()
+                    want = max(want, row[arc].sum() ** 2 * w.sum() / (own * (w.sum() - own)))
+            assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_arc_tail_is_near_what_noise_does():
+    """Long arcs of noise: the formula against 1,500 simulated series."""
+    rng, n, shortest = np.random.default_rng(13), 200, 26
+    top = []
+    for _ in range(1500):
+        d = rng.normal(size=n)
+        d = (d - d.mean()) / d.std()
+        s = np.concatenate(([0], np.cumsum(d)))
+        k = np.arange(shortest, n - shortest + 1)
+        top.append(max(float(np.abs(s[j:] - s[:-j]).max() / np.sqrt(j * (n - j) / n)) for j in k))
+    for b in (2.8, 3.2):
+        assert 0.6 < K.arc_tail(b, n, shortest) / np.mean(np.array(top) >= b) < 1.7
+
+
+def test_cbs_keeps_its_level():
+    """Of 200 series of noise about 5 in 100 are split at that level, and a borderline event is found above 300 bins."""
+    rng = np.random.default_rng(14)
+    assert 2 <= sum(len(K.cbs(rng.normal(size=120), alpha=0.05)) > 1 for _ in range(200)) <= 22
+    x = rng.normal(0, 0.15, 3000)
+    x[1001:1009] += 0.36
+    assert any(abs(s - 1001) <= 2 and abs(e - 1009) <= 2 for s, e in K.cbs(x, alpha=0.01))
+
+
+def test_a_strong_event_needs_few_permutations():
+    import time
+
+    x = np.random.default_rng(15).normal(0, 0.15, 250)
+    x[100:120] += 0.2
+    began = time.process_time()
+    K.cbs(x, alpha=1e-4)
+    assert time.process_time() - began < 6
+
 
 def test_components_equal_svd():
     rng = np.random.default_rng(8)
