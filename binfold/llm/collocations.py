@@ -2,7 +2,7 @@
 
 Each pass counts phrases of one length exactly and those of the next length in hash buckets. A bucket that holds fewer
 than the asked number can't hold a frequent phrase, so the next pass counts exactly only what lies in full buckets
-(a broadcast bitmap of fixed size) and has only frequent parts (a second bitmap of the same size, made from the exact
+(a broadcast bitmap of bounded size) and has only frequent parts (a second bitmap of the same size, made from the exact
 counts of the pass before). Bitmaps only leave out what can't be frequent; what they let through is counted exactly.
 
 Phrases are compared as arrays of hashes inside a task and as strings between tasks. A task adds up its own counts
@@ -23,11 +23,11 @@ from binfold.llm.common import delete_path, join_groups, new_path, table
 from binfold.llm.words import Words, among, mix, slices, words_of
 
 LONGEST = 4
-#: Counters of a pass, a power of two: 16 MB of a task while counting and a bitmap of 2 MB when broadcast.
-BUCKET_BITS = 24
-BLOCKS = 256
-#: Bytes of text that are looked at together, and distinct phrases a task keeps before it hands them on.
-SLICE_BYTES, KEEP = 2 << 20, 200_000
+#: Buckets per byte of text (an eighth, rounded up to a power of two), the least and the most bits of a bucket's number.
+#: With the most, a bitmap has 32 MB; beyond some 2 GB of text buckets fill up and more has to be counted exactly.
+TEXT_PER_BUCKET, LEAST_BITS, MOST_BITS = 8, 16, 28
+#: Bytes of text that are looked at together, distinct phrases and buckets that a task keeps before it hands on or merges.
+SLICE_BYTES, KEEP, MERGE = 2 << 20, 300_000, 2_000_000
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BLANK, _BREAK = among(b" \t" + BREAKS), among(BREAKS)
 _FACTOR = np.random.default_rng(20250613).integers(1, 2**63, (LONGEST + 1, LONGEST), dtype=np.uint64) | np.uint64(1)
@@ -71,9 +71,45 @@ class Phrases:
 
 
 def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether the bit of each hash's bucket is set."""
-    bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    return (bits[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 1
+    """Whether the bit of each hash's bucket is set; there is a power of two of bits."""
+    bucket = h >> np.uint64(64 - (len(bits).bit_length() + 2))
+    return (bits[(bucket >> np.uint64(3)).astype(np.int64)] >> (bucket & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+class _Buckets:
+    """Counts of buckets of a task, up to 255, as sorted numbers; only buckets that are met take memory."""
+
+    def __init__(self, k: int, bits: int):
+        self.k, self.bits, self.parts, self.held = k, bits, [], 0
+
+    def add(self, h: np.ndarray) -> None:
+        bucket, n = np.unique((h >> np.uint64(64 - self.bits)).astype(np.uint32), return_counts=True)
+        self.parts.append((bucket, np.minimum(n, 255).astype(np.uint8)))
+        self.held += len(bucket)
+        if self.held > MERGE:
+            self.parts = [self.merged()]
+            self.held = len(self.parts[0][0]) // 2
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        bucket, n = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(bucket, kind="stable")
+        bucket, n = bucket[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+        return bucket[first], np.minimum(np.add.reduceat(n, first, dtype=np.int64), 255).astype(np.uint8) if len(first) else n
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """A row per block of 2**16 buckets: the low 16 bits of the numbers, then their counts."""
+        bucket, n = self.merged()
+        block = (bucket >> np.uint32(16)).astype(np.int64)
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)])) if len(block) else np.zeros(1, np.int64)
+        out = [(int(block[i]), (bucket[i:j] & np.uint32(0xFFFF)).astype("<u2").tobytes() + n[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:])]
+        for lo in range(0, len(out), 256):
+            part = out[lo : lo + 256]
+            m = len(part)
+            columns = [[self.k] * m, [None] * m, [None] * m, [None] * m, [b for b, _ in part], [x for _, x in part]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROW)], schema=_ROW)
 
 
 ROW = "k int, lang string, phrase string, f long, block int, counts binary"
@@ -84,15 +120,6 @@ def _exact_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[(*r, None, None) for r in rows]), _ROW)], schema=_ROW)
 
 
-def _bucket_rows(k: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    blocks = [(b, x) for b, x in enumerate(counts.reshape(BLOCKS, -1)) if x.any()]
-    for lo in range(0, len(blocks), 32):
-        part = blocks[lo : lo + 32]
-        n = len(part)
-        columns = [[k] * n, [None] * n, [None] * n, [None] * n, [b for b, _ in part], [x.tobytes() for _, x in part]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROW)], schema=_ROW)
-
-
 class _Counts:
     """Exact counts of a task: numbers by hash, and the phrase of every hash the first time it is met."""
 
@@ -116,7 +143,7 @@ class _Counts:
         self.names, self.found = {}, []
 
 
-def _pass(exact: dict[int, list], buckets: dict[int, list], least: int, n_words: bool):
+def _pass(exact: dict[int, list], buckets: dict[int, list], bits: int, n_words: bool):
     """One pass: ``exact`` and ``buckets`` give, per length to count, the bitmaps that a phrase must pass.
 
     A bitmap comes as ``(length, bits)``; all parts of that length must be in it.
@@ -139,7 +166,7 @@ def _pass(exact: dict[int, list], buckets: dict[int, list], least: int, n_words:
         return at, h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = {k: np.zeros(1 << BUCKET_BITS, np.uint8) for k in buckets}
+        counters = {k: _Buckets(k, bits) for k in buckets}
         counts, words = {k: _Counts(k) for k in exact}, {}
         for batch in batches:
             for b in slices(batch, 1, SLICE_BYTES):
@@ -150,52 +177,56 @@ def _pass(exact: dict[int, list], buckets: dict[int, list], least: int, n_words:
                     if len(counts[k].names) > KEEP:
                         yield from counts[k].rows()
                 for k, tests in buckets.items():
-                    # Counts above the threshold say no more than the threshold.
-                    bucket, n = np.unique((passing(p, k, tests)[1] >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32), return_counts=True)
-                    counters[k][bucket] = np.minimum(counters[k][bucket] + n, min(least, 255))
+                    counters[k].add(passing(p, k, tests)[1])
                 if n_words:
                     for lang, n in zip(p.langs, np.bincount(p.words.doc, minlength=len(p.langs)).tolist()):
                         words[lang] = words.get(lang, 0) + n
         for c in counts.values():
             yield from c.rows()
-        for k, c in counters.items():
-            yield from _bucket_rows(k, c)
+        for c in counters.values():
+            yield from c.rows()
         if words:
             yield _exact_rows([(0, lang, "", n) for lang, n in words.items()])
 
     return run
 
 
-def _bitmap(blocks: DataFrame, least: int) -> np.ndarray:
-    """Bits of the buckets that reach ``least``: block by block in the cluster, then 2 MB in all for the driver."""
+def _bitmap(blocks: DataFrame, bits: int, least: int) -> np.ndarray:
+    """Bits of the buckets that reach ``least``: block by block in the cluster, then at most 32 MB in all for the driver.
+
+    A block's messages are added up one after the other, so its memory is that of its counters.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for block, counts in zip(b.column(0).to_pylist(), b.column(1)):
-                c = np.frombuffer(counts.as_py(), np.uint8)
-                total[block] = np.minimum(total.get(block, 0) + c.astype(np.uint32), 1 << 20)
+            for block, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                raw = raw.as_py()
+                n = len(raw) // 3
+                at = np.frombuffer(raw, "<u2", n)
+                own = total.setdefault(block, np.zeros(1 << 16, np.uint16))
+                own[at] = np.minimum(own[at] + np.frombuffer(raw, np.uint8, n, 2 * n).astype(np.uint32), 65535)
         if total:
-            bits = [np.packbits(total[k] >= least, bitorder="little").tobytes() for k in total]
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(bits, pa.binary())], ["block", "bits"])
+            full = [np.packbits(total[k] >= least, bitorder="little").tobytes() for k in total]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(full, pa.binary())], ["block", "bits"])
 
-    out = np.zeros((BLOCKS, (1 << BUCKET_BITS) // 8 // BLOCKS), np.uint8)
-    for block, bits in blocks.select("block", "counts").repartition("block").mapInArrow(run, "block int, bits binary").collect():
-        out[block] = np.frombuffer(bits, np.uint8)
+    out = np.zeros((1 << max(0, bits - 16), 1 << 13), np.uint8)
+    for block, full in blocks.select("block", "counts").repartition("block").mapInArrow(run, "block int, bits binary").toLocalIterator():
+        out[block] = np.frombuffer(full, np.uint8)
     return out.reshape(-1)
 
 
-def _bitmap_of(phrases: DataFrame, k: int) -> np.ndarray:
+def _bitmap_of(phrases: DataFrame, k: int, bits: int) -> np.ndarray:
     """Bits of the buckets of the given phrases (``lang, phrase``, each of ``k`` words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << BUCKET_BITS, np.uint8)
+        counters = _Buckets(k, bits)
         for b in batches:
             p = Phrases(b.column(0).to_pylist(), b.column(1))
-            counters[(p.hashes(k, p.at(k)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] = 1
-        yield from _bucket_rows(k, counters)
+            counters.add(p.hashes(k, p.at(k)))
+        yield from counters.rows()
 
-    return _bitmap(phrases.select("lang", "phrase").mapInArrow(run, ROW), 1)
+    return _bitmap(phrases.select("lang", "phrase").mapInArrow(run, ROW), bits, 1)
 
 
 def frequent_phrases(docs: DataFrame, least: int, lang_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
@@ -203,10 +234,12 @@ def frequent_phrases(docs: DataFrame, least: int, lang_col: str, text_col: str)
     spark = docs.sparkSession
     texts = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     send, paths, done = spark.sparkContext.broadcast, [], []
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // TEXT_PER_BUCKET).bit_length()))
 
     def one(name: str, **what) -> DataFrame:
         paths.append(new_path(spark, f"phrases-{name}"))
-        return table(texts.mapInArrow(_pass(least=least, **what), ROW), name, paths[-1])
+        return table(texts.mapInArrow(_pass(bits=bits, **what), ROW), name, paths[-1])
 
     def total(rows: DataFrame, k: int) -> DataFrame:
         paths.append(new_path(spark, f"phrases-{k}"))
@@ -215,15 +248,15 @@ def frequent_phrases(docs: DataFrame, least: int, lang_col: str, text_col: str)
         return done[-1]
 
     # A task's counter ends at 255, so that is what a bucket is asked for where more occurrences are wanted.
-    full = lambda rows, k: send(_bitmap(rows.where((F.col("k") == k) & F.col("counts").isNotNull()), min(least, 255)))
+    full = lambda rows, k: send(_bitmap(rows.where((F.col("k") == k) & F.col("counts").isNotNull()), bits, min(least, 255)))
     first = one("first", exact={}, buckets={1: [], 2: []}, n_words=True)
     total(first, 0)
     b1, b2 = full(first, 1), full(first, 2)
     second = one("second", exact={1: [(1, b1)], 2: [(1, b1), (2, b2)]}, buckets={3: [(1, b1), (2, b2)]}, n_words=False)
     total(second, 1)
-    f2, b3 = send(_bitmap_of(total(second, 2), 2)), full(second, 3)
+    f2, b3 = send(_bitmap_of(total(second, 2), 2, bits)), full(second, 3)
     third = one("third", exact={3: [(2, f2), (3, b3)]}, buckets={4: [(2, f2), (3, b3)]}, n_words=False)
-    f3, b4 = send(_bitmap_of(total(third, 3), 3)), full(third, 4)
+    f3, b4 = send(_bitmap_of(total(third, 3), 3, bits)), full(third, 4)
     total(one("fourth", exact={4: [(3, f3), (4, b4)]}, buckets={}, n_words=False), 4)
     out = done[0]
     for d in done[1:]:

@@ -84,9 +84,28 @@ def test_a_full_bitmap_never_loses_a_phrase():
     assert got == {"a b": 11, "b c": 10, "c d": 11, "d e": 10}
     h = p.hashes(2, pairs)
     assert len(np.unique(h)) == 4
-    bits = np.zeros((1 << collocations.BUCKET_BITS) // 8, np.uint8)
-    bucket = (h >> np.uint64(64 - collocations.BUCKET_BITS)).astype(np.int64)
-    bits[bucket >> 3] |= (1 << (bucket & 7)).astype(np.uint8)
-    assert collocations._has(bits, h).all() and not collocations._has(bits, ~h).any()
+    for size in (16, 20, 28):
+        bits = np.zeros((1 << size) // 8, np.uint8)
+        bucket = (h >> np.uint64(64 - size)).astype(np.int64)
+        np.bitwise_or.at(bits, bucket >> 3, (1 << (bucket & 7)).astype(np.uint8))
+        assert collocations._has(bits, h).all() and not collocations._has(bits, ~h).any()
     other = collocations.Phrases(["de"] * 5, texts)
     assert not np.intersect1d(other.hashes(2, pairs), h).size
+
+
+def test_bucket_counts_are_sums(spark, monkeypatch):
+    """Merged or not, a task's buckets hold what was added, up to 255; blocks of several tasks add up."""
+    monkeypatch.setattr(collocations, "MERGE", 50)
+    rng = np.random.default_rng(4)
+    h = (rng.integers(0, 300, 4000, dtype=np.uint64) << np.uint64(44)) + rng.integers(0, 999, 4000, dtype=np.uint64)
+    one = collocations._Buckets(2, 20)
+    for part in np.array_split(h, 13):
+        one.add(part)
+    bucket, n = one.merged()
+    want = np.bincount((h >> np.uint64(44)).astype(np.int64))
+    assert (bucket == np.flatnonzero(want)).all() and (n == want[want > 0]).all()
+    rows = [r for b in one.rows() for r in b.to_pylist()]
+    blocks = spark.createDataFrame([(r["block"], bytearray(r["counts"])) for r in rows * 3], "block int, counts binary")
+    least = int(3 * np.median(want[want > 0]))
+    got = np.unpackbits(collocations._bitmap(blocks, 20, least), bitorder="little")
+    assert (np.flatnonzero(got) == np.flatnonzero(3 * want >= least)).all()
