@@ -6,7 +6,7 @@ than the asked number can't hold a frequent phrase, so the next pass counts exac
 counts of the pass before). Bitmaps only leave out what can't be frequent; what they let through is counted exactly.
 
 Phrases are compared as arrays of hashes inside a task and as strings between tasks. A task adds up its own counts
-first, so a phrase that half of the corpus holds costs one row a task.
+first, so a phrase that half of the corpus holds costs one entry a task; entries travel as arrays, dealt by hash.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ LONGEST = 4
 TEXT_PER_BUCKET, LEAST_BITS, MOST_BITS = 8, 16, 28
 #: Bytes of text that are looked at together, distinct phrases and buckets that a task keeps before it hands on or merges.
 SLICE_BYTES, KEEP, MERGE = 2 << 20, 300_000, 2_000_000
+PART_BYTES = 8 << 20  # text per part of the counted phrases
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BLANK, _BREAK = among(b" \t" + BREAKS), among(BREAKS)
 _FACTOR = np.random.default_rng(20250613).integers(1, 2**63, (LONGEST + 1, LONGEST), dtype=np.uint64) | np.uint64(1)
@@ -104,27 +106,24 @@ class _Buckets:
         bucket, n = self.merged()
         block = (bucket >> np.uint32(16)).astype(np.int64)
         cut = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)])) if len(block) else np.zeros(1, np.int64)
-        out = [(int(block[i]), (bucket[i:j] & np.uint32(0xFFFF)).astype("<u2").tobytes() + n[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:])]
+        out = [(self.k, None, int(block[i]), None, None, (bucket[i:j] & np.uint32(0xFFFF)).astype("<u2").tobytes() + n[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:])]
         for lo in range(0, len(out), 256):
-            part = out[lo : lo + 256]
-            m = len(part)
-            columns = [[self.k] * m, [None] * m, [None] * m, [None] * m, [b for b, _ in part], [x for _, x in part]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROW)], schema=_ROW)
+            yield _rows(out[lo : lo + 256])
 
 
-ROW = "k int, lang string, phrase string, f long, block int, counts binary"
-_ROW = pa.schema([("k", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+ROW = "k int, lang string, block int, phrases array<string>, fs array<bigint>, counts binary"
+_ROW = pa.schema([("k", pa.int32()), ("lang", pa.string()), ("block", pa.int32()), ("phrases", pa.list_(pa.string())), ("fs", pa.list_(pa.int64())), ("counts", pa.binary())])
 
 
-def _exact_rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[(*r, None, None) for r in rows]), _ROW)], schema=_ROW)
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROW)], schema=_ROW)
 
 
 class _Counts:
     """Exact counts of a task: numbers by hash, and the phrase of every hash the first time it is met."""
 
-    def __init__(self, k: int):
-        self.k, self.names, self.found = k, {}, []
+    def __init__(self, k: int, parts: int):
+        self.k, self.parts, self.names, self.found = k, parts, {}, []
 
     def add(self, p: Phrases, at: np.ndarray, h: np.ndarray, raw: bytes) -> None:
         keys, first, n = np.unique(h, return_index=True, return_counts=True)
@@ -134,16 +133,38 @@ class _Counts:
                 self.names[key] = (p.langs[p.words.doc[i]], p.phrase(self.k, i, raw))
 
     def rows(self) -> Iterator[pa.RecordBatch]:
+        """A row per language and part of the hashes."""
         if self.found:
             keys, where = np.unique(np.concatenate([x for x, _ in self.found]), return_inverse=True)
             total = np.bincount(where, np.concatenate([n for _, n in self.found])).astype(np.int64)
-            rows = [(self.k, *self.names[key], n) for key, n in zip(keys.tolist(), total.tolist())]
-            for lo in range(0, len(rows), 50_000):
-                yield _exact_rows(rows[lo : lo + 50_000])
+            part = ((keys >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).tolist()
+            dealt: dict[tuple[int, str], tuple[list, list]] = {}
+            for key, to, n in zip(keys.tolist(), part, total.tolist()):
+                lang, phrase = self.names[key]
+                phrases, fs = dealt.setdefault((to, lang), ([], []))
+                phrases.append(phrase)
+                fs.append(n)
+            rows = [(self.k, lang, to, phrases, fs, None) for (to, lang), (phrases, fs) in dealt.items()]
+            for lo in range(0, len(rows), 64):
+                yield _rows(rows[lo : lo + 64])
         self.names, self.found = {}, []
 
 
-def _pass(exact: dict[int, list], buckets: dict[int, list], bits: int, n_words: bool):
+def _summed(least: int):
+    """Counts of the phrases of one language and part over all tasks; those of ``least`` and more."""
+
+    def run(group: pa.Table) -> pa.Table:
+        flat = pa.table({c: pc.list_flatten(group.column(c).combine_chunks()) for c in ("phrases", "fs")})
+        sums = flat.group_by("phrases").aggregate([("fs", "sum")])
+        sums = sums.filter(pc.greater_equal(sums.column("fs_sum"), least))
+        first = [group.column(c)[0].as_py() for c in ("k", "lang")]
+        n = sums.num_rows
+        return pa.table({"k": pa.array([first[0]] * n, pa.int32()), "lang": pa.array([first[1]] * n, pa.string()), "phrase": sums.column("phrases"), "f": sums.column("fs_sum")})
+
+    return run
+
+
+def _pass(exact: dict[int, list], buckets: dict[int, list], bits: int, parts: int, n_words: bool):
     """One pass: ``exact`` and ``buckets`` give, per length to count, the bitmaps that a phrase must pass.
 
     A bitmap comes as ``(length, bits)``; all parts of that length must be in it.
@@ -167,7 +188,7 @@ def _pass(exact: dict[int, list], buckets: dict[int, list], bits: int, n_words:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = {k: _Buckets(k, bits) for k in buckets}
-        counts, words = {k: _Counts(k) for k in exact}, {}
+        counts, words = {k: _Counts(k, parts) for k in exact}, {}
         for batch in batches:
             for b in slices(batch, 1, SLICE_BYTES):
                 p = Phrases(["und" if x is None else x for x in b.column(0).to_pylist()], b.column(1))
@@ -186,7 +207,7 @@ def _pass(exact: dict[int, list], buckets: dict[int, list], bits: int, n_words:
         for c in counters.values():
             yield from c.rows()
         if words:
-            yield _exact_rows([(0, lang, "", n) for lang, n in words.items()])
+            yield _rows([(0, lang, 0, None, [n], None) for lang, n in words.items()])
 
     return run
 
@@ -211,7 +232,7 @@ def _bitmap(blocks: DataFrame, bits: int, least: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(full, pa.binary())], ["block", "bits"])
 
     out = np.zeros((1 << max(0, bits - 16), 1 << 13), np.uint8)
-    for block, full in blocks.select("block", "counts").repartition("block").mapInArrow(run, "block int, bits binary").toLocalIterator():
+    for block, full in blocks.select("block", "counts").repartition("block").mapInArrow(run, "block int, bits binary").collect():
         out[block] = np.frombuffer(full, np.uint8)
     return out.reshape(-1)
 
@@ -235,16 +256,21 @@ def frequent_phrases(docs: DataFrame, least: int, lang_col: str, text_col: str)
     texts = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     send, paths, done = spark.sparkContext.broadcast, [], []
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(8, size // PART_BYTES)
     bits = min(MOST_BITS, max(LEAST_BITS, (size // TEXT_PER_BUCKET).bit_length()))
 
     def one(name: str, **what) -> DataFrame:
         paths.append(new_path(spark, f"phrases-{name}"))
-        return table(texts.mapInArrow(_pass(bits=bits, **what), ROW), name, paths[-1])
+        return table(texts.mapInArrow(_pass(bits=bits, parts=parts, **what), ROW), name, paths[-1])
 
     def total(rows: DataFrame, k: int) -> DataFrame:
         paths.append(new_path(spark, f"phrases-{k}"))
-        sums = rows.where((F.col("k") == k) & F.col("f").isNotNull()).groupBy("k", "lang", "phrase").agg(F.sum("f").alias("f"))
-        done.append(table(sums.where(F.col("f") >= least) if k else sums, f"{k}", paths[-1]))
+        own = rows.where((F.col("k") == k) & F.col("fs").isNotNull())
+        if k:
+            sums = own.select("k", "lang", "block", "phrases", "fs").groupBy("lang", "block").applyInArrow(_summed(least), "k int, lang string, phrase string, f long")
+        else:
+            sums = own.select("k", "lang", F.explode("fs").alias("n")).groupBy("k", "lang").agg(F.sum("n").alias("f")).select("k", "lang", F.lit("").alias("phrase"), "f")
+        done.append(table(sums, f"{k}", paths[-1]))
         return done[-1]
 
     # A task's counter ends at 255, so that is what a bucket is asked for where more occurrences are wanted.
