@@ -1,11 +1,12 @@
 """Main text of web pages from standard-library parser events and text-to-tag ratios.
 
-The parser's events become lines, one per block. A line has its text, the number of tags in it, and what surrounds
-it. The ratios of characters to tags are smoothed by a Gaussian over neighbouring lines and parted into two clusters
-at the threshold that separates them best; the upper cluster is content. Structure narrows this: lines inside
-boilerplate elements never count, and where a page marks an article that covers the upper cluster, exactly the
-article's lines do. A class or id that hints at boilerplate doesn't count on a container of most of the page's text,
-if that has a title, an article or (unless it is named as comments) several blocks.
+The parser's events become lines, one per block. A line has its text, the number of tags in it, and the element it lies
+in. The ratios of characters to tags, raised inside a marked article, are smoothed by a Gaussian over neighbouring
+lines and parted into two clusters at the threshold that separates them best. The upper cluster chooses the content
+region: the innermost container that holds nearly all of its text. Of a region all lines stay that are in the cluster,
+between lines of it, or the region's own blocks, so short paragraphs and titles stay with the long ones, and lists of
+links don't. Lines inside boilerplate elements never count. A class or id that hints at boilerplate doesn't count on a
+container of most of the page's text, if that has a title, an article or (unless it is named as comments) several blocks.
 """
 
 from __future__ import annotations
@@ -33,21 +34,34 @@ HINT = re.compile(
 )
 #: Elements of running text: a name hints only if it is nothing but a hint ("ad", not "share-price").
 TEXT_LEVEL = {"p", "span", "a", "b", "i", "em", "strong", "li", "td", "th", "tr", "dd", "dt", "pre", "blockquote", "figure", "figcaption"} | HEADINGS
+INLINE = {"span", "a", "b", "i", "em", "strong", "small", "u", "code", "font", "mark", "cite", "q", "sub", "sup"}
+#: Elements that put blocks in order but part nothing off.
+FLOW = TEXT_LEVEL | INLINE | {"ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "caption", "header", "hgroup", "center", "summary", "details"}
 #: Names of what a container has or lacks, not of what it is: no-sidebar, has-header, comments-open.
 STATE = re.compile(r"(?:no|has|with|without)[_-]|.*[_-](?:open|closed|enabled|disabled)$", re.IGNORECASE)
 TALK = re.compile(r"comment|repl(?:y|ies)|responses|disqus", re.IGNORECASE)
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Hints that are also words of running text: followed by another word they name that ("related-work"), unless it is a word for a part of a page.
+WEAK = re.compile(r"(?:^|.*[\s_-])(?:related|shar(?:e|ing)|social|search|alerts?|notices?|promotions?|header|responses|repl(?:y|ies)|skip|recommend(?:ed|ations)?)[_-]([a-z]{3,})$", re.IGNORECASE)
+PARTS = {"area", "articles", "bar", "block", "body", "box", "btn", "button", "buttons", "column", "container", "content", "entries", "form", "grid", "group", "icon", "icons", "inner", "input", "item", "items", "links", "link", "list", "media", "message", "news", "outer", "panel", "posts", "reading", "row", "section", "sites", "slot", "stories", "text", "title", "tools", "topics", "videos", "wrap", "wrapper"}
 SIGMA = 1.0
-COVERS = 0.8  # share of the upper cluster's characters from which an article is taken to be the whole region
+COVERS = 0.9  # share of the upper cluster's characters that the content region holds
+MARKED = 1.0  # what a marked article adds to the logarithm of a line's ratio
+
+
+def _is_hint(name: str) -> bool:
+    """Whether a name has a hint that names the element, and not a word of its subject."""
+    weak = WEAK.match(name)
+    return bool(HINT.search(name)) and not (weak and weak[1].lower() not in PARTS and not HINT.search(weak[1]) and len(HINT.findall(name)) == 1)
 
 
 def _hints(tag: str, attrs: dict[str, str | None]) -> bool:
     names = [name for k in ("class", "id") for name in (attrs.get(k) or "").split()]
-    return any((HINT.fullmatch(name) if tag in TEXT_LEVEL else HINT.search(name)) and not STATE.match(name) for name in names)
+    return any((HINT.fullmatch(name) if tag in TEXT_LEVEL else _is_hint(name)) and not STATE.match(name) for name in names)
 
 
 class _Lines(HTMLParser):
-    """Parser events to lines ``[text, tags, link characters, boilerplate, in article]``."""
+    """Parser events to lines ``[text, tags, link characters, boilerplate, in article, number of the element]``."""
 
     def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
@@ -57,7 +71,11 @@ class _Lines(HTMLParser):
         self.hinted: dict[int, tuple] = {}
         self.open: Counter[str] = Counter()  # tags on the stack, so that what is not open is not looked for
         self.stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, starts boilerplate, an article, boilerplate by its element, number if hinted
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, bool, int]] = []
+        self.parents: dict[int, int] = {}  # of every element that holds others, by number; 0 is the page
+        self.names: dict[int, str] = {0: "page"}
+        self.path: list[int] = [0]  # numbers of the stack
+        self.marked: set[int] = set()  # elements that the page marks as its article
         self.text: list[str] = []
         self.tags = self.links = self.off = self.article = self.anchors = 0
         self.header_in_article = 0
@@ -69,12 +87,13 @@ class _Lines(HTMLParser):
                 size = max(0, len(text) - self.links)
                 self.plain += size
                 self.plain_lines += 1
-            self.lines.append((text, self.tags, self.links, self.off > 0, self.article > 0))
+            self.lines.append((text, self.tags, self.links, self.off > 0, self.article > 0, self.path[-1]))
         self.text, self.tags, self.links = [], 0, 0
 
     def _pop(self, upto: int) -> None:
         while len(self.stack) > upto:
             tag, off, article, hard, number = self.stack.pop()
+            self.path.pop()
             self.open[tag] -= 1
             if number:  # what came since its start is inside it
                 size, lines, marks, talk = self.hinted[number]
@@ -121,6 +140,10 @@ class _Lines(HTMLParser):
         number = self.number if hinted else 0
         self.marks += marks or tag == "h1"
         self.stack.append((tag, off, article, hard, number))
+        self.parents[self.number], self.names[self.number] = self.path[-1], tag
+        self.path.append(self.number)
+        if article:
+            self.marked.add(self.number)
         self.open[tag] += 1
         self.hard += hard
         self.off += off
@@ -195,22 +218,92 @@ def _parsed(html: str) -> _Lines:
         spared |= most
 
 
-def main_text(html: str | None) -> str:
-    """Blocks of the main text, in page order, joined by an empty line."""
-    if not html:
-        return ""
-    lines = _parsed(html).lines
+def region_of(page: _Lines, usable: list[int], chosen: list[int]) -> tuple[int, set[int]]:
+    """The innermost container of nearly all chosen characters, and all elements inside it.
+
+    A container holds two usable lines or more and is no element of running text, so it is a part of the page and not
+    one of its paragraphs. Elements are numbered in page order, so children come after their parents.
+    """
+    size, lines = dict.fromkeys(page.names, 0), dict.fromkeys(page.names, 0)
+    for i in usable:
+        lines[page.lines[i][5]] += 1
+    for i in chosen:
+        size[page.lines[i][5]] += len(page.lines[i][0])
+    children: dict[int, list[int]] = {}
+    for number in sorted(page.parents, reverse=True):
+        up = page.parents[number]
+        size[up] += size[number]
+        lines[up] += lines[number]
+        children.setdefault(up, []).append(number)
+    at, least = 0, COVERS * size[0]
+    while True:
+        inner = [c for c in children.get(at, ()) if size[c] >= least and lines[c] > 1 and page.names[c] not in TEXT_LEVEL]
+        if not inner:
+            break
+        at = inner[0]
+    inside, todo = {at}, [at]
+    while todo:
+        new = children.get(todo.pop(), [])
+        inside.update(new)
+        todo += new
+    return at, inside
+
+
+def content_lines(page: _Lines) -> list[int]:
+    """Numbers of the lines of the main text: ratios, smoothing, clusters, and the region that these choose."""
+    lines = page.lines
     usable = [i for i, line in enumerate(lines) if not line[3]]
     if not usable:
-        return ""
-    ratio = np.log1p(np.array([0.0 if off else (len(t) - link) / (1 + tags) for t, tags, link, off, _ in lines]))
+        return []
+    ratio = np.array([0.0 if off else np.log1p((len(t) - link) / (1 + tags)) + MARKED * marked for t, tags, link, off, marked, _ in lines])
     smooth = smoothed(ratio)
     cut = threshold(smooth[usable])
-    chosen = [i for i in usable if smooth[i] >= cut and 2 * lines[i][2] <= len(lines[i][0])]
-    article = [i for i in usable if lines[i][4]]
-    if sum(len(lines[i][0]) for i in chosen if lines[i][4]) >= COVERS * sum(len(lines[i][0]) for i in chosen) and article:
-        chosen = article
-    return "\n\n".join(lines[i][0] for i in chosen)
+    plain = {i for i in usable if 2 * lines[i][2] <= len(lines[i][0])}
+    chosen = [i for i in usable if smooth[i] >= cut and i in plain]
+    if not chosen:
+        return []
+    region, inside = region_of(page, usable, chosen)
+    mine = [i for i in chosen if lines[i][5] in inside]
+    # Blocks of the region itself belong to it, in lists and tables too, and in any part of it where the page marks it as
+    # an article; those of the whole page may be anything.
+    own: dict[int, bool] = {n: n == region and page.names[n] not in {"page", "html", "body"} for n in (0, region)}
+
+    marked = region in page.marked
+
+    def part_of(n: int) -> bool:
+        seen = []
+        while n not in own:
+            if not marked and page.names[n] not in FLOW:
+                own[n] = False
+                break
+            seen.append(n)
+            n = page.parents[n]
+        own.update(dict.fromkeys(seen, own[n]))
+        return own[n]
+
+    inner = [i for i in usable if i in plain and lines[i][5] in inside]
+    # Smoothing lowers the first and last lines of a region, so its ends grow by lines whose own ratio is in the cluster.
+    order = {i: k for k, i in enumerate(inner)}
+    first, last = order[mine[0]], order[mine[-1]]
+    while first and ratio[inner[first - 1]] >= cut:
+        first -= 1
+    while last + 1 < len(inner) and ratio[inner[last + 1]] >= cut:
+        last += 1
+    kept = [i for k, i in enumerate(inner) if first <= k <= last or part_of(lines[i][5])]
+    # Titles right before the region belong to it.
+    at = usable.index(kept[0])
+    while at and page.names[lines[usable[at - 1]][5]] in HEADINGS and usable[at - 1] in plain:
+        at -= 1
+        kept.insert(0, usable[at])
+    return kept
+
+
+def main_text(html: str | None) -> str:
+    """Blocks of the main text, in page order, joined by an empty line."""
+    if not html:
+        return ""
+    page = _parsed(html)
+    return "\n\n".join(page.lines[i][0] for i in content_lines(page))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
