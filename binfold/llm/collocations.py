@@ -28,7 +28,7 @@ LONGEST = 4
 #: With the most, a bitmap has 32 MB; beyond some 2 GB of text buckets fill up and more has to be counted exactly.
 TEXT_PER_BUCKET, LEAST_BITS, MOST_BITS = 8, 16, 28
 #: Bytes of text that are looked at together, distinct phrases and buckets that a task keeps before it hands on or merges.
-SLICE_BYTES, KEEP, MERGE = 2 << 20, 300_000, 2_000_000
+SLICE_BYTES, KEEP, MERGE = 2 << 20, 200_000, 1_000_000
 PART_BYTES = 8 << 20  # text per part of the counted phrases
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BLANK, _BREAK = among(b" \t" + BREAKS), among(BREAKS)
@@ -275,15 +275,22 @@ def frequent_phrases(docs: DataFrame, least: int, lang_col: str, text_col: str)
 
     # A task's counter ends at 255, so that is what a bucket is asked for where more occurrences are wanted.
     full = lambda rows, k: send(_bitmap(rows.where((F.col("k") == k) & F.col("counts").isNotNull()), bits, min(least, 255)))
+    def used(*bitmaps) -> None:
+        for bitmap in bitmaps:
+            bitmap.destroy()
+
     first = one("first", exact={}, buckets={1: [], 2: []}, n_words=True)
     total(first, 0)
     b1, b2 = full(first, 1), full(first, 2)
     second = one("second", exact={1: [(1, b1)], 2: [(1, b1), (2, b2)]}, buckets={3: [(1, b1), (2, b2)]}, n_words=False)
+    used(b1, b2)
     total(second, 1)
     f2, b3 = send(_bitmap_of(total(second, 2), 2, bits)), full(second, 3)
     third = one("third", exact={3: [(2, f2), (3, b3)]}, buckets={4: [(2, f2), (3, b3)]}, n_words=False)
+    used(f2, b3)
     f3, b4 = send(_bitmap_of(total(third, 3), 3, bits)), full(third, 4)
     total(one("fourth", exact={4: [(3, f3), (4, b4)]}, buckets={}, n_words=False), 4)
+    used(f3, b4)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
