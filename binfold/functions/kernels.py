@@ -181,6 +181,8 @@ def forward_selection(y: np.ndarray, x: np.ndarray, n_steps: int, allowed: np.nd
     """
     open_ = np.ones(x.shape[1], bool) if allowed is None else allowed.copy()
     r, q = y - y.mean(), x - x.mean(axis=0)
+    if (r**2).sum() < 1e-15:  # a response that does not vary has nothing to be explained
+        return []
     scale = (q**2).sum(axis=0)
     out: list[int] = []
     for _ in range(min(n_steps, len(y) - 2)):
@@ -200,6 +202,19 @@ def forward_selection(y: np.ndarray, x: np.ndarray, n_steps: int, allowed: np.nd
     return out
 
 
+def unrank_sets(p: int, size: int, ranks: np.ndarray) -> np.ndarray:
+    """The sets of ``size`` of ``p`` columns at the given places of their lexicographic order, one row each."""
+    left, out, least = np.asarray(ranks, np.int64).copy(), np.empty((len(ranks), size), np.int64), np.zeros(len(ranks), np.int64)
+    for at in range(size):
+        # Sets with this column here are as many as ways to choose the rest from the columns after it.
+        ways = np.array([comb(p - 1 - c, size - 1 - at) for c in range(p)], np.int64)
+        upto = np.concatenate(([0], np.cumsum(ways)))
+        column = np.searchsorted(upto, left + upto[least], side="right") - 1
+        left -= upto[column] - upto[least]
+        out[:, at], least = column, column + 1
+    return out
+
+
 def best_denominator(reads: np.ndarray, focus: np.ndarray, min_size: int, max_size: int, block: int | None = None, numbers: int = 4_000_000) -> tuple[tuple[int, ...], float]:
     """Set of columns whose sum makes the ratio focus / sum vary least (sample SD over mean) across rows.
 
@@ -363,3 +378,25 @@ def cbs(x: np.ndarray, w: np.ndarray | None = None, alpha: float = 1e-4, seed: i
         todo += list(zip(ends, ends[1:]))
     ends = sorted(cuts)
     return [(s, e) for s, e in zip(ends, ends[1:]) if e > s]
+
+
+def forward_from_gram(gram: np.ndarray, y: int, n_steps: int, n: int, allowed: np.ndarray) -> list[int]:
+    """``forward_selection`` from sums alone: ``gram`` holds the centred products of all columns over ``n`` rows.
+
+    A chosen column is swept out of the matrix, which leaves the products of residuals, so a step takes no row.
+    """
+    g, open_, scale = gram.astype(float).copy(), allowed.copy(), np.diag(gram).astype(float).copy()
+    out: list[int] = []
+    if scale[y] < 1e-15:
+        return out
+    for _ in range(min(n_steps, n - 2)):
+        norm = np.diag(g)
+        usable = open_ & (norm > 1e-12 * np.maximum(scale, 1e-300))
+        if not usable.any():
+            break
+        gain = np.where(usable, g[:, y] ** 2 / np.where(usable, norm, 1), -np.inf)
+        best = int(np.argmax(gain))
+        out.append(best)
+        open_[best] = False
+        g = g - np.outer(g[:, best], g[best]) / g[best, best]
+    return out

@@ -5,9 +5,16 @@ Bins: ``sample_id, chrom, bin`` and counts. Chromosomes are whole numbers, 23 an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import comb
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from binfold.functions.kernels import unrank_sets
 from binfold.functions.safe import is_finite, safe_div
 
 KEYS = ["sample_id", "chrom", "bin"]
@@ -110,3 +117,25 @@ def masked_rank(mask: DataFrame) -> DataFrame:
 def masked_cumulative(mask: DataFrame) -> DataFrame:
     per = mask.groupBy("chrom").agg(F.count_if("keep").alias("kept"))
     return per.withColumn("kept_cum", F.sum("kept").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def combinations_of(rows: DataFrame, column: str, size: int, at_once: int = 4096) -> DataFrame:
+    """``rank, items``: all sets of ``size`` distinct values of a column, in lexicographic order.
+
+    The values (a chromosome's or a sex's kind of column: at most 64, else it is an error) are numbered; each task makes
+    the sets of a range of ranks from the ranks alone, so nothing is joined and nothing but the values reaches the driver.
+    """
+    spark = rows.sparkSession
+    values = sorted(r[0] for r in rows.select(column).where(F.col(column).isNotNull()).distinct().limit(65).collect())
+    if len(values) > 64:
+        raise ValueError(f"{column} has more than 64 values")
+    total, kind, typed = comb(len(values), size), rows.select(column).dtypes[0][1], pa.list_(to_arrow_type(rows.schema[column].dataType))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in b.column(0).to_pylist():
+                ranks = np.arange(lo, min(total, lo + at_once))
+                items = [[values[i] for i in s] for s in unrank_sets(len(values), size, ranks).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(ranks), pa.array(items, typed)], ["rank", "items"])
+
+    return spark.range(0, total, at_once).mapInArrow(run, f"rank long, items array<{kind}>")

@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binfold.functions.safe import is_finite, safe_div
-from binfold.operators.bins import chromosome_totals, fractions
-from binfold.operators.chi import chi_correct, chi_profile
+from binfold.operators.bins import fractions
 
 
 def first_by_name(samples: DataFrame, order: str = "input_order") -> DataFrame:
@@ -74,29 +73,55 @@ def outlier_samples(diagnosed: DataFrame, rule: str = "any_aberrant_score", max_
     raise ValueError("unknown outlier rule")
 
 
-def prune(bins: DataFrame, chi_cutoff: float = 3.5, z_cutoff: float = 3.0, rule: str = "any_aberrant_score", max_aberrant_chromosomes: int = 2, min_controls: int = 10, max_iterations: int = 100) -> tuple[DataFrame, list[dict]]:
+def prune(bins: DataFrame, chi_cutoff: float = 3.5, z_cutoff: float = 3.0, rule: str = "any_aberrant_score", max_aberrant_chromosomes: int = 2, min_controls: int = 10, max_iterations: int = 100, save=None) -> tuple[DataFrame, list[dict]]:
     """Correct, diagnose, drop flagged controls, repeat. Returns the kept bins and a log of rounds.
 
-    Only flagged names and a count come to the driver; the input is read again each round under a growing list
-    of names, so the plan does not grow.
+    The bins are read once. What chi correction needs of a bin are sums over the controls: how many there are, and the
+    sums of their shares (counts over the sample's total) and of the squares, taken about the bin's first mean so that
+    no digits are lost. A dropped sample's shares are subtracted from these. A round then reads the sums, the rows of the
+    samples it dropped, and the counts of overdispersed bins, by which the chromosome totals change. Only names and
+    counts come to the driver. ``save`` (table, name) cuts lineage; by default it is a reliable checkpoint.
     """
+    save = save or (lambda df, name: df.checkpoint())
+    auto = bins.where("chrom <= 22").select("sample_id", "chrom", "bin", F.col("n").cast("double").alias("v"))
+    total = auto.groupBy("sample_id").agg(F.sum("v").alias("total"))
+    rows = save(auto.join(total, "sample_id").select("sample_id", "chrom", "bin", "v", safe_div("v", F.nullif(F.col("total"), F.lit(0.0))).alias("x")), "shares")
+    totals = save(total, "totals")
+    raw = save(rows.groupBy("sample_id", "chrom").agg(F.sum("v").alias("reads")), "raw")
+    first = rows.groupBy("chrom", "bin").agg(F.avg("x").alias("x0"))
+    squares = rows.join(first, ["chrom", "bin"]).withColumn("d", F.col("x") - F.col("x0"))
+    sums = save(squares.groupBy("chrom", "bin").agg(F.first("x0").alias("x0"), F.count("*").alias("c"), F.sum("d").alias("d1"), F.sum(F.col("d") ** 2).alias("d2")), "sums")
+    # Samples without any autosomal bin are in no sum, but they are members.
+    names = save(bins.select("sample_id").distinct(), "names")
+    n = names.count()
     dropped: list = []
     log: list[dict] = []
-    n = bins.select("sample_id").distinct().count()
+    left = lambda df: df.where(~F.col("sample_id").isin(dropped)) if dropped else df
+    kept = lambda: left(bins)
     for i in range(1, max_iterations + 1):
-        now = bins.where(~F.col("sample_id").isin(dropped)) if dropped else bins
-        frac = fractions(chromosome_totals(chi_correct(now, chi_profile(now, chi_cutoff)))).where("chrom <= 22")
+        mean_total, members, empty = left(totals).agg(F.avg("total"), F.count("*"), F.count_if(F.coalesce("total", F.lit(0.0)) == 0)).first()
+        fixed = left(raw)
+        if members > 1 and not empty:
+            mean, spread = F.col("x0") + F.col("d1") / F.col("c"), F.greatest(F.col("d2") - F.col("d1") ** 2 / F.col("c"), F.lit(0.0))
+            chi2, df = F.lit(mean_total) * spread / mean, float(members - 1)
+            wide = sums.where("c > 0").where(mean > 0).select("chrom", "bin", chi2.alias("chi2")).where((F.col("chi2") - df) / (2 * df) ** 0.5 > chi_cutoff)
+            change = left(rows).join(wide.select("chrom", "bin", (df / F.col("chi2") - 1).alias("less")), ["chrom", "bin"]).groupBy("sample_id", "chrom").agg(F.sum(F.col("v") * F.col("less")).alias("change"))
+            fixed = fixed.join(change, ["sample_id", "chrom"], "left").select("sample_id", "chrom", (F.col("reads") + F.coalesce("change", F.lit(0.0))).alias("reads"))
+        frac = fractions(fixed)
         flagged = sorted(r[0] for r in outlier_samples(diagnose(frac, z_cutoff), rule, max_aberrant_chromosomes).select("sample_id").collect())
         if not flagged:
             log.append({"iteration": i, "dropped": [], "stop": "no_flagged_samples"})
-            return now, log
+            return kept(), log
         if n - len(dropped) - len(flagged) < min_controls:
             log.append({"iteration": i, "dropped": [], "stop": "min_controls"})
-            return now, log
+            return kept(), log
         dropped += flagged
         log.append({"iteration": i, "dropped": flagged, "stop": None})
+        gone = rows.where(F.col("sample_id").isin(flagged)).join(sums.select("chrom", "bin", "x0"), ["chrom", "bin"]).withColumn("d", F.col("x") - F.col("x0"))
+        gone = gone.groupBy("chrom", "bin").agg(F.count("*").alias("gc"), F.sum("d").alias("g1"), F.sum(F.col("d") ** 2).alias("g2"))
+        sums = save(sums.join(gone, ["chrom", "bin"], "left").na.fill(0).select("chrom", "bin", "x0", (F.col("c") - F.col("gc")).alias("c"), (F.col("d1") - F.col("g1")).alias("d1"), (F.col("d2") - F.col("g2")).alias("d2")), f"sums-{i}")
     log[-1]["stop"] = "max_iterations"
-    return bins.where(~F.col("sample_id").isin(dropped)), log
+    return kept(), log
 
 
 EXCLUDED = (13, 18, 21)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from binfold.functions.kernels import forward_from_gram
 from binfold.functions.safe import is_finite, safe_div
 from binfold.operators.bins import chromosome_totals, fractions, genome_offsets
 from binfold.operators.chi import chi_correct, chi_profile
-from binfold.operators.cohort import chromosome_statistics, diagnose, match_outliers, outlier_samples, pairwise_distances
+from binfold.operators.cohort import EXCLUDED, chromosome_statistics, diagnose, leave_one_out, match_outliers, outlier_samples, pairwise_distances
 
 
 def control_group_qc(bins: DataFrame, chi_cutoff: float = 3.5, z_cutoff: float = 3.0, rule: str = "any_aberrant_score", labels: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -22,7 +26,8 @@ def control_group_qc(bins: DataFrame, chi_cutoff: float = 3.5, z_cutoff: float =
     flagged = outlier_samples(diagnose(after, z_cutoff), rule)
     names = bins.select("sample_id").distinct()
     sample = names.join(match_outliers(pairwise_distances(after)).drop("cutoff"), "sample_id", "left").join(flagged, "sample_id", "left").withColumn("aberrant", F.col("chromosomes").isNotNull())
-    out = {"chromosomes": chrom, "samples": sample, "bins": profile}
+    regression, ratio = regression_controls(after, [13, 18, 21]), ratio_controls(after)
+    out = {"chromosomes": chrom, "samples": sample, "bins": profile, "regression": family_summary(regression, ["focus", "model"], z_cutoff), "ratio": family_summary(ratio, ["chrom"], z_cutoff)}
     if labels is not None:
         from binfold.operators.sex import sex_fractions
 
@@ -31,6 +36,72 @@ def control_group_qc(bins: DataFrame, chi_cutoff: float = 3.5, z_cutoff: float =
     return out
 
 
+def regression_controls(frac: DataFrame, foci: list[int], n_models: int = 4, n_predictors: int = 4, exclude: tuple[int, ...] = EXCLUDED) -> DataFrame:
+    """Every control judged by models of all others: ``sample_id, focus, model, predictors, ratio, ratio_out, z_out``.
+
+    ``frac``: autosomal fractions. Models are stepwise as in the regression scores. ``ratio`` is observed over fitted;
+    ``ratio_out`` is what the model fitted without the sample gives for it, by the leverage h of the sample: the residual
+    of a left-out fit is the residual over 1 - h. ``z_out`` is ``ratio_out - 1`` over the SD of all ``ratio_out``.
+
+    Models follow from the means and the products of 22 columns, summed over samples in the cluster, so cohorts may be
+    large: 506 numbers come to the driver and some 20 models go out; samples are then judged where they are.
+    """
+    p = 22
+    value = lambda c: F.coalesce(F.sum(F.when(F.col("chrom") == c, F.col("frac"))), F.lit(0.0))
+    wide = frac.where("chrom <= 22").groupBy("sample_id").agg(F.array(*[value(c) for c in range(1, p + 1)]).alias("f"))
+    first = wide.agg(F.count("*"), *[F.avg(F.get("f", F.lit(i))) for i in range(p)]).first()
+    n, mean = first[0], np.array([v or 0.0 for v in first[1:]])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram = np.zeros((p, p))
+        for b in batches:
+            x = np.array(b.column(0).to_pylist(), float).reshape(-1, p) - mean
+            gram += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(p * p)), pa.array(gram.reshape(-1))], ["i", "g"])
+
+    gram = np.zeros(p * p)
+    for i, g in wide.select("f").mapInArrow(products, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect():
+        gram[i] = g
+    gram = gram.reshape(p, p)
+    models = []
+    for focus in foci:
+        open_ = ~np.isin(np.arange(1, p + 1), [focus, *exclude])
+        for m in range(1, n_models + 1):
+            cols = forward_from_gram(gram, focus - 1, n_predictors, n, open_)
+            if not cols:
+                break
+            open_[cols] = False
+            inverse = np.linalg.inv(gram[np.ix_(cols, cols)])
+            models.append((focus, m, cols, inverse, inverse @ gram[cols, focus - 1]))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.array(pdf["f"].tolist(), float).reshape(-1, p)
+            for focus, m, cols, inverse, coef in models:
+                d, y = x[:, cols] - mean[cols], x[:, focus - 1]
+                fitted = mean[focus - 1] + d @ coef
+                h = 1 / n + np.einsum("ij,jk,ik->i", d, inverse, d)
+                with np.errstate(all="ignore"):
+                    out = y - (y - fitted) / (1 - h)
+                    yield pd.DataFrame({"sample_id": pdf["sample_id"], "focus": focus, "model": m, "predictors": [[c + 1 for c in cols]] * len(y), "ratio": y / fitted, "ratio_out": y / out})
+
+    kind = dict(wide.dtypes)["sample_id"]
+    rows = wide.mapInPandas(judge, f"sample_id {kind}, focus int, model int, predictors array<int>, ratio double, ratio_out double")
+    spread = rows.where(is_finite("ratio_out")).groupBy("focus", "model").agg(F.stddev_samp("ratio_out").alias("_sd"))
+    return rows.join(F.broadcast(spread), ["focus", "model"], "left").withColumn("z_out", safe_div(F.col("ratio_out") - 1, F.nullif(F.col("_sd"), F.lit(0.0)))).select("sample_id", "focus", "model", "predictors", "ratio", "ratio_out", "z_out")
+
+
+def ratio_controls(frac: DataFrame) -> DataFrame:
+    """Every control's ratio of a chromosome to the mean of all others: ``sample_id, chrom, ratio_out, z_out``, each left out of its mean and SD."""
+    out = leave_one_out(frac.where("chrom <= 22").select("sample_id", "chrom", "frac"), "frac", ["chrom"])
+    return out.select("sample_id", "chrom", safe_div("frac", F.nullif(F.col("loo_mean"), F.lit(0.0))).alias("ratio_out"), F.col("loo_z").alias("z_out"))
+
+
+def family_summary(rows: DataFrame, keys: list[str], z_cutoff: float = 3.0) -> DataFrame:
+    """Per key: controls, CV of ``ratio_out``, largest ``|z_out|``, and how many controls pass the cutoff."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), safe_div(F.stddev_samp("ratio_out"), F.avg("ratio_out")).alias("cv_out"), F.max(F.abs("z_out")).alias("max_abs_z"), F.count_if(F.abs("z_out") > z_cutoff).alias("n_far"))
+
+
 def sample_status(samples: DataFrame) -> DataFrame:
     """Status ladder of control samples: aberrant before far before ok."""
     return samples.withColumn("status", F.when(F.col("aberrant"), "aberrant").when(F.coalesce(F.col("outlier"), F.lit(False)), "distant").otherwise("ok"))

@@ -47,19 +47,29 @@ def not_mitochondrial(reads: DataFrame, col: str = "chrom") -> DataFrame:
     return reads.where(~F.col(col).isin("*", "chrM", "chrMT", "M", "MT"))
 
 
-def streaming_dedup(reads: DataFrame, order: list[str]) -> DataFrame:
+def streaming_dedup(reads: DataFrame, order: list[str], cell: int = 1 << 16) -> DataFrame:
     """Consecutive-position duplicates over coordinate-sorted reads.
 
-    A paired read repeats the one before it if position and mate position are equal, a single read if the position
-    is; reads that are paired but not proper are out of both count and state. Our reading of a contract whose
-    kernel is not public; in libraries that mix paired and single reads, both kinds share one state. Only
-    reads at one position are compared, so the window is per sample, chromosome and position, however long a
-    chromosome's list of reads; its order must be total for the result to be determined.
+    Two things are kept from read to read: the position of the last read, and the mate position of the last paired
+    one. A paired read is a duplicate if both are its own, a single read if the position is. Reads that are paired but
+    not proper are out of both count and state. So a single read between two pairs leaves the mate that is kept.
+
+    The mate may come from an earlier position, so it is carried in two levels: inside cells of the genome by a window,
+    and from cell to cell by a window with one row a cell; a chromosome's reads never meet in one task. ``order`` makes
+    the order of reads at one position total.
     """
-    w = Window.partitionBy("sample_id", "chrom", "pos").orderBy(*order)
-    kept = proper_or_single(reads).withColumn("_before", F.lag(F.lit(True)).over(w)).withColumn("_mate", F.lag("mate_pos").over(w))
-    same = F.col("_before").isNotNull() & (lacks_bits("flag", PAIRED) | F.col("mate_pos").eqNullSafe(F.col("_mate")))
-    return kept.where(~same).drop("_before", "_mate")
+    used, place = proper_or_single(reads), ["pos", *order]
+    rows = used.withColumn("_cell", F.floor(F.col("pos") / cell))
+    mate = F.when(has_bits("flag", PAIRED), F.struct(F.col("mate_pos").alias("m")))
+    cells = rows.groupBy("sample_id", "chrom", "_cell").agg(F.max_by(mate, F.when(has_bits("flag", PAIRED), F.struct(*place))).alias("_left"))
+    line = Window.partitionBy("sample_id", "chrom").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("sample_id", "chrom", "_cell", F.last("_left", ignorenulls=True).over(line).alias("_carried"))
+    inside = Window.partitionBy("sample_id", "chrom", "_cell").orderBy(*place)
+    rows = rows.withColumn("_before", F.lag("pos").over(inside)).withColumn("_mate", F.last(mate, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.join(cells, ["sample_id", "chrom", "_cell"])
+    known = F.coalesce("_mate", "_carried")
+    same = F.col("pos").eqNullSafe(F.col("_before")) & (lacks_bits("flag", PAIRED) | (known.isNotNull() & F.col("mate_pos").eqNullSafe(known["m"])))
+    return rows.where(~same).select(*[F.col(f"`{c}`") for c in reads.columns])
 
 
 def remove_duplicates(reads: DataFrame, rmdup: str = "streaming", order: list[str] | None = None) -> DataFrame:

@@ -1,17 +1,21 @@
 """Chromosome scores of samples against a control group: z, normalised chromosome value, stepwise regression.
 
-A cohort is a few hundred samples by 24 chromosomes; searches run as one group per focus chromosome, so foci spread
-over tasks.
+A cohort is a few hundred samples by 24 chromosomes. Denominators are searched by ranges of numbered sets, so one search
+spreads over tasks; predictors are searched as one group per focus chromosome.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import comb
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from binfold.functions.kernels import best_denominator, forward_selection, shapiro
+from binfold.functions.kernels import forward_selection, shapiro, unrank_sets
 from binfold.functions.safe import safe_div
 from binfold.operators.cohort import EXCLUDED
 
@@ -50,23 +54,86 @@ def ncv_pairs(control_reads: DataFrame, focus: int, exclude: tuple[int, ...] = E
     return pairs.groupBy("a", "b").agg(F.avg("ratio").alias("mean"), F.stddev_samp("ratio").alias("sd")).withColumn("cv", safe_div("sd", "mean"))
 
 
-def ncv_templates(control_reads: DataFrame, foci: list[int], min_elements: int = 1, max_elements: int = 5, exclude: tuple[int, ...] = EXCLUDED, candidates: tuple[int, ...] | None = None) -> DataFrame:
-    """Best denominators per focus: ``focus, denominators, mean, sd, cv, shapiro_p, n_controls``."""
-    spark = control_reads.sparkSession
-    pools = {f: denominator_pool(f, exclude, candidates) for f in foci}
+#: Sets per task row and samples per block of the denominator search; they cut the work, not the answer.
+SETS, SAMPLES = 4096, 4096
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        focus = int(key[0])
-        wide = pdf.pivot_table(index="sample_id", columns="chrom", values="reads", aggfunc="sum", fill_value=0).sort_index()
-        pool = [c for c in pools[focus] if c in wide.columns]
-        reads, y = wide[pool].to_numpy(float), wide[focus].to_numpy(float) if focus in wide.columns else np.zeros(len(wide))
-        chosen, cv = best_denominator(reads, y, min_elements, max_elements)
-        ratio = y / reads[:, list(chosen)].sum(axis=1) if chosen else np.full(len(y), np.nan)
-        return pd.DataFrame({"focus": [focus], "denominators": [[int(pool[i]) for i in chosen]], "mean": [ratio.mean()], "sd": [ratio.std(ddof=1)], "cv": [cv], "shapiro_p": [shapiro(ratio)[1]], "n_controls": [len(y)]})
 
+def denominator_search(rows: DataFrame, keys: dict[str, str], p: int, min_size: int, max_size: int) -> DataFrame:
+    """The set of denominators whose ratio varies least, per key: ``<keys>, chosen, mean, sd, cv, n``.
+
+    ``rows``: ``<keys>`` (names with types), ``focus`` and ``reads``, an array of ``p`` numbers, a row per sample.
+    Sets are numbered in lexicographic order by size. A task takes a range of numbers and a block of samples, makes its
+    sets from their numbers, and returns sums over its samples, taken about a centre that all blocks of a set share, so
+    sums add up to the variance without losing digits. Sets and samples may both be many. Sets with a ratio that is
+    not finite take no part; ties go to the smaller, then to the earlier set. ``chosen`` are places in ``reads``.
+    """
+    spark, names = rows.sparkSession, list(keys)
+    schema = ", ".join(f"{k} {v}" for k, v in keys.items())
+    ranges = [(k, lo, min(comb(p, k), lo + SETS)) for k in range(min_size, min(max_size, p) + 1) for lo in range(0, comb(p, k), SETS)]
+    empty = f"{schema}, chosen array<int>, mean double, sd double, cv double, n long"
+    if not ranges:
+        return spark.createDataFrame([], empty)
+    blocks = max(1, -(-rows.count() // SAMPLES))
+    part = rows.withColumn("_block", F.pmod(F.xxhash64("focus", "reads"), F.lit(blocks))).groupBy(*names, "_block").agg(F.collect_list("focus").alias("focus"), F.flatten(F.collect_list("reads")).alias("reads"))
+    centre = rows.groupBy(*names).agg(F.sum("focus").alias("all_focus"), F.array(*[F.sum(F.get("reads", F.lit(i))) for i in range(p)]).alias("all_reads"))
+    work = part.join(centre, names).join(F.broadcast(spark.createDataFrame(ranges, "size int, lo long, hi long")))  # one row per range of numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                sets = unrank_sets(p, row["size"], np.arange(row["lo"], row["hi"]))
+                focus, reads = np.array(row["focus"], float), np.array(row["reads"], float).reshape(-1, p)
+                with np.errstate(all="ignore"):
+                    middle = row["all_focus"] / np.array(row["all_reads"], float)[sets].sum(axis=1)
+                    s1, s2 = np.zeros(len(sets)), np.zeros(len(sets))
+                    step = max(1, 2_000_000 // max(1, len(sets)))
+                    for at in range(0, len(focus), step):
+                        below = np.zeros((len(focus[at : at + step]), len(sets)))
+                        for j in range(row["size"]):
+                            below += reads[at : at + step][:, sets[:, j]]
+                        off = focus[at : at + step, None] / below - middle
+                        s1, s2 = s1 + off.sum(axis=0), s2 + (off**2).sum(axis=0)
+                ok = np.isfinite(s2) & np.isfinite(middle)
+                n = len(sets)
+                own = [pa.array([row[k]] * n, b.schema.field(k).type) for k in names]
+                own += [pa.array([row["size"]] * n, pa.int32()), pa.array(np.arange(row["lo"], row["hi"])), pa.array(np.where(ok, len(focus), 0)), pa.array(np.where(ok, s1, 0.0)), pa.array(np.where(ok, s2, 0.0)), pa.array(np.where(ok, middle, 0.0)), pa.array(ok)]
+                yield pa.RecordBatch.from_arrays(own, [*names, "size", "rank", "n", "s1", "s2", "middle", "ok"])
+
+    sums = work.repartition(max(1, min(len(ranges), 200)), "lo", "size").mapInArrow(run, f"{schema}, size int, rank long, n long, s1 double, s2 double, middle double, ok boolean")
+    sums = sums.groupBy(*names, "size", "rank").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.first("middle").alias("middle"), F.min("ok").alias("ok")).where("ok and n > 1")
+    mean = F.col("middle") + F.col("s1") / F.col("n")
+    sd = F.sqrt(F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.lit(0.0)) / (F.col("n") - 1))
+    rated = sums.select(*names, "size", "rank", "n", mean.alias("mean"), sd.alias("sd")).withColumn("cv", safe_div("sd", F.nullif(F.col("mean"), F.lit(0.0)))).where("cv is not null and not isnan(cv)")
+    best = rated.groupBy(*names).agg(F.min(F.struct("cv", "size", "rank", "mean", "sd", "n")).alias("b")).select(*names, "b.*")
+
+    def name_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["chosen"] = [unrank_sets(p, int(k), np.array([r]))[0].tolist() for k, r in zip(pdf["size"], pdf["rank"])]
+            yield pdf[[*names, "chosen", "mean", "sd", "cv", "n"]]
+
+    return best.mapInPandas(name_sets, empty)
+
+
+def ncv_templates(control_reads: DataFrame, foci: list[int], min_elements: int = 1, max_elements: int = 5, exclude: tuple[int, ...] = EXCLUDED, candidates: tuple[int, ...] | None = None) -> DataFrame:
+    """Best denominators per focus: ``focus, denominators, mean, sd, cv, shapiro_p, n_controls``."""
     rows = control_reads.select("sample_id", F.col("chrom").cast("int").alias("chrom"), F.col("reads").cast("double").alias("reads"))
-    foci_df = spark.createDataFrame([(f,) for f in foci], "focus int")
-    return rows.join(F.broadcast(foci_df)).groupBy("focus").applyInPandas(run, "focus int, denominators array<int>, mean double, sd double, cv double, shapiro_p double, n_controls long")
+    present = {r["chrom"] for r in rows.select("chrom").distinct().collect()}
+    of = rows.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("chrom", "reads"))).alias("m"))
+    count = lambda c: F.coalesce(F.try_element_at("m", F.lit(c)), F.lit(0.0))
+    out = None
+    for focus in foci:
+        pool = [c for c in denominator_pool(focus, exclude, candidates) if c in present]
+        asked = of.select(F.lit(focus).alias("focus_chrom"), count(focus).alias("focus"), F.array(*[count(c) for c in pool]).cast("array<double>").alias("reads"))
+        found = denominator_search(asked, {"focus_chrom": "int"}, len(pool), min_elements, max_elements)
+        found = found.select(F.col("focus_chrom").alias("focus"), F.transform("chosen", lambda i: F.get(F.array(*[F.lit(c) for c in pool]), i)).alias("denominators"), "mean", "sd", "cv", F.col("n").alias("n_controls"))
+        out = found if out is None else out.unionByName(found)
+
+    @F.pandas_udf("double")
+    def p_value(v: pd.Series) -> float:
+        return shapiro(v.to_numpy(float))[1]
+
+    ratios = ncv_score(rows, out).groupBy("focus").agg(p_value("ratio").alias("shapiro_p"))
+    return out.join(ratios, "focus", "left").select("focus", "denominators", "mean", "sd", "cv", "shapiro_p", "n_controls")
 
 
 def ncv_score(sample_reads: DataFrame, templates: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from binfold.functions.kernels import best_denominator, forward_selection, gmm, gmm_classify
+from binfold.functions.kernels import forward_selection, gmm, gmm_classify
 from binfold.functions.safe import safe_div
 from binfold.operators.cohort import leave_one_out
+from binfold.operators.scores import denominator_search
 
-CANDIDATES = (*range(1, 13), *range(14, 17), 19, 20, 22)
+CANDIDATES = (*range(1, 13), *range(14, 17), 20, 22)
 SEX_CHROMS = {"X": 23, "Y": 24}
 
 
@@ -83,21 +84,16 @@ def sex_score(samples: DataFrame, reference: DataFrame, min_controls: int = 2) -
 
 
 def sex_ncv_models(totals: DataFrame, reference: DataFrame, min_elements: int = 6, max_elements: int = 9, candidates: tuple[int, ...] = CANDIDATES) -> DataFrame:
-    """Denominators of X and Y per sex: one group per (sex, focus), each a search over the candidate sets."""
+    """Denominators of X and Y per sex, all sets of the candidates searched: ``sex, focus, denominators, mean, sd, cv, n``."""
     use = reference.where(~F.col("outlier") & F.col("sex").isin("female", "male")).select("sample_id", "sex")
     rows = totals.join(use, "sample_id").select("sample_id", "sex", F.col("chrom").cast("int").alias("chrom"), F.col("reads").cast("double").alias("reads"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sex, focus = key[0], int(key[1])
-        wide = pdf.pivot_table(index="sample_id", columns="chrom", values="reads", aggfunc="sum", fill_value=0.0).sort_index()
-        pool = [c for c in candidates if c in wide.columns]
-        y = wide[focus].to_numpy(float) if focus in wide.columns else np.zeros(len(wide))
-        chosen, cv = best_denominator(wide[pool].to_numpy(float), y, min_elements, max_elements)
-        ratio = y / wide[pool].to_numpy(float)[:, list(chosen)].sum(axis=1) if chosen else np.full(len(y), np.nan)
-        return pd.DataFrame({"sex": [sex], "focus": [focus], "denominators": [[int(pool[i]) for i in chosen]], "mean": [ratio.mean()], "sd": [ratio.std(ddof=1) if len(ratio) > 1 else np.nan], "cv": [100 * cv], "n": [len(y)]})
-
-    both = rows.withColumn("focus", F.explode(F.array(F.lit(23), F.lit(24))))
-    return both.groupBy("sex", "focus").applyInPandas(run, "sex string, focus int, denominators array<int>, mean double, sd double, cv double, n long")
+    present = {r["chrom"] for r in rows.select("chrom").distinct().collect()}
+    pool = [c for c in candidates if c in present]
+    of = rows.groupBy("sample_id", "sex").agg(F.map_from_entries(F.collect_list(F.struct("chrom", "reads"))).alias("m"))
+    count = lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0.0))
+    asked = of.withColumn("gonosome", F.explode(F.array(F.lit(23), F.lit(24)))).select("sex", "gonosome", count(F.col("gonosome")).alias("focus"), F.array(*[count(F.lit(c)) for c in pool]).cast("array<double>").alias("reads"))
+    found = denominator_search(asked, {"sex": "string", "gonosome": "int"}, len(pool), min_elements, max_elements)
+    return found.select("sex", F.col("gonosome").alias("focus"), F.transform("chosen", lambda i: F.get(F.array(*[F.lit(c) for c in pool]), i)).alias("denominators"), "mean", "sd", (F.col("cv") * 100).alias("cv"), "n")
 
 
 def sex_ncv_score(totals: DataFrame, models: DataFrame) -> DataFrame:

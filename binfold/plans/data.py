@@ -33,7 +33,7 @@ COLUMNS = {
 READS = "reads AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in COLUMNS.items()).replace("AS STRING", "AS VARCHAR") + ", " + ", ".join(ORDER) + " FROM lineitem)"
 #: Reads left by consecutive-position duplicate removal without a quality filter.
 KEPT = (
-    "ordered AS (SELECT *, lag(pos) OVER w AS p0, lag(mate_pos) OVER w AS m0 FROM reads WHERE NOT (flag & 1 = 1 AND flag & 2 = 0) WINDOW w AS (PARTITION BY sample_id, chrom ORDER BY pos, " + ", ".join(ORDER) + ")), "
+    "ordered AS (SELECT *, lag(pos) OVER w AS p0, last_value(CASE WHEN flag & 1 = 1 THEN mate_pos END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m0 FROM reads WHERE NOT (flag & 1 = 1 AND flag & 2 = 0) WINDOW w AS (PARTITION BY sample_id, chrom ORDER BY pos, " + ", ".join(ORDER) + ")), "
     "kept AS (SELECT * FROM ordered WHERE NOT (pos IS NOT DISTINCT FROM p0 AND (flag & 1 = 0 OR mate_pos IS NOT DISTINCT FROM m0)))"
 )
 GC = "0.35 + ((chrom * 7 + bin * 13) % 30) / 100.0"

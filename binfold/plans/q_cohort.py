@@ -11,11 +11,12 @@ from binfold.plans import data
 from binfold.plans.data import BASE, COUNTS, DENSE, FRACS, GC_CTE, GRID, ORDER, READS, TOTALS
 from binfold.plans.q_relational import _STATS
 from binfold.plans.registry import query
+from binfold.plans.workflows import ensure_checkpoint_dir
 
 W = f"WITH {READS}"
 
 _DEDUP = (
-    "ordered AS (SELECT *, lag(pos) OVER w AS p0, lag(mate_pos) OVER w AS m0 FROM reads WHERE mapq >= 1 AND NOT (flag & 1 = 1 AND flag & 2 = 0) WINDOW w AS (PARTITION BY sample_id, chrom ORDER BY pos, " + ", ".join(ORDER) + ")), "
+    "ordered AS (SELECT *, lag(pos) OVER w AS p0, last_value(CASE WHEN flag & 1 = 1 THEN mate_pos END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m0 FROM reads WHERE mapq >= 1 AND NOT (flag & 1 = 1 AND flag & 2 = 0) WINDOW w AS (PARTITION BY sample_id, chrom ORDER BY pos, " + ", ".join(ORDER) + ")), "
     "kept AS (SELECT * FROM ordered WHERE NOT (pos IS NOT DISTINCT FROM p0 AND (flag & 1 = 0 OR mate_pos IS NOT DISTINCT FROM m0)))"
 )
 
@@ -118,8 +119,21 @@ def k32(spark, d):
     return cohort.outlier_samples(cohort.diagnose(_auto(spark, d), 1.5), "bidirectional_or_multichromosome")
 
 
-@query("k33_prune")
+def _prune_sql(rounds: int = 8, cutoff: float = 2.5, least: int = 5) -> str:
+    """Rounds of correction and diagnosis written out; once no sample is flagged a round changes nothing."""
+    out = [f"{BASE}, k0 AS MATERIALIZED (SELECT DISTINCT sample_id FROM dense)"]
+    for i in range(rounds):
+        out.append(f"""a{i} AS MATERIALIZED (SELECT sample_id, chrom, bin, CAST(n AS DOUBLE) AS v FROM dense JOIN k{i} USING (sample_id) WHERE chrom <= 22), t{i} AS (SELECT sample_id, sum(v) AS total FROM a{i} GROUP BY 1), m{i} AS (SELECT avg(total) AS mean_total, count(*) AS n FROM t{i}),
+s{i} AS MATERIALIZED (SELECT a.*, v * mean_total / total AS s, n - 1 AS df FROM a{i} AS a JOIN t{i} USING (sample_id) CROSS JOIN m{i}), e{i} AS (SELECT chrom, bin, avg(s) AS e FROM s{i} GROUP BY 1, 2), c{i} AS MATERIALIZED (SELECT chrom, bin, sum((e - s) * (e - s) / nullif(e, 0)) AS chi2, any_value(df) AS df, any_value(e) AS e FROM s{i} JOIN e{i} USING (chrom, bin) GROUP BY 1, 2),
+r{i} AS MATERIALIZED (SELECT sample_id, chrom, sum(CASE WHEN e > 0 AND (chi2 - df) / sqrt(2 * df) > 3.5 THEN v * df / chi2 ELSE v END) AS reads FROM a{i} JOIN c{i} USING (chrom, bin) GROUP BY 1, 2), f{i} AS MATERIALIZED (SELECT sample_id, chrom, reads / sum(reads) OVER (PARTITION BY sample_id) AS frac FROM r{i}),
+x{i} AS MATERIALIZED (SELECT DISTINCT sample_id FROM (SELECT sample_id, abs((frac - avg(frac) OVER w) / nullif(stddev_samp(frac) OVER w, 0)) > {cutoff} AS bad FROM f{i} WINDOW w AS (PARTITION BY chrom)) WHERE bad),
+k{i + 1} AS MATERIALIZED (SELECT sample_id FROM k{i} WHERE sample_id NOT IN (SELECT sample_id FROM x{i}) OR (SELECT count(*) FROM k{i}) - (SELECT count(*) FROM x{i}) < {least})""")
+    return ", ".join(out) + f" SELECT sample_id, CAST(sum(n) AS BIGINT) AS n, CASE WHEN (SELECT count(*) FROM x{rounds - 1}) = 0 THEN 'no_flagged_samples' ELSE 'min_controls' END AS stop FROM dense JOIN k{rounds} USING (sample_id) GROUP BY 1"
+
+
+@query("k33_prune", _prune_sql())
 def k33(spark, d):
+    ensure_checkpoint_dir(spark)
     kept, log = cohort.prune(data.dense(spark, d), z_cutoff=2.5, min_controls=5)
     return kept.groupBy("sample_id").agg(F.sum("n").alias("n")).withColumn("stop", F.lit(log[-1]["stop"]))
 
@@ -216,6 +230,25 @@ def k51(spark, d):
     return qc.sample_status(out["samples"]).select("sample_id", F.round("mean_ssd", 12).alias("mean_ssd"), "outlier", "aberrant", "status")
 
 
+_AUTO_FR = f"{BASE}, u AS (SELECT sample_id, chrom, frac FROM fracs WHERE chrom <= 22)"
+
+
+@query("k51b_regression_controls", f"""{_AUTO_FR}, xy AS (SELECT y.sample_id, y.chrom AS focus, x.chrom AS c, x.frac AS x, y.frac AS y FROM u AS y JOIN u AS x ON x.sample_id = y.sample_id AND x.chrom <> y.chrom AND x.chrom NOT IN (13, 18, 21) WHERE y.chrom IN (13, 18, 21)),
+st AS (SELECT focus, c, count(*) AS n, avg(x) AS mx, avg(y) AS my, sum((x - ax) * (y - ay)) AS sxy, sum((x - ax) * (x - ax)) AS sxx FROM (SELECT *, avg(x) OVER (PARTITION BY focus, c) AS ax, avg(y) OVER (PARTITION BY focus, c) AS ay FROM xy) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY focus ORDER BY sxy * sxy / sxx DESC, c) = 1),
+r AS (SELECT sample_id, st.focus, st.c, y, my + sxy / sxx * (x - mx) AS fitted, 1.0 / n + (x - mx) * (x - mx) / sxx AS h FROM xy JOIN st ON st.focus = xy.focus AND st.c = xy.c)
+SELECT sample_id, focus, c AS predictor, round(y / fitted, 9) AS ratio, round(y / (y - (y - fitted) / (1 - h)), 9) AS ratio_out FROM r""")
+def k51b(spark, d):
+    """Every control against the best model of one predictor, fitted without it."""
+    rows = qc.regression_controls(B.fractions(data.totals(spark, d)), [13, 18, 21], 1, 1)
+    return rows.select("sample_id", "focus", F.get("predictors", F.lit(0)).alias("predictor"), F.round("ratio", 9).alias("ratio"), F.round("ratio_out", 9).alias("ratio_out"))
+
+
+@query("k51c_ratio_family", f"{_AUTO_FR}, l AS (SELECT a.sample_id, a.chrom, any_value(a.frac) / avg(b.frac) AS ratio_out, (any_value(a.frac) - avg(b.frac)) / stddev_samp(b.frac) AS z FROM u AS a JOIN u AS b ON a.chrom = b.chrom AND a.sample_id <> b.sample_id GROUP BY 1, 2) SELECT chrom, count(*) AS n, round(stddev_samp(ratio_out) / avg(ratio_out), 9) AS cv_out, round(max(abs(z)), 6) AS max_abs_z, count(*) FILTER (WHERE abs(z) > 3) AS n_far FROM l GROUP BY 1")
+def k51c(spark, d):
+    out = qc.family_summary(qc.ratio_controls(B.fractions(data.totals(spark, d))), ["chrom"])
+    return out.select("chrom", "n", F.round("cv_out", 9).alias("cv_out"), F.round("max_abs_z", 6).alias("max_abs_z"), "n_far")
+
+
 @query("k54_sample_qc", f"{_STATS.replace('mapq >= 5 AND flag & 512 = 0 AS use', 'true AS use')}, {DENSE}, {TOTALS}, {FRACS} SELECT st.sample_id, sequences, reads_mapped, round(frac, 9) AS frac_21, 'success' AS status, '' AS missing FROM st JOIN fracs ON fracs.sample_id = st.sample_id AND chrom = 21")
 def k54(spark, d):
     r = data.reads(spark, d)

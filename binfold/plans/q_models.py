@@ -143,10 +143,16 @@ def d17(spark, d):
     return s.select("masked_idx", "n_refs", F.round("mean_dist", 9).alias("mean_dist"))
 
 
-@query("k21f_reference_qc", f"{KNN}, s AS (SELECT a, count(*) AS n, avg(distance) AS m FROM r WHERE rank <= 10 GROUP BY 1) SELECT 'A' AS branch, count(*) AS n_bins, round(avg(m), 9) AS mean_of_means, round(stddev_samp(m), 9) AS std_of_means, count(*) FILTER (WHERE n < 5) AS n_low_refs, 'PASS' AS verdict FROM s")
+@query("k21f_reference_qc", f"""{KNN}, b AS (SELECT *, CASE a % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'F' ELSE 'M' END AS branch FROM r WHERE rank <= CASE a % 3 WHEN 1 THEN 3 ELSE 10 END), s AS (SELECT branch, a, count(*) AS n, avg(distance * CASE branch WHEN 'M' THEN 100000 ELSE 1 END) AS m FROM b GROUP BY 1, 2),
+q AS (SELECT branch, count(*) AS n_bins, avg(m) AS mean_of_means, stddev_samp(m) AS std_of_means, count(*) FILTER (WHERE n < 5) AS n_low_refs FROM s GROUP BY 1)
+SELECT branch, n_bins, round(mean_of_means, 6) AS mean_of_means, round(std_of_means, 6) AS std_of_means, n_low_refs, CASE WHEN n_bins = 0 THEN 'FAIL' WHEN n_low_refs > 0 THEN 'WARN' WHEN std_of_means > 10 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM q""")
 def k21f(spark, d):
-    q = C.reference_qc(_knn(_vectors(spark, d)).withColumn("branch", F.lit("A")), 5)
-    return q.select("branch", "n_bins", F.round("mean_of_means", 9).alias("mean_of_means"), F.round("std_of_means", 9).alias("std_of_means"), "n_low_refs", "verdict")
+    """A branch as it is, one of which most references are gone, and one with distances that are too large."""
+    knn = _knn(_vectors(spark, d)).withColumn("branch", F.expr("CASE masked_idx % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'F' ELSE 'M' END"))
+    keep = F.when(F.col("branch") == "F", 3).otherwise(F.size("refs"))
+    knn = knn.withColumn("refs", F.slice("refs", F.lit(1), keep)).withColumn("distances", F.transform(F.slice("distances", F.lit(1), keep), lambda x: F.when(F.col("branch") == "M", x * 100000).otherwise(x)))
+    q = C.reference_qc(knn, 5)
+    return q.select("branch", "n_bins", F.round("mean_of_means", 6).alias("mean_of_means"), F.round("std_of_means", 6).alias("std_of_means"), "n_low_refs", "verdict")
 
 
 @query("k18_weights", f"{KNN} SELECT a AS masked_idx, round(1 / avg(sqrt(distance)), 9) AS w FROM r WHERE rank <= 10 GROUP BY 1")
@@ -283,9 +289,9 @@ def k42(spark, d):
 
 @query("k44_predict_sex", f"{SEXT} SELECT sample_id, sex AS prediction FROM f")
 def k44(spark, d):
-    """The thinned cohort is separable, so the vote must give the labels."""
+    """The thinned cohort is separable, so both models must vote for the labels."""
     f = sex.sex_fractions(_totals(spark, d))
-    return sex.predict_sex(f, _models(spark, d)[:1]).select("sample_id", "prediction")
+    return sex.predict_sex(f, _models(spark, d)).select("sample_id", "prediction")
 
 
 _REG = "reg AS (SELECT * FROM (VALUES (24, 0, 200000), (24, 500000, 900000)) AS t(chrom, s, e))"
@@ -315,13 +321,30 @@ def k47(spark, d):
     return out.select("sample_id", "sex", "selected", "reference_size", F.round("z_x", 6).alias("z_x"), F.round("z_y", 6).alias("z_y"), F.round("cv_x", 6).alias("cv_x"))
 
 
-@query("k48_sex_ncv")
+#: All sets of six to nine denominators as bits of a number, the search's own size; ratios of a set per sample, its model per sex.
+_NCV = f"""{SEXT}, {_REFS}, pool AS (SELECT chrom, row_number() OVER (ORDER BY chrom) - 1 AS i FROM (SELECT DISTINCT chrom FROM t WHERE chrom <= 12 OR chrom IN (14, 15, 16, 20, 22))),
+sets AS (SELECT range AS mask FROM range(131072) WHERE bit_count(CAST(range AS INT)) BETWEEN 6 AND 9 AND range < (1 << (SELECT count(*) FROM pool))),
+de AS (SELECT mask, sample_id, sum(reads) AS d FROM sets JOIN pool ON (mask >> i) & 1 = 1 JOIN t USING (chrom) GROUP BY 1, 2),
+r AS (SELECT f.sample_id, f.chrom AS focus, mask, CAST(f.reads AS DOUBLE) / d AS ratio FROM t AS f JOIN de USING (sample_id) WHERE f.chrom >= 23),
+m AS (SELECT ref.sex, focus, mask, avg(ratio) AS mean, stddev_samp(ratio) AS sd FROM r JOIN ref USING (sample_id) WHERE NOT outlier GROUP BY 1, 2, 3), best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY sex, focus ORDER BY sd / mean, bit_count(CAST(mask AS INT)), mask) = 1),
+ncv AS (SELECT r.sample_id, best.sex, r.focus, (ratio - mean) / sd AS ncv FROM r JOIN best ON best.focus = r.focus AND best.mask = r.mask)"""
+
+
+@query("k48_sex_ncv", f"{_NCV} SELECT sample_id, sex, CAST(focus AS INT) AS focus, round(ncv, 6) AS ncv FROM ncv")
 def k48(spark, d):
     t = _totals(spark, d)
-    models = sex.sex_ncv_models(t, sex.build_reference(t, _labels(spark, d)), 2, 3)
+    models = sex.sex_ncv_models(t, sex.build_reference(t, _labels(spark, d)))
     return sex.sex_ncv_score(t, models).withColumn("ncv", F.round("ncv", 6))
 
 
+@query("k48b_sex_denominators", f"{_NCV} SELECT sex, CAST(focus AS INT) AS focus, (SELECT list(CAST(chrom AS INT) ORDER BY chrom) FROM pool WHERE (mask >> i) & 1 = 1) AS denominators, round(mean, 9) AS mean, round(100 * sd / mean, 9) AS cv FROM best")
+def k48b(spark, d):
+    """The chosen sets themselves."""
+    t = _totals(spark, d)
+    models = sex.sex_ncv_models(t, sex.build_reference(t, _labels(spark, d)))
+    return models.select("sex", "focus", "denominators", F.round("mean", 9).alias("mean"), F.round("cv", 9).alias("cv"))
+
+
 @query("k49_sex_regression")
 def k49(spark, d):
     t = _totals(spark, d)
@@ -332,18 +355,12 @@ def k49(spark, d):
 def _gonosomes(spark, d) -> DataFrame:
     t, labels = _totals(spark, d), _labels(spark, d)
     ref = sex.build_reference(t, labels)
-    ncv = sex.sex_ncv_score(t, sex.sex_ncv_models(t, ref, 1, 2))
+    ncv = sex.sex_ncv_score(t, sex.sex_ncv_models(t, ref))
     reg = sex.sex_regression_score(t, sex.sex_regression_models(t, ref, 2, 2))
     return sex.gonosome_report(sex.sex_score(_samples(spark, d), ref), ncv, reg)
 
 
-_NCV = f"""{SEXT}, {_REFS}, pool AS (SELECT DISTINCT chrom FROM t WHERE chrom <= 12 OR chrom IN (14, 15, 16, 19, 20, 22)), st AS (SELECT chrom AS a, chrom AS b FROM pool UNION ALL SELECT x.chrom, y.chrom FROM pool AS x JOIN pool AS y ON x.chrom < y.chrom),
-r AS (SELECT f.sample_id, f.chrom AS focus, a, b, CAST(f.reads AS DOUBLE) / sum(p.reads) AS ratio FROM t AS f CROSS JOIN st JOIN t AS p ON p.sample_id = f.sample_id AND (p.chrom = a OR p.chrom = b) WHERE f.chrom >= 23 GROUP BY f.sample_id, f.chrom, a, b, f.reads),
-m AS (SELECT ref.sex, focus, a, b, avg(ratio) AS mean, stddev_samp(ratio) AS sd FROM r JOIN ref USING (sample_id) WHERE NOT outlier GROUP BY 1, 2, 3, 4), best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY sex, focus ORDER BY sd / mean, a <> b, a, b) = 1),
-ncv AS (SELECT r.sample_id, best.sex, r.focus, round((ratio - mean) / sd, 5) AS ncv FROM r JOIN best ON best.focus = r.focus AND best.a = r.a AND best.b = r.b)"""
-
-
-@query("k50_gonosome_report", f"{_NCV} SELECT f.sample_id, f.sex AS predicted_sex, CASE ncv.focus WHEN 23 THEN 'X' ELSE 'Y' END AS chromosome, max(CASE WHEN ncv.sex = 'female' THEN ncv END) AS ncv_score_female, max(CASE WHEN ncv.sex = 'male' THEN ncv END) AS ncv_score_male, max(CASE WHEN ncv.sex = f.sex THEN ncv END) AS ncv_score_selected FROM f JOIN ncv USING (sample_id) GROUP BY 1, 2, 3")
+@query("k50_gonosome_report", f"{_NCV} SELECT f.sample_id, f.sex AS predicted_sex, CASE ncv.focus WHEN 23 THEN 'X' ELSE 'Y' END AS chromosome, max(CASE WHEN ncv.sex = 'female' THEN round(ncv, 5) END) AS ncv_score_female, max(CASE WHEN ncv.sex = 'male' THEN round(ncv, 5) END) AS ncv_score_male, max(CASE WHEN ncv.sex = f.sex THEN round(ncv, 5) END) AS ncv_score_selected FROM f JOIN ncv USING (sample_id) GROUP BY 1, 2, 3")
 def k50(spark, d):
     return _gonosomes(spark, d).select("sample_id", "predicted_sex", "chromosome", *[F.round(c, 5).alias(c) for c in ("ncv_score_female", "ncv_score_male", "ncv_score_selected")])
 

@@ -13,7 +13,7 @@ from binfold.operators import reads as R
 from binfold.plans import data, workflows
 from binfold.plans.data import BASE, GC_CTE, KEPT, READS
 from binfold.plans.q_models import SEXT, _gonosomes, _REFS, _sexed, _thinned
-from binfold.plans.q_sources import _folder, _text
+from binfold.plans.q_sources import _LETTERS, _PIECES, _SEQ, _folder, _write, fasta, sam_lines
 from binfold.plans.registry import query
 from binfold.sources import sinks, tables
 from binfold.streaming import counts as stream
@@ -21,18 +21,21 @@ from binfold.streaming import counts as stream
 W = f"WITH {READS}"
 
 
-@query("a14_sam_columns", "SELECT * FROM (VALUES ('1', 99, 'chr1_0', 1), ('2', 50000, 'chr2_0', 1), ('2', 50001, 'chr2_1', 1)) AS t(chrom, pos, bin_name, n)")
+@query("a14_sam_columns", f"{W} SELECT sample_id, 'chr' || chrom || '_' || (pos // 50000) AS bin_name, count(*) AS n FROM reads GROUP BY 1, 2")
 def a14(spark, d):
-    """Chromosome and position of alignment text; positions count from 1 in bin names, a multiple of the size goes down."""
-    lines = ["@HD\tVN:1.6", *[f"r{i}\t0\t{c}\t{p}\t60\t50M\t*\t0\t0\t*\t*" for i, (c, p) in enumerate([("chr1", 99), ("chr2", 50000), ("2", 50001)])]]
-    r = tables.read_sam(spark, _text(spark, _folder(spark, "sam"), lines)).withColumn("pos", F.col("pos") + 1)
-    names = R.string_bins(r.withColumn("sample_id", F.concat_ws(":", "chrom", F.col("pos").cast("string"))))
-    return names.select(F.substring_index("sample_id", ":", 1).alias("chrom"), F.substring_index("sample_id", ":", -1).cast("int").alias("pos"), "bin_name", F.col("n").cast("int").alias("n"))
+    """Chromosome and position of all reads as alignment text; positions count from 1 in bin names, a multiple of the size goes down."""
+    folder = _folder(spark, "sam")
+    sam_lines(data.reads(spark, d)).repartition("sample_id").write.partitionBy("sample_id").text(folder)
+    r = tables.read_sam(spark, folder, tables.sample_of_file("")).withColumn("pos", F.col("pos") + 1).withColumn("sample_id", F.col("sample_id").cast("int"))
+    return R.string_bins(r)
 
 
-@query("a15_count_file", "SELECT * FROM (VALUES ('chr1_0', 12), ('chr1_1', 0)) AS t(bin_name, n)")
+@query("a15_count_file", f"{BASE} SELECT 'chr' || chrom || '_' || bin AS bin_name, CAST(sum(n) AS BIGINT) AS n FROM dense GROUP BY 1")
 def a15(spark, d):
-    return tables.read_seqff_counts(spark, _text(spark, _folder(spark, "counts"), ["binName\tcounts", "chr1_0\t12", "chr1_1\t0"])).withColumn("n", F.col("n").cast("int"))
+    """Counts of every bin as a file of names and counts with a header."""
+    n = data.dense(spark, d).groupBy("chrom", "bin").agg(F.sum("n").alias("n"))
+    lines = n.select(F.lit(1).alias("o"), F.concat(F.lit("chr"), F.col("chrom").cast("string"), F.lit("_"), F.col("bin").cast("string"), F.lit("\t"), F.col("n").cast("string")).alias("value"))
+    return tables.read_seqff_counts(spark, _write(lines.unionByName(spark.createDataFrame([(0, "binName\tcounts")], "o int, value string")), _folder(spark, "counts")))
 
 
 @query("a11_interval_coverage", f"{W}, reg AS (SELECT * FROM (VALUES (24, 0, 300000), (1, 0, 50000)) AS t(chrom, s, e)) SELECT sample_id, count(*) AS n_in FROM reads JOIN reg ON reads.chrom = reg.chrom AND pos >= s AND pos < e WHERE mapq >= 10 AND flag & 1024 = 0 GROUP BY 1")
@@ -41,19 +44,23 @@ def a11(spark, d):
     return R.region_counts(R.filter_reads(data.reads(spark, d), 10, 0, 1024), regions)
 
 
-@query("a21_run_table", "SELECT 'SRR1' AS run, 'https://trace.ncbi.nlm.nih.gov/Traces/sra-db-be/runinfo?acc=PRJ%201' AS url")
+@query("a21_run_table", "SELECT 'SRR' || o_orderkey AS run, CAST(o_custkey AS VARCHAR) AS spots, 'https://trace.ncbi.nlm.nih.gov/Traces/sra-db-be/runinfo?acc=PRJ%201' AS url FROM orders")
 def a21(spark, d):
-    path = _text(spark, _folder(spark, "runs"), ["Run,spots", "SRR1,5", ","])
-    return tables.read_sra_runinfo(spark, path).select(F.col("Run").alias("run"), F.lit(tables.sra_runinfo_url("PRJ 1")).alias("url"))
+    """Orders as runs of a run table, with lines of separators alone."""
+    folder = _folder(spark, "runs")
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("SRR"), F.col("o_orderkey").cast("string")).alias("Run"), F.col("o_custkey").cast("string").alias("spots"))
+    rows.unionByName(rows.select(F.lit(None).cast("string").alias("Run"), F.lit(None).cast("string").alias("spots")).limit(3)).write.option("header", True).csv(folder)
+    return tables.read_sra_runinfo(spark, folder).select(F.col("Run").alias("run"), "spots", F.lit(tables.sra_runinfo_url("PRJ 1")).alias("url"))
 
 
-@query("a27_gc_precompute", "SELECT * FROM (VALUES (21, 0, 0.5), (21, 1, 1.0)) AS t(chrom, bin, gc)")
+@query("a27_gc_precompute", f"WITH {_SEQ}, {_PIECES}, c AS (SELECT CAST(1 + doc_id % 24 AS INT) AS chrom, bin, sum({_LETTERS.format('CG')}) AS gc, sum({_LETTERS.format('ACGT')}) AS n FROM p GROUP BY 1, 2) SELECT chrom, bin, round(CAST(gc AS DOUBLE) / nullif(n, 0), 9) AS gc FROM c")
 def a27(spark, d):
-    path = _text(spark, _folder(spark, "fasta"), [">chr21", "ACGTACGTAC", "GGGGG"])
-    table = gc.gc_from_bases(tables.read_fasta(spark, path), 10).withColumn("chrom", F.col("chrom").cast("int")).withColumn("len", F.lit(10))
+    """All texts as sequences of 24 names, their GC table written and read again."""
+    rows = tables.read_fasta(spark, fasta(spark, d, (1 + F.col("doc_id") % 24).cast("string")))
+    table = gc.gc_from_bases(rows, 1000).withColumn("chrom", F.col("chrom").cast("int")).withColumn("len", F.lit(1000))
     out = _folder(spark, "gc")
-    sinks.write_bed(table, out, 10, ["gc", "len"])
-    return tables.read_gc_table(spark, out)
+    sinks.write_bed(table, out, 1000, ["gc", "len"])
+    return tables.read_gc_table(spark, out).select("chrom", "bin", F.round("gc", 9).alias("gc"))
 
 
 def _combined(spark, d, min_refs: int):
@@ -128,10 +135,13 @@ def f02(spark, d):
     return p.withColumn("place", F.row_number().over(Window.partitionBy("sample_id", "chrom").orderBy("pos"))).where("place <= 3")
 
 
-@query("f03_probe", "SELECT 50000 AS binsize, 4 AS columns")
+@query("f03_probe", f"{BASE} SELECT CAST(50000 AS INT) AS binsize, 5 AS columns, count(*) AS rows FROM dense")
 def f03(spark, d):
-    path = _text(spark, _folder(spark, "probe"), ["#c", "1\t0\t50000\t3", "1\t50000\t100000\t4"])
-    return spark.createDataFrame([(tables.infer_binsize(spark, path), tables.column_count(spark, path))], "binsize int, columns int")
+    """Bin size and columns are found from the first row of files of all samples."""
+    path = _folder(spark, "probe")
+    sinks.write_beds(data.dense(spark, d), path, 50000, ["n", "n_fwd"], {"binsize": "none of a reader's business"})
+    size, columns = tables.infer_binsize(spark, path), tables.column_count(spark, path)
+    return tables.read_tabix(spark, path, columns).agg(F.lit(size).alias("binsize"), F.lit(columns).alias("columns"), F.count("*").alias("rows"))
 
 
 @query("f06_forward_choice", f"{BASE}, f AS (SELECT a.chrom AS c, corr(a.frac, b.frac) AS r FROM fracs AS a JOIN fracs AS b ON a.sample_id = b.sample_id AND b.chrom = 21 WHERE a.chrom <= 22 AND a.chrom NOT IN (13, 18, 21) GROUP BY 1) SELECT c AS best FROM f ORDER BY r * r DESC, c LIMIT 1")
@@ -211,11 +221,13 @@ def a29(spark, d):
     return back.select(F.col("sample_id").cast("int").alias("sample_id"), "predicted_sex", "chromosome", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in ("z_score", "cv")])
 
 
-@query("a31_json_report", "SELECT 'A' AS branch, 'WARN' AS verdict")
+@query("a31_json_report", f"{W}, v AS (SELECT chrom, count(*) FILTER (WHERE mapq > 48) AS v, count(*) FILTER (WHERE seq_len = 0 AND mapq > 45) AS low, stddev_samp(mapq) AS sd FROM reads WHERE mapq > 40 GROUP BY 1) SELECT 'chr' || chrom AS branch, v, CASE WHEN v = 0 THEN 'FAIL' WHEN low > 0 THEN 'WARN' WHEN sd > 2.9 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM v")
 def a31(spark, d):
+    """Verdicts per chromosome, written as JSON and read again."""
     path = _folder(spark, "json")
-    sinks.write_json(spark.createDataFrame([("A", 10, 2, 0.5)], "branch string, v int, low int, sd double").select("branch", C.verdict(F.col("v"), F.col("low"), F.col("sd")).alias("verdict")), path)
-    return spark.read.json(path).select("branch", "verdict")
+    s = data.reads(spark, d).where("mapq > 40").groupBy("chrom").agg(F.count_if(F.col("mapq") > 48).alias("v"), F.count_if((F.col("seq_len") == 0) & (F.col("mapq") > 45)).alias("low"), F.stddev_samp("mapq").alias("sd"))
+    sinks.write_json(s.select(F.concat(F.lit("chr"), F.col("chrom").cast("string")).alias("branch"), "v", C.verdict(F.col("v"), F.col("low"), F.col("sd"), 2.9).alias("verdict")), path)
+    return spark.read.schema("branch string, v long, verdict string").json(path)
 
 
 @query("i03_online_dedup", f"{W}, {KEPT} SELECT sample_id, count(*) AS n FROM kept GROUP BY 1")
@@ -231,6 +243,29 @@ def i03(spark, d):
     return spark.read.parquet(out).groupBy("sample_id").agg(F.count("*").alias("n"))
 
 
+@query("i03b_ordered_dedup", f"{W}, {KEPT} SELECT sample_id, count(*) AS n FROM kept GROUP BY 1")
+def i03b(spark, d):
+    """Reads dealt to batches at random: held back until the watermark has passed them, they give the batch result."""
+    folder, out = _folder(spark, "shuffled"), _folder(spark, "kept")
+    order = Window.partitionBy("sample_id", "chrom").orderBy("pos", *data.ORDER)
+    cols = ["sample_id", "chrom", "pos", "mate_pos", "flag", "read_no", "ts"]
+    rows = data.reads(spark, d).withColumn("read_no", F.row_number().over(order).cast("long")).withColumn("ts", F.timestamp_seconds(F.col("pos") / 1000 + 60)).select(*cols)
+    for k in range(3):
+        rows.where(F.pmod(F.xxhash64("read_no", "sample_id", "chrom"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(folder)
+    for k in (1, 2):  # two late reads of no sample move the watermark past all others
+        spark.range(1).selectExpr("-1 AS sample_id", "1 AS chrom", "1000000000L AS pos", "0L AS mate_pos", "0 AS flag", "0L AS read_no", f"timestamp_seconds({k}0000000) AS ts").write.mode("append").parquet(folder)
+    provider, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, rocks)
+    try:
+        src = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        q = stream.ordered_dedup(src, "30 minutes").writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(out).where("sample_id >= 0").groupBy("sample_id").agg(F.count("*").alias("n"))
+
+
 @query("d02b_gc_weighted_curve", f"{BASE}, {GC_CTE} SELECT CAST(round_even(gc * 100, 0) AS INT) AS percent, CAST(sum(n) AS BIGINT) AS n, count(*) AS bins FROM dense JOIN gct USING (chrom, bin) WHERE gc IS NOT NULL GROUP BY 1")
 def d02b(spark, d):
     return gc.join_gc(data.dense(spark, d), data.gc_table(spark)).where("gc is not null").groupBy(F.bround(F.col("gc") * 100).cast("int").alias("percent")).agg(F.sum("n").alias("n"), F.count("*").alias("bins"))

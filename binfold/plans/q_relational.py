@@ -336,13 +336,10 @@ def e09(spark, d):
     return cohort.chromosome_scores(B.fractions(data.totals(spark, d))).select("sample_id", "chrom", F.round("z", 6).alias("z"))
 
 
-@query("e10_combinations", "SELECT CAST(a.range AS INT) AS a, CAST(b.range AS INT) AS b, CAST(c.range AS INT) AS c FROM range(1, 13) AS a JOIN range(1, 13) AS b ON a.range < b.range JOIN range(1, 13) AS c ON b.range < c.range")
+@query("e10_combinations", f"{W}, c AS (SELECT DISTINCT chrom FROM reads WHERE mapq >= 10) SELECT x.chrom AS a, y.chrom AS b, z.chrom AS c FROM c AS x JOIN c AS y ON x.chrom < y.chrom JOIN c AS z ON y.chrom < z.chrom")
 def e10(spark, d):
-    """Sets in lexicographic order by a recursive expression."""
-    return spark.sql(
-        "WITH RECURSIVE s(k, last, items) AS (SELECT 1, CAST(id AS INT), array(CAST(id AS INT)) FROM range(1, 13) UNION ALL SELECT k + 1, n, array_append(items, n) FROM (SELECT k, items, explode(sequence(last + 1, 12)) AS n FROM s WHERE k < 3 AND last < 12)) "
-        "SELECT items[0] AS a, items[1] AS b, items[2] AS c FROM s WHERE k = 3"
-    )
+    """Sets of three of the chromosomes that have reads, from their numbers in lexicographic order."""
+    return B.combinations_of(R.filter_reads(data.reads(spark, d), mapq=10), "chrom", 3).selectExpr("items[0] AS a", "items[1] AS b", "items[2] AS c")
 
 
 @query("e12_normalise", f"{BASE} SELECT sample_id, chrom, bin, round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY sample_id), 12) AS x FROM dense")

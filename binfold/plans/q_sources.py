@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from binfold.functions.safe import safe_div
 from binfold.operators import bins as B
 from binfold.operators import gc
 from binfold.operators import reads as R
@@ -27,16 +28,30 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
-def _text(spark, path: str, lines: list[str]) -> str:
-    spark.createDataFrame([(v,) for v in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
+def _chr(c: str):
+    return F.expr(f"concat('chr', CASE {c} WHEN 23 THEN 'X' WHEN 24 THEN 'Y' ELSE CAST({c} AS STRING) END)")
+
+
+def _chr_sql(c: str = "chrom") -> str:
+    return f"'chr' || CASE {c} WHEN 23 THEN 'X' WHEN 24 THEN 'Y' ELSE CAST({c} AS VARCHAR) END"
+
+
+def _write(lines: DataFrame, path: str) -> str:
+    """One text file; ``lines`` has the order ``o`` and the line ``value``, some hundreds at most."""
+    lines.coalesce(1).sortWithinPartitions("o", "value").select("value").write.mode("overwrite").text(path)
     return path
 
 
-@query("a02_sam_header", "SELECT CAST(c.range AS INT) AS chrom, CAST(1000000 - c.range * 1000 AS BIGINT) AS length FROM range(1, 25) AS c")
+@query("a02_sam_header", f"{W} SELECT chrom, CAST(max(pos) + 500 AS BIGINT) AS length FROM reads GROUP BY 1")
 def a02(spark, d):
-    names = [*map(str, range(1, 23)), "X", "Y"]
-    path = _text(spark, _folder(spark, "sam"), ["@HD\tVN:1.6", *[f"@SQ\tSN:chr{n}\tLN:{1_000_000 - i * 1000}" for i, n in enumerate(names, 1)], "@SQ\tSN:chrM\tLN:16569", "r1\t0\tchr1\t100\t60\t50M\t*\t0\t0\t*\t*"])
-    return tables.sam_lengths(spark, path)
+    """A header with the reach of the reads of every chromosome, a foreign sequence, and the reads themselves."""
+    r = data.reads(spark, d)
+    heads = r.groupBy("chrom").agg((F.max("pos") + 500).alias("n")).select(F.lit(1).alias("o"), F.concat(F.lit("@SQ\tSN:"), _chr("chrom"), F.lit("\tLN:"), F.col("n").cast("string")).alias("value"))
+    other = spark.createDataFrame([(0, "@HD\tVN:1.6"), (2, "@SQ\tSN:chrM\tLN:16569")], "o int, value string")
+    folder = _folder(spark, "sam")
+    _write(heads.unionByName(other), folder)
+    sam_lines(r).select("value").write.mode("append").text(folder)
+    return tables.sam_lengths(spark, folder)
 
 
 @query("a04_tabix_read", f"{BASE} SELECT CAST(sample_id AS VARCHAR) AS filename, CASE WHEN chrom = 23 THEN 'X' WHEN chrom = 24 THEN 'Y' ELSE CAST(chrom AS VARCHAR) END AS column0, CAST(bin * 50000 AS VARCHAR) AS column1, CAST(bin * 50000 + 50000 AS VARCHAR) AS column2, CAST(n AS VARCHAR) AS column3 FROM dense")
@@ -84,57 +99,96 @@ def a08(spark, d):
     return tables.control_group_from_beds(spark, [path], binsize=50000).select(F.col("sample_id").cast("int").alias("sample_id"), "chrom", "bin", "n", "n_fwd")
 
 
-@query("a09_fasta_gc", "SELECT * FROM (VALUES ('21', 0, round(4 / 6.0, 9)), ('22', 0, NULL), ('23', 0, 0.5), ('24', 0, 0.8)) AS t(chrom, bin, gc)")
+#: Letters of texts as bases, by place in the alphabet.
+_BASES = ("abcdefghijklmnopqrstuvwxyz", "ACGTNACGTNACGTNACGTNACGTNA")
+_SEQ = f"s AS (SELECT doc_id, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), '{_BASES[0]}', '{_BASES[1]}') AS seq FROM documents)"
+_PIECES = "p AS (SELECT doc_id, CAST(i AS INT) AS bin, substr(seq, CAST(i * 1000 + 1 AS BIGINT), 1000) AS piece FROM (SELECT doc_id, seq, unnest(range(0, (length(seq) + 999) // 1000)) AS i FROM s))"
+_LETTERS = "length(regexp_replace(piece, '[^{0}]', '', 'g'))"
+
+
+def fasta(spark: SparkSession, d: str, name) -> str:
+    """The letters of every text as a sequence, its name line before it, lines of 70 letters."""
+    seq = F.translate(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", ""), *_BASES)
+    rows = spark.read.parquet(f"{d}/documents.parquet").select(name.alias("name"), seq.alias("seq")).where("seq <> ''")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 70)), lambda i: F.substr("seq", (i * 70 + 1).cast("int"), F.lit(70)))
+    path = _folder(spark, "fasta")
+    rows.select(F.explode(F.concat(F.array(F.concat(F.lit(">"), "name", F.lit(" letters"))), cut)).alias("value")).write.text(path)
+    return path
+
+
+@query("a09_fasta_gc", f"WITH {_SEQ}, {_PIECES} SELECT CAST(doc_id AS VARCHAR) AS chrom, bin, round(CAST({_LETTERS.format('CG')} AS DOUBLE) / nullif({_LETTERS.format('ACGT')}, 0), 9) AS gc FROM p")
 def a09(spark, d):
-    path = _text(spark, _folder(spark, "fasta"), [">21 toy", "AACCNNNNGG", ">chr22", "NNNNN", "NNNNN", ">X", "ACGTACGTAC", ">Y", "ggggccccaa"])
-    return gc.gc_from_bases(tables.read_fasta(spark, path), 10).select("chrom", "bin", F.round("gc", 9).alias("gc"))
+    """All texts as sequences; GC of every thousand letters."""
+    rows = tables.read_fasta(spark, fasta(spark, d, F.col("doc_id").cast("string")))
+    return gc.gc_from_bases(rows, 1000).select("chrom", "bin", F.round("gc", 9).alias("gc"))
 
 
-@query("a10_gc_table", f"WITH {GC_CTE} SELECT chrom, bin, round(gc, 9) AS gc FROM gct")
+@query("a10_gc_table", f"{BASE} SELECT chrom, bin, round(CAST(sum(n_fwd) AS DOUBLE) / nullif(sum(n), 0), 9) AS gc FROM dense GROUP BY 1, 2")
 def a10(spark, d):
+    """A share per bin, here of forward reads, written as a table of fractions and read again; NA where there are none."""
     path = _folder(spark, "gc")
-    sinks.write_bed(data.gc_table(spark).withColumn("len", F.lit(50000)), path, 50000, ["gc", "len"])
+    share = data.dense(spark, d).groupBy("chrom", "bin").agg(safe_div(F.sum("n_fwd"), F.sum("n")).alias("gc"))
+    sinks.write_bed(share.withColumn("len", F.lit(50000)), path, 50000, ["gc", "len"])
     return tables.read_gc_table(spark, path).select("chrom", "bin", F.round("gc", 9).alias("gc"))
 
 
-@query("a16_metadata", "SELECT * FROM (VALUES ('binsize', '50000'), ('note', 'a=b'), ('flag', 'TRUE')) AS t(key, value)")
+def _metadata_files(spark: SparkSession, d: str) -> str:
+    """A file a sample, with its number of reads, whether it is even, and a note that holds an equals sign."""
+    n = data.reads(spark, d).groupBy("sample_id").agg(F.count("*").alias("n"))
+    made = F.array(F.concat(F.lit("##RWX_reads="), F.col("n").cast("string")), F.concat(F.lit("##RWX_even="), F.when(F.col("n") % 2 == 0, "TRUE").otherwise("FALSE")), F.concat(F.lit("##RWX_note=n="), F.col("n").cast("string")), F.lit("1\t0\t50000\t3"))
+    path = _folder(spark, "meta")
+    n.select("sample_id", F.explode(made).alias("value")).repartition("sample_id").write.partitionBy("sample_id").text(path)
+    return path
+
+
+_META = f"{W}, m AS (SELECT CAST(sample_id AS VARCHAR) AS filename, count(*) AS n FROM reads GROUP BY 1)"
+
+
+@query("a16_metadata", f"{_META} SELECT filename, 'reads' AS key, CAST(n AS VARCHAR) AS value FROM m UNION ALL SELECT filename, 'even', CASE WHEN n % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END FROM m UNION ALL SELECT filename, 'note', 'n=' || n FROM m")
 def a16(spark, d):
-    path = _text(spark, _folder(spark, "meta"), [*sinks.metadata_lines({"binsize": "50000", "note": "a=b", "flag": "TRUE"}), "1\t0\t50000\t3"])
-    return tables.tabix_metadata(spark, path).select("key", "value")
+    return tables.tabix_metadata(spark, _metadata_files(spark, d))
 
 
-@query("a17_metadata_frame", "SELECT 50000.0 AS binsize, true AS flag, 'a=b' AS note")
+@query("a17_metadata_frame", f"{_META} SELECT filename, CAST(n AS DOUBLE) AS reads, n % 2 = 0 AS even, 'n=' || n AS note FROM m")
 def a17(spark, d):
-    path = _text(spark, _folder(spark, "meta"), [*sinks.metadata_lines({"binsize": "50000", "note": "a=b", "flag": "TRUE"}), "1\t0\t50000\t3"])
-    frame = tables.metadata_frame(tables.tabix_metadata(spark, path), ["binsize", "flag", "note"])
-    return frame.select(tables.coerce("binsize")["number"].alias("binsize"), tables.coerce("flag")["logical"].alias("flag"), tables.coerce("note")["text"].alias("note"))
+    frame = tables.metadata_frame(tables.tabix_metadata(spark, _metadata_files(spark, d)), ["reads", "even", "note"])
+    return frame.select("filename", tables.coerce("reads")["number"].alias("reads"), tables.coerce("even")["logical"].alias("even"), tables.coerce("note")["text"].alias("note"))
 
 
-@query("a18_metrics_table", "SELECT 's2' AS sample, 2.5 AS value")
+@query("a18_metrics_table", f"{W} SELECT CAST(sample_id AS VARCHAR) AS sample, round(avg(mapq), 6) AS value FROM reads WHERE sample_id = 2 GROUP BY 1")
 def a18(spark, d):
-    path = _text(spark, _folder(spark, "metrics"), ["sample;value", "s1;1.5", "s2;2.5"])
-    return tables.unique_row(tables.read_metrics(spark, path), "sample", "s2").select("sample", F.col("value").cast("double").alias("value"))
+    """A table of all samples with semicolons, and the one row of a sample."""
+    value = data.reads(spark, d).groupBy("sample_id").agg(F.round(F.avg("mapq"), 6).alias("v"))
+    lines = value.select(F.lit(1).alias("o"), F.concat_ws(";", F.col("sample_id").cast("string"), F.col("v").cast("string")).alias("value"))
+    path = _write(lines.unionByName(spark.createDataFrame([(0, "sample;value")], "o int, value string")), _folder(spark, "metrics"))
+    return tables.unique_row(tables.read_metrics(spark, path), "sample", "2").select("sample", F.col("value").cast("double").alias("value"))
 
 
-@query("a19_regions", "SELECT * FROM (VALUES ('24', 100, 200, 'G1'), ('24', 300, 400, 'G2')) AS t(chrom, start, \"end\", name)")
+@query("a19_regions", f"{W} SELECT CAST(chrom AS VARCHAR) AS chrom, CAST(min(pos) AS INT) AS start, CAST(max(pos) AS INT) AS \"end\", 'S' || sample_id AS name FROM reads GROUP BY chrom, sample_id")
 def a19(spark, d):
-    path = _text(spark, _folder(spark, "regions"), ["Chromosome\tStart\tEnd\tGeneName", "Y\t100\t200\tG1", "chrY\t300\t400\tG2"])
-    return tables.read_regions(spark, path)
+    """The reach of every sample on every chromosome as a regions file with a header."""
+    reach = data.reads(spark, d).groupBy("chrom", "sample_id").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
+    lines = reach.select(F.lit(1).alias("o"), F.concat_ws("\t", _chr("chrom"), F.col("a").cast("string"), F.col("b").cast("string"), F.concat(F.lit("S"), F.col("sample_id").cast("string"))).alias("value"))
+    head = spark.createDataFrame([(0, "Chromosome\tStart\tEnd\tGeneName")], "o int, value string")
+    return tables.read_regions(spark, _write(lines.unionByName(head), _folder(spark, "regions")))
 
 
-@query("a20_blacklist", "SELECT * FROM (VALUES (1, 0, 100), (23, 5, 6)) AS t(chrom, start, \"end\")")
+@query("a20_blacklist", f"{W} SELECT chrom, CAST(pos // 50000 * 50000 AS INT) AS start, CAST(pos // 50000 * 50000 + 50000 AS INT) AS \"end\" FROM reads WHERE mapq < 2 GROUP BY ALL")
 def a20(spark, d):
-    path = _text(spark, _folder(spark, "black"), ["chr1\t0\t100", "chrUn\t1\t2", "chrX\t5\t6", "chr2\t7"])
-    return tables.read_blacklist(spark, path)
+    """Bins with reads of quality below 2 as a blacklist, between lines that a reader has to skip."""
+    low = data.reads(spark, d).where("mapq < 2").select("chrom", F.floor(F.col("pos") / 50000).alias("b")).distinct()
+    lines = low.select(F.lit(1).alias("o"), F.concat_ws("\t", _chr("chrom"), (F.col("b") * 50000).cast("string"), (F.col("b") * 50000 + 50000).cast("string")).alias("value"))
+    strange = low.select(F.lit(2).alias("o"), F.explode(F.array(F.concat(F.lit("chrUn"), F.col("b").cast("string"), F.lit("\t1\t2")), F.concat(_chr("chrom"), F.lit("\t7")))).alias("value"))
+    return tables.read_blacklist(spark, _write(lines.unionByName(strange), _folder(spark, "black")))
 
 
-@query("a33_lists", "SELECT * FROM (VALUES ('one.bam'), ('two.bam')) AS t(item)")
+@query("a33_lists", f"{W} SELECT DISTINCT 's' || sample_id || '.bam' AS item FROM reads")
 def a33(spark, d):
-    return tables.read_list(spark, _text(spark, _folder(spark, "list"), ["bam", "# comment", "", "one.bam", " two.bam "]))
-
-
-def _chr(c: str):
-    return F.expr(f"concat('chr', CASE {c} WHEN 23 THEN 'X' WHEN 24 THEN 'Y' ELSE CAST({c} AS STRING) END)")
+    """A list of the samples' files with a header, comments, blank lines and blanks around names."""
+    names = data.reads(spark, d).select("sample_id").distinct()
+    lines = names.select(F.lit(1).alias("o"), F.explode(F.array(F.concat(F.lit(" s"), F.col("sample_id").cast("string"), F.lit(".bam ")), F.concat(F.lit("# "), F.col("sample_id").cast("string")), F.lit(""))).alias("value"))
+    head = spark.createDataFrame([(-1, "# made here"), (0, "BAM")], "o int, value string")
+    return tables.read_list(spark, _write(lines.unionByName(head), _folder(spark, "list")))
 
 
 def sam_lines(reads: DataFrame) -> DataFrame:
@@ -172,10 +226,12 @@ def a30(spark, d):
     return sinks.stats_lines(R.alignment_stats(data.reads(spark, d), mapq=5, exclude_flags=512))
 
 
-@query("g07_metadata_union", "SELECT * FROM (VALUES ('a', '1'), ('b', '2'), ('c', '4')) AS t(key, value)")
+@query("g07_metadata_union", f"{W}, s AS (SELECT sample_id, count(*) AS n, min(mapq) AS q, max(pos) AS p FROM reads GROUP BY 1) SELECT sample_id, 'a' AS key, CAST(n AS VARCHAR) AS value FROM s UNION ALL SELECT sample_id, 'b', CAST(q AS VARCHAR) FROM s UNION ALL SELECT sample_id, 'c', CAST(p AS VARCHAR) FROM s")
 def g07(spark, d):
-    base, extra = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3"), F.lit("c"), F.lit("4"))
-    return spark.range(1).select(F.explode(tables.merge_metadata(base, extra)).alias("key", "value"))
+    """Two maps a sample that share a key; the base map's value stays."""
+    s = data.reads(spark, d).groupBy("sample_id").agg(F.count("*").cast("string").alias("n"), F.min("mapq").cast("string").alias("q"), F.max("pos").cast("string").alias("p"))
+    base, extra = F.create_map(F.lit("a"), "n", F.lit("b"), "q"), F.create_map(F.lit("b"), F.lit("other"), F.lit("c"), "p")
+    return s.select("sample_id", F.explode(tables.merge_metadata(base, extra)).alias("key", "value"))
 
 
 @query("a25_strand_bed", f"{BASE} SELECT sample_id, CAST(count(*) AS BIGINT) AS lines, CAST(sum(n_fwd) AS BIGINT) AS fwd, CAST(sum(n_rev) AS BIGINT) AS rev, max(CAST(least(bin * 50000 + 50000, 980000) AS BIGINT)) AS last_end FROM dense GROUP BY 1")

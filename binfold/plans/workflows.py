@@ -13,6 +13,7 @@ from binfold.operators.bins import chromosome_totals, count_metadata, fractions,
 from binfold.operators.cnv_predict import predict
 from binfold.operators.cnv_reference import gender_correct, newref, predict_gender, y_fraction
 from binfold.operators.reads import alignment_stats, bin_reads
+from binfold.sources import bundles
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -75,14 +76,17 @@ def build_fraction_reference(
     bins: DataFrame, path: str, labels: DataFrame | None = None, include: DataFrame | None = None, exclude: DataFrame | None = None, sample_qc: DataFrame | None = None, min_reads: float | None = None, max_reads: float | None = None,
     gc_mad_cutoff: float | None = None, prune: bool = True, drop_sex_outliers: bool = False, chi_cutoff: float = 3.5, z_cutoff: float = 3.0, rule: str = "any_aberrant_score", min_controls: int = 10, ncv_sizes: tuple[int, int] = (1, 5), sex_ncv_sizes: tuple[int, int] = (6, 9), n_models: int = 4, n_predictors: int = 4,
 ) -> dict[str, DataFrame]:
-    """Control group, chi profile, sex reference and score models of a cohort, kept as Parquet tables below ``path``.
+    """Control group, chi profile, sex reference and score models of a cohort, published as a version below ``path``.
+
+    A model that is there stays current until the new one is whole.
 
     Samples go by list (``include``, ``exclude``), by quality (``sample_qc``: ``sample_id, reads, gc``) and by rounds of
     correction and diagnosis (``prune``); ``membership`` says why. ``labels`` (``sample_id, sex``) are taken as they are,
     else two mixtures vote. With ``drop_sex_outliers`` the reference is made again without the first one's outliers.
     """
     spark = bins.sparkSession
-    save = save_as_tables(spark, path)
+    draft = bundles.Draft(spark, path)
+    save = draft.save
     bins = bins.select("sample_id", "chrom", "bin", "n")
     member = cohort.decide_samples(bins, include, exclude)
     if sample_qc is not None:
@@ -91,7 +95,7 @@ def build_fraction_reference(
     member = save(member, "first_membership")
     controls = save(bins.join(member.where("decision = 'kept'").select("sample_id"), "sample_id", "left_semi"), "first_controls")
     if prune:
-        kept, _ = cohort.prune(controls, chi_cutoff, z_cutoff, rule, min_controls=min_controls)
+        kept, _ = cohort.prune(controls, chi_cutoff, z_cutoff, rule, min_controls=min_controls, save=lambda df, name: save(df, f"prune-{name}"))
         controls = save(kept, "pruned_controls")
 
     def sexed(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[dict]]:
@@ -119,11 +123,19 @@ def build_fraction_reference(
         "ncv": scores.ncv_templates(totals, list(FOCI), *ncv_sizes), "sex_ncv": sex.sex_ncv_models(totals, reference, *sex_ncv_sizes), "sex_regression": sex.sex_regression_models(totals, reference, n_models, n_predictors),
         "qc_chromosomes": report["chromosomes"], "qc_samples": qc.sample_status(report["samples"]), "qc_bins": report["bins"], "qc_sex": report["sex"],
     }
-    return {name: df if name in ("profile", "sex_reference") else save(df, name) for name, df in out.items()}
+    for name, df in out.items():
+        if name not in ("profile", "sex_reference"):
+            save(df, name)
+    return bundles.load(spark, path, draft.commit(FRACTION_TABLES, settings_text(settings)))
+
+
+def settings_text(settings: dict) -> dict[str, str]:
+    return {k: str(v) for k, v in settings.items()}
 
 
-def load_fraction_reference(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in FRACTION_TABLES}
+def load_fraction_reference(spark: SparkSession, path: str, version: str | None = None) -> dict[str, DataFrame]:
+    """Tables of the current model below ``path``, or of another version of it."""
+    return bundles.load(spark, path, version)
 
 
 def predict_fractions(cases: DataFrame, reference: dict[str, DataFrame], chi_corrected: bool = True, train_fraction: float = 0.6) -> dict[str, DataFrame]:

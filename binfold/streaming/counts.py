@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def _watermarked(events: DataFrame, late: str) -> DataFrame:
@@ -33,11 +34,24 @@ def incremental_bin_counts(reads: DataFrame, binsize: int) -> DataFrame:
     return reads.groupBy("sample_id", "chrom", F.floor(F.col("pos") / binsize).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def not_duplicates(pdf: pd.DataFrame, last: tuple[int, int]) -> tuple[list[bool], tuple[int, int]]:
+    """Which of the reads, in order, are counted, and the state after them: last position, mate of the last pair."""
+    keep, (at, mate_of_pair) = [], last
+    for pos, mate, flag in zip(pdf["pos"].tolist(), pdf["mate_pos"].tolist(), pdf["flag"].tolist()):
+        if flag & 1 and not flag & 2:
+            keep.append(False)
+            continue
+        keep.append(not (pos == at and (not flag & 1 or mate == mate_of_pair)))
+        at, mate_of_pair = pos, mate if flag & 1 else mate_of_pair
+    return keep, (at, mate_of_pair)
+
+
 def online_dedup(reads: DataFrame) -> DataFrame:
     """Consecutive-position duplicate removal on a stream of coordinate-sorted reads.
 
-    State per sample and chromosome: position and mate position of the last read in state. Paired reads that are not
-    proper pass neither into the count nor the state.
+    State per sample and chromosome: position of the last read, and mate position of the last paired one. Paired reads
+    that are not proper pass neither into the count nor the state. Reads of one batch may come in any order; those of a
+    batch before must not come later than those of the next (``ordered_dedup`` takes disorder between batches too).
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -47,16 +61,76 @@ def online_dedup(reads: DataFrame) -> DataFrame:
         if not parts:
             return
         pdf = pd.concat(parts).sort_values(["pos", "read_no"])
-        keep = []
-        for pos, mate, flag in zip(pdf["pos"], pdf["mate_pos"], pdf["flag"]):
-            if flag & 1 and not flag & 2:
-                keep.append(False)
-                continue
-            keep.append(not (pos == last[0] and (not flag & 1 or mate == last[1])))
-            last = (int(pos), int(mate))
+        keep, last = not_duplicates(pdf, last)
         state.update(last)
         yield pdf[keep][["sample_id", "chrom", "pos", "mate_pos", "flag", "read_no"]]
 
     cols = reads.select("sample_id", "chrom", "pos", "mate_pos", "flag", "read_no")
     kind = dict(cols.dtypes)["sample_id"]
     return cols.groupBy("sample_id", "chrom").applyInPandasWithState(run, f"sample_id {kind}, chrom int, pos long, mate_pos long, flag int, read_no long", "pos long, mate long", "append", GroupStateTimeout.NoTimeout)
+
+
+ORDERED = "sample_id string, chrom int, pos long, mate_pos long, flag int, read_no long, ts timestamp"
+
+
+class _Ordered(StatefulProcessor):
+    """Holds reads back until the watermark has passed them, then judges them in order."""
+
+    def __init__(self, forget_ms: int):
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "pos long, mate_pos long, flag int, read_no long, ms long")
+        self.last = handle.getValueState("last", "pos long, mate long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = None
+        for pdf in rows:
+            ms = (pdf["ts"].astype("int64") // (10**9 if pdf["ts"].dtype == "datetime64[s]" else 10**6 if "ns" in str(pdf["ts"].dtype) else 10**3)).tolist()
+            self.waiting.appendList(list(zip(pdf["pos"].tolist(), pdf["mate_pos"].tolist(), pdf["flag"].tolist(), pdf["read_no"].tolist(), ms)))
+            first = min(ms) if first is None else min(first, *ms)
+        known = [int(t) for t in self.handle.listTimers()]
+        if first is not None and (not known or first < min(known)):
+            for t in known:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        held = pd.DataFrame(list(self.waiting.get()), columns=["pos", "mate_pos", "flag", "read_no", "ms"])
+        if held.empty:
+            self.last.clear()  # nothing came for so long that the state may go
+            return
+        due = held[held["ms"] <= now].sort_values(["pos", "read_no"])
+        rest = held[held["ms"] > now]
+        keep, last = not_duplicates(due, self.last.get() if self.last.exists() else (-1, -1))
+        self.last.update(last)
+        if rest.empty:
+            self.waiting.clear()
+            self.handle.registerTimer(now + self.forget_ms)
+        else:
+            self.waiting.put([tuple(int(v) for v in r) for r in rest.itertuples(index=False)])
+            self.handle.registerTimer(int(rest["ms"].min()))
+        out = due[keep]
+        yield pd.DataFrame({"sample_id": [key[0]] * len(out), "chrom": [key[1]] * len(out), "pos": out["pos"].to_numpy(), "mate_pos": out["mate_pos"].to_numpy(), "flag": out["flag"].to_numpy("int32"), "read_no": out["read_no"].to_numpy(), "ts": pd.to_datetime(out["ms"].to_numpy(), unit="ms")})
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_dedup(reads: DataFrame, late: str = "10 minutes", forget: int = 24 * 3600 * 1000) -> DataFrame:
+    """Consecutive-position duplicate removal on a stream whose reads come out of order, between batches as well.
+
+    ``ts`` is the read's event time and never falls while the position in a sample's chromosome grows. Reads wait in
+    state until the watermark (``late`` behind the newest ``ts``) has passed them, and are then judged by position and
+    ``read_no``, so the result is that of the batch form for every read that is not later than ``late``; later ones
+    are dropped by the watermark. What has been judged leaves the state at once, and the two numbers that remain of a
+    sample's chromosome go after ``forget`` milliseconds of event time without a read. The session needs the RocksDB
+    state store.
+    """
+    kind = dict(reads.dtypes)["sample_id"]
+    src = reads.select(F.col("sample_id").cast("string").alias("sample_id"), F.col("chrom").cast("int").alias("chrom"), "pos", "mate_pos", F.col("flag").cast("int").alias("flag"), "read_no", "ts").withWatermark("ts", late)
+    out = src.groupBy("sample_id", "chrom").transformWithStateInPandas(_Ordered(forget), ORDERED, "Append", "EventTime")
+    return out.withColumn("sample_id", F.col("sample_id").cast(kind))

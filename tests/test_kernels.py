@@ -205,3 +205,9 @@ def test_components_equal_svd():
     vectors, singular = K.gram_components(c.T @ c, 3)
     want = np.linalg.svd(c.T, full_matrices=False)[1][:3]
     assert np.allclose(singular, want) and np.allclose(vectors.T @ vectors, np.eye(3))
+
+
+def test_unranked_sets_are_the_combinations_in_order():
+    for p, size in ((7, 3), (5, 5), (17, 6), (4, 1)):
+        want = np.array(list(itertools.combinations(range(p), size)))
+        assert (K.unrank_sets(p, size, np.arange(len(want))) == want).all()

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from binfold.functions.safe import chrom_key, is_finite, safe_div, safe_log2
@@ -33,7 +34,7 @@ def test_streaming_dedup_state(spark):
     ]
     df = spark.createDataFrame([("s", 1, p, m, f, i) for i, (p, m, f) in enumerate(rows)], "sample_id string, chrom int, pos long, mate_pos long, flag int, read_no int")
     kept = [r["read_no"] for r in R.streaming_dedup(df, ["read_no"]).orderBy("read_no").collect()]
-    assert kept == [0, 2, 5]
+    assert kept == [0, 2, 5, 7]  # the last pair finds the mate of the pair before the single reads, 91
     with pytest.raises(ValueError):
         R.remove_duplicates(df, "other")
 
@@ -49,6 +50,47 @@ def test_online_dedup_equals_batch(spark, tmp_path):
     assert spark.table("dedup_out").count() == batch.count()
 
 
+def test_single_reads_leave_the_mate_of_the_last_pair(spark):
+    """Pair, single, pair at one position: the second pair repeats the first; a mate may also come from before."""
+    rows = [(1, 50, 3), (1, 0, 0), (1, 50, 3), (2, 0, 0), (2, 50, 3), (2, 60, 3), (70000, 0, 0), (70000, 60, 3), (70000, 61, 3), (70000, 61, 1), (70000, 61, 3), (90000, 61, 3)]
+    df = spark.createDataFrame([("a", 1, p, m, f, i) for i, (p, m, f) in enumerate(rows)], "sample_id string, chrom int, pos long, mate_pos long, flag int, read_no long")
+    want, at, pair = [], None, None
+    for i, (p, m, f) in enumerate(rows):
+        if f & 1 and not f & 2:
+            continue
+        if not (p == at and (not f & 1 or m == pair)):
+            want.append(i)
+        at, pair = p, m if f & 1 else pair
+    assert want == [0, 3, 5, 6, 8, 11]
+    for cell in (1, 3, 1 << 16):
+        assert sorted(r["read_no"] for r in R.streaming_dedup(df, ["read_no"], cell).collect()) == want
+
+
+def test_ordered_dedup_takes_shuffled_batches(spark, tmp_path):
+    """Reads that arrive in any order within the lateness give the rows of the batch form."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        order = Window.partitionBy("sample_id", "chrom").orderBy("pos", *data.ORDER)
+        r = data.reads(spark, DIR).where("sample_id < 3 AND chrom < 4").withColumn("read_no", F.row_number().over(order).cast("long")).select("sample_id", "chrom", F.expr("pos - pos % 4000").alias("pos"), F.expr("mate_pos % 3").alias("mate_pos"), "flag", "read_no")
+        r = r.withColumn("ts", F.timestamp_seconds(F.col("pos") / 1000 + 60))  # the first watermark is at 0
+        table = spark.createDataFrame(r.collect(), r.schema)
+        pieces = [table.where(F.pmod(F.xxhash64("read_no", "sample_id", "chrom"), F.lit(4)) == k) for k in range(4)]
+        end = spark.createDataFrame([(99, 1, 10**9, 0, 0, 0)], "sample_id int, chrom int, pos long, mate_pos long, flag int, read_no long").withColumn("ts", F.timestamp_seconds(F.lit(10**7)))
+        source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+        got = []
+        for piece in [*pieces, end, end.withColumn("ts", F.timestamp_seconds(F.lit(2 * 10**7)))]:
+            piece.coalesce(1).write.mode("append").parquet(source)
+            q = stream.ordered_dedup(spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(source), "30 minutes").writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+            q.awaitTermination()
+        got = spark.read.parquet(out).where("sample_id < 99")
+        batch = R.streaming_dedup(table, ["read_no"])
+        cols = ["sample_id", "chrom", "read_no"]
+        assert got.count() == batch.count() < table.count()
+        assert got.select(*cols).exceptAll(batch.select(*cols)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 def test_rescale_keeps_sums(spark):
     df = spark.createDataFrame([("a", 1, i, i + 1) for i in range(7)], "sample_id string, chrom int, bin int, n long")
     got = {r["bin"]: r["n"] for r in B.rescale(df, 10, 30).collect()}
