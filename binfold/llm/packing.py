@@ -82,7 +82,9 @@ def pack(docs: DataFrame, n_buckets: int = 16, token_budget: int = 65536, rows_p
     offsets, so a bucket that holds most rows is spread over many tasks.
     """
     n = length if length is not None else word_count(F.col(text_col)) + 1
-    rows = table(docs.select(F.col(id_col).alias("id"), n.cast("long").alias("n")), "lengths")
+    # The text takes part in the order, so rows without an id, or with the same, lie in many parts as well.
+    text = [F.col(text_col)] if text_col in docs.columns else []
+    rows = table(docs.select(F.col(id_col).alias("id"), n.cast("long").alias("n"), F.xxhash64(F.col(id_col), *text, F.lit(seed)).alias("h")), "lengths")
     lengths, counts = length_histogram(rows)
     bounds = optimal_boundaries(lengths, counts, n_buckets)
     sizes: dict[int, int] = {}
@@ -93,7 +95,7 @@ def pack(docs: DataFrame, n_buckets: int = 16, token_budget: int = 65536, rows_p
         sizes[at] = sizes.get(at, 0) + c
     salts = F.array(*[F.lit(1 + sizes.get(k, 0) // rows_per_salt) for k in range(len(bounds))]) if bounds else F.array(F.lit(1))
     lens = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(1).cast("long"))
-    placed = rows.withColumn("bucket", bucket_of(F.col("n"), bounds)).withColumn("h", F.xxhash64("id", F.lit(seed)))
+    placed = rows.withColumn("bucket", bucket_of(F.col("n"), bounds))
     placed = placed.withColumn("salt", F.pmod(F.col("h"), F.get(salts, F.col("bucket")).cast("long")))
     parts = placed.groupBy("bucket", "salt").agg(F.count("*").alias("c"))
     before = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -102,6 +102,17 @@ def test_pack_places_every_row_once(spark, odd_docs):
     assert packing.pack(odd_docs.limit(0)).count() == 0
 
 
+def test_rows_without_ids_lie_in_many_parts(spark):
+    df = spark.range(4000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('word ', id) AS text")
+    rows = packing.pack(df, n_buckets=2, token_budget=30, rows_per_salt=500)
+    places = rows.select("bucket", "batch", "slot")
+    assert rows.count() == places.distinct().count() == 4000
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(bucket" in plan and "salt" in plan
+    h = df.select(F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(9)).alias("s")).groupBy("s").count().collect()
+    assert len(h) == 9 and max(r["count"] for r in h) < 600
+
+
 def test_long_documents_have_exact_boundaries(spark):
     """Lengths far beyond any usual size are candidates one by one, like short ones."""
     rnd = random.Random(6)
