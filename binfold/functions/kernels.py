@@ -380,7 +380,7 @@ def cbs(x: np.ndarray, w: np.ndarray | None = None, alpha: float = 1e-4, seed: i
     return [(s, e) for s, e in zip(ends, ends[1:]) if e > s]
 
 
-def forward_from_gram(gram: np.ndarray, y: int, n_steps: int, n: int, allowed: np.ndarray) -> list[int]:
+def forward_from_gram(gram: np.ndarray, y: int, n_steps: int, n: int, allowed: np.ndarray, blocks: dict[int, set[int]] | None = None) -> list[int]:
     """``forward_selection`` from sums alone: ``gram`` holds the centred products of all columns over ``n`` rows.
 
     A chosen column is swept out of the matrix, which leaves the products of residuals, so a step takes no row.
@@ -397,6 +397,6 @@ def forward_from_gram(gram: np.ndarray, y: int, n_steps: int, n: int, allowed: n
         gain = np.where(usable, g[:, y] ** 2 / np.where(usable, norm, 1), -np.inf)
         best = int(np.argmax(gain))
         out.append(best)
-        open_[best] = False
+        open_[[best, *(blocks or {}).get(best, ())]] = False
         g = g - np.outer(g[:, best], g[best]) / g[best, best]
     return out

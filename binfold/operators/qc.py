@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from binfold.functions.safe import is_finite, safe_div
 from binfold.operators.bins import chromosome_totals, fractions, genome_offsets
 from binfold.operators.chi import chi_correct, chi_profile
 from binfold.operators.cohort import EXCLUDED, chromosome_statistics, diagnose, leave_one_out, match_outliers, outlier_samples, pairwise_distances
+from binfold.operators.scores import centred_products
 
 
 def control_group_qc(bins: DataFrame, chi_cutoff: float = 3.5, z_cutoff: float = 3.0, rule: str = "any_aberrant_score", labels: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -49,20 +49,7 @@ def regression_controls(frac: DataFrame, foci: list[int], n_models: int = 4, n_p
     p = 22
     value = lambda c: F.coalesce(F.sum(F.when(F.col("chrom") == c, F.col("frac"))), F.lit(0.0))
     wide = frac.where("chrom <= 22").groupBy("sample_id").agg(F.array(*[value(c) for c in range(1, p + 1)]).alias("f"))
-    first = wide.agg(F.count("*"), *[F.avg(F.get("f", F.lit(i))) for i in range(p)]).first()
-    n, mean = first[0], np.array([v or 0.0 for v in first[1:]])
-
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram = np.zeros((p, p))
-        for b in batches:
-            x = np.array(b.column(0).to_pylist(), float).reshape(-1, p) - mean
-            gram += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(p * p)), pa.array(gram.reshape(-1))], ["i", "g"])
-
-    gram = np.zeros(p * p)
-    for i, g in wide.select("f").mapInArrow(products, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect():
-        gram[i] = g
-    gram = gram.reshape(p, p)
+    n, mean, gram = centred_products(wide, "f", p)
     models = []
     for focus in foci:
         open_ = ~np.isin(np.arange(1, p + 1), [focus, *exclude])

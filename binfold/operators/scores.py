@@ -1,7 +1,7 @@
 """Chromosome scores of samples against a control group: z, normalised chromosome value, stepwise regression.
 
 A cohort is a few hundred samples by 24 chromosomes. Denominators are searched by ranges of numbered sets, so one search
-spreads over tasks; predictors are searched as one group per focus chromosome.
+spreads over tasks; predictors are searched from sums over the controls.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from binfold.functions.kernels import forward_selection, shapiro, unrank_sets
+from binfold.functions.kernels import forward_from_gram, shapiro, unrank_sets
 from binfold.functions.safe import safe_div
 from binfold.operators.cohort import EXCLUDED
 
@@ -154,10 +154,22 @@ def split_controls(samples: DataFrame, train_fraction: float, seed: int) -> Data
     return samples.withColumn("train", F.row_number().over(w) <= take)
 
 
-def _fit(train: np.ndarray, stat: np.ndarray, y: int, cols: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    coef = np.linalg.lstsq(np.column_stack((np.ones(len(train)), train[:, cols])), train[:, y], rcond=None)[0]
-    with np.errstate(all="ignore"):
-        return coef, stat[:, y] / np.column_stack((np.ones(len(stat)), stat[:, cols])).dot(coef)
+def centred_products(rows: DataFrame, column: str, p: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, means, and the ``p`` by ``p`` matrix of centred products of an array column, summed in the cluster."""
+    first = rows.agg(F.count("*"), *[F.avg(F.get(column, F.lit(i))) for i in range(p)]).first()
+    mean = np.array([v or 0.0 for v in first[1:]])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram = np.zeros((p, p))
+        for b in batches:
+            x = np.array(b.column(0).to_pylist(), float).reshape(-1, p) - mean
+            gram += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(p * p)), pa.array(gram.reshape(-1))], ["i", "g"])
+
+    gram = np.zeros(p * p)
+    for i, g in rows.select(column).mapInArrow(products, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect():
+        gram[i] = g
+    return first[0], mean, gram.reshape(p, p)
 
 
 def regression(sample_frac: DataFrame, control_frac: DataFrame, foci: list[int], n_models: int = 4, n_predictors: int = 4, exclude: tuple[int, ...] = EXCLUDED, train_fraction: float = 0.6, overdispersion: float = 1.15, force_practical_cv: bool = False, seed: int = 1995) -> DataFrame:
@@ -167,44 +179,58 @@ def regression(sample_frac: DataFrame, control_frac: DataFrame, foci: list[int],
     two models. ``z = (observed / predicted - 1) / cv`` with the practical CV of the other controls or the theoretical
     one, ``overdispersion / sqrt(reads)``, whichever is larger. Separated strands: give ``strand`` columns F and R on
     both tables; the response is then F + R, and the other strand of a predictor is barred from the same model.
+
+    Models come from sums over the training controls (means and products of at most 44 fractions and the responses), so
+    a cohort may be of any size; other controls and samples are scored where they are, and only the CV of a model and
+    the Shapiro-Wilk p of its control ratios are joined to the samples.
     """
     stranded = "strand" in control_frac.columns
-    cell = F.concat_ws(":", F.col("chrom").cast("string"), F.col("strand")) if stranded else F.col("chrom").cast("string")
-    shape = lambda df: df.where("chrom <= 22").select("sample_id", F.col("chrom").cast("int").alias("chrom"), cell.alias("cell"), F.col("frac").cast("double").alias("frac"), F.col("reads").cast("double").alias("reads"))
-    train = split_controls(control_frac.select("sample_id").distinct(), train_fraction, seed)
-    controls = shape(control_frac).join(train, "sample_id").withColumn("role", F.when(F.col("train"), "train").otherwise("stat")).drop("train")
-    rows = controls.unionByName(shape(sample_frac).withColumn("role", F.lit("sample"))).withColumn("sample_id", F.col("sample_id").cast("string"))
-    foci_df = control_frac.sparkSession.createDataFrame([(f,) for f in foci], "focus int")
-    whole = train_fraction >= 1
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        focus = int(key[0])
-        table = lambda role: pdf[pdf.role == role].pivot_table(index="sample_id", columns="cell", values="frac", fill_value=0.0).sort_index()
-        t, s, x = table("train"), table("stat"), table("sample")
-        s = t if whole or len(s) < 2 else s
-        cells = sorted(t.columns, key=lambda c: (int(c.split(":")[0]), c))
-        chrom = np.array([int(c.split(":")[0]) for c in cells])
-        response = lambda df: df[[c for c in cells if int(c.split(":")[0]) == focus]].to_numpy(float).sum(axis=1)
-        wide = lambda df: np.column_stack((df.reindex(columns=cells, fill_value=0.0).to_numpy(float), response(df.reindex(columns=cells, fill_value=0.0))))
-        tm, sm, xm = wide(t), wide(s), wide(x)
-        allowed = ~np.isin(chrom, [focus, *exclude])
-        pairs = {i: {j for j in range(len(cells)) if j != i and chrom[j] == chrom[i]} for i in range(len(cells))}
-        reads = pdf[(pdf.role == "sample") & (pdf.chrom == focus)].groupby("sample_id").reads.sum()
-        out = []
+    cells = [(c, s) for c in range(1, 23) for s in (("F", "R") if stranded else ("",))]
+    names, chrom, p = [f"{c}:{s}" if s else str(c) for c, s in cells], np.array([c for c, _ in cells]), len(cells)
+
+    def shape(df: DataFrame) -> DataFrame:
+        """Per sample the fractions of all cells, then the responses; and the reads of each focus."""
+        mine = lambda c, s: (F.col("chrom") == c) & ((F.col("strand") == s) if s else F.lit(True))
+        total = lambda cond, v: F.coalesce(F.sum(F.when(cond, F.col(v).cast("double"))), F.lit(0.0))
+        values = [total(mine(c, s), "frac") for c, s in cells] + [total(F.col("chrom") == f, "frac") for f in foci]
+        return df.where("chrom <= 22").groupBy(F.col("sample_id").cast("string").alias("sample_id")).agg(F.array(*values).alias("f"), F.array(*[total(F.col("chrom") == f, "reads") for f in foci]).alias("r"))
+
+    role = split_controls(control_frac.select("sample_id").distinct(), train_fraction, seed).select(F.col("sample_id").cast("string").alias("sample_id"), "train")
+    controls = shape(control_frac).join(role, "sample_id")
+    n, mean, gram = centred_products(controls.where("train"), "f", p + len(foci))
+    pairs = {i: {j for j in range(p) if j != i and chrom[j] == chrom[i]} for i in range(p)}
+    models = []
+    for k, focus in enumerate(foci):
+        allowed = np.append(~np.isin(chrom, [focus, *exclude]), np.zeros(len(foci), bool))
         for m in range(1, n_models + 1):
-            cols = forward_selection(tm[:, -1], tm[:, :-1], n_predictors, allowed, pairs)
+            cols = forward_from_gram(gram, p + k, n_predictors, n, allowed, pairs)
             if not cols:
                 break
             allowed[cols] = False
-            coef, ratio = _fit(tm, sm, tm.shape[1] - 1, cols)
-            own = xm[:, -1] / np.column_stack((np.ones(len(xm)), xm[:, cols])).dot(coef)
-            practical = float(ratio.std(ddof=1) / ratio.mean()) if len(ratio) > 1 else np.nan
-            for name, r in zip(x.index, own):
-                n = float(reads.get(name, 0.0))
-                theory = overdispersion / np.sqrt(n) if n > 0 else np.inf
-                use = force_practical_cv or practical >= theory
-                cv = practical if use else theory
-                out.append((name, focus, m, [cells[c] for c in cols], r, cv, "practical" if use else "theoretical", (r - 1) / cv if cv else np.nan, shapiro((ratio - 1) / cv if cv else ratio)[1]))
-        return pd.DataFrame(out, columns=["sample_id", "focus", "model", "predictors", "ratio", "cv", "cv_type", "z", "shapiro_p"])
-
-    return rows.join(F.broadcast(foci_df)).groupBy("focus").applyInPandas(run, "sample_id string, focus int, model int, predictors array<string>, ratio double, cv double, cv_type string, z double, shapiro_p double")
+            coef = np.linalg.solve(gram[np.ix_(cols, cols)], gram[cols, p + k])
+            models.append((k, focus, m, cols, float(mean[p + k] - coef @ mean[cols]), coef))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, reads = np.array(pdf["f"].tolist(), float).reshape(-1, p + len(foci)), np.array(pdf["r"].tolist(), float).reshape(-1, len(foci))
+            for k, focus, m, cols, base, coef in models:
+                with np.errstate(all="ignore"):
+                    ratio = x[:, p + k] / (base + x[:, cols] @ coef)
+                yield pd.DataFrame({"sample_id": pdf["sample_id"], "focus": focus, "model": m, "predictors": [[names[c] for c in cols]] * len(x), "ratio": ratio, "reads": reads[:, k]})
+
+    scored = "sample_id string, focus int, model int, predictors array<string>, ratio double, reads double"
+    rest = controls.where("not train")
+    if train_fraction >= 1 or rest.limit(2).count() < 2:
+        rest = controls.where("train")
+
+    @F.pandas_udf("double")
+    def p_value(v: pd.Series) -> float:
+        return shapiro(v.to_numpy(float))[1]
+
+    ratios = rest.select("sample_id", "f", "r").mapInPandas(score, scored)
+    practical = ratios.groupBy("focus", "model").agg(safe_div(F.stddev_samp("ratio"), F.avg("ratio")).alias("practical")).join(ratios.groupBy("focus", "model").agg(p_value("ratio").alias("shapiro_p")), ["focus", "model"])
+    rows = shape(sample_frac).mapInPandas(score, scored).join(F.broadcast(practical), ["focus", "model"])  # a row per model
+    theory = F.coalesce(safe_div(F.lit(overdispersion), F.sqrt(F.nullif(F.col("reads"), F.lit(0.0)))), F.lit(float("inf")))
+    use = F.lit(True) if force_practical_cv else F.coalesce(F.col("practical") >= theory, F.lit(False))
+    out = rows.withColumn("cv", F.when(use, F.col("practical")).otherwise(theory)).withColumn("cv_type", F.when(use, "practical").otherwise("theoretical"))
+    return out.withColumn("z", safe_div(F.col("ratio") - 1, F.nullif(F.col("cv"), F.lit(0.0)))).select("sample_id", "focus", "model", "predictors", "ratio", "cv", "cv_type", "z", "shapiro_p")

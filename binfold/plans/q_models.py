@@ -337,12 +337,12 @@ def k48(spark, d):
     return sex.sex_ncv_score(t, models).withColumn("ncv", F.round("ncv", 6))
 
 
-@query("k48b_sex_denominators", f"{_NCV} SELECT sex, CAST(focus AS INT) AS focus, (SELECT list(CAST(chrom AS INT) ORDER BY chrom) FROM pool WHERE (mask >> i) & 1 = 1) AS denominators, round(mean, 9) AS mean, round(100 * sd / mean, 9) AS cv FROM best")
+@query("k48b_sex_denominators", f"{_NCV} SELECT sex, CAST(focus AS INT) AS focus, (SELECT string_agg(CAST(chrom AS VARCHAR), ',' ORDER BY chrom) FROM pool WHERE (mask >> i) & 1 = 1) AS denominators, round(mean, 9) AS mean, round(100 * sd / mean, 9) AS cv FROM best")
 def k48b(spark, d):
     """The chosen sets themselves."""
     t = _totals(spark, d)
     models = sex.sex_ncv_models(t, sex.build_reference(t, _labels(spark, d)))
-    return models.select("sex", "focus", "denominators", F.round("mean", 9).alias("mean"), F.round("cv", 9).alias("cv"))
+    return models.select("sex", "focus", F.array_join("denominators", ",").alias("denominators"), F.round("mean", 9).alias("mean"), F.round("cv", 9).alias("cv"))
 
 
 @query("k49_sex_regression")
