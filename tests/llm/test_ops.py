@@ -534,7 +534,7 @@ def test_mixing_weight_zero_gives_its_share_to_siblings(spark):
     assert got == {"en": 375, "de": 375, "fr": 0}
 
 
-@pytest.mark.parametrize("name", ["op5_top_k_search", "op7_mixing", "op9_chat_formatting", "op10_exact_dedup"])
+@pytest.mark.parametrize("name", ["op5_top_k_search", "op7_mixing", "op9_chat_formatting", "op10_exact_dedup", "op11_substring_dedup", "op13_collocations"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
