@@ -70,9 +70,9 @@ _GAPS = "SELECT sample_id, chrom, pos AS x, pos + a AS y FROM c UNION ALL SELECT
 
 @query("a12b_cigar_depth", f"{_events_sql(_GAPS)} SELECT *, round(CAST(bases AS DOUBLE) / length, 9) AS mean FROM q")
 def a12b(spark, d):
-    """Depth of the aligned stretches, with cells so small that most reads cross one."""
+    """Depth of the aligned stretches, without deletions and skips."""
     reads = data.reads(spark, d).withColumn("cigar", F.expr(_CIGAR))
-    return R.depth(reads, "gaps", cell=64).withColumn("mean", F.round("mean", 9))
+    return R.depth(reads, "gaps").withColumn("mean", F.round("mean", 9))
 
 
 @query("a12c_coverage_summary", f"""{_events_sql("SELECT sample_id, chrom, pos AS x, pos + a + d + 38 + s AS y FROM c")}, g AS (SELECT s.sample_id, CAST(range AS VARCHAR) AS chrom, CAST(1000000 AS BIGINT) AS length, coalesce(bases, 0) AS bases, CASE WHEN coalesce(q.length, 0) < 1000000 THEN 0 ELSE min END AS min, coalesce(max, 0) AS max FROM (SELECT DISTINCT sample_id FROM reads) AS s CROSS JOIN range(1, 25) LEFT JOIN q ON q.sample_id = s.sample_id AND q.chrom = range),
