@@ -128,10 +128,15 @@ def gmm_classify(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def first_density_minimum(model: dict, lo: float = 0.0, hi: float = 0.02, points: int = 5000) -> float:
-    """First local minimum of a 1-D mixture's density on a grid; an error if there is none."""
+    """First local minimum of a 1-D mixture's density on a grid; an error if there is none.
+
+    Logarithms are compared: between two narrow components the density itself is zero in floating point.
+    """
     grid = np.linspace(lo, hi, points)
-    y = sum(model["weight"][k] * np.exp(-0.5 * (grid - model["mean"][k][0]) ** 2 / model["cov"][k][0, 0]) / np.sqrt(2 * np.pi * model["cov"][k][0, 0]) for k in range(2))
-    turn = np.flatnonzero(np.diff(np.sign(np.diff(y))) == 2)
+    y = np.logaddexp(*[np.log(model["weight"][k] + 1e-300) - 0.5 * ((grid - model["mean"][k][0]) ** 2 / model["cov"][k][0, 0] + np.log(2 * np.pi * model["cov"][k][0, 0])) for k in range(2)])
+    step = np.sign(np.diff(y))
+    moves = np.flatnonzero(step)  # equal neighbours at the bottom are passed over
+    turn = moves[:-1][np.diff(step[moves]) == 2]
     if not len(turn):
         raise ValueError("the density has no local minimum; give yfrac")
     return float(grid[turn[0] + 1])

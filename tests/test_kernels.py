@@ -37,6 +37,14 @@ def test_mixture_finds_two_groups():
         K.first_density_minimum(K.gmm(rng.normal(0.01, 0.001, 50)), 0.0, 0.005)
 
 
+@pytest.mark.parametrize("sd", [1e-3, 1e-4, 1e-5, 1e-6])
+def test_cutoff_between_narrow_components(sd):
+    """Samples with many reads scatter little: between their components the density is zero in floating point."""
+    rng = np.random.default_rng(2)
+    low, high = rng.normal(0.004, sd, 20), rng.normal(0.04, sd, 20)
+    assert low.max() < K.first_density_minimum(K.gmm(np.concatenate((low, high))), 0.0, 0.1) < high.min()
+
+
 def test_nearest_rows_equal_brute_force():
     rng = np.random.default_rng(4)
     ref = rng.integers(0, 3, (60, 4)).astype(float)  # many ties
