@@ -10,6 +10,8 @@ blocks, the last of which may end in the next split's. So a file of any size is
 
 from __future__ import annotations
 
+import itertools
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -30,8 +32,10 @@ BAM, CIGAR_OPS, BASES = b"BAM\x01", "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 TAG_BYTES = {b"A": 1, b"c": 1, b"C": 1, b"s": 2, b"S": 2, b"i": 4, b"I": 4, b"f": 4}
 TAG_NUMBER = {b"c": "<b", b"C": "<B", b"s": "<h", b"S": "<H", b"i": "<i", b"I": "<I"}
 _FIXED = np.dtype([("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("ops", "<u2"), ("flag", "<u2"), ("seq", "<i4"), ("mate", "<i4"), ("mate_pos", "<i4"), ("span", "<i4")])
-#: Records in a row that must be plausible where a split begins, and bytes of data decoded together.
-IN_A_ROW, CHUNK = 12, 4 << 20
+#: Records in a row that must be plausible where a split begins, places that are judged together, and bytes of data decoded or written together.
+IN_A_ROW, PLACES, CHUNK, PIECE = 12, 1 << 10, 4 << 20, 1 << 20
+#: Compressed bytes up to which a split grows where there are many.
+WIDEST = 64 << 20
 
 
 def _key(name: str) -> str:
@@ -85,6 +89,13 @@ def _plausible(data: bytes, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return ok
 
 
+def _places(data: bytes, lengths: np.ndarray) -> Iterator[int]:
+    """Plausible places in order; the first is mostly near, so few are judged at a time."""
+    for lo in range(0, len(data) - 35, PLACES):
+        places = np.arange(lo, min(lo + PLACES, len(data) - 35))
+        yield from places[_plausible(data, places, lengths)].tolist()
+
+
 def find_record(data: bytes, lengths: np.ndarray, whole: bool) -> int | None:
     """First place of ``data`` where records begin; None if more data is needed to tell, -1 if there is none.
 
@@ -92,8 +103,7 @@ def find_record(data: bytes, lengths: np.ndarray, whole: bool) -> int | None:
     """
     if len(data) < 36:
         return -1 if whole else None
-    places = np.arange(len(data) - 35)
-    for at in places[_plausible(data, places, lengths)].tolist():
+    for at in _places(data, lengths):
         n, end = 0, at
         while n < IN_A_ROW:
             if end == len(data) and whole:
@@ -215,10 +225,16 @@ class BamSplit(InputPartition):
     end: int
 
 
-def plan_splits(path: str, split_bytes: int) -> list[BamSplit]:
-    """Ranges of all files below a path; a file's sample is its folder ``sample_id=<sample>``, else its stem."""
+def plan_splits(path: str, split_bytes: int, tasks: int | None = None) -> list[BamSplit]:
+    """Ranges of all files below a path; a file's sample is its folder ``sample_id=<sample>``, else its stem.
+
+    With more data than ``tasks`` splits hold, splits grow up to ``WIDEST`` bytes: a task costs more than a small split.
+    """
+    files = list_files(path, ".bam")
+    if tasks:
+        split_bytes = max(split_bytes, min(WIDEST, sum(size for _, size in files) // tasks))
     out = []
-    for file, size in list_files(path, ".bam"):
+    for file, size in files:
         folder = file.split("/")[-2] if "/" in file else ""
         sample = folder[10:] if folder.startswith("sample_id=") else file.split("/")[-1].removesuffix(".bam")
         out += [BamSplit(file, sample, b, min(size, b + split_bytes)) for b in range(0, size, split_bytes)]
@@ -227,17 +243,18 @@ def plan_splits(path: str, split_bytes: int) -> list[BamSplit]:
 
 class BamReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path, self.split_bytes = options["path"], int(options.get("splitbytes", 64 << 20))
+        self.path, self.split_bytes = options["path"], int(options.get("splitbytes", WIDEST))
+        self.tasks = int(options["tasks"]) if "tasks" in options else None
 
     def partitions(self) -> list[InputPartition]:
-        return plan_splits(self.path, self.split_bytes)
+        return plan_splits(self.path, self.split_bytes, self.tasks)
 
     def read(self, partition: BamSplit) -> Iterator[pa.RecordBatch]:
         yield from read_split(partition.path, partition.sample, partition.begin, partition.end)
 
 
 class BamSource(DataSource):
-    """Options: ``path``, a file or folder that executors can open; ``splitBytes``, compressed bytes a task reads."""
+    """Options: ``path``, a file or folder that executors can open; ``splitBytes``, compressed bytes a task reads; ``tasks``, beyond which splits grow."""
 
     @classmethod
     def name(cls) -> str:
@@ -250,10 +267,13 @@ class BamSource(DataSource):
         return BamReader(self.options)
 
 
-def read_bam(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
-    """Reads of binary alignments with the columns of ``read_sam``; ``read_no`` is the record's place in its file."""
+def read_bam(spark: SparkSession, path: str, split_bytes: int = WIDEST) -> DataFrame:
+    """Reads of binary alignments with the columns of ``read_sam``; ``read_no`` is the record's place in its file.
+
+    Splits smaller than ``WIDEST`` grow where they would make more than eight tasks a core.
+    """
     spark.dataSource.register(BamSource)
-    return spark.read.format("binfold_bam").option("splitBytes", split_bytes).load(path)
+    return spark.read.format("binfold_bam").option("splitBytes", split_bytes).option("tasks", 8 * spark.sparkContext.defaultParallelism).load(path)
 
 
 def bam_lengths(spark: SparkSession, path: str) -> DataFrame:
@@ -284,6 +304,42 @@ def _record(row: dict, refs: dict[str, int]) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
+def _records(batch: pa.RecordBatch, refs: dict[str, int]) -> Iterator[bytes]:
+    """Records of a batch of reads with their CIGAR as text, as ``_record`` makes them one by one; in pieces of about ``PIECE`` bytes."""
+    col = {n: batch.column(n).to_pylist() for n in ("name", "chrom", "mate_chrom", "cigar")}
+    limits = {"pos": (-(1 << 31), 1 << 31), "flag": (0, 1 << 16), "mapq": (0, 1 << 8), "mate_pos": (-(1 << 31), 1 << 31), "seq_len": (0, 1 << 31), "nm": (-(1 << 31), 1 << 31)}
+    number = {}
+    for n, (lo, hi) in limits.items():
+        v = batch.column(n)
+        number[n] = v.to_numpy(zero_copy_only=False)
+        if v.null_count or len(v) and not (lo <= number[n].min() and number[n].max() < hi):
+            raise ValueError(f"{n} has values that the format cannot hold")
+    ops = {}
+    for c in set(col["cigar"]):
+        found = [] if c == "*" else re.findall(r"\d+|[MIDNSHP=X]", c)
+        ops[c] = b"".join(struct.pack("<I", int(n) << 4 | CIGAR_OPS.index(o)) for n, o in zip(found[::2], found[1::2]))
+    names = [(n or "*").encode() + b"\0" for n in col["name"]]
+    cigars = [ops[c] for c in col["cigar"]]
+    f = np.zeros(len(names), _FIXED)
+    name_bytes, cigar_bytes = np.array([len(n) for n in names], np.int64), np.array([len(c) for c in cigars], np.int64)
+    if len(names) and (name_bytes.max() > 255 or cigar_bytes.max() > 4 * 65535):
+        raise ValueError("a name or CIGAR is longer than the format can hold")
+    size = 39 + name_bytes + cigar_bytes + (number["seq_len"].astype(np.int64) + 1) // 2 + number["seq_len"]
+    f["ref"], f["mate"] = [refs.get(c, -1) for c in col["chrom"]], [refs.get(c, -1) for c in col["mate_chrom"]]
+    for to, own in (("pos", "pos"), ("mapq", "mapq"), ("flag", "flag"), ("seq", "seq_len"), ("mate_pos", "mate_pos")):
+        f[to] = number[own]
+    f["size"], f["name"], f["ops"] = size, name_bytes, cigar_bytes // 4
+    fixed, tags = f.tobytes(), number["nm"].astype("<i4").tobytes()
+    parts, held = [], 0
+    for i, (name, cigar, n) in enumerate(zip(names, cigars, number["seq_len"].tolist())):
+        parts += (fixed[36 * i : 36 * i + 36], name, cigar, b"\x11" * ((n + 1) // 2), b"\xff" * n, b"NMi", tags[4 * i : 4 * i + 4])
+        held += n + n // 2 + 64
+        if held > PIECE:
+            yield b"".join(parts)
+            parts, held = [], 0
+    yield b"".join(parts)
+
+
 def write_bam(reads: DataFrame, lengths: DataFrame, path: str, parts: int | None = None) -> None:
     """Reads as files ``sample_id=<sample>/part-<k>.bam`` in genome order; ``lengths`` is the header (a row per chromosome).
 
@@ -306,24 +362,27 @@ def write_bam(reads: DataFrame, lengths: DataFrame, path: str, parts: int | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, open_for, out, file = [], None, None, ""
         for b in batches:
-            for row in b.to_pylist():
-                if row["sample_id"] != open_for:
+            at = 0
+            for sample, own in itertools.groupby(b.column("sample_id").to_pylist()):
+                n = sum(1 for _ in own)
+                if sample != open_for:
                     if out:
                         out.close()
                         done.append((open_for, file))
-                    open_for, file = row["sample_id"], f"{drafts}/{uuid.uuid4().hex}.bam"
+                    open_for, file = sample, f"{drafts}/{uuid.uuid4().hex}.bam"
                     system, inner = locate(file)
                     out = BlockWriter(system.open_output_stream(inner))
                     out.write(head)
-                out.write(_record(row, index))
+                for piece in _records(b.slice(at, n), index):
+                    out.write(piece)
+                at += n
         if out:
             out.close()
             done.append((open_for, file))
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done)], ["sample_id", "file"])
 
-    cigar = F.regexp_extract_all("cigar", F.lit(r"(\d+|[MIDNSHP=X])"), 1)
-    rows = reads.select(F.col("sample_id").cast("string").alias("sample_id"), F.col("name").cast("string").alias("name"), F.col("chrom").cast("string").alias("chrom"), "pos", "flag", "mapq", F.when(F.col("cigar") == "*", F.array().cast("array<string>")).otherwise(cigar).alias("cigar"), F.col("mate_chrom").cast("string").alias("mate_chrom"), "mate_pos", "seq_len", "nm")
+    rows = reads.select(F.col("sample_id").cast("string").alias("sample_id"), F.col("name").cast("string").alias("name"), F.col("chrom").cast("string").alias("chrom"), "pos", "flag", "mapq", "cigar", F.col("mate_chrom").cast("string").alias("mate_chrom"), "mate_pos", "seq_len", "nm")
     order = ["sample_id", F.col("chrom").try_cast("int").asc_nulls_last(), "pos"]
     rows = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
     files = sorted(map(tuple, rows.sortWithinPartitions(*order).mapInArrow(run, "sample_id string, file string").collect()))

@@ -2,6 +2,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,33 @@ def test_scan_runs_in_several_tasks(spark):
     per_task = got.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] > 0 for r in per_task) >= 4 and sum(r["count"] for r in per_task) == reads.count()
     assert {r["sample_id"] for r in got.select("sample_id").distinct().collect()} == {"5"}
+
+
+def test_batches_of_records_equal_single_ones(monkeypatch):
+    monkeypatch.setattr(bam, "PIECE", 5_000)
+    rows, refs = made(7, 500), {"1": 0, "23": 1}
+    batch = pa.RecordBatch.from_pylist([r | {"cigar": "".join(r["cigar"]) or "*", "name": None if i % 50 == 0 else r["name"]} for i, r in enumerate(rows)])
+    want = b"".join(bam._record(r | {"name": None if i % 50 == 0 else r["name"]}, refs) for i, r in enumerate(rows))
+    got = list(bam._records(batch, refs))
+    assert len(got) > 5 and b"".join(got) == want
+    for bad in ({"mapq": 256}, {"flag": 70_000}, {"pos": 1 << 31}, {"nm": None}, {"name": "n" * 255}):
+        with pytest.raises(ValueError):
+            list(bam._records(pa.RecordBatch.from_pylist([batch.slice(0, 1).to_pylist()[0] | bad]), refs))
+
+
+def test_the_first_record_is_found_without_judging_all_places(monkeypatch):
+    refs, lengths, judged = {"1": 0, "23": 1}, np.array([10_000_000, 5_000_000]), []
+    data = b"\x07" * 40 + b"".join(bam._record(r, refs) for r in made(8, 3000))
+    plausible = bam._plausible
+    monkeypatch.setattr(bam, "_plausible", lambda d, at, n: judged.append(len(at)) or plausible(d, at, n))
+    assert bam.find_record(data, lengths, False) == 40 and sum(judged) < 2_000 < len(data)
+
+
+def test_small_splits_grow_with_the_files(tmp_path):
+    path = str(tmp_path / "s.bam")
+    write(path, made(9, 3000))
+    size = BlockReader(path).size
+    few = bam.plan_splits(path, size // 100, 4)
+    assert len(bam.plan_splits(path, size // 100)) >= 100 and len(few) in (4, 5) and len(bam.plan_splits(path, size // 2 + 1, 4)) == 2
+    assert [s.begin for s in few] == [0, *(s.end for s in few[:-1])] and few[-1].end == size
+    assert len(rows_of([list(bam.read_split(s.path, s.sample, s.begin, s.end)) for s in few])) == 3000
