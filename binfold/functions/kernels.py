@@ -159,8 +159,8 @@ def nearest_rows(target: np.ndarray, ref: np.ndarray, ref_idx: np.ndarray, k: in
     out_i, out_d = np.zeros((m, k), np.int64), np.ones((m, k))
     if not len(ref):
         return out_i, out_d
-    norm = (ref**2).sum(axis=1)
-    step = max(1, min(256, 4_000_000 // len(ref)))  # bounds the memory
+    norm = np.einsum("ij,ij->i", ref, ref)
+    step = max(1, min(256, 1_000_000 // len(ref)))  # bounds the memory
     for lo in range(0, m, step):
         t = target[lo : lo + step]
         tn = (t**2).sum(axis=1)

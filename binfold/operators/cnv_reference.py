@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,36 +141,61 @@ def distance_outliers(corrected: DataFrame, branch: str = "A", multiplier: dict
     return dist.join(F.broadcast(cut.select("cls", "cutoff")), "cls").where(F.col("d") > F.col("cutoff")).select("masked_idx", "d", "cutoff")
 
 
-def knn_bins(matrix: DataFrame, k: int = 300, branch: str = "A", block: int = 1024, ref_bytes: int = 256 << 20) -> DataFrame:
+#: Parts of the bins that meet in pairs, as long as a part fits in memory.
+SIDES = 8
+
+
+def _rows(col: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as rows of a matrix."""
+    return col.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(col), -1)
+
+
+def _lists(m: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+
+
+def part_sizes(n: int, width: int, block: int | None, ref_bytes: int) -> tuple[int, int]:
+    """Targets in a block and bins in a chunk."""
+    fit = max(1, ref_bytes // (8 * max(1, width)))
+    if block is not None:
+        return block, max(block, fit)
+    own = max(1024, min(-(-n // SIDES), fit))
+    return own, own
+
+
+def knn_bins(matrix: DataFrame, k: int = 300, branch: str = "A", block: int | None = None, ref_bytes: int = 32 << 20) -> DataFrame:
     """``masked_idx, refs, distances``: each bin's k nearest bins on other chromosomes, ties to the smaller index.
 
-    Blocks of targets meet chunks of all bins, as many bins as fit in ``ref_bytes``; where one chunk is not all, the best
-    of each chunk are merged. Short lists are filled with index 0, distance 1. In the F and M branches targets on
-    chromosomes 1 to 21 are skipped and keep such lists (22 is computed).
+    Blocks of targets meet chunks of bins, and the best of each chunk are merged. Both are an eighth of the bins, so each
+    bin is sent 16 times, until an eighth is more than ``ref_bytes``: then they are what fits. With ``block`` targets
+    in a block, chunks are what fits. Short lists are filled with index 0, distance 1. In the F and M branches targets
+    on chromosomes 1 to 21 are skipped and keep such lists (22 is computed). Bins without a chromosome take no part.
     """
+    matrix = matrix.where(F.col("chrom").isNotNull())
     top, width = matrix.agg(F.max("masked_idx"), F.max(F.size("x"))).first()
-    top, per_chunk = top or 0, max(block, ref_bytes // (8 * max(1, width or 1)))
+    top, width = top or 0, width or 1
+    block, per_chunk = part_sizes(top + 1, width, block, ref_bytes)
     blocks, chunks = 1 + top // block, 1 + top // per_chunk
     skip = branch != "A"
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if not len(left) or not len(right):
-            return pd.DataFrame({"masked_idx": [], "refs": [], "distances": []})
-        ref, idx, chrom = _stack(right["ref_x"]), right["ref_idx"].to_numpy(), right["ref_chrom"].to_numpy()
-        for c, own in left.groupby("chrom"):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, out = ["masked_idx", "refs", "distances"], []
+        ref = _rows(right["ref_x"]) if len(left) and len(right) else None
+        idx, of = right["ref_idx"].to_numpy(), left["chrom"].to_numpy()
+        for c in np.unique(of) if ref is not None else ():
+            own = np.flatnonzero(of == c)
             if skip and c < 22:
                 refs, dist = np.zeros((len(own), k), np.int64), np.ones((len(own), k))
             else:
-                other = chrom != c
-                refs, dist = nearest_rows(_stack(own["x"]), ref[other], idx[other] + 1, k)
-            out.append(pd.DataFrame({"masked_idx": own["masked_idx"].to_numpy(), "refs": list(refs), "distances": list(dist)}))
-        return pd.concat(out)
+                other = right["ref_chrom"].to_numpy() != c
+                refs, dist = nearest_rows(_rows(left["x"].take(own)), ref[other], idx[other] + 1, k)
+            out.append(pa.Table.from_arrays([left["masked_idx"].take(own).cast(pa.int64()), _lists(refs), _lists(dist)], names))
+        return pa.concat_tables(out) if out else pa.table({"masked_idx": pa.array([], pa.int64()), "refs": pa.array([], pa.list_(pa.int64())), "distances": pa.array([], pa.list_(pa.float64()))})
 
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    targets = matrix.select("*", F.floor(F.col("masked_idx") / block).cast("int").alias("block"), every(chunks, "chunk"))
+    targets = matrix.select("masked_idx", "chrom", "x", F.floor(F.col("masked_idx") / block).cast("int").alias("block"), every(chunks, "chunk"))
     copies = matrix.select(F.col("masked_idx").alias("ref_idx"), F.col("chrom").alias("ref_chrom"), F.col("x").alias("ref_x"), F.floor(F.col("masked_idx") / per_chunk).cast("int").alias("chunk"), every(blocks, "block"))
-    found = targets.groupBy("block", "chunk").cogroup(copies.groupBy("block", "chunk")).applyInPandas(run, "masked_idx long, refs array<long>, distances array<double>")
+    found = targets.groupBy("block", "chunk").cogroup(copies.groupBy("block", "chunk")).applyInArrow(run, "masked_idx long, refs array<long>, distances array<double>")
     if chunks == 1:
         return found
     pairs = F.filter(F.arrays_zip("distances", "refs"), lambda p: p["refs"] > 0)

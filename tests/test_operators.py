@@ -216,6 +216,26 @@ def test_knn_in_chunks_equals_one_chunk(spark):
     assert all(x.count(0) == 9 - (2 if i < 6 else 6) for i, x in few.items())
 
 
+@pytest.mark.parametrize("n, width", [(5_000, 64), (50_000, 64), (500_000, 64), (40_000, 800)])
+def test_knn_sends_a_bin_as_often_whatever_the_number_of_bins(n, width):
+    """And no part is larger than what fits, beyond which the copies have to grow."""
+    block, chunk = cnv_reference.part_sizes(n, width, None, 32 << 20)
+    assert 8 * width * max(block, chunk) <= 32 << 20
+    assert -(-n // block) + -(-n // chunk) <= max(16, 2 * (1 + n * 8 * width // (32 << 20)))
+
+
+def test_knn_equals_brute_force_and_leaves_out_bins_without_a_chromosome(spark):
+    rng = np.random.default_rng(4)
+    x, chrom = rng.normal(size=(2_500, 6)), [None if i % 50 == 0 else 1 + i % 3 for i in range(2_500)]
+    m = spark.createDataFrame([(i, c, v.tolist()) for i, (c, v) in enumerate(zip(chrom, x))], "masked_idx long, chrom int, x array<double>")
+    got = {r["masked_idx"]: r["refs"] for r in cnv_reference.knn_bins(m, 4).collect()}
+    assert set(got) == {i for i, c in enumerate(chrom) if c}
+    for i in rng.choice(sorted(got), 60, replace=False).tolist():
+        far = ((x - x[i]) ** 2).sum(axis=1)
+        far[[j for j, c in enumerate(chrom) if c is None or c == chrom[i]]] = np.inf
+        assert got[i] == (np.argsort(far, kind="stable")[:4] + 1).tolist()
+
+
 def test_female_pruning_leaves_the_male_branch_alone(spark):
     df, lengths = cnv_cohort(spark, n=20)
     # Three bins of X vary wildly among females only, each in its own way: one component can't explain them all.
