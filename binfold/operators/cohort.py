@@ -36,8 +36,8 @@ def drop_samples(group: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def missing_members(wanted: DataFrame, present: DataFrame) -> DataFrame:
-    """Names asked for that the other side lacks."""
-    return wanted.select("sample_id").join(present.select("sample_id"), "sample_id", "left_anti")
+    """Names asked for that the other side lacks; of its rows, however many, only the distinct names are joined."""
+    return wanted.select("sample_id").join(present.select("sample_id").distinct(), "sample_id", "left_anti")
 
 
 def chromosome_scores(frac: DataFrame, keys: list[str] | None = None) -> DataFrame:

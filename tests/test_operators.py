@@ -465,3 +465,11 @@ def test_within_sample_where_samples_lack_bins(spark):
     assert set(got) == {r[:2] for r in rows}
     assert [got[s, 3]["n_refs"] for s in "abc"] == [2, 2, 2] and all(r["n_refs"] == 0 and math.isnan(r["z"]) and r["r"] is None for k, r in got.items() if k[1] != 3)
     assert math.isnan(got["a", 3]["z"]) and got["b", 3]["z"] == got["c", 3]["z"] == math.inf and [got[s, 3]["r"] for s in "abc"] == [1.0, 1.5, 2.0]
+
+
+def test_missing_members_joins_names_not_rows(spark):
+    """The side that is looked up is broadcast or hashed: one row a name, however many reads it has."""
+    present = spark.range(1000).select((F.col("id") % 7).cast("int").alias("sample_id"))
+    out = cohort.missing_members(spark.range(9).select(F.col("id").cast("int").alias("sample_id")), present)
+    assert sorted(r["sample_id"] for r in out.collect()) == [7, 8]
+    assert "Aggregate" in out._jdf.queryExecution().optimizedPlan().toString()
