@@ -101,8 +101,9 @@ def denominator_search(rows: DataFrame, keys: dict[str, str], p: int, min_size:
 
     sums = work.repartition(max(1, min(len(ranges), 200)), "lo", "size").mapInArrow(run, f"{schema}, size int, rank long, n long, s1 double, s2 double, middle double, ok boolean")
     sums = sums.groupBy(*names, "size", "rank").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.first("middle").alias("middle"), F.min("ok").alias("ok")).where("ok and n > 1")
-    mean = F.col("middle") + F.col("s1") / F.col("n")
-    sd = F.sqrt(F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.lit(0.0)) / (F.col("n") - 1))
+    # Guarded, as the filter on n may be evaluated after the quotients.
+    mean = F.col("middle") + safe_div("s1", "n")
+    sd = F.sqrt(safe_div(F.greatest(F.col("s2") - safe_div(F.col("s1") * F.col("s1"), "n"), F.lit(0.0)), F.col("n") - 1))
     rated = sums.select(*names, "size", "rank", "n", mean.alias("mean"), sd.alias("sd")).withColumn("cv", safe_div("sd", F.nullif(F.col("mean"), F.lit(0.0)))).where("cv is not null and not isnan(cv)")
     best = rated.groupBy(*names).agg(F.min(F.struct("cv", "size", "rank", "mean", "sd", "n")).alias("b")).select(*names, "b.*")
 
