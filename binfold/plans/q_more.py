@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from binfold.operators import bins as B
@@ -243,6 +243,12 @@ def i03(spark, d):
     return spark.read.parquet(out).groupBy("sample_id").agg(F.count("*").alias("n"))
 
 
+def _deal(rows: DataFrame, folder: str) -> None:
+    """Three files of reads at random; only the writing is one task, what makes the rows is not."""
+    for k in range(3):
+        rows.where(F.pmod(F.xxhash64("read_no", "sample_id", "chrom"), F.lit(3)) == k).repartition(1).write.mode("append").parquet(folder)
+
+
 @query("i03b_ordered_dedup", f"{W}, {KEPT} SELECT sample_id, count(*) AS n FROM kept GROUP BY 1")
 def i03b(spark, d):
     """Reads dealt to batches at random: held back until the watermark has passed them, they give the batch result."""
@@ -250,8 +256,7 @@ def i03b(spark, d):
     order = Window.partitionBy("sample_id", "chrom").orderBy("pos", *data.ORDER)
     cols = ["sample_id", "chrom", "pos", "mate_pos", "flag", "read_no", "ts"]
     rows = data.reads(spark, d).withColumn("read_no", F.row_number().over(order).cast("long")).withColumn("ts", F.timestamp_seconds(F.col("pos") / 1000 + 60)).select(*cols)
-    for k in range(3):
-        rows.where(F.pmod(F.xxhash64("read_no", "sample_id", "chrom"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(folder)
+    _deal(rows, folder)
     for k in (1, 2):  # two late reads of no sample move the watermark past all others
         spark.range(1).selectExpr("-1 AS sample_id", "1 AS chrom", "1000000000L AS pos", "0L AS mate_pos", "0 AS flag", "0L AS read_no", f"timestamp_seconds({k}0000000) AS ts").write.mode("append").parquet(folder)
     provider, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -473,3 +473,13 @@ def test_missing_members_joins_names_not_rows(spark):
     out = cohort.missing_members(spark.range(9).select(F.col("id").cast("int").alias("sample_id")), present)
     assert sorted(r["sample_id"] for r in out.collect()) == [7, 8]
     assert "Aggregate" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_batches_of_a_stream_are_dealt_from_many_tasks(spark, tmp_path):
+    from binfold.plans.q_more import _deal
+
+    rows = spark.range(300).repartition(4).select(F.col("id").alias("read_no"), F.lit(1).alias("sample_id"), F.lit(1).alias("chrom"), F.spark_partition_id().alias("task"))
+    _deal(rows, str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == got.select("read_no").distinct().count() == 300 and len(list((tmp_path / "out").glob("*.parquet"))) == 3
+    assert got.select("task").distinct().count() == 4
