@@ -6,6 +6,10 @@ compressed members; ``.bgz`` is read by naming the gzip codec.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,27 +146,70 @@ def read_gc_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(key.cast("int").alias("chrom"), F.floor(_int(1) / (_int(2) - _int(1))).cast("int").alias("bin"), _double(3).alias("gc"))
 
 
+def _along_splits(rows: bool):
+    """Names and offsets of FASTA lines ``f, split, head, seq, len`` in file order: a row per sequence line, or one per split.
+
+    A line's name and offset are those since the last name line of its split; without one, ``name`` is NULL. What goes
+    on from batch to batch is the split at hand, its last name and the length since then.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, name, length = None, None, 0
+
+        def tail() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), pa.array([name], pa.string()), pa.array([length], pa.int64())], ["f", "split", "name", "len"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            split, size = b.column(1).to_numpy(), b.column(4).to_numpy().astype(np.int64)
+            named, file = ~b.column(2).is_null().to_numpy(zero_copy_only=False), b.column(0).dictionary_encode().indices.to_numpy()
+            cuts = [0, *(np.flatnonzero((file[1:] != file[:-1]) | (split[1:] != split[:-1])) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                here = (b.column(0)[lo].as_py(), int(split[lo]))
+                if here != key:
+                    if key and not rows:
+                        yield tail()
+                    key, name, length = here, None, 0
+                heads, sums = np.flatnonzero(named[lo:hi]), np.cumsum(size[lo:hi])
+                # The row of the last name line up to each row; -1 stands for what was carried here.
+                last = np.full(hi - lo, -1)
+                last[heads] = heads
+                last = np.maximum.accumulate(last)
+                since = np.where(last < 0, -length, sums[last])
+                if rows:
+                    body = np.flatnonzero(~named[lo:hi])
+                    names = pa.concat_arrays([pa.array([name], pa.string()), b.column(2).slice(lo, hi - lo).cast(pa.string())]).take(pa.array(last[body] + 1))
+                    at = (sums - size[lo:hi] - since)[body]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lo + body)), pa.array(split[lo:hi][body]), names, pa.array(at), b.column(3).take(pa.array(lo + body))], ["f", "split", "name", "at", "seq"])
+                name, length = b.column(2)[lo + int(last[-1])].as_py() if last[-1] >= 0 else name, int(sums[-1] - since[-1])
+        if key and not rows:
+            yield tail()
+
+    return run
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """``chrom, start, seq`` per sequence line.
 
-    A file is read in splits. Names and offsets follow from running values inside a split and from what the splits
-    before it left open: one row per split goes through the window over a file, however many lines it has.
+    A file is read in splits. Names and offsets are running values inside a split, kept by the task that reads it, so
+    lines are neither shuffled nor sorted; what the splits before it left open reaches a split as one row of a table
+    that has a row per split.
     """
     from pyspark.sql import Window
 
-    raw = _text(spark, path).select(F.monotonically_increasing_id().alias("i"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("split"), F.trim("value").alias("v")).where("v <> ''")
-    inside = Window.partitionBy("f", "split").orderBy("i")
-    lines = raw.withColumn("h", F.when(F.col("v").startswith(">"), F.regexp_extract("v", r"^>(\S+)", 1))).withColumn("name", F.last("h", True).over(inside)).withColumn("part", F.count("h").over(inside))
-    lines = lines.withColumn("len", F.when(F.col("h").isNull(), F.length("v")).otherwise(0))
+    raw = _text(spark, path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("split"), F.trim("value").alias("v")).where("v <> ''")
+    head = F.col("v").startswith(">")
+    lines = raw.select("f", "split", F.when(head, F.regexp_extract("v", r"^>(\S+)", 1)).alias("head"), F.when(~head, F.col("v")).alias("seq"), F.when(head, 0).otherwise(F.length("v")).cast("long").alias("len"))
     # What a split leaves open: its last name, and the length since then (or all of it, without a name).
-    tails = lines.groupBy("f", "split", "part").agg(F.max("name").alias("name"), F.sum("len").alias("len")).groupBy("f", "split").agg(F.max_by("name", "part").alias("name"), F.max_by("len", "part").alias("tail"), F.max("part").alias("names"))
+    tails = lines.withColumn("seq", F.lit(None).cast("string")).mapInArrow(_along_splits(False), "f string, split long, name string, len long")
     files = Window.partitionBy("f").orderBy("split")
-    tails = tails.withColumn("open", F.last("name", True).over(files)).withColumn("run", F.sum((F.col("names") > 0).cast("int")).over(files))
-    tails = tails.withColumn("so_far", F.sum("tail").over(Window.partitionBy("f", "run").orderBy("split")))
+    tails = tails.withColumn("open", F.last("name", True).over(files)).withColumn("run", F.sum(F.col("name").isNotNull().cast("int")).over(files))
+    tails = tails.withColumn("so_far", F.sum("len").over(Window.partitionBy("f", "run").orderBy("split")))
     tails = tails.select("f", "split", F.lag("open").over(files).alias("before"), F.coalesce(F.lag("so_far").over(files), F.lit(0)).alias("carried"))
-    body = lines.withColumn("at", F.sum("len").over(Window.partitionBy("f", "split", "part").orderBy("i")) - F.col("len")).where("h is null").join(tails, ["f", "split"])
-    first = F.col("part") == 0
-    return body.select(chrom_key(F.when(first, F.col("before")).otherwise(F.col("name"))).alias("chrom"), (F.col("at") + F.when(first, F.col("carried")).otherwise(0)).alias("start"), F.col("v").alias("seq"))
+    body = lines.mapInArrow(_along_splits(True), "f string, split long, name string, at long, seq string").join(F.broadcast(tails), ["f", "split"])
+    first = F.col("name").isNull()
+    return body.select(chrom_key(F.coalesce("name", "before")).alias("chrom"), (F.col("at") + F.when(first, F.col("carried")).otherwise(0)).alias("start"), "seq")
 
 
 def sample_of_file(ending: str) -> Column:
