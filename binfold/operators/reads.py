@@ -6,6 +6,11 @@ of reads at one position total (``read_no``).
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,42 +147,146 @@ def covered_blocks(reads: DataFrame, spans: str = "length") -> DataFrame:
     """
     if spans == "length":
         return reads.select("sample_id", "chrom", F.col("pos").alias("start"), (F.col("pos") + F.col("seq_len")).alias("end"))
-    ops = F.transform(F.regexp_extract_all("cigar", F.lit("([0-9]+[MIDNSHP=X])"), 1), lambda o: F.struct(F.substring(o, F.lit(1), F.length(o) - 1).cast("long").alias("n"), F.right(o, F.lit(1)).alias("k")))
-    if spans == "whole":
-        size = F.aggregate(ops, F.lit(0).cast("long"), lambda t, o: t + F.when(o["k"].isin("M", "D", "N", "=", "X"), o["n"]).otherwise(0))
-        return reads.select("sample_id", "chrom", F.col("pos").alias("start"), (F.col("pos") + size).alias("end")).where("start < end")
-    if spans != "gaps":
+    if spans not in ("whole", "gaps"):
         raise ValueError("spans must be length, whole or gaps")
-    block = lambda t, o: F.struct(t["at"].alias("start"), (t["at"] + o["n"]).alias("end"))
-    none = F.array().cast("array<struct<start: bigint, end: bigint>>")
-    step = lambda t, o: F.struct((t["at"] + F.when(o["k"].isin("M", "D", "N", "=", "X"), o["n"]).otherwise(0)).alias("at"), F.when(o["k"].isin("M", "=", "X"), F.concat(t["blocks"], F.array(block(t, o)))).otherwise(t["blocks"]).alias("blocks"))
-    walked = F.aggregate(ops, F.struct(F.col("pos").cast("long").alias("at"), none.alias("blocks")), step, lambda t: t["blocks"])
-    return reads.select("sample_id", "chrom", F.explode(walked).alias("b")).select("sample_id", "chrom", "b.start", "b.end").where("start < end")
+    kinds = dict(reads.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                coded = b.column(3).dictionary_encode()  # a CIGAR is taken apart once a batch
+                stretches = [_stretches(c, spans) for c in coded.dictionary.to_pylist()]
+                flat, held = np.array([x for c in stretches for x in c], np.int64).reshape(-1, 2), np.array([len(c) for c in stretches], np.int64)
+                code = coded.indices.to_numpy()
+                row, nth = _repeated(held[code])
+                found = flat[(np.cumsum(held) - held)[code][row] + nth] + b.column(2).to_numpy()[row][:, None]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(found[:, 0]), pa.array(found[:, 1])], ["sample_id", "chrom", "start", "end"])
+
+    used = reads.select("sample_id", "chrom", F.col("pos").cast("long").alias("pos"), "cigar").where("pos is not null and cigar is not null")
+    return used.mapInArrow(run, f"sample_id {kinds['sample_id']}, chrom {kinds['chrom']}, start long, end long")
+
+
+def _stretches(cigar: str, spans: str) -> list[tuple[int, int]]:
+    """What a CIGAR covers, from the read's position on: its aligned stretches, or all from first to last."""
+    at, out = 0, []
+    for n, kind in re.findall("([0-9]+)([MIDNSHP=X])", cigar):
+        if kind in "M=X" and spans == "gaps" and int(n):
+            out.append((at, at + int(n)))
+        at += int(n) if kind in "MDN=X" else 0
+    return out if spans == "gaps" else [(0, at)] if at else []
+
+
+def _repeated(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers, each as often as ``n`` says, and the count from 0 inside each."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - (np.cumsum(n) - n)[row]
+
+
+def _packed(cell: int, most: int = 200_000):
+    """Blocks ``sample_id, chrom, start, end`` as rows ``sample_id, chrom, cell, first, last``.
+
+    Blocks are cut where cells begin; ``first`` and ``last`` hold the first and last places, counted from the start of
+    the cell, of up to ``most`` pieces of one cell.
+    """
+    width = "<u2" if cell <= 1 << 16 else "<u4"
+
+    def pack(blocks: pa.Table) -> Iterator[pa.RecordBatch]:
+        sample, chrom = (blocks.column(k).combine_chunks().dictionary_encode("encode") for k in (0, 1))
+        start, end = (blocks.column(k).to_numpy() for k in (2, 3))
+        group = sample.indices.to_numpy().astype(np.int64) * len(chrom.dictionary) + chrom.indices.to_numpy()
+        pieces = (end - 1) // cell - start // cell + 1
+        parts = (np.cumsum(pieces) - pieces) // most  # long blocks are not all cut at once
+        edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+        for lo, hi in zip(edges, edges[1:]):
+            row, nth = _repeated(pieces[lo:hi])
+            row += lo
+            at = start[row] // cell + nth
+            order = np.lexsort((at, group[row]))
+            row, at = row[order], at[order]
+            begins = np.concatenate(([0], np.flatnonzero((np.diff(group[row]) != 0) | (np.diff(at) != 0)) + 1))
+            offsets = np.append(begins, len(row))
+            binary = lambda x: pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer((offsets * x.itemsize).astype(np.int32)), pa.py_buffer(x)])  # noqa: E731,B023
+            first, last = np.maximum(start[row] - at * cell, 0), np.minimum(end[row] - at * cell, cell) - 1
+            of = group[row[begins]]
+            yield pa.RecordBatch.from_arrays([sample.dictionary.take(pa.array(of // len(chrom.dictionary))), chrom.dictionary.take(pa.array(of % len(chrom.dictionary))), pa.array(at[begins]), binary(first.astype(width)), binary(last.astype(width))], ["sample_id", "chrom", "cell", "first", "last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held, n = [*held, b] if b.num_rows else held, n + b.num_rows
+            if n >= most:
+                yield from pack(pa.Table.from_batches(held))
+                held, n = [], 0
+        if held:
+            yield from pack(pa.Table.from_batches(held))
+
+    return run
+
+
+def _laid_down(cell: int, segments: bool):
+    """Sorted rows of ``_packed`` to the segments of each cell, or to one row a cell; a task holds one cell's depth."""
+    width = "<u2" if cell <= 1 << 16 else "<u4"
+    names = ["start", "len", "depth"] if segments else ["length", "bases", "min", "max"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, delta, kinds = None, np.zeros(cell + 1, np.int64), None
+
+        def done() -> pa.RecordBatch:
+            depth = np.cumsum(delta[:cell])
+            if segments:
+                at = np.flatnonzero(delta[:cell])
+                size, at_depth = np.diff(np.append(at, cell)), depth[at]
+                out = [(at + key[2] * cell)[at_depth > 0], size[at_depth > 0], at_depth[at_depth > 0]]
+            else:
+                covered = depth[depth > 0]
+                out = [np.array([v], np.int64) for v in (len(covered), covered.sum(), covered.min(), covered.max())]
+            return pa.RecordBatch.from_arrays([*(pa.array([k] * len(out[0]), t) for k, t in zip(key, kinds)), *map(pa.array, out)], ["sample_id", "chrom", *names])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kinds = [b.schema.field(0).type, b.schema.field(1).type]
+            codes = [b.column(k).dictionary_encode("encode").indices.to_numpy() for k in (0, 1, 2)]
+            edges = [0, *(np.flatnonzero(np.logical_or.reduce([np.diff(c) != 0 for c in codes])) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(edges, edges[1:]):
+                here = tuple(b.column(k)[lo].as_py() for k in (0, 1, 2))
+                if here != key:
+                    if key:
+                        yield done()
+                    key = here
+                    delta[:] = 0
+                first, last = (np.frombuffer(b"".join(b.column(k).slice(lo, hi - lo).to_pylist()), width).astype(np.int64) for k in (3, 4))
+                delta += np.bincount(first, minlength=cell + 1)
+                delta -= np.bincount(last + 1, minlength=cell + 1)
+        if key:
+            yield done()
+
+    return run
+
+
+def _by_cell(blocks: DataFrame, cell: int, segments: bool) -> DataFrame:
+    kinds, place = dict(blocks.dtypes), ["sample_id", "chrom", "cell"]
+    group = f"sample_id {kinds['sample_id']}, chrom {kinds['chrom']}, "
+    blocks = blocks.select("sample_id", "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).where("start < end")
+    packed = blocks.mapInArrow(_packed(cell), group + "cell long, first binary, last binary").repartition(*place).sortWithinPartitions(*place)
+    return packed.mapInArrow(_laid_down(cell, segments), group + ("start long, len long, depth long" if segments else "length long, bases long, min long, max long"))
 
 
 def depth_segments(blocks: DataFrame, cell: int = 1 << 16) -> DataFrame:
-    """``sample_id, chrom, start, len, depth``: stretches of equal depth above 0, by prefix sums in two levels.
+    """``sample_id, chrom, start, len, depth``: stretches of equal depth above 0, by prefix sums inside cells of the genome.
 
-    A block is +1 at its start and -1 at its end. Events are summed within cells of the genome; a window over the
-    sums of whole cells (one row a cell) carries the depth that each cell begins with and the place of the next event
-    after it; inside a cell only the cell's own events are summed. So no task sees a chromosome's events, however deep
-    it is sequenced. A stretch may be cut where a cell begins.
+    Blocks are cut where cells begin, so a cell's depth follows from its own blocks. They travel packed, many to a row, and
+    are laid down cell by cell on an array of the cell's places. So no task sees a chromosome's blocks, however deep
+    it is sequenced, and what it holds depends on ``cell`` alone. A stretch is cut where a cell begins.
     """
-    ends = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))
-    events = blocks.select("sample_id", "chrom", F.explode(ends).alias("e")).groupBy("sample_id", "chrom", F.floor(F.col("e.at") / cell).alias("cell"), "e.at").agg(F.sum("e.d").alias("d"))
-    cells = events.groupBy("sample_id", "chrom", "cell").agg(F.sum("d").alias("net"), F.min("at").alias("first"))
-    line = Window.partitionBy("sample_id", "chrom").orderBy("cell")
-    cells = cells.select("sample_id", "chrom", "cell", F.coalesce(F.sum("net").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carried"), F.lead("first").over(line).alias("next"))
-    inside = Window.partitionBy("sample_id", "chrom", "cell").orderBy("at")
-    seg = events.withColumn("own", F.sum("d").over(inside)).withColumn("after", F.lead("at").over(inside)).join(cells, ["sample_id", "chrom", "cell"])
-    seg = seg.select("sample_id", "chrom", F.col("at").alias("start"), (F.coalesce("after", "next") - F.col("at")).alias("len"), (F.col("own") + F.col("carried")).alias("depth"))
-    return seg.where("len > 0 and depth > 0")
+    return _by_cell(blocks, cell, True)
 
 
 def depth(reads: DataFrame, spans: str = "length", cell: int = 1 << 16) -> DataFrame:
     """Per sample and chromosome: covered bases, total bases, mean, min and max depth over covered segments."""
-    seg = depth_segments(covered_blocks(reads, spans), cell)
-    return seg.groupBy("sample_id", "chrom").agg(F.sum("len").alias("length"), F.sum(F.col("len") * F.col("depth")).alias("bases"), F.min("depth").alias("min"), F.max("depth").alias("max")).withColumn("mean", safe_div("bases", "length"))
+    cells = _by_cell(covered_blocks(reads, spans), cell, False)
+    return cells.groupBy("sample_id", "chrom").agg(*[f(c).alias(c) for f, c in ((F.sum, "length"), (F.sum, "bases"), (F.min, "min"), (F.max, "max"))]).withColumn("mean", safe_div("bases", "length"))
 
 
 def coverage_summary(reads: DataFrame, lengths: DataFrame, spans: str = "whole", cell: int = 1 << 16) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import re
 
+from binfold.operators import reads as R
 from binfold.sources import tables
 
 
@@ -23,3 +24,21 @@ def test_fasta_lines_are_not_shuffled(spark, tmp_path):
             spark.conf.set(k, v)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "windowspecdefinition(f#" in plan and not re.search(r"windowspecdefinition\(f#\d+, split#\d+L?, ", plan)
+
+
+def test_depth_events_travel_packed(spark):
+    """Reads of few cells reach the shuffle as few rows, CIGARs are not walked by lambdas, and rows without a place count nowhere."""
+    df = spark.range(30_000).selectExpr("1 AS sample_id", "'7' AS chrom", "id * 7 % 200000 AS pos", "'50M3D20M' AS cigar")
+    odd = spark.createDataFrame([(1, "7", None, "9M"), (1, "7", 5, None), (1, "7", 300_000, "0M5N"), (2, None, 70_000, "140000M")], "sample_id int, chrom string, pos long, cigar string")
+    found = R.depth(df.unionByName(odd), "gaps").orderBy("sample_id")
+    got = [tuple(r)[:6] for r in found.collect()]
+    covered: dict[int, int] = {}
+    for i in range(30_000):
+        at = i * 7 % 200_000
+        for p in (*range(at, at + 50), *range(at + 53, at + 73)):
+            covered[p] = covered.get(p, 0) + 1
+    assert got == [(1, "7", len(covered), 30_000 * 70, min(covered.values()), max(covered.values())), (2, None, 140_000, 140_000, 1, 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "Generate" not in plan and "Exchange hashpartitioning(sample_id" in plan
+    packed = R.covered_blocks(df, "gaps").coalesce(1).mapInArrow(R._packed(1 << 16), "sample_id int, chrom string, cell long, first binary, last binary")
+    assert packed.count() == 4
