@@ -321,15 +321,21 @@ def alignment_stats(reads: DataFrame, mapq: int = 0, require_flags: int = 0, exc
     first = own & (~paired | (has_bits("flag", READ1) & lacks_bits("flag", READ2)))
     last = own & paired & lacks_bits("flag", READ1) & has_bits("flag", READ2)
     cigar_bases = F.aggregate(F.regexp_extract_all("cigar", F.lit(r"(\d+)[MI=X]"), 1), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
-    n, size = F.count_if, F.col("seq_len")
+    # What is asked of a read is worked out once; counters that each spell it out make code too long to be compiled.
+    asked = {
+        "use": use, "own": own, "first": first, "last": last, "own_mapped": own & mapped, "both": both, "proper": has_bits("flag", PROPER), "paired": paired, "seen_dup": seen & dup, "mq0": F.col("mapq") == 0, "failed": has_bits("flag", QC_FAILED),
+        "secondary": use & has_bits("flag", SECONDARY), "supplementary": primary & has_bits("flag", SUPPLEMENTARY), "apart": F.col("chrom") != F.col("mate_chrom"), "size": F.col("seq_len"), "seen_mapped": seen & mapped, "nm": F.col("nm"), "cigar_bases": F.when(seen & mapped, cigar_bases),
+    }
+    rows = reads.select("sample_id", *[v.alias(k) for k, v in asked.items()])
+    n, c, size = F.count_if, F.col, F.col("size")
     s = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0)).cast("long")
-    out = reads.groupBy("sample_id").agg(
-        n(~use).alias("filtered_sequences"), n(own).alias("sequences"), n(first).alias("first_fragments"), n(last).alias("last_fragments"), n(own & ~first & ~last).alias("other_fragments"),
-        n(own & mapped).alias("reads_mapped"), n(both).alias("reads_mapped_and_paired"), n(own & ~mapped).alias("reads_unmapped"), n(both & has_bits("flag", PROPER)).alias("reads_properly_paired"), n(own & paired).alias("reads_paired"),
-        n(seen & dup).alias("reads_duplicated"), n(own & mapped & (F.col("mapq") == 0)).alias("reads_mq0"), n(own & has_bits("flag", QC_FAILED)).alias("reads_qc_failed"),
-        n(use & has_bits("flag", SECONDARY)).alias("non_primary_alignments"), n(primary & has_bits("flag", SUPPLEMENTARY)).alias("supplementary_alignments"), F.floor(n(both & (F.col("chrom") != F.col("mate_chrom"))) / 2).cast("long").alias("pairs_on_different_chromosomes"),
-        s(own, size).alias("total_length"), s(first, size).alias("total_first_fragment_length"), s(last, size).alias("total_last_fragment_length"), s(own & mapped, size).alias("bases_mapped"),
-        s(seen & mapped, cigar_bases).alias("bases_mapped_cigar"), s(seen & dup, size).alias("bases_duplicated"), s(seen & mapped, F.col("nm")).alias("mismatches_from_nm"),
+    out = rows.groupBy("sample_id").agg(
+        n(~c("use")).alias("filtered_sequences"), n(c("own")).alias("sequences"), n(c("first")).alias("first_fragments"), n(c("last")).alias("last_fragments"), n(c("own") & ~c("first") & ~c("last")).alias("other_fragments"),
+        n(c("own_mapped")).alias("reads_mapped"), n(c("both")).alias("reads_mapped_and_paired"), n(c("own") & ~c("own_mapped")).alias("reads_unmapped"), n(c("both") & c("proper")).alias("reads_properly_paired"), n(c("own") & c("paired")).alias("reads_paired"),
+        n(c("seen_dup")).alias("reads_duplicated"), n(c("own_mapped") & c("mq0")).alias("reads_mq0"), n(c("own") & c("failed")).alias("reads_qc_failed"),
+        n(c("secondary")).alias("non_primary_alignments"), n(c("supplementary")).alias("supplementary_alignments"), F.floor(n(c("both") & c("apart")) / 2).cast("long").alias("pairs_on_different_chromosomes"),
+        s(c("own"), size).alias("total_length"), s(c("first"), size).alias("total_first_fragment_length"), s(c("last"), size).alias("total_last_fragment_length"), s(c("own_mapped"), size).alias("bases_mapped"),
+        s(c("seen_mapped"), c("cigar_bases")).alias("bases_mapped_cigar"), s(c("seen_dup"), size).alias("bases_duplicated"), s(c("seen_mapped"), c("nm")).alias("mismatches_from_nm"),
     )
     if filtered_stream:
         out = out.withColumn("filtered_sequences", F.lit(0).cast("long"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from binfold.plans import data
 from binfold.plans.cohort_run import StageStore, cohort_status, ledger, run_cohort, sample_files
 from binfold.plans.data import READS
-from binfold.plans.q_sources import _folder, sam_lines
+from binfold.plans.q_sources import _folder, by_sample, sam_lines
 from binfold.plans.registry import query
 from binfold.sources import storage
 
@@ -18,7 +18,7 @@ CUT, BARE, POOR = 3, 7, 9
 
 
 def write_cohort(spark: SparkSession, d: str, folder: str, damaged: bool) -> str:
-    """The read view as one alignment file a sample, with a header each; some samples damaged on request."""
+    """The read view as alignment text, a folder a sample with one header in it; some samples damaged on request."""
     reads = data.reads(spark, d)
     names = reads.select("sample_id").distinct()
     if damaged:
@@ -28,7 +28,7 @@ def write_cohort(spark: SparkSession, d: str, folder: str, damaged: bool) -> str
         broken = (F.col("sample_id") == CUT) & (F.xxhash64("value") % 7 == 0)
         lines = lines.withColumn("value", F.when(broken, F.array_join(F.slice(F.split("value", "\t"), 1, 5), "\t")).otherwise(F.col("value")))
     heads = names.join(data.lengths(spark)).select("sample_id", F.concat(F.lit("@SQ\tSN:chr"), F.expr("CASE chrom WHEN 23 THEN 'X' WHEN 24 THEN 'Y' ELSE CAST(chrom AS STRING) END"), F.lit("\tLN:"), F.col("length").cast("string")).alias("value"), F.lit(0).alias("o"))
-    lines.unionByName(heads).repartition("sample_id").sortWithinPartitions("sample_id", "o").select("sample_id", "value").write.mode("overwrite").partitionBy("sample_id").text(folder)
+    by_sample(lines.unionByName(heads)).sortWithinPartitions("sample_id", "o").select("sample_id", "value").write.mode("overwrite").partitionBy("sample_id").text(folder)
     return folder
 
 

@@ -13,7 +13,7 @@ from binfold.operators import reads as R
 from binfold.plans import data, workflows
 from binfold.plans.data import BASE, GC_CTE, KEPT, READS
 from binfold.plans.q_models import SEXT, _gonosomes, _REFS, _sexed, _thinned
-from binfold.plans.q_sources import _LETTERS, _PIECES, _SEQ, _folder, _write, fasta, sam_lines
+from binfold.plans.q_sources import _LETTERS, _PIECES, _SEQ, _folder, _write, by_sample, fasta, sam_lines
 from binfold.plans.registry import query
 from binfold.sources import sinks, tables
 from binfold.streaming import counts as stream
@@ -25,7 +25,7 @@ W = f"WITH {READS}"
 def a14(spark, d):
     """Chromosome and position of all reads as alignment text; positions count from 1 in bin names, a multiple of the size goes down."""
     folder = _folder(spark, "sam")
-    sam_lines(data.reads(spark, d)).repartition("sample_id").write.partitionBy("sample_id").text(folder)
+    by_sample(sam_lines(data.reads(spark, d))).write.partitionBy("sample_id").text(folder)
     r = tables.read_sam(spark, folder, tables.sample_of_file("")).withColumn("pos", F.col("pos") + 1).withColumn("sample_id", F.col("sample_id").cast("int"))
     return R.string_bins(r)
 

@@ -223,7 +223,7 @@ def scan_sam(spark: SparkSession, path: str | list[str], sample: Column | None =
 
     ``problem`` says what is wrong with a line, NULL where nothing is; no line is dropped and none raises.
     """
-    lines = _text(spark, path).where(~F.col("value").startswith("@") & (F.length("value") > 0)).select(F.monotonically_increasing_id().alias("read_no"), (F.regexp_replace("_metadata.file_name", r"\.sam(\.gz)?$", "") if sample is None else sample).alias("sample_id"), F.split("value", "\t").alias("c"))
+    lines = _text(spark, path).where(~F.col("value").startswith("@") & (F.length("value") > 0)).select(F.monotonically_increasing_id().alias("read_no"), (F.regexp_replace("_metadata.file_name", r"\.sam(\.gz)?$", "") if sample is None else sample).alias("sample_id"), "value", F.split("value", "\t").alias("c"))
     c = lambda i: F.get("c", F.lit(i))
     number = lambda i, kind="int": c(i).try_cast(kind)
     outside = lambda i, most: number(i).isNull() | ~number(i).between(0, most)
@@ -237,7 +237,7 @@ def scan_sam(spark: SparkSession, path: str | list[str], sample: Column | None =
     return lines.select(
         "sample_id", "read_no", flag.alias("flag"), chrom_key(c(2)).alias("chrom"), (number(3, "long") - 1).alias("pos"), number(4).alias("mapq"), c(5).alias("cigar"),
         chrom_key(mate).alias("mate_chrom"), (number(7, "long") - 1).alias("mate_pos"), F.when(c(9) == "*", 0).otherwise(F.length(c(9))).alias("seq_len"),
-        F.coalesce(F.regexp_extract(F.array_join("c", "\t"), r"\tNM:i:(\d+)", 1).try_cast("int"), F.lit(0)).alias("nm"), F.when(flag.bitwiseAND(16) == 0, "+").otherwise("-").alias("strand"), problem.alias("problem"),
+        F.coalesce(F.regexp_extract("value", r"\tNM:i:(\d+)", 1).try_cast("int"), F.lit(0)).alias("nm"), F.when(flag.bitwiseAND(16) == 0, "+").otherwise("-").alias("strand"), problem.alias("problem"),
     )
 
 
@@ -249,7 +249,8 @@ def read_sam(spark: SparkSession, path: str | list[str], sample: Column | None =
     """
     found = scan_sam(spark, path, sample)
     message = F.concat(F.lit("malformed alignment line of sample "), F.col("sample_id").cast("string"), F.lit(": "), F.col("problem"))
-    return found.where(F.when(F.col("problem").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True)).drop("problem")
+    # The running number keeps the filter above the columns; pushed below them it would split a line anew for every check.
+    return found.where(F.when(F.col("problem").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.col("read_no") >= 0)).drop("problem")
 
 
 def sam_lengths(spark: SparkSession, path: str) -> DataFrame:

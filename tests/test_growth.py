@@ -2,7 +2,11 @@
 
 import re
 
+import pytest
+
 from binfold.operators import reads as R
+from binfold.plans import registry  # noqa: F401
+from binfold.plans.q_sources import by_sample
 from binfold.sources import tables
 
 
@@ -42,3 +46,30 @@ def test_depth_events_travel_packed(spark):
     assert "lambdafunction" not in plan and "Generate" not in plan and "Exchange hashpartitioning(sample_id" in plan
     packed = R.covered_blocks(df, "gaps").coalesce(1).mapInArrow(R._packed(1 << 16), "sample_id int, chrom string, cell long, first binary, last binary")
     assert packed.count() == 4
+
+
+def test_a_line_is_split_once_and_conditions_are_worked_out_once(spark, tmp_path):
+    (tmp_path / "a.sam").write_text("".join(f"q{i}\t{16 * (i % 2)}\tchr1\t{i + 1}\t{i % 60}\t10M\t*\t0\t0\t{'A' * 10}\t*\tNM:i:2\n" for i in range(50)))
+    found = R.alignment_stats(tables.read_sam(spark, str(tmp_path)), mapq=5)
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [x for x in plan if "Filter" in x and "split(" in x]
+    assert not [x for x in plan if "HashAggregate" in x and "flag#" in x]
+    got = found.first()
+    assert (got["sample_id"], got["filtered_sequences"], got["sequences"], got["bases_mapped_cigar"], got["mismatches_from_nm"]) == ("a", 5, 45, 450, 90)
+    (tmp_path / "b.sam").write_text("q\t0\tchr1\n")
+    with pytest.raises(Exception, match="malformed alignment line of sample b: fewer than 11 columns"):
+        tables.read_sam(spark, str(tmp_path)).groupBy("chrom").count().collect()
+
+
+def test_a_large_sample_is_written_by_several_tasks(spark, tmp_path):
+    lines = spark.range(40_000, numPartitions=4).selectExpr("CAST(id % 40 = 0 AS INT) AS sample_id", "sha2(CAST(id AS STRING), 256) AS value")
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "200000")
+        by_sample(lines).write.partitionBy("sample_id").text(str(tmp_path / "t"))
+    finally:
+        spark.conf.set(key, old)
+    assert len(list((tmp_path / "t" / "sample_id=0").glob("*.txt"))) > 2
+    back = spark.read.text(str(tmp_path / "t"))
+    assert back.count() == 40_000 and back.exceptAll(lines.select("value", "sample_id")).isEmpty()
