@@ -102,7 +102,9 @@ def run_cohort(spark: SparkSession, sam_path: str, lengths: DataFrame, gc_table:
         sample = tables.sample_of_file(r"\.sam(\.gz)?$")
         lines = tables.scan_sam(spark, names, sample)
         heads = spark.read.text(names).select("value", "_metadata").where(F.col("value").startswith("@SQ")).groupBy(sample.alias("sample_id")).agg(F.count("*").alias("heads"))
-        seen = lines.groupBy("sample_id").agg(F.count("*").alias("reads"), F.count("problem").alias("bad"), F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("read_no"))).alias("first"))
+        # By sample and problem first, in numbers alone: an aggregate that keeps texts would sort all lines.
+        kinds, wrong = lines.groupBy("sample_id", "problem").agg(F.count("*").alias("n"), F.min("read_no").alias("read_no")), F.col("problem").isNotNull()
+        seen = kinds.groupBy("sample_id").agg(F.sum("n").alias("reads"), F.sum(F.when(wrong, F.col("n"))).alias("bad"), F.min_by("problem", F.when(wrong, F.col("read_no"))).alias("first"))
         judged = todo.select("sample_id").distinct().join(heads, "sample_id", "left").join(seen, "sample_id", "left").na.fill(0, ["heads", "reads", "bad"])
         step = F.when(F.col("bad") > 0, "parse").when(F.col("heads") == 0, "header").when(F.col("reads") == 0, "reads")
         message = F.when(F.col("bad") > 0, F.concat(F.lit("malformed lines, first: "), "first")).when(F.col("heads") == 0, "no @SQ line").when(F.col("reads") == 0, "no alignments")
