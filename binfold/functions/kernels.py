@@ -150,31 +150,70 @@ def gram_components(gram: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return vector[:, keep], np.sqrt(value[keep])
 
 
-def nearest_rows(target: np.ndarray, ref: np.ndarray, ref_idx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def nearest_rows(target: np.ndarray, ref: np.ndarray, ref_idx: np.ndarray, k: int, tile: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """k nearest rows by squared distance, ties to the smaller index; short lists are filled with index 0, distance 1.
 
-    A matrix product preselects candidates with room for its rounding; their distances are computed directly.
+    Products in single precision, less the most that rounding can add, bound the distances from below; the least of each
+    32 of them and what rounding can take bound the kth distance from above. What lies between is computed directly.
     """
-    m = len(target)
+    m, (n, width) = len(target), ref.shape
     out_i, out_d = np.zeros((m, k), np.int64), np.ones((m, k))
-    if not len(ref):
+    if not n or not m:
         return out_i, out_d
-    norm = np.einsum("ij,ij->i", ref, ref)
-    step = max(1, min(256, 1_000_000 // len(ref)))  # bounds the memory
+    ok, fine = np.isfinite(ref).all(axis=1), np.isfinite(target).all(axis=1)
+    mid = np.median(ref[ok][:: 1 + n // 1000], axis=0) if ok.any() else np.zeros(width)
+    with np.errstate(invalid="ignore"):  # rows with other than numbers are zeros here, and always computed
+        r, t = np.where(ok[:, None], ref - mid, 0.0), np.where(fine[:, None], target - mid, 0.0)
+    size = max(np.abs(r).max(), np.abs(t).max()) or 1.0
+    r, t = r / size, t / size
+    least = 1e-9 * np.sqrt(width) * max(1.0, np.abs(mid).max() / size)  # what centring loses
+    rn, tn = np.maximum(np.sqrt(np.einsum("ij,ij->i", r, r)), least), np.sqrt(np.einsum("ij,ij->i", t, t))
+    eps = 4 * (width + 8) * 2.0**-24
+    group = 32 if n >= 128 * k else 1
+    tile, step = (tile, 256) if group > 1 else (n, max(1, min(256, (1 << 20) // n)))
+    order = np.argsort(np.where(ok, rn, np.inf), kind="stable")  # rows of a group round alike
+    right = np.zeros((-(-n // group) * group, width + 2), np.float32)
+    right[:n, :width], right[:n, width] = r[order], np.where(ok, np.einsum("ij,ij->i", r, r) - eps * rn**2, -1e30)[order]
+    right[:n, width + 1], right[n:, width] = rn[order], 1e30
+    left = np.hstack((-2 * t, np.ones((m, 1)), -2 * eps * tn[:, None])).astype(np.float32)
+    most = np.append(np.where(ok, rn, np.inf)[order], np.zeros(len(right) - n)).reshape(-1, group).max(axis=1)
+    flat, steep = (2 * eps * most**2).astype(np.float32), (4 * eps * most).astype(np.float32)
     for lo in range(0, m, step):
-        t = target[lo : lo + step]
-        tn = (t**2).sum(axis=1)
-        rough = tn[:, None] + norm[None, :] - 2 * t @ ref.T
-        slack = 1e-9 * (tn[:, None] + norm.max())
-        for i in range(len(t)):
-            if len(ref) > k:
-                cut = np.partition(rough[i], k - 1)[k - 1]
-                cand = np.flatnonzero(rough[i] <= cut + 2 * slack[i])
-            else:
-                cand = np.arange(len(ref))
-            d = ((ref[cand] - t[i]) ** 2).sum(axis=1)
-            best = np.lexsort((ref_idx[cand], d))[:k]
-            out_i[lo + i, : len(best)], out_d[lo + i, : len(best)] = ref_idx[cand[best]], d[best]
+        q, qn, odd = left[lo : lo + step].T, np.maximum(tn[lo : lo + step], 1e-30).astype(np.float32), ~fine[lo : lo + step]
+        best, held, count = np.full((k, q.shape[1]), np.inf, np.float32), [], 0
+        done = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+        def settle(done: tuple, held: list, bound: np.ndarray) -> tuple:
+            """The k best, by exact distance, of those settled before and those held."""
+            row, col, low = (np.concatenate(c) for c in zip(*held))
+            near = np.flatnonzero((low <= bound[row]) & (col < n))
+            row, col = row[near], order[col[near]]
+            parts = [((ref[col[i : i + 2048]] - target[lo + row[i : i + 2048]]) ** 2).sum(axis=1) for i in range(0, len(row), 2048)]  # noqa: B023
+            row, idx, d = np.append(done[0], row), np.append(done[1], ref_idx[col]), np.concatenate((done[2], *parts))
+            by = np.lexsort((idx, d, row))
+            by = by[np.arange(len(row)) - np.searchsorted(row[by], row[by]) < k]
+            return row[by], idx[by], d[by]
+
+        for at in range(0, len(right), tile):
+            p = (right[at : at + tile] @ q).reshape(-1, group, q.shape[1])
+            low, g = p.min(axis=1), slice(at // group, at // group + len(p))
+            high = low + (flat[g, None] + steep[g, None] * qn)
+            closer = np.flatnonzero((high < best[-1]).any(axis=0))
+            if len(closer):
+                best[:, closer] = np.partition(np.concatenate((best[:, closer], high[:, closer])), k - 1, axis=0)[:k]
+            bound = np.where(odd, np.float32(np.inf), best[-1])
+            gi, ti = np.nonzero(low <= bound)
+            found = p[gi, :, ti]
+            hit, off = np.nonzero(found <= bound[ti, None])
+            held.append((ti[hit], at + gi[hit] * group + off, found[hit, off]))
+            count += len(hit)
+            if count > 1 << 20:
+                done, held, count = settle(done, held, bound), [], 0
+        if held:
+            done = settle(done, held, bound)
+        row, idx, d = done
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        out_i[lo + row, place], out_d[lo + row, place] = idx, d
     return out_i, out_d
 
 

@@ -1,9 +1,13 @@
 """Vectors against their nearest vectors of other classes: rows of the queries are those of their SQL on odd tables."""
 
+import uuid
+
 import duckdb
 import numpy as np
 import pytest
 
+from binfold.functions.kernels import nearest_rows
+from binfold.operators import cnv_predict
 from binfold.plans import registry
 from test_oracles import rows
 
@@ -23,3 +27,34 @@ def test_values_without_a_reference_left_have_no_row(spark, tmp_path, name):
     got = registry.QUERIES[name](spark, str(tmp_path)).toPandas()
     assert 0 < len(want) < 21 * 64 and (name == "k20_within_sample" or len(want) < 20 * 64)
     assert rows(got) == rows(want)
+
+
+def test_references_are_found_once(spark, tmp_path):
+    """Whatever makes the references compares all bins, so the passes must not repeat it."""
+
+    def seen(frames):
+        (tmp_path / f"run-{uuid.uuid4()}").touch()
+        yield from frames
+
+    knn = spark.createDataFrame([(i, [j + 1 for j in range(6) if j != i], [1.0] * 5) for i in range(6)], "masked_idx long, refs array<long>, distances array<double>").coalesce(1)
+    knn = knn.mapInPandas(seen, knn.schema)
+    values = spark.createDataFrame([(s, i, 1, i, float((i * 7 + s) % 5)) for s in range(3) for i in range(6)], "sample_id int, masked_idx long, chrom int, bin int, x double")
+    assert cnv_predict.normalise_within(values, knn, float("inf"), 3, save=lambda df, name: df.localCheckpoint()).count() == 18
+    assert len(list(tmp_path.glob("run-*"))) == 1
+
+
+@pytest.mark.parametrize("k", [5, 60])
+def test_nearest_rows_on_odd_values(k):
+    """Groups of bounds and (many neighbours) single bounds: ties, far rows, large offsets, scales, equal rows, not numbers."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 6))
+    odd = x.copy()
+    odd[7, 2], odd[90], odd[1400, 0] = np.nan, np.inf, -np.inf
+    for rows_ in (x, np.round(x), np.vstack((x, 1e7 * x[:3])), x + 1e7, np.round(x * 9) + 1e14, x * 10.0 ** rng.integers(-9, 9, (1500, 1)), x * 0 + 3, odd):
+        idx, target = rng.permutation(len(rows_)) + 1, rows_[::9]
+        got_i, got_d = nearest_rows(target, rows_, idx, k)
+        for t, i, d in zip(target, got_i, got_d):
+            with np.errstate(all="ignore"):
+                full = ((rows_ - t) ** 2).sum(axis=1)
+            want = np.lexsort((idx, full))[:k]
+            assert np.array_equal(i, idx[want]) and np.array_equal(d, full[want], equal_nan=True)
