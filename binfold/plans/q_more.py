@@ -243,10 +243,9 @@ def i03(spark, d):
     return spark.read.parquet(out).groupBy("sample_id").agg(F.count("*").alias("n"))
 
 
-def _deal(rows: DataFrame, folder: str) -> None:
-    """Three files of reads at random; only the writing is one task, what makes the rows is not."""
-    for k in range(3):
-        rows.where(F.pmod(F.xxhash64("read_no", "sample_id", "chrom"), F.lit(3)) == k).repartition(1).write.mode("append").parquet(folder)
+def _deal(rows: DataFrame, folder: str, files: int = 1) -> None:
+    """Three batches of reads at random, a number of files each; one job makes the rows and writes them all."""
+    rows.repartition(3 * files, F.xxhash64("read_no", "sample_id", "chrom")).write.mode("append").parquet(folder)
 
 
 @query("i03b_ordered_dedup", f"{W}, {KEPT} SELECT sample_id, count(*) AS n FROM kept GROUP BY 1")
@@ -256,14 +255,15 @@ def i03b(spark, d):
     order = Window.partitionBy("sample_id", "chrom").orderBy("pos", *data.ORDER)
     cols = ["sample_id", "chrom", "pos", "mate_pos", "flag", "read_no", "ts"]
     rows = data.reads(spark, d).withColumn("read_no", F.row_number().over(order).cast("long")).withColumn("ts", F.timestamp_seconds(F.col("pos") / 1000 + 60)).select(*cols)
-    _deal(rows, folder)
-    for k in (1, 2):  # two late reads of no sample move the watermark past all others
-        spark.range(1).selectExpr("-1 AS sample_id", "1 AS chrom", "1000000000L AS pos", "0L AS mate_pos", "0 AS flag", "0L AS read_no", f"timestamp_seconds({k}0000000) AS ts").write.mode("append").parquet(folder)
+    files = spark.sparkContext.defaultParallelism
+    _deal(rows, folder, files)
+    for k in (1, 2):  # two batches of late reads of no sample move the watermark past all others
+        spark.range(0, files, 1, files).selectExpr("-1 AS sample_id", "1 AS chrom", "1000000000L AS pos", "0L AS mate_pos", "0 AS flag", "0L AS read_no", f"timestamp_seconds({k}0000000) AS ts").write.mode("append").parquet(folder)
     provider, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(provider)
     spark.conf.set(provider, rocks)
     try:
-        src = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        src = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
         q = stream.ordered_dedup(src, "30 minutes").writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
